@@ -27,18 +27,15 @@ def resolve_queries(df: DataFrame, query: str = "query", service: str = "service
     return df.withColumn(query, resolve_query(query, service))
 
 
-def effective_params(requests: DataFrame, defaults: DataFrame) -> DataFrame:
+def effective_params(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds ``params``: the declared parameters of the request's query, with the
     overrides of its line.
 
-    ``defaults`` is the catalog (``query, param, value``), folded into one map
-    per query. The join is left to the optimizer: it broadcasts the catalog only
-    below its size threshold, and else splits hot queries at run time.
+    ``documents`` is the catalog, one row per ``query`` with its declared
+    ``params`` map. The join is left to the optimizer: it broadcasts the catalog
+    only below its size threshold, and else splits hot queries at run time.
     """
-    entry = F.struct("param", "value")
-    declared = defaults.groupBy("query").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("__declared")
-    )
+    declared = documents.select("query", F.col("params").alias("__declared"))
     joined = requests.join(declared, "query")
     return joined.withColumn("params", effective_args("line", F.col("__declared"))).drop("__declared")
 

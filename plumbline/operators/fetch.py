@@ -90,6 +90,8 @@ def fetch_range(
     else:
         limit = F.lit(int(end))
     rows = series.where((F.col("ts") > start) & (F.col("ts") <= limit))
+    if "snapshot" in series.columns:  # partition column of a stored table, equal to ts
+        rows = rows.where((F.col("snapshot") > start) & (F.col("snapshot") <= limit))
     if steps == 1:
         return rows
     return consolidate(rows, list(values), cf, xff, steps, step, keys=[key])
