@@ -76,7 +76,7 @@ def probe_timeouts(
     probe is ever paired with more than two summary rows.
     """
     width = timeout_ms * 1000
-    at = F.unix_micros(ts)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     slot = F.floor(at / F.lit(width)).cast("long")
     answered = responses.groupBy(F.col(tag).alias("__tag"), slot.alias("__slot")).agg(
         F.min(at).alias("__first"), F.max(at).alias("__last")

@@ -206,7 +206,7 @@ def activity_sessions(
         grouped = parsed.groupBy(window.alias("w"), *keys)
         counted = grouped.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_lines"))
         return counted.select(*keys, "first_ts", "last_ts", "n_lines")
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = gap_ms * 1000
     slots = (
         parsed.where(F.col(ts).isNotNull())

@@ -15,7 +15,10 @@ SERIES_START = 1704063600  # one hour before the first event
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    # The files hold times without a zone; the operators work on instants.
+    local = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else rows
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from plumbline.workload import trees
+from plumbline.workload import store, trees
 
-QUERIES = {**trees.QUERIES}
-SQL = {**trees.SQL}
+QUERIES = {**trees.QUERIES, **store.QUERIES}
+SQL = {**trees.SQL, **store.SQL}
