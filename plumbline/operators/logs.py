@@ -193,7 +193,7 @@ def run_verdict(stats: DataFrame) -> DataFrame:
 def activity_sessions(
     parsed: DataFrame, gap_ms: int = 60_000, keys: Sequence[str] = ("producer",), ts: str = "ts"
 ) -> DataFrame:
-    """Runs of activity that end after ``gap_ms`` of silence.
+    """Runs of activity that end after more than ``gap_ms`` of silence.
 
     A stream uses event-time session windows (set a watermark first). A batch
     first folds each key into slots one gap wide: lines of one slot are always
@@ -218,7 +218,7 @@ def activity_sessions(
         )
     )
     prev = previous_row(slots, keys, "__slot", ["__hi"], SLOTS_PER_SEGMENT, prefix="__prev")
-    opens = F.col("__prev__hi").isNull() | (F.col("__lo") - F.col("__prev__hi") >= gap)
+    opens = F.col("__prev__hi").isNull() | (F.col("__lo") - F.col("__prev__hi") > gap)
     start = F.when(opens, F.col("__slot"))
     marked = running_max(
         prev.withColumn("__start", start), keys, "__slot", "__start", SLOTS_PER_SEGMENT, "__earlier"
