@@ -56,12 +56,15 @@ def effective_args(line: Column | str, defaults: Column) -> Column:
     Only declared names are overridden, the last token of a name wins, and
     positional parameters keep their declared value. Names match exactly.
     """
-    toks = tokens(line)
 
-    def overlay(name: Column, value: Column) -> Column:
-        hits = F.filter(toks, lambda t: F.startswith(t, F.concat(name, F.lit("="))))
-        given = second_field(F.try_element_at(hits, F.lit(-1)), "=")
-        positional = F.startswith(name, F.lit("NO_NAME_PARAM"))
-        return F.when(positional, value).otherwise(F.coalesce(given, value))
+    def overlay(toks: Column) -> Column:
+        def value_of(name: Column, value: Column) -> Column:
+            hits = F.filter(toks, lambda t: F.startswith(t, F.concat(name, F.lit("="))))
+            given = second_field(F.try_element_at(hits, F.lit(-1)), "=")
+            positional = F.startswith(name, F.lit("NO_NAME_PARAM"))
+            return F.when(positional, value).otherwise(F.coalesce(given, value))
 
-    return F.transform_values(defaults, overlay)
+        return F.transform_values(defaults, value_of)
+
+    # The one-element array binds the tokens, which are then split only once.
+    return F.get(F.transform(F.array(tokens(line)), overlay), F.lit(0))

@@ -8,155 +8,151 @@ parameter declarations between signature and body are not recognised.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
-TOKEN = re.compile(
+# Comments, directives and literals; all but literals are blanked out.
+OPAQUE = re.compile(
     r"""
-    (?P<skip> //(?:\\\r?\n|[^\n])* | /\*.*?(?:\*/|\Z)
-            | ^[ \t]*\#(?:\\\r?\n|/\*.*?\*/|[^\n])* )
-  | (?P<text> (?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"
-            | (?:u8|[uUL])?"(?:\\.|[^"\\\n])*" | '(?:\\.|[^'\\\n])*' )
-  | (?P<word> [A-Za-z_]\w* )
-  | (?P<number> \.?\d(?:'?[\w.])* )
-  | (?P<op> && | \|\| | :: | -> | [=!<>]= | [^\w\s] )
+    (?P<blank> //(?:\\\r?\n|[^\n])* | /\*.*?(?:\*/|\Z) | ^[ \t]*\#(?:\\\r?\n|/\*.*?\*/|[^\n])* )
+  | (?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"
+  | (?:u8|[uUL])?"(?:\\.|[^"\\\n])*"
+  | (?<![0-9a-fA-F])'(?:\\.|[^'\\\n])*'
     """,
     re.X | re.S | re.M,
 )
+HEAD_TOKEN = re.compile(r"[A-Za-z_]\w*|::|->|[=!<>]=|&&|\|\||\d[\w.]*|[^\w\s]")
+BODY_TOKEN = re.compile(r"\b(?:if|for|while|switch|case)\b|&&|\|\||[?;()]")
+BRACE = re.compile(r"[{}]")
+BREAK = re.compile(r"[{};]")
 
 # Fixed values of the counting rules.
 DECISIONS = {"if", "for", "while", "&&", "||", "?"}
 HEADERS = {"if", "for", "while", "switch"}
 SCOPES = {"namespace", "class", "struct", "union", "enum"}
 NOT_A_NAME = {"__attribute__", "__declspec", "__asm__", "alignas", "decltype", "noexcept", "throw", "requires"}
-ACCESS = {"public", "private", "protected"}
+ACCESS = re.compile(r"\s*(?:public|private|protected)\s*:(?!:)")
+WORD = re.compile(r"[A-Za-z_]\w*\Z")
 
 
 def function_metrics(text: str) -> Iterator[tuple[str, int, int, int, int, int]]:
     """Yields (name, first line, mmcc, tmcc, sif, lif) of every function body."""
-    starts = [m.end() for m in re.finditer("\n", text)]
-    tokens = [
-        (m.group(), bisect_right(starts, m.start()) + 1, m.lastgroup != "text")
-        for m in TOKEN.finditer(text)
-        if m.lastgroup != "skip"
-    ]
-    head: list[tuple[str, int, bool]] = []
-    i = 0
-    while i < len(tokens):
-        token, _, is_code = tokens[i]
-        if is_code and token == "{":
-            name = _function_name(head)
-            if name is not None and _is_member_init(head):
-                end = _closing(tokens, i)
-                head.extend(tokens[i : end + 1])
-                i = end
-            elif name is not None:
-                end = _closing(tokens, i)
-                first, last = head[0][1], tokens[min(end, len(tokens) - 1)][1]
-                yield (name, first, *_count(tokens[i + 1 : end]), last - first + 1)
-                head, i = [], end
-            elif any(t == "=" for t, _, code in head if code):
-                i = _closing(tokens, i)
-            else:
-                head = []
-        elif is_code and token in (";", "}"):
-            head = []
-        elif is_code and token == ":" and len(head) == 1 and head[0][0] in ACCESS:
-            head = []
+    code = OPAQUE.sub(_blank, text)
+    line, counted = 1, 0
+    start = pos = 0
+    while (found := BREAK.search(code, pos)) is not None:
+        pos = found.end()
+        if found.group() != "{":
+            start = pos
+            continue
+        head_text = code[start : found.start()]
+        while (access := ACCESS.match(head_text)) is not None:
+            start += access.end()
+            head_text = head_text[access.end() :]
+        head = HEAD_TOKEN.findall(head_text)
+        name = _function_name(head)
+        if name is not None and _is_member_init(head):
+            pos = _closing(code, pos)
+        elif name is not None:
+            end = _closing(code, pos)
+            first = start + len(head_text) - len(head_text.lstrip())
+            line, counted = line + code.count("\n", counted, first), first
+            yield (name, line, *_count(code[pos : end - 1]), code.count("\n", first, end) + 1)
+            start = pos = end
+        elif "=" in head:
+            pos = _closing(code, pos)
         else:
-            head.append(tokens[i])
-        i += 1
+            start = pos
 
 
-def _closing(tokens, i: int) -> int:
-    """Index of the brace that closes the one at ``i``; the end if unclosed."""
-    depth = 0
-    for j in range(i, len(tokens)):
-        token, _, is_code = tokens[j]
-        if is_code and token == "{":
-            depth += 1
-        elif is_code and token == "}":
-            depth -= 1
-            if depth == 0:
-                return j
-    return len(tokens)
+def _blank(match: re.Match) -> str:
+    """Nothing but the line breaks, and an empty literal for a literal."""
+    breaks = "\n" * match.group().count("\n")
+    return (" " if match.group("blank") is not None else '""') + breaks
+
+
+def _closing(code: str, pos: int) -> int:
+    """Position after the brace that closes the one before ``pos``; the end of
+    the text if it is never closed."""
+    depth = 1
+    for brace in BRACE.finditer(code, pos):
+        depth += 1 if brace.group() == "{" else -1
+        if depth == 0:
+            return brace.end()
+    return len(code)
 
 
-def _parameter_list(head) -> int:
+def _parameter_list(head: list[str]) -> int:
     """Index of the parenthesis that opens the parameters, or -1."""
     depth = 0
-    for j, (token, _, is_code) in enumerate(head):
-        if not is_code:
-            continue
+    for j, token in enumerate(head):
+        before = head[j - 1] if j else ""
         if token == "(":
-            before = head[j - 1][0] if j else ""
-            opens_name = re.match(r"[A-Za-z_]", before) and before not in NOT_A_NAME
-            if before == "operator":  # operator()(...)
-                opens_name = False
-            if depth == 0 and (opens_name or _operator_at(head, j) is not None):
+            named = WORD.match(before) and before not in NOT_A_NAME and before != "operator"
+            if depth == 0 and (named or _operator_at(head, j) is not None):
                 return j
             depth += 1
         elif token == ")":
             depth -= 1
-        elif token == "=" and depth == 0 and not (j and head[j - 1][0] == "operator"):
+        elif token == "=" and depth == 0 and before != "operator":
             return -1
     return -1
 
 
-def _operator_at(head, j: int) -> int | None:
+def _operator_at(head: list[str], j: int) -> int | None:
     """Index of the ``operator`` keyword whose symbol ends right before ``j``."""
     for k in range(j - 1, max(j - 5, -1), -1):
-        if head[k][0] == "operator":
+        if head[k] == "operator":
             return k if k < j - 1 else None
-        if re.match(r"[A-Za-z_]", head[k][0]) and head[k][0] not in ("new", "delete"):
+        if WORD.match(head[k]) and head[k] not in ("new", "delete"):
             return None
     return None
 
 
-def _function_name(head) -> str | None:
+def _function_name(head: list[str]) -> str | None:
     j = _parameter_list(head)
     if j < 1:
         return None
     k = _operator_at(head, j)
     k = j - 1 if k is None else k
-    if k > 0 and head[k - 1][0] == "~":
+    if k > 0 and head[k - 1] == "~":
         k -= 1
-    while k > 1 and head[k - 1][0] == "::" and re.match(r"[A-Za-z_]", head[k - 2][0]):
+    while k > 1 and head[k - 1] == "::" and WORD.match(head[k - 2]):
         k -= 2
-    name = "".join(t for t, _, _ in head[k:j])
+    name = "".join(head[k:j])
     return None if name in SCOPES else name
 
 
-def _is_member_init(head) -> bool:
+def _is_member_init(head: list[str]) -> bool:
     """Whether a brace after ``head`` initialises a member instead of opening a body."""
-    depth, seen = 0, False
-    for token, _, _ in head[_parameter_list(head) :]:
-        depth += (token in "({") - (token in ")}") if len(token) == 1 else 0
-        seen = seen or (token == ":" and depth == 0)
-    return seen and bool(re.match(r"[A-Za-z_>]", head[-1][0]))
+    depth, listed = 0, False
+    for token in head[_parameter_list(head) :]:
+        if token in ("(", "{"):
+            depth += 1
+        elif token in (")", "}"):
+            depth -= 1
+        listed = listed or (token == ":" and depth == 0)
+    return listed and (head[-1] == ">" or WORD.match(head[-1]) is not None)
 
 
-def _count(body) -> tuple[int, int, int]:
+def _count(body: str) -> tuple[int, int, int]:
     both = cases = switches = statements = depth = 0
-    header_depth, closed_while = None, False
-    for token, _, is_code in body:
-        if not is_code:
-            closed_while = False
-            continue
-        both += token in DECISIONS
-        cases += token == "case"
-        switches += token == "switch"
-        statements += token in HEADERS
-        if token == "while":
-            header_depth = depth
-        elif token == "(":
+    loop_depth, loop_closed = None, False
+    for token in BODY_TOKEN.findall(body):
+        closed, loop_closed = loop_closed, False
+        if token == "(":
             depth += 1
         elif token == ")":
             depth -= 1
-            if header_depth == depth:
-                header_depth, closed_while = None, True
-                continue
-        elif token == ";" and depth == 0 and not closed_while:
-            statements += 1
-        closed_while = False
+            if loop_depth == depth:
+                loop_depth, loop_closed = None, True
+        elif token == ";":
+            # The header of an empty or trailing loop is its own statement.
+            statements += depth == 0 and not closed
+        else:
+            both += token in DECISIONS
+            cases += token == "case"
+            switches += token == "switch"
+            statements += token in HEADERS
+            if token == "while":
+                loop_depth = depth
     return 1 + both + switches, 1 + both + cases, statements

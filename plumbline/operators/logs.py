@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.patterns import prefix_match
-from plumbline.operators.skew import previous_row, running_max
+from plumbline.operators.skew import run_starts
+from plumbline.plans.session import materialize
 
 # The producer is the tester's name in front of its process id.
 PRODUCER_REGEX = r"^.*\s.*\s(.*tester.*)\[\d+\]:.*$"
@@ -41,8 +41,8 @@ TIME_PREFIX = r"^([A-Za-z]{3}\s+\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2})"
 
 def extract_producer(df: DataFrame, regex: str = PRODUCER_REGEX, value: str = "value") -> DataFrame:
     """Lines that match the regex, with its first group as ``producer``."""
-    matched = df.where(prefix_match(F.col(value), regex))
-    return matched.withColumn("producer", F.regexp_extract(value, f"^(?:{regex})", 1))
+    # One anchored match at most, so one evaluation both filters and extracts.
+    return df.withColumn("producer", F.explode(F.regexp_extract_all(value, F.lit(f"^(?:{regex})"), F.lit(1))))
 
 
 def strip_priority(df: DataFrame, fmt: str = "raw", value: str = "value") -> DataFrame:
@@ -68,23 +68,25 @@ def drop_blank(df: DataFrame, value: str = "value") -> DataFrame:
 def parse_log_time(df: DataFrame, year: int, record: str = "record") -> DataFrame:
     """Adds ``ts`` and ``remainder``. Log times have no year, so it is given;
     a log over New Year needs one call per year."""
-    stamp = F.regexp_extract(record, TIME_PREFIX, 1)
-    squeezed = F.regexp_replace(stamp, r"\s+", " ")
-    text = F.concat(F.lit(f"{year} "), F.initcap(squeezed))
-    ts = F.try_to_timestamp(text, F.lit("yyyy MMM d H:m:s"))
-    ts = F.when(stamp != "", ts)
-    remainder = F.when(ts.isNotNull(), F.substr(F.col(record), F.length(stamp) + 1))
-    parsed = df.withColumn("ts", ts).withColumn("remainder", remainder)
-    late = F.when(F.col(record).isNotNull() & F.col("ts").isNull(), BAD_TIME)
+    stamped = df.withColumn("__stamp", F.regexp_extract(record, TIME_PREFIX, 1))
+    stamp = F.col("__stamp")
+    text = F.concat(F.lit(f"{year} "), F.initcap(F.regexp_replace(stamp, r"\s+", " ")))
+    ts = F.when(stamp != "", F.try_to_timestamp(text, F.lit("yyyy MMM d H:m:s")))
     earlier = F.col("reason") if "reason" in df.columns else F.lit(None).cast("string")
-    return parsed.withColumn("reason", F.coalesce(earlier, late))
+    late = F.when(F.col(record).isNotNull() & F.col("ts").isNull(), BAD_TIME)
+    remainder = F.when(F.col("ts").isNotNull(), F.substr(F.col(record), F.length(stamp) + 1))
+    parsed = stamped.withColumn("ts", ts).withColumns(
+        {"remainder": remainder, "reason": F.coalesce(earlier, late)}
+    )
+    return parsed.drop("__stamp")
 
 
 def rebuild_message(df: DataFrame, remainder: str = "remainder") -> DataFrame:
     """Adds ``message``: colon-separated parts, trimmed, without the first one
     (host and producer)."""
-    parts = F.transform(F.split(remainder, ":"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    return df.withColumn("message", F.array_join(F.slice(parts, 2, F.size(parts)), ":"))
+    parts = F.transform(F.split(remainder, ":"), lambda p: F.btrim(p, F.lit(" \t\n\r\f\x0b")))
+    rest = F.slice(parts, F.lit(2), F.length(remainder) + 1)  # longer than any part list
+    return df.withColumn("message", F.array_join(rest, ":"))
 
 
 def classify_outcome(df: DataFrame, message: str = "message") -> DataFrame:
@@ -97,9 +99,14 @@ def classify_outcome(df: DataFrame, message: str = "message") -> DataFrame:
         found = F.regexp_extract(message, OUTCOME_PATTERNS[form], i)
         return F.coalesce(found.try_cast("long"), F.lit(0).cast("long"))
 
+    def matches(form: str) -> Column:
+        return F.col(message).rlike(OUTCOME_PATTERNS[form])
+
     form = F.lit(None).cast("string")
-    for name in reversed(OUTCOME_PATTERNS):
-        form = F.when(F.col(message).rlike(OUTCOME_PATTERNS[name]), name).otherwise(form)
+    for name in reversed([n for n in OUTCOME_PATTERNS if n != "collected"]):
+        form = F.when(matches(name), name).otherwise(form)
+    # Ordinary messages are told apart by their first character.
+    form = F.when(F.col(message).startswith("="), form).when(matches("collected"), "collected")
     zero = F.lit(0).cast("long")
     formed = df.withColumn("form", form)
     is_form = F.col("form")
@@ -217,14 +224,9 @@ def activity_sessions(
             F.count(F.lit(1)).alias("__n"),
         )
     )
-    prev = previous_row(slots, keys, "__slot", ["__hi"], SLOTS_PER_SEGMENT, prefix="__prev")
-    opens = F.col("__prev__hi").isNull() | (F.col("__lo") - F.col("__prev__hi") > gap)
-    start = F.when(opens, F.col("__slot"))
-    marked = running_max(
-        prev.withColumn("__start", start), keys, "__slot", "__start", SLOTS_PER_SEGMENT, "__earlier"
-    )
-    session = F.coalesce("__start", "__earlier")
-    folded = marked.groupBy(*keys, session.alias("__session")).agg(
+    slots = materialize(slots, "slots")
+    marked = run_starts(slots, keys, "__slot", "__lo", "__hi", gap, SLOTS_PER_SEGMENT, "__session")
+    folded = marked.groupBy(*keys, "__session").agg(
         F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__n").alias("n_lines")
     )
     return folded.select(

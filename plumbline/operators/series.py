@@ -157,10 +157,10 @@ def normalize_gauge(
     """
     keys, values = list(keys), list(values)
     grid = samples.select(*keys, _floor(F.col(ts), step).alias(ts), *values)
-    grid = grid.where(F.col(ts) > start).withColumn("__ts", F.col(ts))
+    grid = grid.where(F.col(ts) > start)
     width = width or SEGMENT_WIDTH * step
-    prev = previous_row(grid, keys, ts, ["__ts"], width, prefix="__prev", last_order="__max")
-    prev = prev.withColumn("__prev", F.coalesce("__prev__ts", F.lit(_floor_int(start, step))))
+    prev = previous_row(grid, keys, ts, [ts], width, prefix="__prev_", last_order="__max")
+    prev = prev.withColumn("__prev", F.coalesce(f"__prev_{ts}", F.lit(_floor_int(start, step))))
     low = F.greatest(F.col("__prev"), F.col("__max") - F.lit(rows * step))
     prev = prev.withColumn("__low", low).where(F.col("__low") < F.col(ts))
     slots = F.sequence(F.col("__low") + step, F.col(ts), F.lit(step).cast("long"))

@@ -2,7 +2,10 @@
 
 A plain window over ``partitionBy(key)`` puts a whole key into one task. The
 functions here cut a key into segments of bounded size, work inside the
-segments, and pass a one-row summary per segment along.
+segments, and pass a one-row summary per segment along. Both passes read the
+input: give them a stored table, or ``materialize`` an expensive one first.
+Join and window share their keys, so the rows are shuffled once; the left join
+keeps rows without a key.
 """
 
 from __future__ import annotations
@@ -14,16 +17,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.plans.session import materialize
 
 SEGMENT = "__segment"
+EARLIER = (Window.unboundedPreceding, -1)
 
 
-def in_segments(df: DataFrame, keys: Sequence[str], order: str, width: int) -> DataFrame:
-    """Rows placed by key and by segment of ``width`` units of ``order``.
+def in_segments(df: DataFrame, order: str, width: int) -> DataFrame:
+    """Rows with the number of their segment of ``width`` units of ``order``."""
+    return df.withColumn(SEGMENT, F.floor(F.col(order) / F.lit(width)).cast("long"))
 
-    The explicit repartition is the one exchange of the data: the summary, the
-    join and the window of the callers all reuse it.
-    """
-    placed = df.withColumn(SEGMENT, F.floor(F.col(order) / F.lit(width)).cast("long"))
-    return placed.repartition(*keys, SEGMENT)
+
+def join_whole(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL matches NULL, so that no row gets lost."""
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    matches = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, matches, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def previous_row(
@@ -37,24 +43,31 @@ def previous_row(
 ) -> DataFrame:
     """``lag`` of ``values`` along ``order`` (an integral column) within ``keys``.
 
-    ``last_order`` names an extra column with the key's greatest ``order``.
+    ``last_order`` names an extra column with the key's greatest ``order``. The
+    summary reads only the columns it needs and is combined before its shuffle;
+    the rows themselves are shuffled once, by key and segment.
     """
-    placed = in_segments(df, keys, order, width)
-    row = F.struct(*[F.col(v).alias(v) for v in values])
+    placed = in_segments(df, order, width)
     summary = placed.groupBy(*keys, SEGMENT).agg(
-        F.max_by(row, order).alias("__last"), F.max(order).alias("__hi")
+        F.max(order).alias("__hi"),
+        *[(F.max(v) if v == order else F.max_by(v, order)).alias(f"__last_{v}") for v in values],
     )
     along = Window.partitionBy(*keys).orderBy(SEGMENT)
-    carried = [F.lag("__last").over(along).alias("__carry")]
+    carried = [F.lag(f"__last_{v}").over(along).alias(f"__carry_{v}") for v in values]
+    carried.append(F.lag("__hi").over(along).isNotNull().alias("__carried"))
     if last_order:
         carried.append(F.max("__hi").over(Window.partitionBy(*keys)).alias(last_order))
-    carry = summary.select(*keys, SEGMENT, *carried)
+    joined = placed.join(summary.select(*keys, SEGMENT, *carried), [*keys, SEGMENT], "left")
     inside = Window.partitionBy(*keys, SEGMENT).orderBy(order)
-    before = F.coalesce(F.lag(row).over(inside), F.col("__carry"))
-    joined = placed.join(carry, [*keys, SEGMENT]).withColumn("__before", before)
+    opens = F.row_number().over(inside) == 1
     extra = [last_order] if last_order else []
     return joined.select(
-        *df.columns, *extra, *[F.col("__before")[v].alias(f"{prefix}{v}") for v in values]
+        *df.columns,
+        *extra,
+        *[
+            F.when(opens, F.col(f"__carry_{v}")).otherwise(F.lag(v).over(inside)).alias(f"{prefix}{v}")
+            for v in values
+        ],
     )
 
 
@@ -62,15 +75,14 @@ def running_max(
     df: DataFrame, keys: Sequence[str], order: str, value: str, width: int, name: str
 ) -> DataFrame:
     """Greatest ``value`` of all rows before the current one; NULL for the first."""
-    placed = in_segments(df, keys, order, width)
+    placed = in_segments(df, order, width)
     summary = placed.groupBy(*keys, SEGMENT).agg(F.max(value).alias("__max"))
-    earlier = Window.unboundedPreceding, -1
-    along = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(*earlier)
+    along = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(*EARLIER)
     carry = summary.select(*keys, SEGMENT, F.max("__max").over(along).alias("__carry"))
-    inside = Window.partitionBy(*keys, SEGMENT).orderBy(order).rowsBetween(*earlier)
+    inside = Window.partitionBy(*keys, SEGMENT).orderBy(order).rowsBetween(*EARLIER)
     # greatest() skips NULLs, so it also covers the first row and first segment.
     best = F.greatest(F.max(value).over(inside), F.col("__carry"))
-    joined = placed.join(carry, [*keys, SEGMENT])
+    joined = placed.join(carry, [*keys, SEGMENT], "left")
     return joined.withColumn(name, best).select(*df.columns, name)
 
 
@@ -79,12 +91,42 @@ def key_maximum(
 ) -> DataFrame:
     """Each row with its key's greatest ``order``, joined back per segment so
     that no join key is hot."""
-    placed = df.withColumn(SEGMENT, F.floor(F.col(order) / F.lit(width)).cast("long"))
+    placed = in_segments(df, order, width)
     summary = placed.groupBy(*keys, SEGMENT).agg(F.max(order).alias("__hi"))
     top = summary.select(
         *keys, SEGMENT, F.max("__hi").over(Window.partitionBy(*keys)).alias(name)
     )
-    return placed.join(top, [*keys, SEGMENT]).select(*df.columns, name)
+    return placed.join(top, [*keys, SEGMENT], "left").select(*df.columns, name)
+
+
+def run_starts(
+    df: DataFrame, keys: Sequence[str], order: str, low: str, high: str, gap: int, width: int, name: str
+) -> DataFrame:
+    """The ``order`` at which each row's run began.
+
+    Rows are disjoint spans ``low..high``, sorted by ``order``; a span that
+    begins more than ``gap`` after the end of the one before opens a run.
+    """
+    placed = in_segments(df, order, width)
+    inside = Window.partitionBy(*keys, SEGMENT).orderBy(order)
+    # Unknown (NULL) for the first row of a segment, which the summary decides.
+    opens = F.col(low) - F.lag(high).over(inside) > gap
+    local = placed.withColumn("__local", F.when(opens, F.col(order)))
+    summary = local.groupBy(*keys, SEGMENT).agg(
+        F.min(low).alias("__low"),
+        F.max(high).alias("__high"),
+        F.min(order).alias("__head"),
+        F.max("__local").alias("__tail"),
+    )
+    along = Window.partitionBy(*keys).orderBy(SEGMENT)
+    before = F.lag("__high").over(along)
+    fresh = F.when(before.isNull() | (F.col("__low") - before > gap), F.col("__head"))
+    heads = summary.withColumn("__fresh", fresh)
+    last = F.max(F.coalesce("__tail", "__fresh")).over(along.rowsBetween(*EARLIER))
+    heads = heads.select(*keys, SEGMENT, F.coalesce("__fresh", last).alias("__start"))
+    so_far = F.max("__local").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    joined = local.join(heads, [*keys, SEGMENT], "left")
+    return joined.withColumn(name, F.coalesce(so_far, F.col("__start"))).select(*df.columns, name)
 
 
 def global_prefix_sum(
@@ -99,12 +141,11 @@ def global_prefix_sum(
     target = [partitions] if partitions else []
     placed = df.repartitionByRange(*target, *order).withColumn("__part", F.spark_partition_id())
     placed = materialize(placed, "ordered")
-    earlier = Window.unboundedPreceding, -1
     # One row per range partition: bounded by the partition count, not the data.
     subtotals = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    along = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(*earlier)
+    along = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(*EARLIER)
     offsets = subtotals.select("__part", F.sum("__sum").over(along).alias("__offset"))
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(*earlier)
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(*EARLIER)
     zero = F.lit(0)
     total = F.coalesce(F.sum(value).over(inside), zero) + F.coalesce(F.col("__offset"), zero)
     # A broadcast of one row per partition stays far below any threshold.
@@ -134,45 +175,63 @@ def distribution(
     centres and re-centred on the mean, which avoids cancellation.
     """
     keys = list(keys)
-    hist = value_histogram(df, keys, value, "__n")
     v = F.col(value).cast("double")
     scale = F.signum(v) * F.log1p(F.abs(v)) * F.lit(1024.0)
-    hist = hist.withColumn("__v", v).withColumn("__b", F.floor(scale).cast("long"))
-    hist = hist.withColumn("__b2", F.floor((scale - F.floor(scale)) * 4096).cast("long"))
+    hist = value_histogram(df, keys, value, "__n").select(
+        *keys,
+        "__n",
+        v.alias("__v"),
+        F.floor(scale).cast("long").alias("__b"),
+        F.floor((scale - F.floor(scale)) * 4096).cast("int").alias("__b2"),
+    )
 
     whole = Window.partitionBy(*keys)
-    along = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    along = whole.orderBy("__b").rowsBetween(*EARLIER)
     step = F.abs(F.col("__b") + F.lit(0.5)) / F.lit(1024.0)
     centre = F.signum(F.col("__b") + F.lit(0.5)) * F.rint(F.expm1(step))
-    off = F.col("__v") - F.col("__c")
+    off = F.col("__v") - centre
+    mean = F.sum(F.col("__n") * F.col("__c") + F.col("__s1")).over(whole) / F.col("__total")
     buckets = (
-        hist.withColumn("__c", centre)
-        .groupBy(*keys, "__b", "__c")
+        hist.groupBy(*keys, "__b")
         .agg(
             F.sum("__n").alias("__n"),
             F.sum(F.col("__n") * off).alias("__s1"),
             F.sum(F.col("__n") * off * off).alias("__s2"),
         )
+        .withColumn("__c", centre)
         .withColumn("__total", F.sum("__n").over(whole))
-        .withColumn("__mean", F.sum(F.col("__n") * F.col("__c") + F.col("__s1")).over(whole) / F.col("__total"))
+        .withColumn("__mean", mean)
         .withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))
     )
     shift = F.col("__c") - F.col("__mean")
     squares = F.col("__s2") + 2 * shift * F.col("__s1") + F.col("__n") * shift * shift
-    moments = buckets.groupBy(*keys).agg(
-        F.max("__total").alias("n"),
-        F.max("__mean").alias("mean"),
-        F.sqrt(F.greatest(F.sum(squares) / F.max("__total"), F.lit(0.0))).alias("deviation"),
+    middle = F.when(_holds_middle(F.col("__before"), F.col("__n"), F.col("__total")), F.col("__b"))
+    known = buckets.groupBy(*keys).agg(
+        F.max("__total").alias("__total"),
+        F.max("__mean").alias("__mean"),
+        F.sqrt(F.greatest(F.sum(squares) / F.max("__total"), F.lit(0.0))).alias("__deviation"),
+        F.min(middle).alias("__low"),
+        F.max(middle).alias("__high"),
+        F.min(F.when(middle.isNotNull(), F.col("__before"))).alias("__before_low"),
+        F.max(F.when(middle.isNotNull(), F.col("__before"))).alias("__before_high"),
     )
-
-    middle = _holds_middle(F.col("__before"), F.col("__n"), F.col("__total"))
-    found = buckets.where(middle).select(*keys, "__b", "__before", "__total")
-    inner = hist.join(found, [*keys, "__b"])
+    # Two middle ranks lie in one bucket or in two neighbouring ones.
+    ends = F.array(
+        F.struct(F.col("__low").alias("__b"), F.col("__before_low").alias("__before")),
+        F.struct(F.col("__high").alias("__b"), F.col("__before_high").alias("__before")),
+    )
+    ends = F.when(F.col("__low") == F.col("__high"), F.slice(ends, 1, 1)).otherwise(ends)
+    found = known.select(*keys, "__total", "__mean", "__deviation", F.inline(ends))
+    inner = join_whole(hist, found, [*keys, "__b"])
     if not exact_integers:
         inner = _narrow(inner, [*keys, "__b"], "__b2")
     inner = _narrow(inner, [*keys, "__b"] + ([] if exact_integers else ["__b2"]), "__v", last=True)
-    medians = inner.groupBy(*keys).agg(((F.min("__v") + F.max("__v")) / 2).alias("median"))
-    return moments.join(medians, keys)
+    return inner.groupBy(*keys).agg(
+        F.max("__total").alias("n"),
+        F.max("__mean").alias("mean"),
+        F.max("__deviation").alias("deviation"),
+        ((F.min("__v") + F.max("__v")) / 2).alias("median"),
+    )
 
 
 def _holds_middle(before: Column, n: Column, total: Column) -> Column:
@@ -183,17 +242,18 @@ def _holds_middle(before: Column, n: Column, total: Column) -> Column:
 
 def _narrow(rows: DataFrame, keys: list[str], part: str, last: bool = False) -> DataFrame:
     """Keep the rows of the ``part`` values that hold a middle rank."""
-    along = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy(part).rowsBetween(*EARLIER)
     if last:
-        counted = rows.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(along), F.lit(0)))
+        ahead = F.coalesce(F.sum("__n").over(along), F.lit(0))
+        counted = rows.withColumn("__before", F.col("__before") + ahead)
         return counted.where(_holds_middle(F.col("__before"), F.col("__n"), F.col("__total")))
     parts = rows.groupBy(*keys, part).agg(
         F.sum("__n").alias("__pn"), F.max("__before").alias("__pb"), F.max("__total").alias("__pt")
     )
-    parts = parts.withColumn("__pb", F.col("__pb") + F.coalesce(F.sum("__pn").over(along), F.lit(0)))
+    ahead = F.coalesce(F.sum("__pn").over(along), F.lit(0))
+    parts = parts.withColumn("__pb", F.col("__pb") + ahead)
     found = parts.where(_holds_middle(F.col("__pb"), F.col("__pn"), F.col("__pt")))
-    found = found.select(*keys, part, "__pb")
-    joined = rows.join(found, [*keys, part])
+    joined = join_whole(rows, found.select(*keys, part, "__pb"), [*keys, part])
     return joined.withColumn("__before", F.col("__pb")).drop("__pb")
 
 

@@ -162,8 +162,10 @@ def plot_table(
 def log_report(
     lines: DataFrame, year: int, fmt: str = "raw", regex: str = logs.PRODUCER_REGEX
 ) -> dict[str, DataFrame]:
-    """All results of a log aggregation, as lazy tables by name."""
-    parsed = logs.parse_log(lines, year, fmt, regex)
+    """All results of a log aggregation, by name.
+
+    Each result reads the parsed lines, so these are stored once."""
+    parsed = materialize(logs.parse_log(lines, year, fmt, regex), "parsed")
     stats = logs.outcome_stats(parsed)
     return {
         "stats": stats,

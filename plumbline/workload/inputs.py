@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.operators import tree
+from plumbline.plans.session import materialize
 from plumbline.schema import COUNTERS, METRICS
 
 HOUR = 3600
@@ -148,7 +149,7 @@ samples AS (
 
 
 def stored_series(spark: SparkSession, folder: str) -> DataFrame:
-    """A store: root ``events``, one file node per type, one item per user."""
+    """A stored table: root ``events``, one file node per type, one item per user."""
     events = table(spark, folder, "events").select(
         F.concat_ws("/", F.lit("events"), "event_type", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias(
             "leaf_path"
@@ -174,7 +175,7 @@ def stored_series(spark: SparkSession, folder: str) -> DataFrame:
     for i, metric in enumerate(METRICS):
         counters[f"{metric}_median"] = F.when(inner, F.col("hi") + (i + 1))
         counters[f"{metric}_deviation"] = F.when(inner, F.col("lo") + (i + 1))
-    return grouped.select(
+    rows = grouped.select(
         F.col("node_path").alias("series_id"),
         F.regexp_replace("node_path", "/?[^/]*$", "").alias("parent_path"),
         "depth",
@@ -182,6 +183,7 @@ def stored_series(spark: SparkSession, folder: str) -> DataFrame:
         "ts",
         *[counters[c].alias(c) for c in COUNTERS],
     )
+    return materialize(rows, "series")
 
 
 def _stored_sql() -> str:

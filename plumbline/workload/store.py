@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import fetch, series, tree
 from plumbline.plans import chains
-from plumbline.plans.session import new_folder
+from plumbline.plans.session import materialize, new_folder
 from plumbline.schema import COUNTERS, SERIES
 from plumbline.sources import sinks
 from plumbline.workload.inputs import (
@@ -46,7 +46,7 @@ def q_parse_series_spec(spark, d):
 def _store(spark, d) -> DataFrame:
     """Two earlier snapshots: customers in credit, then the household segment too."""
     leaves = tree.with_leaf_path(customer_leaves(spark, d)).where("c_acctbal >= 0")
-    nodes = tree.to_counter_row(leaves, tree.rollup_stats(leaves))
+    nodes = materialize(tree.to_counter_row(leaves, tree.rollup_stats(leaves)), "nodes")
     first = nodes.withColumn("ts", F.lit(FIRST_TS).cast("long"))
     second = nodes.where("node_type <> 'item'").withColumn("ts", F.lit(FIRST_TS + 1).cast("long"))
     return first.unionByName(second).withColumnRenamed("node_path", "series_id").select(*SERIES.names)

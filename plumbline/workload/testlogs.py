@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import logs
 from plumbline.plans import chains
-from plumbline.plans.session import new_folder
+from plumbline.plans.session import materialize, new_folder
 from plumbline.sources.files import read_logs
 from plumbline.streaming.logs import read_log_stream, start_outcome_stats, stream_sessions
 from plumbline.workload.inputs import LOG_SQL, log_input, plain
@@ -54,7 +54,7 @@ def q_outcome_totals(spark, d):
 
 
 def q_failure_log(spark, d):
-    return plain(logs.failure_log(_parsed(spark, d), lines_per_segment=500))
+    return plain(logs.failure_log(materialize(_parsed(spark, d), "parsed"), lines_per_segment=500))
 
 
 def q_verdict(spark, d):
