@@ -161,18 +161,45 @@ def value_histogram(df: DataFrame, keys: Sequence[str], value: str, count: str)
     return kept.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(count))
 
 
-def distribution(
-    df: DataFrame, keys: Sequence[str], value: str, exact_integers: bool = True
+def integer_distribution(
+    df: DataFrame, keys: Sequence[str], value: str, placed_by: Sequence[str] | None = None
 ) -> DataFrame:
-    """Exact count, mean, median and population deviation of ``value`` per key.
-
-    The median is found by narrowing instead of collecting a key's values:
-    values fall into buckets by a monotone logarithmic scale, the bucket that
-    holds the middle ranks is located from the bucket counts, and only its
-    distinct values are ordered. ``exact_integers`` says that values are
-    integral, where one level of buckets is fine enough; otherwise a second
-    level splits every bucket again. The deviation is summed around bucket
-    centres and re-centred on the mean, which avoids cancellation.
+    """Exact count, mean, median and population deviation of integers per key.
+
+    Rows are reduced to one per distinct value before and in the first shuffle,
+    so a key's window holds at most as many rows as the value has distinct
+    integers, however many rows the key has. ``placed_by`` (a part of ``keys``)
+    chooses the partitioning, so that a later grouping by it needs no shuffle.
+    """
+    keys = list(keys)
+    hist = value_histogram(df, keys, value, "__n").repartition(*(placed_by or keys))
+    whole = Window.partitionBy(*keys)
+    n, v = F.col("__n"), F.col(value)
+    total, mean = F.col("__total"), F.col("__mean")
+    ranked = (
+        hist.withColumn("__before", F.coalesce(F.sum(n).over(whole.orderBy(value).rowsBetween(*EARLIER)), F.lit(0)))
+        .withColumn("__total", F.sum(n).over(whole))
+        .withColumn("__mean", F.sum(n * v).over(whole) / total)
+    )
+    middle = F.when(_holds_middle(F.col("__before"), n, total), v)
+    return ranked.groupBy(*keys).agg(
+        F.max(total).alias("n"),
+        F.max(mean).alias("mean"),
+        F.sqrt(F.sum(n * (v - mean) * (v - mean)) / F.max(total)).alias("deviation"),
+        ((F.min(middle) + F.max(middle)) / 2).alias("median"),
+    )
+
+
+def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Exact count, mean, median and population deviation of doubles per key.
+
+    The median is found by narrowing instead of ordering a key's values: values
+    fall into buckets by a monotone logarithmic scale, the buckets that hold the
+    middle ranks are located from the bucket counts, split once more the same
+    way, and only the distinct values of one fine bucket are ordered. The
+    deviation is summed around bucket centres and re-centred on the mean, which
+    avoids cancellation. The distinct values are stored once, as the narrowing
+    reads them again.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
@@ -184,6 +211,7 @@ def distribution(
         F.floor(scale).cast("long").alias("__b"),
         F.floor((scale - F.floor(scale)) * 4096).cast("int").alias("__b2"),
     )
+    hist = materialize(hist, "values")
 
     whole = Window.partitionBy(*keys)
     along = whole.orderBy("__b").rowsBetween(*EARLIER)
@@ -223,10 +251,12 @@ def distribution(
     ends = F.when(F.col("__low") == F.col("__high"), F.slice(ends, 1, 1)).otherwise(ends)
     found = known.select(*keys, "__total", "__mean", "__deviation", F.inline(ends))
     inner = join_whole(hist, found, [*keys, "__b"])
-    if not exact_integers:
-        inner = _narrow(inner, [*keys, "__b"], "__b2")
-    inner = _narrow(inner, [*keys, "__b"] + ([] if exact_integers else ["__b2"]), "__v", last=True)
-    return inner.groupBy(*keys).agg(
+    fine = _narrow(inner, [*keys, "__b"], "__b2")
+    along = Window.partitionBy(*keys, "__b", "__b2").orderBy("__v").rowsBetween(*EARLIER)
+    ahead = F.col("__before") + F.coalesce(F.sum("__n").over(along), F.lit(0))
+    last = fine.withColumn("__ahead", ahead)
+    last = last.where(_holds_middle(F.col("__ahead"), F.col("__n"), F.col("__total")))
+    return last.groupBy(*keys).agg(
         F.max("__total").alias("n"),
         F.max("__mean").alias("mean"),
         F.max("__deviation").alias("deviation"),
@@ -240,13 +270,9 @@ def _holds_middle(before: Column, n: Column, total: Column) -> Column:
     return (before < high) & (before + n >= low)
 
 
-def _narrow(rows: DataFrame, keys: list[str], part: str, last: bool = False) -> DataFrame:
+def _narrow(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
     """Keep the rows of the ``part`` values that hold a middle rank."""
     along = Window.partitionBy(*keys).orderBy(part).rowsBetween(*EARLIER)
-    if last:
-        ahead = F.coalesce(F.sum("__n").over(along), F.lit(0))
-        counted = rows.withColumn("__before", F.col("__before") + ahead)
-        return counted.where(_holds_middle(F.col("__before"), F.col("__n"), F.col("__total")))
     parts = rows.groupBy(*keys, part).agg(
         F.sum("__n").alias("__pn"), F.max("__before").alias("__pb"), F.max("__total").alias("__pt")
     )

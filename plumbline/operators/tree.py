@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.naming import canonize_name, canonize_path, path_parts
-from plumbline.operators.skew import distribution, salted_left_join
+from plumbline.operators.skew import distribution, integer_distribution, salted_left_join
 from plumbline.schema import COUNTERS, METRICS, NODE_TYPES, NODES
 
 
@@ -22,20 +22,20 @@ def explode_ancestors(df: DataFrame, path_col: str = "leaf_path") -> DataFrame:
     The last component of ``path_col`` is the leaf itself, the one before it is
     the file. A path of one part has no ancestors.
     """
-    parts = path_parts(path_col)
-    levels = F.size(parts) - 1
-    nodes = F.transform(
-        F.sequence(F.lit(1), levels),
-        lambda i: F.struct(
-            F.array_join(F.slice(parts, F.lit(1), i), "/").alias("node_path"),
-            i.alias("depth"),
-            F.when(i == levels, "file").otherwise("package").alias("node_type"),
-        ),
-    )
-    # A descending sequence would appear for one-part paths, hence the guard.
-    nodes = F.when(levels >= 1, nodes).otherwise(F.array().cast(
-        "array<struct<node_path:string,depth:int,node_type:string>>"))
-    return df.select("*", F.inline(nodes))
+
+    def nodes_of(parts: Column) -> Column:
+        return F.transform(
+            F.slice(parts, F.lit(1), F.size(parts) - 1),
+            lambda _, i: F.struct(
+                F.array_join(F.slice(parts, F.lit(1), i + 1), "/").alias("node_path"),
+                (i + 1).alias("depth"),
+                F.when(i + 2 == F.size(parts), "file").otherwise("package").alias("node_type"),
+            ),
+        )
+
+    # The one-element array binds the parts, which are then split only once.
+    bound = F.transform(F.array(path_parts(path_col)), nodes_of)
+    return df.select("*", F.inline(F.get(bound, F.lit(0))))
 
 
 def rollup_stats(
@@ -49,13 +49,17 @@ def rollup_stats(
 
     The root holds every leaf, so nothing is collected per node: the leaves are
     reduced to counts per (node, metric, value) before the shuffle and the
-    exact statistics come from those counts.
+    exact statistics come from those counts. Code metrics are integers; for
+    measures that are not, say ``exact_integers=False``.
     """
     keys, metrics = list(keys), list(metrics)
     node = [*keys, "node_path", "depth", "node_type"]
     rows = explode_ancestors(leaves.select(*keys, path_col, *metrics), path_col)
     long = rows.unpivot(node, metrics, "metric", "value")
-    stats = distribution(long, [*node, "metric"], "value", exact_integers)
+    if exact_integers:
+        stats = integer_distribution(long, [*node, "metric"], "value", placed_by=node)
+    else:
+        stats = distribution(long, [*node, "metric"], "value")
 
     def pick(metric: str, stat: str):
         return F.max(F.when(F.col("metric") == metric, F.col(stat)))

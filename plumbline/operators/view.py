@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.naming import path_parts
 from plumbline.operators.skew import global_prefix_sum
@@ -47,10 +47,19 @@ def flame_frames(
     end, so one distributed prefix sum over the sorted frames gives all x
     offsets; no window over siblings and no join to ancestors is needed.
     """
-    parts = F.split("stack", ";")
-    frames = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.slice(parts, F.lit(1), i))
-    rows = folded.select("value", F.size(parts).alias("__size"), F.explode(frames).alias("frame"))
-    own = F.when(F.size("frame") == F.col("__size"), F.col("value")).otherwise(F.lit(0))
+
+    def prefixes(parts: Column) -> Column:
+        return F.transform(
+            parts,
+            lambda _, i: F.struct(
+                F.slice(parts, F.lit(1), i + 1).alias("frame"), (i + 1 == F.size(parts)).alias("whole")
+            ),
+        )
+
+    # The one-element array binds the parts, which are then split only once.
+    bound = F.transform(F.array(F.split("stack", ";")), prefixes)
+    rows = folded.select("value", F.inline(F.get(bound, F.lit(0))))
+    own = F.when(F.col("whole"), F.col("value")).otherwise(F.lit(0))
     totals = rows.groupBy("frame").agg(F.sum("value").alias("total"), F.sum(own).alias("self"))
     placed = global_prefix_sum(totals, ["frame"], "self", "start", partitions)
     grand = folded.agg(F.sum("value")).scalar()
