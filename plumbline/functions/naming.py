@@ -63,3 +63,13 @@ def base_of(c: Column | str) -> Column:
 def depth_of(c: Column | str) -> Column:
     """Number of components; a root has depth 1."""
     return F.size(F.split(_col(c), "/"))
+
+
+def separators(c: Column, separator: str) -> Column:
+    """How often a one-character separator occurs."""
+    return F.length(c) - F.length(F.replace(c, F.lit(separator), F.lit("")))
+
+
+def prefix(c: Column, separator: str, parts: Column) -> Column:
+    """The first ``parts`` components."""
+    return F.call_function("substring_index", c, F.lit(separator), parts)

@@ -145,6 +145,7 @@ def normalize_gauge(
     minimum: float | None = None,
     maximum: float | None = None,
     rows: int = 10_000,
+    steps: int = 1,
     width: int | None = None,
 ) -> DataFrame:
     """Gauge samples on a regular grid of ``step`` seconds.
@@ -152,8 +153,8 @@ def normalize_gauge(
     The value read at ``ts`` holds for every grid point after the previous
     sample up to ``ts``. An interval longer than the heartbeat, or a value out
     of the limits, is unknown (NULL). Timestamps off the grid are floored.
-    Points that retention (``rows``) would drop are never produced, which
-    bounds the fan-out of one sample.
+    Points that retention (``rows`` slots of ``steps`` points) would drop are
+    never produced, which bounds the fan-out of one sample.
     """
     keys, values = list(keys), list(values)
     grid = samples.select(*keys, _floor(F.col(ts), step).alias(ts), *values)
@@ -161,7 +162,9 @@ def normalize_gauge(
     width = width or SEGMENT_WIDTH * step
     prev = previous_row(grid, keys, ts, [ts], width, prefix="__prev_", last_order="__max")
     prev = prev.withColumn("__prev", F.coalesce(f"__prev_{ts}", F.lit(_floor_int(start, step))))
-    low = F.greatest(F.col("__prev"), F.col("__max") - F.lit(rows * step))
+    span = steps * step
+    newest = (F.ceil(F.col("__max") / F.lit(span)) * F.lit(span)).cast("long")
+    low = F.greatest(F.col("__prev"), newest - F.lit(rows * span))
     prev = prev.withColumn("__low", low).where(F.col("__low") < F.col(ts))
     slots = F.sequence(F.col("__low") + step, F.col(ts), F.lit(step).cast("long"))
     lost = (F.col(ts) - F.col("__prev")) > F.lit(heartbeat)

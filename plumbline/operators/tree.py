@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.naming import canonize_name, canonize_path, path_parts
+from plumbline.functions.naming import canonize_name, canonize_path, path_parts, prefix, separators
 from plumbline.operators.skew import distribution, integer_distribution, salted_left_join
 from plumbline.schema import COUNTERS, METRICS, NODE_TYPES, NODES
 
@@ -22,20 +22,18 @@ def explode_ancestors(df: DataFrame, path_col: str = "leaf_path") -> DataFrame:
     The last component of ``path_col`` is the leaf itself, the one before it is
     the file. A path of one part has no ancestors.
     """
-
-    def nodes_of(parts: Column) -> Column:
-        return F.transform(
-            F.slice(parts, F.lit(1), F.size(parts) - 1),
-            lambda _, i: F.struct(
-                F.array_join(F.slice(parts, F.lit(1), i + 1), "/").alias("node_path"),
-                (i + 1).alias("depth"),
-                F.when(i + 2 == F.size(parts), "file").otherwise("package").alias("node_type"),
-            ),
-        )
-
-    # The one-element array binds the parts, which are then split only once.
-    bound = F.transform(F.array(path_parts(path_col)), nodes_of)
-    return df.select("*", F.inline(F.get(bound, F.lit(0))))
+    path = F.col(path_col)
+    untidy = path.startswith("/") | path.endswith("/") | path.contains("//")
+    tidy = F.when(untidy, F.array_join(path_parts(path_col), "/")).otherwise(path)
+    placed = df.withColumn("__path", tidy).withColumn("__levels", separators(F.col("__path"), "/"))
+    # Only the depths are exploded; the prefix is cut by generated code.
+    levels = F.when(F.col("__levels") > 0, F.sequence(F.lit(1), F.col("__levels")))
+    return placed.select("*", F.explode(levels).alias("depth")).select(
+        *[F.col(c) for c in df.columns],
+        prefix(F.col("__path"), "/", F.col("depth")).alias("node_path"),
+        "depth",
+        F.when(F.col("depth") == F.col("__levels"), "file").otherwise("package").alias("node_type"),
+    )
 
 
 def rollup_stats(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.naming import path_parts
+from plumbline.functions.naming import path_parts, prefix, separators
 from plumbline.operators.skew import global_prefix_sum
 from plumbline.schema import METRICS
 
@@ -47,31 +47,28 @@ def flame_frames(
     end, so one distributed prefix sum over the sorted frames gives all x
     offsets; no window over siblings and no join to ancestors is needed.
     """
-
-    def prefixes(parts: Column) -> Column:
-        return F.transform(
-            parts,
-            lambda _, i: F.struct(
-                F.slice(parts, F.lit(1), i + 1).alias("frame"), (i + 1 == F.size(parts)).alias("whole")
-            ),
-        )
-
-    # The one-element array binds the parts, which are then split only once.
-    bound = F.transform(F.array(F.split("stack", ";")), prefixes)
-    rows = folded.select("value", F.inline(F.get(bound, F.lit(0))))
-    own = F.when(F.col("whole"), F.col("value")).otherwise(F.lit(0))
-    totals = rows.groupBy("frame").agg(F.sum("value").alias("total"), F.sum(own).alias("self"))
-    placed = global_prefix_sum(totals, ["frame"], "self", "start", partitions)
+    depths = F.explode(F.sequence(F.lit(1), F.col("__size"))).alias("depth")
+    sized = folded.withColumn("__size", separators(F.col("stack"), ";") + 1)
+    rows = sized.select("stack", "value", "__size", depths).select(
+        prefix(F.col("stack"), ";", F.col("depth")).alias("frame"),
+        "depth",
+        "value",
+        F.when(F.col("depth") == F.col("__size"), F.col("value")).otherwise(F.lit(0)).alias("own"),
+    )
+    totals = rows.groupBy("frame", "depth").agg(F.sum("value").alias("total"), F.sum("own").alias("self"))
+    # Frames sort by their components, so that no frame comes between a parent
+    # and its children.
+    totals = totals.withColumn("parts", F.split("frame", ";"))
+    placed = global_prefix_sum(totals, ["parts"], "self", "start", partitions)
     grand = folded.agg(F.sum("value")).scalar()
     scale = F.lit(float(width)) / grand
-    depth = F.size("frame")
     return placed.select(
-        F.array_join("frame", ";").alias("frame"),
-        F.element_at("frame", -1).alias("name"),
-        depth.alias("depth"),
+        "frame",
+        F.element_at("parts", -1).alias("name"),
+        "depth",
         "total",
         "self",
         (F.col("start") * scale).alias("x"),
         (F.col("total") * scale).alias("width"),
-        ((depth - 1) * F.lit(float(height))).alias("y"),
+        ((F.col("depth") - 1) * F.lit(float(height))).alias("y"),
     ).where(F.col("width") >= F.lit(float(min_width)))

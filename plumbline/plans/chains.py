@@ -106,17 +106,20 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def maintained(series: DataFrame, values: Sequence[str], spec: SeriesSpec = SeriesSpec()) -> DataFrame:
-    """Series on the regular grid, consolidated and cut to their retention."""
+    """Series on the regular grid, consolidated and cut to their retention.
+
+    The grid starts at the oldest retained slot, so nothing is left to cut.
+    """
     grid = store.normalize_gauge(
         series,
         values,
         start=spec.start,
         step=spec.step,
         heartbeat=spec.heartbeat,
-        rows=spec.rows * spec.steps,
+        rows=spec.rows,
+        steps=spec.steps,
     )
-    merged = store.consolidate(grid, values, spec.cf, spec.xff, spec.steps, spec.step)
-    return store.retain_last(merged, spec.rows, spec.steps, spec.step)
+    return store.consolidate(grid, values, spec.cf, spec.xff, spec.steps, spec.step)
 
 
 def selected(

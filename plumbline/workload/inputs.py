@@ -35,6 +35,12 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, as a corpus of many files would be; the small test
+    tables come as one partition each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 # --- leaves: customers as functions, nations as files, regions as packages ----
 
 def customer_leaves(spark: SparkSession, folder: str, root: str = "world") -> DataFrame:
@@ -105,7 +111,8 @@ def part_sources(spark: SparkSession, folder: str) -> DataFrame:
         F.when(cases > 0, switch).otherwise(F.lit("")),
         F.lit('    // while (if) {\n    const char *s = "if (x) {";\n    return a;\n}\n'),
     )
-    return table(spark, folder, "part").select(part_path().alias("path"), content.alias("content"))
+    rows = table(spark, folder, "part").select(part_path().alias("path"), content.alias("content"))
+    return spread(rows, "path")
 
 
 def part_path() -> Column:
@@ -214,7 +221,7 @@ STORED_SQL = _stored_sql()
 # --- log lines: one per event ----------------------------------------------------
 
 def log_input(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of ten testers; the event id decides on broken ones."""
+    """Stored lines of ten testers; the event id decides on broken ones."""
     e = table(spark, folder, "events")
     kind = F.col("event_id") % 50
     n = (F.col("event_id") % 7 + 1).cast("string")
@@ -233,12 +240,13 @@ def log_input(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("unit_tester_"), (F.col("user_id") % 10).cast("string"))
     )
     line = F.concat(prefix, stamp, F.lit(" host1 "), tester, F.lit("[42]: "), message)
-    return e.select(
+    rows = e.select(
         F.when(kind == 2, F.lit("   ")).otherwise(line).alias("value"),
         F.lit("events").alias("file"),
         F.lit(0).cast("long").alias("block"),
         F.col("event_id").alias("line_no"),
     )
+    return materialize(spread(rows, "line_no"), "lines")
 
 
 LOG_SQL = """
