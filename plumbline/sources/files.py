@@ -19,10 +19,7 @@ def read_sources(spark: SparkSession, root: str, path_glob: str | None = None) -
 
     ``path_glob`` (``*.cpp``, say) prunes files by name before they are opened.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("wholetext", True)
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
-    files = reader.text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=path_glob)
     return files.select(relative_path(root).alias("path"), F.col("value").alias("content")).to(SOURCES)
 
 
