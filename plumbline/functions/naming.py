@@ -42,7 +42,22 @@ def decanonize_name(c: Column | str) -> Column:
 
 def canonize_path(c: Column | str) -> Column:
     """Safe name of every component of a slash-separated path."""
-    return F.array_join(F.transform(path_parts(c), canonize_name), "/")
+    path = _col(c)
+    # Most paths need no change and skip the work per component.
+    changes = untidy(path) | path.rlike(r"[?<>\\|*:]")
+    slow = F.array_join(F.transform(path_parts(path), canonize_name), "/")
+    return F.when(changes, slow).otherwise(path)
+
+
+def untidy(path: Column) -> Column:
+    """Whether a path has leading, trailing or doubled slashes."""
+    return path.startswith("/") | path.endswith("/") | path.contains("//")
+
+
+def tidy_path(c: Column | str) -> Column:
+    """The path without leading, trailing and doubled slashes."""
+    path = _col(c)
+    return F.when(untidy(path), F.array_join(path_parts(path), "/")).otherwise(path)
 
 
 def path_parts(c: Column | str) -> Column:

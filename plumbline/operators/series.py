@@ -15,6 +15,9 @@ SEGMENT_WIDTH = 100_000
 # Seconds per duration suffix of a series definition.
 SUFFIX_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "M": 2678400, "y": 31622400}
 
+# The default store: one gauge per counter and one archive of snapshots.
+DEFAULT_DEFINITIONS = [f"DS:{counter}:GAUGE:1y:U:U" for counter in COUNTERS] + ["RRA:LAST:0.1:1:10000"]
+
 
 def duration_seconds(text: Column, year_days: int = 366) -> Column:
     """Seconds of ``90``, ``5m``, ``1y``; NULL when the text is no duration."""

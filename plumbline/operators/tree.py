@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.naming import canonize_name, canonize_path, path_parts, prefix, separators
+from plumbline.functions.naming import canonize_name, canonize_path, prefix, separators, tidy_path
 from plumbline.operators.skew import distribution, integer_distribution, salted_left_join
 from plumbline.schema import COUNTERS, METRICS, NODE_TYPES, NODES
 
@@ -22,10 +22,8 @@ def explode_ancestors(df: DataFrame, path_col: str = "leaf_path") -> DataFrame:
     The last component of ``path_col`` is the leaf itself, the one before it is
     the file. A path of one part has no ancestors.
     """
-    path = F.col(path_col)
-    untidy = path.startswith("/") | path.endswith("/") | path.contains("//")
-    tidy = F.when(untidy, F.array_join(path_parts(path_col), "/")).otherwise(path)
-    placed = df.withColumn("__path", tidy).withColumn("__levels", separators(F.col("__path"), "/"))
+    placed = df.withColumn("__path", tidy_path(path_col))
+    placed = placed.withColumn("__levels", separators(F.col("__path"), "/"))
     # Only the depths are exploded; the prefix is cut by generated code.
     levels = F.when(F.col("__levels") > 0, F.sequence(F.lit(1), F.col("__levels")))
     return placed.select("*", F.explode(levels).alias("depth")).select(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.naming import path_parts, prefix, separators
+from plumbline.functions.naming import prefix, separators, tidy_path
 from plumbline.operators.skew import global_prefix_sum
 from plumbline.schema import METRICS
 
@@ -30,7 +30,7 @@ def project_attrs(leaves: DataFrame, attrs: str | Sequence[str] = METRICS) -> Da
 def fold_stacks(leaves: DataFrame, attrs: str | Sequence[str] = METRICS) -> DataFrame:
     """Stacks ``package;...;file;item;attr`` with their summed values."""
     long = project_attrs(leaves, attrs)
-    stack = F.concat_ws(";", path_parts("path"), F.col("item"), F.col("attr"))
+    stack = F.concat_ws(";", F.replace(tidy_path("path"), F.lit("/"), F.lit(";")), F.col("item"), F.col("attr"))
     return long.groupBy(stack.alias("stack"), "attr").agg(F.sum("value").alias("value"))
 
 

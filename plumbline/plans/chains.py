@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,13 @@ class Ranges:
     sif: str = "1,"
     lif: str = "1,"
 
+    @classmethod
+    def from_args(cls, args: Mapping[str, str]) -> Ranges:
+        """Ranges from request arguments such as ``{"-mmcc": "10,3000"}``; other
+        arguments are for other queries and are passed over."""
+        given = {m: args[f"-{m}"] for m in METRICS if f"-{m}" in args}
+        return cls(**given)
+
     def apply(self, leaves: DataFrame) -> DataFrame:
         return filter_metric_ranges(leaves, self.mmcc, self.tmcc, self.sif, self.lif)
 
@@ -40,6 +47,14 @@ class SeriesSpec:
     rows: int = 10_000
 
 
+def series_parameters(
+    spark: SparkSession, definitions: Sequence[str] = store.DEFAULT_DEFINITIONS, spec: SeriesSpec = SeriesSpec()
+) -> DataFrame:
+    """The store's definitions as typed rows."""
+    texts = spark.createDataFrame([(d,) for d in definitions], "def string")
+    return store.parse_series_spec(texts, start=spec.start, step=spec.step)
+
+
 def watch_list(
     sources: DataFrame, regex: str = SOURCE_REGEX, exclude_globs: Sequence[str] = EXCLUDED_GLOBS
 ) -> DataFrame:

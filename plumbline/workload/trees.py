@@ -140,14 +140,16 @@ def q_flamegraph(spark, d):
 
 
 def q_flatten_report(spark, d):
-    """One report per nation: region > nation > customers, balance as metrics."""
+    """One report per nation and block of 100 customers: region > nation > customers."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     c = c.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     item = F.concat(
         F.lit('<entry item="ns::'), "c_name", F.lit(":"), F.col("c_custkey").cast("string"), F.lit('"><mmcc>'),
         (F.col("c_custkey") % 13).cast("string"), F.lit("</mmcc><tmcc>nan</tmcc><sif>1</sif><lif> 2 </lif></entry>"),
     )
-    nested = c.groupBy("r_name", "n_name", "n_nationkey").agg(
+    block_no = F.floor(F.col("c_custkey") / 100)
+    doc_id = (block_no * 100 + F.col("n_nationkey")).cast("long")
+    nested = c.groupBy("r_name", "n_name", doc_id.alias("doc_id")).agg(
         F.array_join(F.collect_list(item), "").alias("items"), F.count(F.lit(1)).cast("string").alias("n")
     )
     block = F.concat(
@@ -158,7 +160,7 @@ def q_flatten_report(spark, d):
         F.lit('<root><entry package="'), "r_name", F.lit('">'), block, F.lit('<entry file="'), "n_name",
         F.lit('">'), block, "items", F.lit("</entry></entry></root>"),
     )
-    flat = reports.flatten_report(nested.select(F.col("n_nationkey").alias("doc_id"), xml.alias("xml")))
+    flat = reports.flatten_report(nested.select("doc_id", xml.alias("xml")))
     return plain(flat)
 
 
@@ -261,19 +263,19 @@ watched_up AS (
 """
 
 REPORT_SQL = """
-WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-g AS (SELECT r_name, n_name, n_nationkey, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY ALL),
+WITH c AS (SELECT *, CAST(c_custkey // 100 * 100 + n_nationkey AS BIGINT) AS doc FROM customer
+           JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+g AS (SELECT r_name, n_name, doc, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY ALL),
 inner_nodes AS (
-  SELECT CAST(n_nationkey AS BIGINT) AS doc_id, r_name AS node_path, '' AS parent_path, 1 AS depth,
-         'package' AS node_type, n FROM g
-  UNION ALL SELECT CAST(n_nationkey AS BIGINT), r_name || '/' || n_name, r_name, 2, 'file', n FROM g)
+  SELECT doc AS doc_id, r_name AS node_path, '' AS parent_path, 1 AS depth, 'package' AS node_type, n FROM g
+  UNION ALL SELECT doc, r_name || '/' || n_name, r_name, 2, 'file', n FROM g)
 SELECT doc_id, node_path, parent_path, CAST(depth AS BIGINT) AS depth, node_type, n AS mmcc, 2.0::DOUBLE AS tmcc,
        3.0::DOUBLE AS sif, NULL::DOUBLE AS lif, 5.0::DOUBLE AS mmcc_median, 6.0::DOUBLE AS tmcc_median,
        7.0::DOUBLE AS sif_median, 8.0::DOUBLE AS lif_median, 0.0::DOUBLE AS mmcc_deviation,
        0.5::DOUBLE AS tmcc_deviation, 1.0::DOUBLE AS sif_deviation, 1.5::DOUBLE AS lif_deviation,
        NULL::VARCHAR AS error FROM inner_nodes
 UNION ALL
-SELECT n_nationkey, r_name || '/' || n_name || '/ns%colon%%colon%' || c_name || '+' || c_custkey,
+SELECT doc, r_name || '/' || n_name || '/ns%colon%%colon%' || c_name || '+' || c_custkey,
        r_name || '/' || n_name, 3, 'item', CAST(c_custkey % 13 AS DOUBLE), NULL, 1, 2,
        NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM c
 """

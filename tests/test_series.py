@@ -35,6 +35,12 @@ def test_parse_series_spec(spark):
     assert odd.heartbeat_s is None
 
 
+def test_parameters(spark):
+    params = chains.series_parameters(spark)
+    assert params.count() == 13 and params.where("heartbeat_s = 31622400").count() == 12
+    assert chains.Ranges.from_args({"-mmcc": "10,3000", "-path": "x"}) == chains.Ranges(mmcc="10,3000")
+
+
 def test_collect_over_three_snapshots(spark, tmp_path):
     """Empty store, then a new node, then ``init`` with another new node."""
     path = str(tmp_path / "store")
