@@ -21,7 +21,7 @@ from plumbline.workload.inputs import (
     stored_series,
     table,
 )
-from plumbline.workload.trees import COUNTER_SQL, q_to_counter_row
+from plumbline.workload.trees import COUNTER_SQL, SQL as TREE_SQL, q_to_counter_row
 
 KEYS = ["series_id"]
 DAY = 24 * HOUR
@@ -77,6 +77,11 @@ def q_collect_init(spark, d):
     return plain(series.collect_init(_store(spark, d), _nodes(spark, d), "world"))
 
 
+def q_collect_status(spark, d):
+    """The status document of a composed collection."""
+    return plain(chains.collect(_store(spark, d), _nodes(spark, d), "world")[1])
+
+
 def q_append_series(spark, d):
     """Two snapshots through the partitioned store, one of them written twice."""
     folder = new_folder(spark, "store")
@@ -250,6 +255,7 @@ QUERIES = {
     "next_timestamp_empty": q_next_timestamp_empty,
     "collect_update": q_collect_update,
     "collect_init": q_collect_init,
+    "collect_status": q_collect_status,
     "append_series": q_append_series,
     "reject_stale": q_reject_stale,
     "normalize_gauge": q_normalize_gauge,
@@ -287,12 +293,12 @@ grid AS (
 """
 
 
-def _wide_columns(condition: str = "TRUE") -> str:
+def _wide_columns() -> str:
     cells = []
     for t in TYPES:
         for c in ("mmcc", "tmcc_median"):
             name = f'events/{t}[""{c}""]'
-            cells.append(f"max({c}) FILTER (WHERE series_id = 'events/{t}' AND {condition}) AS \"{name}\"")
+            cells.append(f"round(max({c}) FILTER (WHERE series_id = 'events/{t}'), 6) AS \"{name}\"")
     return ", ".join(cells)
 
 
@@ -339,6 +345,7 @@ WITH {LEAVES_SQL}, known AS (
 SELECT node_path AS series_id, parent_path, depth, node_type, CAST({FIRST_TS + 2} AS BIGINT) AS ts, {COUNTER_LIST}
 FROM ({COUNTER_SQL}) WHERE node_path NOT IN (SELECT id FROM known)
 """,
+    "collect_status": TREE_SQL["component_counts"],
     "append_series": f"""
 WITH n AS ({COUNTER_SQL})
 SELECT node_type, CAST({FIRST_TS} AS BIGINT) AS ts, count(*) AS n, round(sum(mmcc), 6) AS mmcc FROM n GROUP BY node_type
@@ -392,7 +399,6 @@ WITH {STORED_SQL} SELECT series_id, CAST(ceil(ts / {DAY}.0) * {DAY} AS BIGINT) A
 FROM store WHERE ts > {SERIES_START} AND ts <= 1706000400 GROUP BY 1, 2
 """,
     "wide_view": f"WITH {STORED_SQL} SELECT ts AS \"TIME\", {_wide_columns()} FROM store WHERE depth = 2 GROUP BY ts",
-    # The directory of the types is read; its only direct series is the root.
     "view_table": f"""
 WITH {STORED_SQL} SELECT ts AS "TIME", {_wide_columns()} FROM store
 WHERE depth = 2 AND ts > {SERIES_START + DAY} AND ts <= (SELECT max(ts) FROM store WHERE series_id = 'events/click')

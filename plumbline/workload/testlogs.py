@@ -82,6 +82,11 @@ def q_log_report(spark, d):
     return chains.log_report(log_input(spark, d), YEAR, "pcap")["totals"]
 
 
+def q_log_report_verdict(spark, d):
+    """Verdict of the composed report."""
+    return plain(chains.log_report(log_input(spark, d), YEAR, "pcap")["verdict"])
+
+
 def _log_folder(spark, d) -> str:
     folder = new_folder(spark, "logs")
     log_input(spark, d).select("value").write.text(folder)
@@ -136,6 +141,7 @@ QUERIES = {
     "quarantine": q_quarantine,
     "activity_sessions": q_activity_sessions,
     "log_report": q_log_report,
+    "log_report_verdict": q_log_report_verdict,
     "read_logs": q_read_logs,
     "outcome_stats_stream": q_outcome_stats_stream,
     "activity_sessions_stream": q_activity_sessions_stream,
@@ -147,6 +153,13 @@ WITH {LOG_SQL} SELECT * FROM stats
 UNION ALL SELECT NULL, CAST(sum(total) AS BIGINT), CAST(sum(passed) AS BIGINT), CAST(sum(failed) AS BIGINT),
                  CAST(sum(skipped) AS BIGINT) FROM stats
 """
+VERDICT_SQL = f"""
+WITH {LOG_SQL}, a AS (
+  SELECT CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(total) AS BIGINT) AS total,
+         bool_or(failed <> 0 OR total <> failed + passed + skipped) AS bad FROM stats)
+SELECT passed, total, NOT bad AND (passed = 0 OR total = 0) AS nothing_ran,
+       CAST(CASE WHEN bad OR passed = 0 OR total = 0 THEN -1 ELSE 0 END AS BIGINT) AS code FROM a
+"""
 SESSIONS_SQL = f"""
 WITH {LOG_SQL},
 marked AS (SELECT producer, sec, CASE WHEN sec - lag(sec) OVER w <= INTERVAL {GAP_MS} MILLISECONDS THEN 0 ELSE 1 END AS opens
@@ -196,18 +209,13 @@ WHERE reason IS NULL GROUP BY ALL
     "verdict": f"""
 WITH {LOG_SQL} SELECT *, failed <> 0 AS is_failed, total <> failed + passed + skipped AS is_inconsistent FROM stats
 """,
-    "run_verdict": f"""
-WITH {LOG_SQL}, a AS (
-  SELECT CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(total) AS BIGINT) AS total,
-         bool_or(failed <> 0 OR total <> failed + passed + skipped) AS bad FROM stats)
-SELECT passed, total, NOT bad AND (passed = 0 OR total = 0) AS nothing_ran,
-       CAST(CASE WHEN bad OR passed = 0 OR total = 0 THEN -1 ELSE 0 END AS BIGINT) AS code FROM a
-""",
+    "run_verdict": VERDICT_SQL,
     "quarantine": f"""
 WITH {LOG_SQL} SELECT producer, count(*) AS n, coalesce(reason, 'valid') AS reason FROM parsed GROUP BY ALL
 """,
     "activity_sessions": SESSIONS_SQL,
     "log_report": TOTALS_SQL,
+    "log_report_verdict": VERDICT_SQL,
     "read_logs": STATS_SQL,
     "outcome_stats_stream": STATS_SQL,
     "activity_sessions_stream": SESSIONS_SQL,

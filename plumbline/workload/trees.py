@@ -10,7 +10,7 @@ from plumbline.plans import chains
 from plumbline.plans.session import new_folder
 from plumbline.schema import COUNTERS, METRICS
 from plumbline.sources import reports, sinks
-from plumbline.sources.files import select_sources
+from plumbline.sources.files import read_sources, select_sources
 from plumbline.workload.inputs import (
     LEAVES_SQL,
     PARTS_SQL,
@@ -191,7 +191,19 @@ def q_write_folded(spark, d):
     return spark.read.text(folder).select(F.col("value").alias("line"))
 
 
+def q_read_sources(spark, d):
+    """The sources as files, one folder per type, read whole and measured."""
+    folder = new_folder(spark, "sources")
+    texts = part_sources(spark, d).withColumn("dir", F.substring_index("path", "/", 1))
+    texts.select("dir", "content").write.partitionBy("dir").text(folder)
+    leaves = metrics.code_metrics(read_sources(spark, folder))
+    kind = F.regexp_extract("path", "^dir=([^/]*)/", 1)
+    name = F.substring_index("item", ":", 1)
+    return plain(leaves.select(kind.alias("kind"), name.alias("name"), *METRICS))
+
+
 QUERIES = {
+    "read_sources": q_read_sources,
     "select_sources": q_select_sources,
     "watch_list": q_watch_list,
     "code_metrics": q_code_metrics,
@@ -281,6 +293,9 @@ SELECT doc, r_name || '/' || n_name || '/ns%colon%%colon%' || c_name || '+' || c
 """
 
 SQL = {
+    "read_sources": f"""
+WITH {PARTS_SQL} SELECT split_part(path, '/', 1) AS kind, split_part(item, ':', 1) AS name, {M} FROM measured
+""",
     "select_sources": """
 SELECT page_id, url AS path FROM pages
 WHERE regexp_full_match(url, 'https?://.*[.]example[.](com|org)/.*')
