@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.series import reject_stale
@@ -27,11 +25,13 @@ def start_reject_stale(
     and a batch uses the same code as ``reject_stale``: within it a busy series
     is cut into segments instead of being sorted by one task. Results and state
     of a batch are overwritten when it is repeated, which makes it idempotent.
+    ``checkpoint`` and ``state_path`` belong together: renew both or neither.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = _state_before(spark, state_path, batch_id)
+        # Batches are numbered without gaps, and one starts after the last is done.
+        last = spark.read.parquet(f"{state_path}/version={batch_id - 1}") if batch_id else None
         marked = reject_stale(batch, key, ts, arrival, last)
         marked.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         seen = batch.select(key, F.col(ts).alias("last_ts"))
@@ -41,20 +41,3 @@ def start_reject_stale(
         newest.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
 
     return _each_batch(updates, apply, checkpoint, trigger)
-
-
-def _state_before(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame | None:
-    """Newest state version older than the batch, read without a listing job."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(state_path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return None
-    names = [status.getPath().getName() for status in system.listStatus(folder)]
-    versions = [int(m.group(1)) for n in names if (m := re.fullmatch(r"version=(\d+)", n))]
-    older = [
-        v
-        for v in versions
-        if v < batch_id and system.exists(hadoop.Path(f"{state_path}/version={v}/_SUCCESS"))
-    ]
-    return spark.read.parquet(f"{state_path}/version={max(older)}") if older else None
