@@ -77,10 +77,10 @@ def leaf_params(
     metrics: Sequence[str] = METRICS,
     chunk_size: int = 10_000,
 ) -> DataFrame:
-    """Leaf ids and values of each inner node, as arrays of bounded length.
+    """Leaf ids and values of each inner node, in arrays of about ``chunk_size``.
 
-    A node with more than ``chunk_size`` leaves spans several rows (``chunk`` of
-    ``n_chunks``), so that the root's list never sits in one row or one task.
+    A node with more leaves spans several rows (``chunk`` of ``n_chunks``), so
+    that the root's list never sits in one row or one task.
     All leaves are kept; ``explode`` of ``params`` gives the whole list.
     """
     keys, metrics = list(keys), list(metrics)
