@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text handled at once, so that the working arrays stay in cache.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Records that a task holds before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -187,11 +187,18 @@ def place(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def bucket_count(spark: SparkSession, times: int = 2) -> int:
+def bucket_count(spark: SparkSession, times: int = 4) -> int:
     """Follows the shuffle partitions, which a cluster sets by the data's size."""
     return times * int(spark.conf.get("spark.sql.shuffle.partitions")) | 1
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts differ by orders of magnitude, so Python gets them in batches bounded
+    by bytes; workers then need little memory next to the JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def with_block(docs: DataFrame, blocks: int, key: str = "doc_id") -> DataFrame:
     """Rows with the block of their id; rows without one go to the first block."""
     x = F.col(key).cast("long")

@@ -356,6 +356,7 @@ def marked_windows(docs: DataFrame, tokens, window: int, k: int, compare: Compar
     ``docs`` has ``doc_id`` and ``text`` first; rows with a NULL id take no part.
     """
     spark = docs.sparkSession
+    packed.small_batches(spark)
     buckets = packed.bucket_count(spark)
     blocks = buckets
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
