@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import substring_dedup, suffix_dedup
+from plumbline.llm import jaccard_join, packing, substring_dedup, suffix_dedup, topk
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,15 +17,30 @@ def op2_rlz_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(_documents(spark, folder))
 
 
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_documents(spark, folder))
+
+
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digest(_documents(spark, folder))
 
 
+def op9_nra_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.classes(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_rlz_dedup,
+        op5_best_fit_packing,
         op6_suffix_dedup,
+        op9_nra_topk,
+        op10_jaccard_join,
     )
 }
 
