@@ -286,7 +286,7 @@ def _fits(n, m, i, j):
     return F.least(n - i, m - j) >= wanted
 
 
-def _links(keys: DataFrame, sets: DataFrame) -> DataFrame:
+def linking_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what all links of the sets under each key would connect."""
     keys = keys.withColumn("root", F.col("set"))
     links = None
@@ -353,7 +353,7 @@ def classes(docs: DataFrame) -> DataFrame:
     subsets = found.where("kind = 2").where(F.col("size") <= light)
     subsets = subsets.withColumn("key", F.xxhash64("key", F.lit("subset")))
     keys = lists.unionByName(subsets).select("key", "set", "size", "place")
-    roots = connected(_links(keys, sets))
+    roots = connected(linking_pairs(keys, sets))
 
     members = shared.where("kind = 1").select(
         F.col("shingle").alias("doc"), "set", "size"
