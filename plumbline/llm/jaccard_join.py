@@ -14,8 +14,11 @@ The join works on distinct sets; documents with one set are its members.
 * The boundary is the size at which enumerating subsets stops being cheaper than
   the lists that those sets would scan.
 * Sets met under one key are first held against one of them, so that a large
-  group of near copies costs as many checks as it has sets; only pairs that the
-  links found so far leave apart are then checked in full.
+  group of near copies costs as many checks as it has sets. Of the pairs that the
+  links found so far leave apart, a sixteenth is checked, then all that are still
+  apart. A pair comes up under its first common key only, and if sizes, positions
+  and the sets' parity sketches (whose distance is at most that of the sets) allow
+  the overlap.
 
 Sets are known by 64-bit hashes and shingles by 40 bits and a bucket.
 """
@@ -40,12 +43,17 @@ SHINGLE = 5
 LIKE = 75
 #: The boundary between light and heavy sets lies between 0 and this size.
 LARGEST_LIGHT = 12
-#: Rounds in which a key's sets are held against one of them.
-ROUNDS = 3
+#: The first pass over pairs takes one of so many, chosen by hash.
+PASSES = (16, 1)
+#: Bits of the parity sketch of a set, in words of 64.
+SKETCH = 8
 
 FILED = "bucket int, shingle binary, set binary, size binary, count binary, doc binary, doc_set binary, doc_size binary"
 SHARED = "kind int, bucket int, block int, shingle binary, share binary, set binary, size binary, count binary"
-KEYS = "kind int, key long, set long, size int, place int, cost double, shingles array<bigint>"
+KEYS = (
+    "kind int, key long, set long, size int, place int, cost double, "
+    "shingles array<bigint>, prefix array<bigint>, sketch array<bigint>"
+)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -233,6 +241,12 @@ def _candidates(table: pa.Table) -> pa.Table:
     prefix, unique = size - least_overlap(size) + 1, size - number
     ordered = shingle[order]
     arrays = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), pa.array(ordered))
+    cell = (packed.mix(ordered.view(np.uint64).copy()) >> np.uint64(55)).astype(np.int64)
+    bit = np.uint64(1) << (cell % 64).astype(np.uint64)
+    words = [np.bitwise_xor.reduceat(np.where(cell // 64 == w, bit, np.uint64(0)), heads) if len(heads) else bit for w in range(SKETCH)]
+    sketch = pa.ListArray.from_arrays(
+        pa.array(np.arange(len(heads) + 1, dtype=np.int32) * SKETCH), pa.array(np.stack(words, axis=1).ravel().view(np.int64))
+    )
 
     rare = np.lexsort((shingle, share, sets))
     rank = np.arange(len(rare)) - np.repeat(heads, number)
@@ -249,14 +263,16 @@ def _candidates(table: pa.Table) -> pa.Table:
                 key.append(xxhash.xxh64_intdigest(np.array(chosen).tobytes(), seed=label))
                 who.append(i)
     who = np.array(who, np.int64)
+    firsts = np.cumsum(np.append(0, prefix - unique)).astype(np.int32)
+    prefixes = pa.ListArray.from_arrays(pa.array(firsts), pa.array(shingle[rare][listed]))
     places = (rank + np.repeat(unique, number))[listed]
     parts = (
-        (0, np.zeros(len(heads), np.int64), sets[order][heads], size, number, cost, arrays),
-        (1, shingle[rare][listed], sets[rare][listed], sizes[rare][listed], places, None, None),
-        (2, np.array(key, np.uint64).view(np.int64), sets[order][heads][who], size[who], np.zeros(len(who)), None, None),
+        (0, np.zeros(len(heads), np.int64), sets[order][heads], size, number, cost, arrays, prefixes, sketch),
+        (1, shingle[rare][listed], sets[rare][listed], sizes[rare][listed], places, None, None, None, None),
+        (2, np.array(key, np.uint64).view(np.int64), sets[order][heads][who], size[who], np.zeros(len(who)), None, None, None, None),
     )
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64())]
-    names = ["kind", "key", "set", "size", "place", "cost", "shingles"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.list_(pa.int64())] * 3]
+    names = ["kind", "key", "set", "size", "place", "cost", "shingles", "prefix", "sketch"]
     out = []
     for kind, *columns in parts:
         n = len(columns[0])
@@ -286,34 +302,59 @@ def _fits(n, m, i, j):
     return F.least(n - i, m - j) >= wanted
 
 
+def _apart(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """The sets of the keys that hold several components, with their roots.
+    Small tables are written so that the join of a hot key can be split."""
+    roots = materialize(connected(links), "roots").withColumnRenamed("node", "set")
+    rest = keys.drop("root").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rest = materialize(rest, "keys")
+    spread = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    spread = materialize(spread.where("lo != hi").select("key"), "open")
+    return materialize(rest.join(spread, "key"), "keys")
+
+
 def linking_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that connect what all links of the sets under each key would connect."""
-    keys = keys.withColumn("root", F.col("set"))
-    links = None
-    for _ in range(ROUNDS):
-        # Hold every set of a key against its smallest. Small tables are written
-        # so that a hot key's join can be split.
-        centre = materialize(keys.groupBy("key").agg(F.min(F.struct("set", "size", "place", "root")).alias("c")), "centres")
-        met = keys.join(centre, "key").where(F.col("c.root") != F.col("root"))
-        met = met.where(_fits(F.col("size"), F.col("c.size"), F.col("place"), F.col("c.place")))
-        pairs = met.select(F.col("c.set").alias("a"), F.col("set").alias("b")).distinct()
-        found = _overlap(pairs, sets)
-        links = materialize(found if links is None else links.unionByName(found), "links")
-        roots = materialize(connected(links), "roots").withColumnRenamed("node", "set")
-        # The smallest is done with; a key goes on while it has several components.
-        rest = keys.drop("root").join(centre, "key").where(F.col("c.set") != F.col("set")).drop("c")
-        rest = rest.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-        rest = materialize(rest, "keys")
-        spread = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        spread = materialize(spread.where("lo != hi").select("key"), "open")
-        keys = materialize(rest.join(spread, "key"), "keys")
-        if keys.isEmpty():
-            return links
-    other = keys.select("key", *[F.col(c).alias(f"{c}2") for c in ("set", "size", "place", "root")])
-    apart = (F.col("set") < F.col("set2")) & (F.col("root") != F.col("root2"))
-    fits = _fits(F.col("size"), F.col("size2"), F.col("place"), F.col("place2"))
-    pairs = keys.join(other, "key").where(apart & fits).select(F.col("set").alias("a"), F.col("set2").alias("b"))
-    return links.unionByName(_overlap(pairs.distinct(), sets))
+    """Links that connect what all links of the sets under each key would connect.
+
+    ``keys`` has ``key, set, size, place``; ``sets`` has ``set, size, shingles``, and
+    ``shared`` (shingles that others may have), ``prefix`` (list keys in order) and
+    ``sketch``.
+    """
+    centre = materialize(keys.groupBy("key").agg(F.min(F.struct("set", "size", "place")).alias("c")), "centres")
+    met = keys.join(centre, "key").where(F.col("c.set") != F.col("set"))
+    met = met.where(_fits(F.col("size"), F.col("c.size"), F.col("place"), F.col("c.place")))
+    pairs = met.select(F.col("c.set").alias("a"), F.col("set").alias("b")).distinct()
+    links = materialize(_overlap(pairs, sets), "links")
+    keys = _apart(keys, links)
+    if keys.isEmpty():
+        return links
+    known = sets.select("set", "shared", "prefix", "sketch")
+    for one_of in PASSES:
+        full = materialize(keys.join(known, "set"), "apart")
+        names = ("set", "size", "place", "root", "shared", "prefix", "sketch")
+        other = full.select("key", *[F.col(c).alias(f"{c}2") for c in names])
+        chosen = F.pmod(F.xxhash64("set", "set2"), F.lit(one_of)) == 0
+        apart = (F.col("set") < F.col("set2")) & (F.col("root") != F.col("root2")) & chosen
+        fits = _fits(F.col("size"), F.col("size2"), F.col("place"), F.col("place2"))
+        both = F.col("size") + F.col("size2")
+        wanted = F.ceil(F.lit(LIKE) * both / F.lit(100.0 + LIKE))
+        distance = both - F.col("shared") - F.col("shared2")
+        for i in range(SKETCH):
+            distance += F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i]))
+        close = distance <= both - 2 * wanted
+        before = [
+            F.slice(f"prefix{n}", F.lit(1), F.greatest(F.col(f"place{n}") - (F.col(f"size{n}") - F.col(f"shared{n}")), F.lit(0)))
+            for n in ("", "2")
+        ]
+        first = ~F.arrays_overlap(*before)
+        pairs = full.join(other, "key").where(apart & fits & close & first)
+        pairs = pairs.select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
+        links = materialize(links.unionByName(_overlap(pairs, sets)), "links")
+        if one_of > 1:
+            keys = _apart(keys, links)
+            if keys.isEmpty():
+                break
+    return links
 
 
 def boundary(sets: DataFrame) -> int:
@@ -345,7 +386,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = materialize(filed.groupBy("bucket").applyInArrow(_shared(buckets), SHARED), "shared")
     found = shared.where("kind = 0").groupBy("block").applyInArrow(_candidates, KEYS)
     found = materialize(found, "candidates")
-    sets = found.where("kind = 0").select("set", "size", "cost", "shingles")
+    sets = found.where("kind = 0").select("set", "size", "cost", "shingles", F.col("place").alias("shared"), "prefix", "sketch")
     light = boundary(sets)
     # Lists serve pairs with a heavy set; a light set joins them if it is large
     # enough to link to a heavy one.
