@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ OPEN_BINS = 4096
 #: Pieces that are packed together; more pieces make more groups.
 GROUP = 16_000
 #: Words whose tokens a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -37,59 +38,98 @@ class WordTokens:
     """Token ids of texts, with every different word encoded once.
 
     The tokenizer drops white space and never joins tokens over it, so a text's
-    ids are those of its words. Python splits at four separators that the
+    ids are those of its words. A word of letters between other signs is taken
+    apart into atoms there, where the tokenizer splits too; ASCII letters share
+    their lower-case form. Atoms of letters are encoded many at a time, as each
+    ends with a token that says so. Python splits at four separators that the
     tokenizer takes for symbols; a text with one of them is encoded whole.
     """
 
+    #: Signs that make tokens of their own next to letters (an apostrophe does not).
+    SIGNS = "".join(c for c in string.punctuation if c not in "'<>")
+    TOGETHER = 2000
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.closes = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.atoms: dict[str, int] = {"": 0}
+        self.of_word = np.zeros((0, 3), np.int32)
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
+
+    def _add(self, atoms: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.atoms.update(zip(atoms, range(len(self.lengths), len(self.lengths) + len(atoms))))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.flat = np.append(self.flat, flat.astype(np.uint16))
+
+    def _add_plain(self, atoms: list[str]) -> None:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(atoms, add_special_tokens=False)]
+        ids, offsets = _flat(lists)
+        self._add(atoms, np.diff(offsets), ids)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.index) + len(words) > REMEMBERED:
-            return self.relearn(words)
-        done = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        lists = [e.ids for e in done]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.index.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words))))
-        self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
-        self.flat = np.append(self.flat, flat)
-
-    def relearn(self, words: list[str]) -> None:
-        self.clear()
-        for at in range(0, len(words), REMEMBERED):
-            self.learn(words[at : at + REMEMBERED])
+        parts, letters, others = [], set(), set()
+        known, signs = self.atoms, self.SIGNS
+        for w in words:
+            core = w.strip(signs)
+            if core.isalpha():
+                at = w.index(core)
+                before, after = w[:at], w[at + len(core) :]
+                key = core.lower() if core.isascii() else core
+                if key not in known:
+                    letters.add(key)
+                for sign in (before, after):
+                    if sign not in known:
+                        others.add(sign)
+                parts.append((before, key, after))
+            else:
+                if w not in known:
+                    others.add(w)
+                parts.append(("", w, ""))
+        letters = list(letters)
+        for at in range(0, len(letters), self.TOGETHER):
+            some = letters[at : at + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
+                self._add(some, np.diff(np.append(0, ends)), ids)
+            else:
+                self._add_plain(some)
+        if others:
+            self._add_plain(list(others))
+        known = self.atoms
+        rows = np.fromiter((known[x] for p in parts for x in p), np.int32, 3 * len(parts)).reshape(-1, 3)
+        self.index.update(zip(words, range(len(self.of_word), len(self.of_word) + len(words))))
+        self.of_word = np.concatenate([self.of_word, rows])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and the n + 1 offsets."""
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
         words = [w for s in split for w in s]
-        known = self.index
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED:
+        new = list(set(words).difference(self.index))
+        if len(self.index) + len(new) > REMEMBERED:
             self.clear()
             new = list(set(words))
-        # More new words than are remembered come only from one giant batch.
-        if len(new) > REMEMBERED:
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return _flat(lists)
         if new:
             self.learn(new)
         codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ends = np.cumsum(np.append(0, self.lengths[codes]))
-        per_text = np.cumsum([0, *map(len, split)])
-        ids = self.flat[packed.ragged(self.starts[codes], self.lengths[codes])]
-        offsets = ends[per_text]
+        atoms = self.of_word[codes].ravel()
+        atoms = atoms[atoms > 0]
+        sizes = self.lengths[self.of_word[codes]].sum(axis=1)
+        ends = np.cumsum(np.append(0, sizes))
+        ids = self.flat[packed.ragged(self.starts[atoms], self.lengths[atoms])]
+        offsets = ends[np.cumsum([0, *map(len, split)])]
         if any(odd):
             whole = [ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
             for i in np.flatnonzero(odd):

@@ -6,17 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import jaccard_join, packing, substring_dedup, suffix_dedup, topk
+from plumbline.llm import (
+    fingerprints,
+    jaccard_join,
+    language,
+    packing,
+    pii,
+    quality,
+    sentencepieces,
+    substring_dedup,
+    suffix_dedup,
+    topk,
+)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_attention_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.predict(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op2_rlz_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(_documents(spark, folder))
 
 
+def op3_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(_documents(spark, folder))
+
+
+def op4_viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict(_documents(spark, folder))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder))
 
@@ -25,6 +48,14 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digest(_documents(spark, folder))
 
 
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(_documents(spark, folder))
+
+
+def op8_sentencepiece_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.round_trip(_documents(spark, folder))
+
+
 def op9_nra_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
@@ -36,9 +67,14 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_attention_quality,
         op2_rlz_dedup,
+        op3_disclosure_pii,
+        op4_viterbi_language,
         op5_best_fit_packing,
         op6_suffix_dedup,
+        op7_minhash,
+        op8_sentencepiece_scan,
         op9_nra_topk,
         op10_jaccard_join,
     )
