@@ -15,6 +15,8 @@ BLOCK = 1024
 PORTION = 1024
 #: Share of a block that may be left when its final scores are resolved.
 FEW = 0.05
+#: The first bounds are taken when one in so many entries of the lists was read.
+FIRST = 4
 
 SCORES = "query_id long, vec_id long, score long"
 
@@ -36,34 +38,32 @@ class SortedLists:
         met in. Reading stops when few vectors can still be among the best; their
         final scores are then resolved. Ties go to the smaller id.
         """
-        n, dims = self.values.shape
+        n = len(self.values)
         query = query.astype(np.float64)
         down = query >= 0
         alive = np.arange(n)
         least = query * np.where(down, self.sorted[:, -1], self.sorted[:, 0])
-        total, met_least = np.zeros(n), np.zeros(n)
-        depth, step = 0, max(1, n // 16)
-        while depth < n:
-            end = min(n, depth + step)
-            ids = np.where(down[:, None], self.order[:, depth:end], self.order[:, n - end : n - depth][:, ::-1])
-            read = np.where(down[:, None], self.sorted[:, depth:end], self.sorted[:, n - end : n - depth][:, ::-1])
-            gain = read * query[:, None]
-            total += np.bincount(ids.ravel(), gain.ravel(), n)
-            met_least += np.bincount(ids.ravel(), np.repeat(least, end - depth), n)
-            depth, step = end, end
-            # What the next entry of each list can still give at most.
-            last = gain[:, -1]
-            seen = np.where(down[:, None], self.order[:, :depth], self.order[:, n - depth :][:, ::-1])
-            met_most = np.bincount(seen.ravel(), np.repeat(last, depth), n)
-            lower = total + (least.sum() - met_least)
-            upper = total + (last.sum() - met_most)
-            lower[self.ids == own] = -np.inf
-            if n <= k + 1:
-                break
-            bar = np.partition(lower, n - k)[n - k]
-            alive = np.flatnonzero(upper >= bar)
-            if len(alive) <= max(4 * k, FEW * n):
+        order = np.where(down[:, None], self.order, self.order[:, ::-1])
+        gain = np.where(down[:, None], self.sorted, self.sorted[:, ::-1]) * query[:, None]
+        # Starts at the least possible score and rises with what is read.
+        lower = np.full(n, least.sum())
+        depth, end = 0, max(1, n // FIRST)
+        while n > k + 1:
+            fresh = order[:, depth:end].ravel()
+            lower += np.bincount(fresh, (gain[:, depth:end] - least[:, None]).ravel(), n)
+            depth = end
+            if depth == n:
+                upper = lower
+            else:
+                # What the next entry of each list can still give, over the least.
+                slack = gain[:, depth - 1] - least
+                met = np.bincount(order[:, :depth].ravel(), np.repeat(slack, depth), n)
+                upper = lower + (slack.sum() - met)
+            kept = np.where(self.ids == own, -np.inf, lower)
+            alive = np.flatnonzero(upper >= np.partition(kept, n - k)[n - k])
+            if depth == n or len(alive) <= max(4 * k, FEW * n):
                 break
+            end = min(n, 2 * depth)
         alive = alive[self.ids[alive] != own]
         score = self.values[alive] @ query.astype(np.int64)
         best = np.lexsort((self.ids[alive], -score))[:k]
