@@ -80,4 +80,92 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op2_rlz_dedup": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+        placed AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w),
+        win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM placed),
+        firsts AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN firsts USING (h) WHERE m < doc_id
+        ),
+        words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p)
+            GROUP BY doc_id
+        ),
+        lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+    "op6_suffix_dedup": """
+        WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+        placed AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM b),
+        win AS (SELECT doc_id, i, md5(x[2 * i + 1 : 2 * i + 100]) AS h FROM placed),
+        firsts AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN firsts USING (h) WHERE m < doc_id
+        ),
+        lost AS (
+            SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE fresh) AS runs
+            FROM (
+                SELECT doc_id, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 1, true) AS fresh FROM gone
+            )
+            GROUP BY doc_id
+        ),
+        bytes AS (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM b JOIN lost USING (doc_id)),
+        left_over AS (
+            SELECT doc_id, string_agg(x[2 * p + 1 : 2 * p + 2], '' ORDER BY p) AS t
+            FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(runs, 0) AS n_spans,
+            sha256(unhex(CASE WHEN n IS NULL THEN x ELSE coalesce(t, '') END)) AS kept_sha256
+        FROM b LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)
+    """,
+    "op9_nra_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+        ),
+        met AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+            FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM met
+        )
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+    """,
+    "op10_jaccard_join": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'
+            ) AS ws
+            FROM documents
+        ),
+        placed AS (
+            SELECT doc_id, ws, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - 3, 2) END)) AS i
+            FROM w
+        ),
+        s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS h FROM placed),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+            FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ),
+        links AS (
+            SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * k >= 75 * (x.n + y.n - k)
+        ),
+        sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(a, b) AS (
+            SELECT a, b FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a
+        )
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles,
+            least(w.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = w.doc_id), w.doc_id)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id)
+    """,
+}
