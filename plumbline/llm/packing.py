@@ -39,8 +39,8 @@ class WordTokens:
 
     The tokenizer drops white space and never joins tokens over it, so a text's
     ids are those of its words. A word of letters between other signs is taken
-    apart into atoms there, where the tokenizer splits too; ASCII letters share
-    their lower-case form. Atoms of letters are encoded many at a time, as each
+    apart into atoms there, where the tokenizer splits too, and shares those with
+    its other cases. Atoms of letters are encoded many at a time, as each
     ends with a token that says so. Python splits at four separators that the
     tokenizer takes for symbols; a text with one of them is encoded whole.
     """
@@ -78,37 +78,37 @@ class WordTokens:
         self._add(atoms, np.diff(offsets), ids)
 
     def learn(self, words: list[str]) -> None:
-        parts, letters, others = [], set(), set()
-        known, signs = self.atoms, self.SIGNS
-        for w in words:
-            core = w.strip(signs)
-            if core.isalpha():
-                at = w.index(core)
-                before, after = w[:at], w[at + len(core) :]
-                key = core.lower() if core.isascii() else core
-                if key not in known:
-                    letters.add(key)
-                for sign in (before, after):
-                    if sign not in known:
-                        others.add(sign)
-                parts.append((before, key, after))
-            else:
-                if w not in known:
-                    others.add(w)
-                parts.append(("", w, ""))
-        letters = list(letters)
-        for at in range(0, len(letters), self.TOGETHER):
-            some = letters[at : at + self.TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        cores = [w.strip(self.SIGNS) for w in words]
+        # Python alone lowers the last sigma of a word in its own way.
+        plain = [c.isalpha() and "Σ" not in c for c in cores]
+        keys = [c.lower() if p else w for c, p, w in zip(cores, plain, words)]
+        known = self.atoms
+        letters = list({k for k, p in zip(keys, plain) if p}.difference(known))
+        others = {k for k, p in zip(keys, plain) if not p}
+        edges = []
+        for i, (w, c, p) in enumerate(zip(words, cores, plain)):
+            if p and len(c) != len(w):
+                at = w.index(c)
+                edges.append((i, w[:at], w[at + len(c) :]))
+        others.update(e for _, before, after in edges for e in (before, after))
+        parts = [letters[at : at + self.TOGETHER] for at in range(0, len(letters), self.TOGETHER)]
+        done = self.tokenizer.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, done):
+            ids = np.array(encoding.ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
-                self._add(some, np.diff(np.append(0, ends)), ids)
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._add(part, np.diff(np.append(0, ends)), ids)
             else:
-                self._add_plain(some)
+                self._add_plain(part)
+        others = list(others.difference(known))
         if others:
-            self._add_plain(list(others))
-        known = self.atoms
-        rows = np.fromiter((known[x] for p in parts for x in p), np.int32, 3 * len(parts)).reshape(-1, 3)
+            self._add_plain(others)
+        rows = np.zeros((len(words), 3), np.int32)
+        rows[:, 1] = np.fromiter(map(known.__getitem__, keys), np.int32, len(keys))
+        if edges:
+            at, before, after = zip(*edges)
+            rows[list(at), 0] = [known[x] for x in before]
+            rows[list(at), 2] = [known[x] for x in after]
         self.index.update(zip(words, range(len(self.of_word), len(self.of_word) + len(words))))
         self.of_word = np.concatenate([self.of_word, rows])
 
