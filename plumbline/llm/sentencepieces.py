@@ -64,8 +64,8 @@ class Vocabulary:
         self.bodies = np.frombuffer(b"".join(bodies), np.uint8)
         self.body_lengths = np.array([len(b) for b in bodies], np.int64)
         self.body_starts = np.cumsum(self.body_lengths) - self.body_lengths
-        # Blanks begin words, and characters that no piece has stand alone.
-        self.segments = re.compile(r" *[^ \n]+| +|\n" if not any("\n" in p for p in self.pieces) else r"(?s) *[^ ]+| +")
+        self.lines_apart = not any("\n" in p for p in self.pieces)
+        self.segments = re.compile(r" *[^ \n]+| +|\n" if self.lines_apart else r"(?s) *[^ ]+| +")
 
     def choices(self, text: str, at: int) -> Iterator[tuple[int, int, int]]:
         """Length, score and id of every piece at a place; id -1 for an unknown."""
@@ -79,8 +79,15 @@ class Vocabulary:
         if not known:
             yield 1, self.unknown, -1
 
-    def best(self, text: str, start: int = 0, end: int | None = None, over: int = 0) -> list[int]:
-        """Ids of the best cut from ``start`` to ``over`` characters past ``end``,
+    def must_cut(self, text: str, at: int) -> bool:
+        """Whether no piece crosses a place: before the blanks of a word, and
+        around a line end if no piece has one."""
+        if text[at] == " ":
+            return text[at - 1] != " "
+        return self.lines_apart and (text[at] == "\n" or text[at - 1] == "\n")
+
+    def best(self, text: str, start: int = 0, end: int | None = None, over: int = 0) -> tuple[list[int], int]:
+        """Ids and score of the best cut from ``start`` to ``over`` characters past ``end``,
         with no boundary between ``end`` and there; ties take the first found."""
         end = len(text) if end is None else end
         stop = end + over
@@ -100,7 +107,7 @@ class Vocabulary:
             before, piece = came[at]
             ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(text[before:at].encode())]
             at = before
-        return ids[::-1]
+        return ids[::-1], score[stop]
 
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Best scores from every overhang at the start of a chunk of ``size``
@@ -155,25 +162,66 @@ class Encoder:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.scores = np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [self.vocabulary.segments.findall(" " + t) if t else [] for t in texts]
-        words = [w for s in split for w in s]
+    def codes(self, words: list[str]) -> np.ndarray:
         new = list({w for w in words if w not in self.index})
         if len(self.index) + len(new) > REMEMBERED:
             self.clear()
             new = list(set(words))
         if new:
-            lists = [self.vocabulary.best(w) for w in new]
+            done = [self.vocabulary.best(w) for w in new]
+            lists = [ids for ids, _ in done]
+            self.scores = np.append(self.scores, np.array([score for _, score in done], np.int64))
             lengths = np.fromiter(map(len, lists), np.int64, len(lists))
             self.index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)
             self.flat = np.append(self.flat, np.array([i for x in lists for i in x], np.int64))
-        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        return self.flat[packed.ragged(self.starts[codes], self.lengths[codes])]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the n + 1 offsets."""
+        split = [self.vocabulary.segments.findall(" " + t) if t else [] for t in texts]
+        codes = self.codes([w for s in split for w in s])
         ends = np.cumsum(np.append(0, self.lengths[codes]))
-        ids = self.flat[packed.ragged(self.starts[codes], self.lengths[codes])]
-        return ids, ends[np.cumsum([0, *map(len, split)])]
+        return self.ids(codes), ends[np.cumsum([0, *map(len, split)])]
+
+    def _whole_words(self, text: str, size: int) -> tuple[int, int] | None:
+        """The first and the last forced cut of a chunk, if it has any."""
+        cut = self.vocabulary.must_cut
+        size = min(size, len(text) - 1)
+        first = next((p for p in range(1, size + 1) if cut(text, p)), None)
+        return None if first is None else (first, next(p for p in range(size, 0, -1) if cut(text, p)))
+
+    def transfer(self, text: str, size: int) -> np.ndarray:
+        """The matrix of a chunk. All paths meet at the forced cuts, so only what
+        is before the first and after the last depends on the states."""
+        words = self._whole_words(text, size)
+        if words is None:
+            return self.vocabulary.transfer(text, size)
+        first, last = words
+        head = self.vocabulary.transfer(text[:first], first)[:, 0]
+        tail = self.vocabulary.transfer(text[last:], size - last)[0]
+        codes = self.codes(self.vocabulary.segments.findall(text[first:last]))
+        middle = int(self.scores[codes].sum())
+        return np.maximum(head[:, None] + middle + tail[None, :], NEVER)
+
+    def trace(self, text: str, size: int, enter: int, leave: int) -> np.ndarray:
+        """The pieces of a chunk between two states."""
+        if enter >= size:
+            return np.empty(0, np.int64)
+        words = self._whole_words(text, size)
+        best = self.vocabulary.best
+        if words is None:
+            return np.array(best(text, enter, size, leave)[0], np.int64)
+        first, last = words
+        middle = self.ids(self.codes(self.vocabulary.segments.findall(text[first:last])))
+        head, tail = best(text[:first], enter, first)[0], best(text[last:], 0, size - last, leave)[0]
+        return np.concatenate([np.array(head, np.int64), middle, np.array(tail, np.int64)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -202,10 +250,10 @@ def _small(path: str):
 
 def _matrices(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _encoder(path).vocabulary
+        encoder = _encoder(path)
         for batch in batches:
             sizes, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            blobs = [vocabulary.transfer(t, n).tobytes() for t, n in zip(texts, sizes)]
+            blobs = [encoder.transfer(t, n).tobytes() for t, n in zip(texts, sizes)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["doc_id", "crc", "chunk", "matrix"])
 
     return run
@@ -227,13 +275,10 @@ def _states(table: pa.Table) -> pa.Table:
 
 def _traced(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _encoder(path).vocabulary
+        encoder = _encoder(path)
         for batch in batches:
-            sizes, texts, enter, leave = (batch.column(i).to_pylist() for i in range(3, 7))
-            blobs = [
-                np.array(vocabulary.best(t, a, n, b) if a < n else [], "<u4").tobytes()
-                for t, n, a, b in zip(texts, sizes, enter, leave)
-            ]
+            states = zip(*(batch.column(i).to_pylist() for i in (4, 3, 5, 6)))
+            blobs = [encoder.trace(*state).astype("<u4").tobytes() for state in states]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["doc_id", "crc", "chunk", "ids"])
 
     return run
