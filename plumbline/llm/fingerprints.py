@@ -195,8 +195,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     chosen = rows.join(sets, "set").where(F.col("doc_id") == F.col("least")).dropDuplicates(["set"])
     chosen = chosen.withColumn("size", F.size("shingles"))
     keys = chosen.select(F.explode("bands").alias("key"), "set", "size", F.lit(0).alias("place"))
-    none = F.array().cast("array<bigint>")
-    whole = [F.col("size").alias("shared"), none.alias("prefix"), F.array_repeat(F.lit(0).cast("long"), SKETCH).alias("sketch")]
+    whole = [F.col("size").alias("shared"), F.array_repeat(F.lit(0).cast("long"), SKETCH).alias("sketch")]
     roots = connected(linking_pairs(keys, chosen.select("set", "size", "shingles", *whole)))
     groups = sets.join(roots.withColumnRenamed("node", "set"), "set", "left")
     linked = F.col("root").isNotNull() | (F.col("n") > 1)

@@ -13,12 +13,11 @@ The join works on distinct sets; documents with one set are its members.
   frequent, sets that link share one of the first quarter of their shingles.
 * The boundary is the size at which enumerating subsets stops being cheaper than
   the lists that those sets would scan.
-* Sets met under one key are first held against one of them, so that a large
-  group of near copies costs as many checks as it has sets. Of the pairs that the
-  links found so far leave apart, a sixteenth is checked, then all that are still
-  apart. A pair comes up under its first common key only, and if sizes, positions
-  and the sets' parity sketches (whose distance is at most that of the sets) allow
-  the overlap.
+* The smallest set of a key is its centre, and every set is first held against one
+  of its centres, so that a large group of near copies costs as many checks as it
+  has sets. Of the pairs that the links found so far leave apart, one in 64 is
+  checked, then all that are still apart, where sizes, positions and the sets'
+  parity sketches (whose distance is at most that of the sets) allow the overlap.
 
 Sets are known by 64-bit hashes and shingles by 40 bits and a bucket.
 """
@@ -44,15 +43,14 @@ LIKE = 75
 #: The boundary between light and heavy sets lies between 0 and this size.
 LARGEST_LIGHT = 12
 #: The first pass over pairs takes one of so many, chosen by hash.
-PASSES = (16, 1)
+PASSES = (64, 1)
 #: Bits of the parity sketch of a set, in words of 64.
 SKETCH = 8
 
 FILED = "bucket int, shingle binary, set binary, size binary, count binary, doc binary, doc_set binary, doc_size binary"
 SHARED = "kind int, bucket int, block int, shingle binary, share binary, set binary, size binary, count binary"
 KEYS = (
-    "kind int, key long, set long, size int, place int, cost double, "
-    "shingles array<bigint>, prefix array<bigint>, sketch array<bigint>"
+    "kind int, key long, set long, size int, place int, cost double, shingles array<bigint>, sketch array<bigint>"
 )
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -263,16 +261,14 @@ def _candidates(table: pa.Table) -> pa.Table:
                 key.append(xxhash.xxh64_intdigest(np.array(chosen).tobytes(), seed=label))
                 who.append(i)
     who = np.array(who, np.int64)
-    firsts = np.cumsum(np.append(0, prefix - unique)).astype(np.int32)
-    prefixes = pa.ListArray.from_arrays(pa.array(firsts), pa.array(shingle[rare][listed]))
     places = (rank + np.repeat(unique, number))[listed]
     parts = (
-        (0, np.zeros(len(heads), np.int64), sets[order][heads], size, number, cost, arrays, prefixes, sketch),
-        (1, shingle[rare][listed], sets[rare][listed], sizes[rare][listed], places, None, None, None, None),
-        (2, np.array(key, np.uint64).view(np.int64), sets[order][heads][who], size[who], np.zeros(len(who)), None, None, None, None),
+        (0, np.zeros(len(heads), np.int64), sets[order][heads], size, number, cost, arrays, sketch),
+        (1, shingle[rare][listed], sets[rare][listed], sizes[rare][listed], places, None, None, None),
+        (2, np.array(key, np.uint64).view(np.int64), sets[order][heads][who], size[who], np.zeros(len(who)), None, None, None),
     )
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.list_(pa.int64())] * 3]
-    names = ["kind", "key", "set", "size", "place", "cost", "shingles", "prefix", "sketch"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.list_(pa.int64())] * 2]
+    names = ["kind", "key", "set", "size", "place", "cost", "shingles", "sketch"]
     out = []
     for kind, *columns in parts:
         n = len(columns[0])
@@ -317,21 +313,24 @@ def linking_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect what all links of the sets under each key would connect.
 
     ``keys`` has ``key, set, size, place``; ``sets`` has ``set, size, shingles``, and
-    ``shared`` (shingles that others may have), ``prefix`` (list keys in order) and
-    ``sketch``.
+    ``shared`` (shingles that others may have) and ``sketch``.
     """
     centre = materialize(keys.groupBy("key").agg(F.min(F.struct("set", "size", "place")).alias("c")), "centres")
     met = keys.join(centre, "key").where(F.col("c.set") != F.col("set"))
     met = met.where(_fits(F.col("size"), F.col("c.size"), F.col("place"), F.col("c.place")))
-    pairs = met.select(F.col("c.set").alias("a"), F.col("set").alias("b")).distinct()
+    # Of a set's centres, the one that it shares most keys with.
+    votes = met.groupBy("set", F.col("c.set").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("set").agg(F.max(F.struct("n", F.bitwise_not("a").alias("a"))).alias("best"))
+    pairs = best.select(F.bitwise_not("best.a").alias("a"), F.col("set").alias("b"))
     links = materialize(_overlap(pairs, sets), "links")
     keys = _apart(keys, links)
     if keys.isEmpty():
         return links
-    known = sets.select("set", "shared", "prefix", "sketch")
+    sets = materialize(sets.join(keys.select("set").distinct(), "set"), "apart")
+    known = sets.select("set", "shared", "sketch")
     for one_of in PASSES:
-        full = materialize(keys.join(known, "set"), "apart")
-        names = ("set", "size", "place", "root", "shared", "prefix", "sketch")
+        full = keys.join(known, "set")
+        names = ("set", "size", "place", "root", "shared", "sketch")
         other = full.select("key", *[F.col(c).alias(f"{c}2") for c in names])
         chosen = F.pmod(F.xxhash64("set", "set2"), F.lit(one_of)) == 0
         apart = (F.col("set") < F.col("set2")) & (F.col("root") != F.col("root2")) & chosen
@@ -342,12 +341,7 @@ def linking_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
         for i in range(SKETCH):
             distance += F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i]))
         close = distance <= both - 2 * wanted
-        before = [
-            F.slice(f"prefix{n}", F.lit(1), F.greatest(F.col(f"place{n}") - (F.col(f"size{n}") - F.col(f"shared{n}")), F.lit(0)))
-            for n in ("", "2")
-        ]
-        first = ~F.arrays_overlap(*before)
-        pairs = full.join(other, "key").where(apart & fits & close & first)
+        pairs = full.join(other, "key").where(apart & fits & close)
         pairs = pairs.select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
         links = materialize(links.unionByName(_overlap(pairs, sets)), "links")
         if one_of > 1:
@@ -380,13 +374,13 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     packed.small_batches(spark)
-    buckets = packed.bucket_count(spark)
+    buckets, blocks = packed.bucket_count(spark, 2), packed.bucket_count(spark, 1)
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     filed = source.mapInArrow(_filed(buckets), FILED)
-    shared = materialize(filed.groupBy("bucket").applyInArrow(_shared(buckets), SHARED), "shared")
+    shared = materialize(filed.groupBy("bucket").applyInArrow(_shared(blocks), SHARED), "shared")
     found = shared.where("kind = 0").groupBy("block").applyInArrow(_candidates, KEYS)
     found = materialize(found, "candidates")
-    sets = found.where("kind = 0").select("set", "size", "cost", "shingles", F.col("place").alias("shared"), "prefix", "sketch")
+    sets = found.where("kind = 0").select("set", "size", "cost", "shingles", F.col("place").alias("shared"), "sketch")
     light = boundary(sets)
     # Lists serve pairs with a heavy set; a light set joins them if it is large
     # enough to link to a heavy one.
