@@ -6,6 +6,7 @@ import os
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ END = 1
 OPEN_BINS = 4096
 #: Pieces that are packed together; more pieces make more groups.
 GROUP = 16_000
-#: Words whose tokens a worker remembers.
-REMEMBERED = 1_500_000
+#: Words that a worker remembers, and atoms with their tokens.
+REMEMBERED, ATOMS = 1_000_000, 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -61,11 +62,14 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.clear_words()
         self.atoms: dict[str, int] = {"": 0}
-        self.of_word = np.zeros((0, 3), np.int32)
         self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
+    def clear_words(self) -> None:
+        self.index: dict[str, int] = {}
+        self.of_word, self.word_lengths = np.zeros((0, 3), np.int32), np.zeros(0, np.int64)
+
     def _add(self, atoms: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
         self.atoms.update(zip(atoms, range(len(self.lengths), len(self.lengths) + len(atoms))))
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
@@ -111,14 +115,18 @@ class WordTokens:
             rows[list(at), 2] = [known[x] for x in after]
         self.index.update(zip(words, range(len(self.of_word), len(self.of_word) + len(words))))
         self.of_word = np.concatenate([self.of_word, rows])
+        self.word_lengths = np.append(self.word_lengths, self.lengths[rows].sum(axis=1))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and the n + 1 offsets."""
         odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
-        words = [w for s in split for w in s]
+        words = list(chain.from_iterable(split))
         new = list(set(words).difference(self.index))
         if len(self.index) + len(new) > REMEMBERED:
+            self.clear_words()
+            new = list(set(words))
+        if len(self.atoms) > ATOMS:
             self.clear()
             new = list(set(words))
         if new:
@@ -126,8 +134,7 @@ class WordTokens:
         codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         atoms = self.of_word[codes].ravel()
         atoms = atoms[atoms > 0]
-        sizes = self.lengths[self.of_word[codes]].sum(axis=1)
-        ends = np.cumsum(np.append(0, sizes))
+        ends = np.cumsum(np.append(0, self.word_lengths[codes]))
         ids = self.flat[packed.ragged(self.starts[atoms], self.lengths[atoms])]
         offsets = ends[np.cumsum([0, *map(len, split)])]
         if any(odd):
