@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.llm import packed
 
 #: Characters of a chunk; longer texts are giants.
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 #: Words whose pieces a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 NEVER = -(1 << 60)
 #: An unknown character scores this much less than the last piece.
 UNKNOWN_PENALTY = 10
@@ -64,6 +64,9 @@ class Vocabulary:
         self.bodies = np.frombuffer(b"".join(bodies), np.uint8)
         self.body_lengths = np.array([len(b) for b in bodies], np.int64)
         self.body_starts = np.cumsum(self.body_lengths) - self.body_lengths
+        # Every beginning of a piece, with what it is itself, to stop early.
+        self.begins: dict[str, tuple[int, int] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))}
+        self.begins |= self.pieces
         self.lines_apart = not any("\n" in p for p in self.pieces)
         self.segments = re.compile(r" *[^ \n]+| +|\n" if self.lines_apart else r"(?s) *[^ ]+| +")
 
@@ -89,7 +92,8 @@ class Vocabulary:
     def best(self, text: str, start: int = 0, end: int | None = None, over: int = 0) -> tuple[list[int], int]:
         """Ids and score of the best cut from ``start`` to ``over`` characters past ``end``,
         with no boundary between ``end`` and there; ties take the first found."""
-        end = len(text) if end is None else end
+        if end is None:
+            return self._best_word(text)
         stop = end + over
         score, came = [NEVER] * (stop + 1), [None] * (stop + 1)
         score[start] = 0
@@ -109,6 +113,37 @@ class Vocabulary:
             at = before
         return ids[::-1], score[stop]
 
+    def _best_word(self, text: str) -> tuple[list[int], int]:
+        """``best`` of a whole short text; most texts are single words."""
+        n, get = len(text), self.begins.get
+        score, came = [NEVER] * (n + 1), [(0, -1)] * (n + 1)
+        score[0] = 0
+        for at in range(n):
+            here = score[at]
+            if here == NEVER:
+                continue
+            to = at + 1
+            if not get(text[at:to]):
+                # An unknown character, though longer pieces may begin with it.
+                if here + self.unknown > score[to]:
+                    score[to], came[to] = here + self.unknown, (at, -1)
+            while to <= n:
+                hit = get(text[at:to], 0)
+                if hit:
+                    value = here + hit[0]
+                    if value > score[to]:
+                        score[to], came[to] = value, (at, hit[1])
+                elif hit == 0:
+                    break
+                to += 1
+        ids: list[int] = []
+        at = n
+        while at:
+            before, piece = came[at]
+            ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(text[before:at].encode())]
+            at = before
+        return ids[::-1], score[n]
+
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Best scores from every overhang at the start of a chunk of ``size``
         characters to every overhang past its end; ``text`` looks on further."""
