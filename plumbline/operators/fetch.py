@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -59,11 +60,23 @@ def select_series(
 def series_in_dirs(series: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of the chosen series, and of the series directly in a chosen
     directory (not below it). ``chosen`` is the result of ``select_series``."""
-    files = chosen.where("type = 'f'").select(F.col("path").alias("series_id"))
-    dirs = chosen.where("type = 'd'").select(F.col("path").alias("parent_path"))
-    named = series.join(files, "series_id", "left_semi")
-    inside = series.join(files, "series_id", "left_anti").join(dirs, "parent_path", "left_semi")
-    return named.select(*series.columns).unionByName(inside.select(*series.columns))
+    names = series.select("series_id", "parent_path").distinct()
+    return series.join(chosen_ids(names, chosen), "series_id", "left_semi").select(*series.columns)
+
+
+def chosen_ids(names: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``series_id`` of the chosen series, each once. ``names`` has every
+    ``series_id, parent_path`` once."""
+    ways = F.array(
+        F.struct(F.lit("f").alias("type"), F.col("series_id").alias("path")),
+        F.struct(F.lit("d").alias("type"), F.col("parent_path").alias("path")),
+    )
+    reached = names.select("series_id", F.inline(ways)).join(chosen, ["type", "path"], "left_semi")
+    return reached.select("series_id").distinct()
+
+
+#: Range ends that mean the last timestamp.
+OPEN_ENDS = ("none", "", "last")
 
 
 def fetch_range(
@@ -81,12 +94,17 @@ def fetch_range(
     """Rows with ``start < ts <= end``.
 
     Without an end (None, ``none``, ``last`` or empty) it is the last timestamp
-    of the first series by name. ``steps`` > 1 reads at a coarser resolution.
+    of the first series by name. ``steps`` > 1 reads at a coarser resolution: the
+    range then covers whole slots, and the columns that describe a series stay.
     """
-    if end is None or str(end).lower() in ("none", "", "last"):
+    span = steps * step
+    if steps > 1:
+        start = start // span * span
+        end = end if end is None or str(end).lower() in OPEN_ENDS else -(-int(end) // span) * span
+    if end is None or str(end).lower() in OPEN_ENDS:
         per_series = series.groupBy(key).agg(F.max("ts").alias("__last"))
         first = F.coalesce(F.min_by("__last", key), F.lit(default).cast("long"))
-        limit = per_series.agg(first).scalar()
+        limit = per_series.agg(first if steps == 1 else (F.ceil(first / F.lit(span)) * span).cast("long")).scalar()
     else:
         limit = F.lit(int(end))
     rows = series.where((F.col("ts") > start) & (F.col("ts") <= limit))
@@ -94,7 +112,8 @@ def fetch_range(
         rows = rows.where((F.col("snapshot") > start) & (F.col("snapshot") <= limit))
     if steps == 1:
         return rows
-    return consolidate(rows, list(values), cf, xff, steps, step, keys=[key])
+    described = [c for c in ("parent_path", "depth", "node_type") if c in series.columns]
+    return consolidate(rows, list(values), cf, xff, steps, step, keys=[key, *described])
 
 
 def long_form(
@@ -111,23 +130,33 @@ def header(series_id: Column, counter: Column) -> Column:
     return F.concat(decanonize_name(series_id), F.lit('["'), counter, F.lit('"]'))
 
 
-def wide_view(
-    points: DataFrame, headers: Sequence[str] | None = None, max_columns: int = 1000
-) -> DataFrame:
+def titled(points: DataFrame) -> DataFrame:
+    """The view in long form: ``TIME, title, value`` for any number of series."""
+    title = header(F.col("series_id"), F.col("counter"))
+    return points.select(F.col("ts").alias("TIME"), "series_id", "counter", title.alias("title"), "value")
+
+
+def wide_view(points: DataFrame, headers: Sequence[str] | None = None) -> DataFrame:
     """One row per ``TIME`` and one column per series and counter.
 
-    Rows are aligned on time. Without explicit ``headers`` the distinct ones
-    are read first; more than ``max_columns`` is an error, never a cut.
+    Columns are told apart by series and counter, which the driver reads once;
+    a title that two series share is told apart by the stored name. ``headers``
+    chooses and orders the columns and must list every title. For more series
+    than a table has columns, take ``titled``.
     """
-    titled = points.select(
-        F.col("ts").alias("TIME"), header(F.col("series_id"), F.col("counter")).alias("__title"), "value"
-    )
+    rows = titled(points)
+    found = sorted(tuple(r) for r in rows.select("title", "series_id", "counter").distinct().collect())
+    shared = {a[0] for a, b in zip(found, found[1:]) if a[0] == b[0]}
+    named = {(f'{s}["{c}"]' if t in shared else t): (s, c) for t, s, c in found}
     if headers is None:
-        found = titled.select("__title").distinct().limit(max_columns + 1).collect()
-        if len(found) > max_columns:
-            raise ValueError(f"more than {max_columns} columns: select fewer series or counters")
-        headers = sorted(row[0] for row in found)
-    return titled.groupBy("TIME").pivot("__title", list(headers)).agg(F.max("value"))
+        headers = list(named)
+    missing = sorted(set(named).difference(headers))
+    if missing:
+        raise ValueError(f"{len(missing)} titles are not in headers: {', '.join(missing[:10])}")
+    pair = F.to_json(F.array("series_id", "counter"))
+    keys = {h: json.dumps(named.get(h, (h, "")), separators=(",", ":"), ensure_ascii=False) for h in headers}
+    wide = rows.withColumn("__pair", pair).groupBy("TIME").pivot("__pair", list(keys.values())).agg(F.max("value"))
+    return wide.select("TIME", *[F.col("`" + k.replace("`", "``") + "`").alias(h) for h, k in keys.items()])
 
 
 def trim_trailing_unknown(
@@ -199,7 +228,3 @@ def series_kind(node_type: Column) -> Column:
     """``leaf`` for functions, ``package`` for files and packages."""
     return F.when(node_type == "item", "leaf").otherwise("package")
 
-
-def raw_name_kind(name: Column) -> Column:
-    """Kind by the shape of a raw name: optional scopes, then ``:`` and a line."""
-    return F.when(name.rlike(r"^(?:.*::)*:[0-9]+$"), "leaf").otherwise("package")

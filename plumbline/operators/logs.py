@@ -32,9 +32,10 @@ ORDER = ("file", "block", "line_no")
 # Slots of one gap each per segment of a key when sessions are put together.
 SLOTS_PER_SEGMENT = 100_000
 
-NO_PREFIX = "priority prefix must start with '<'"
-OPEN_PREFIX = "priority prefix must be closed by '>'"
-BAD_TIME = "no valid timestamp"
+# Reasons of malformed lines.
+NO_PREFIX = "no_priority"
+OPEN_PREFIX = "open_priority"
+BAD_TIME = "bad_time"
 
 TIME_PREFIX = r"^([A-Za-z]{3}\s+\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2})"
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.operators.skew import key_maximum, previous_row, running_max
 from plumbline.schema import COUNTERS, EMPTY_STORE_TS, SERIES, STORE_START_TS
@@ -15,7 +16,7 @@ SEGMENT_WIDTH = 100_000
 # Seconds per duration suffix of a series definition.
 SUFFIX_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "M": 2678400, "y": 31622400}
 
-# The default store: one gauge per counter and one archive of snapshots.
+# Fixed values, the default store: one gauge per counter and one archive of snapshots.
 DEFAULT_DEFINITIONS = [f"DS:{counter}:GAUGE:1y:U:U" for counter in COUNTERS] + ["RRA:LAST:0.1:1:10000"]
 
 
@@ -96,14 +97,35 @@ def collect_init(
     return rows.join(known, "series_id", "left_anti").select(*SERIES.names)
 
 
-def append_series(rows: DataFrame, path: str) -> None:
-    """Write one snapshot into its own partition.
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """The stored series; a filter on ``snapshot`` prunes partitions. A store that
+    nothing was appended to yet is empty."""
+    try:
+        return spark.read.schema(SERIES).option("basePath", path).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        none = spark.createDataFrame([], SERIES)
+        return none.withColumn("snapshot", F.col("ts").cast("int"))
 
-    Rewriting a snapshot replaces only that partition, so a repeated run leaves
-    the same table; the rows are sorted by series to keep file statistics sharp.
+
+def append_series(rows: DataFrame, path: str, rerun: bool = False) -> None:
+    """Write snapshots, each into its own partition.
+
+    A snapshot that the store holds already is refused, so a collection that
+    took a wrong timestamp never overwrites history; ``rerun`` replaces the
+    partition on purpose, and leaves the same table when nothing changed. The
+    rows are sorted by series to keep file statistics sharp.
     """
+    if not rerun:
+        stored = read_series(rows.sparkSession, path)
+        taken = stored.join(rows.select(F.col("ts").alias("snapshot")).distinct(), "snapshot", "left_semi")
+        found = taken.select("snapshot").first()
+        if found:
+            raise ValueError(f"snapshot {found[0]} is stored already; say rerun=True to replace it")
+    typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in SERIES.fields])
     (
-        rows.withColumn("snapshot", F.col("ts"))
+        typed.withColumn("snapshot", F.col("ts"))
         .repartitionByRange("snapshot", "series_id")
         .sortWithinPartitions("snapshot", "series_id")
         .write.mode("overwrite")
@@ -155,13 +177,16 @@ def normalize_gauge(
 
     The value read at ``ts`` holds for every grid point after the previous
     sample up to ``ts``. An interval longer than the heartbeat, or a value out
-    of the limits, is unknown (NULL). Timestamps off the grid are floored.
+    of the limits, is unknown (NULL). Timestamps off the grid are floored; of
+    the samples of one step the last one counts, and of samples of one time the
+    one with the greatest values.
     Points that retention (``rows`` slots of ``steps`` points) would drop are
     never produced, which bounds the fan-out of one sample.
     """
     keys, values = list(keys), list(values)
-    grid = samples.select(*keys, _floor(F.col(ts), step).alias(ts), *values)
-    grid = grid.where(F.col(ts) > start)
+    grid = samples.select(*keys, _floor(F.col(ts), step).alias("__at"), F.struct(ts, *values).alias("__sample"))
+    grid = grid.where(F.col("__at") > start).groupBy(*keys, "__at").agg(F.max("__sample").alias("__sample"))
+    grid = grid.select(*keys, F.col("__at").alias(ts), *[F.col(f"__sample.{v}").alias(v) for v in values])
     width = width or SEGMENT_WIDTH * step
     prev = previous_row(grid, keys, ts, [ts], width, prefix="__prev_", last_order="__max")
     prev = prev.withColumn("__prev", F.coalesce(f"__prev_{ts}", F.lit(_floor_int(start, step))))

@@ -101,12 +101,26 @@ def leaf_params(
     )
 
 
+def root_package(nodes: DataFrame) -> str:
+    """The one package that holds all nodes; an error if there is no such package."""
+    tops = nodes.where("depth = 1").select("node_path", "node_type").distinct().limit(2).collect()
+    if len(tops) != 1 or tops[0]["node_type"] != "package":
+        found = ", ".join(f"{t['node_type']} {t['node_path']}" for t in tops) or "none"
+        raise ValueError(f"nodes need exactly one root package, found: {found}")
+    return tops[0]["node_path"]
+
+
 def component_counts(nodes: DataFrame, keys: Sequence[str] = (), error: int = 0) -> DataFrame:
-    """Number of package, file and item nodes, also as a JSON status document."""
+    """Number of package, file and item nodes, also as a JSON status document.
+
+    Nodes with an ``error`` column (from a report) give the status -1 if any of
+    them has one set.
+    """
     counts = [F.count_if(F.col("node_type") == t).alias(t) for t in NODE_TYPES]
-    counted = nodes.groupBy(*keys).agg(*counts)
-    document = F.struct(F.lit(error).alias("error"), F.struct(*NODE_TYPES).alias("statistic"))
-    return counted.withColumn("status", F.to_json(document))
+    failed = F.count("error") > 0 if "error" in nodes.columns else F.lit(False)
+    counted = nodes.groupBy(*keys).agg(*counts, F.when(failed, -1).otherwise(error).alias("__error"))
+    document = F.struct(F.col("__error").alias("error"), F.struct(*NODE_TYPES).alias("statistic"))
+    return counted.withColumn("status", F.to_json(document)).drop("__error")
 
 
 def to_counter_row(leaves: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

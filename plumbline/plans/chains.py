@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators import fetch, logs, series as store, tree, view as views
 from plumbline.operators.metrics import code_metrics, filter_metric_ranges
 from plumbline.plans.session import materialize
-from plumbline.schema import METRICS, NODES, SERIES, STORE_START_TS
+from plumbline.schema import METRICS, NODES, STORE_START_TS
 from plumbline.sources.files import EXCLUDED_GLOBS, SOURCE_REGEX, read_logs, read_sources, select_sources
 
 
@@ -98,26 +98,33 @@ def flamegraph(
     return views.flame_frames(folded, width, height, min_width)
 
 
-def tree_nodes(leaves: DataFrame, stats: DataFrame) -> DataFrame:
-    """All nodes of one snapshot with their counters."""
-    return tree.to_counter_row(leaves, stats)
+def tree_nodes(leaves: DataFrame, stats: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """All nodes with their counters, by snapshot if ``keep`` names its key."""
+    return tree.to_counter_row(leaves, stats, keep)
 
 
 def collect(
-    series: DataFrame, nodes: DataFrame, root: str, method: str = "update"
+    series: DataFrame, nodes: DataFrame, root: str | None = None, method: str = "update"
 ) -> tuple[DataFrame, DataFrame]:
     """(rows to append to the store, status document) of one snapshot.
 
     ``update`` appends a row for every node, ``init`` only for new nodes. Nodes
-    come from ``tree_nodes`` or from ``flatten_report``.
+    come from ``tree_nodes`` or from ``flatten_report``; they must lie below one
+    package, which ``root`` may name as a check, and whose last snapshot gives
+    the time of this one. Nodes of malformed reports are left out and the status
+    says so. The nodes are stored once, as rows, root and status read them.
     """
     step = {"update": store.collect_update, "init": store.collect_init}[method]
-    return step(series, nodes.select(*NODES.names), root), tree.component_counts(nodes)
+    extra = [c for c in nodes.columns if c == "error"]
+    nodes = materialize(nodes.select(*NODES.names, *extra), "nodes")
+    sound = nodes.where("error IS NULL") if extra else nodes
+    found = tree.root_package(sound)
+    if root not in (None, found):
+        raise ValueError(f"the nodes lie below {found!r}, not {root!r}")
+    return step(series, sound.select(*NODES.names), found), tree.component_counts(nodes)
 
 
-def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """The stored series; a filter on ``snapshot`` prunes partitions."""
-    return spark.read.schema(SERIES).option("basePath", path).parquet(path)
+read_series = store.read_series
 
 
 def maintained(series: DataFrame, values: Sequence[str], spec: SeriesSpec = SeriesSpec()) -> DataFrame:
@@ -145,22 +152,41 @@ def selected(
     prune: bool = True,
     base: str = "store",
 ) -> DataFrame:
-    """Rows of the series a selection admits."""
-    return fetch.series_in_dirs(series, fetch.select_series(series, path, name, type, prune, base))
+    """Rows of the series a selection admits.
 
+    Globs are matched on the distinct names only, which one scan of two columns
+    gives; the store itself is read once.
+    """
+    names = materialize(series.select("series_id", "parent_path").distinct(), "names")
+    chosen = fetch.select_series(names, path, name, type, prune, base)
+    return series.join(fetch.chosen_ids(names, chosen), "series_id", "left_semi").select(*series.columns)
 
-def view_table(
+
+def view_points(
     series: DataFrame,
     counters: Sequence[str],
     start: int = STORE_START_TS,
     end: int | str | None = None,
-    headers: Sequence[str] | None = None,
+    cf: str = "AVERAGE",
+    steps: int = 1,
     **selection,
 ) -> DataFrame:
-    """The wide table of the selected series over a time range."""
-    rows = fetch.fetch_range(selected(series, **selection), start, end)
-    points = fetch.trim_trailing_unknown(fetch.long_form(rows, counters))
-    return fetch.wide_view(points, headers)
+    """The view in long form, one row per time, series and counter: for any number
+    of series. The selected rows are stored once, as range and trailing cut read
+    them too."""
+    chosen = selected(series, **selection)
+    # What lies before the range is not stored; its end may depend on the rows.
+    after = F.col("snapshot" if "snapshot" in series.columns else "ts") > start // steps * steps
+    rows = fetch.fetch_range(materialize(chosen.where(after), "selected"), start, end, cf, steps)
+    return fetch.trim_trailing_unknown(fetch.long_form(rows, counters))
+
+
+def view_table(
+    series: DataFrame, counters: Sequence[str], *args, headers: Sequence[str] | None = None, **options
+) -> DataFrame:
+    """The wide table of the selected series over a time range; takes what
+    ``view_points`` takes."""
+    return fetch.wide_view(view_points(series, counters, *args, **options), headers)
 
 
 def plot_table(
@@ -170,10 +196,16 @@ def plot_table(
     package_counters: str = fetch.PACKAGE_COUNTERS,
     leaf_counters: str = fetch.LEAF_COUNTERS,
     width: int | None = None,
+    cf: str = "AVERAGE",
+    steps: int = 1,
     **selection,
 ) -> DataFrame:
     """Plot data of the selected series over a time range."""
-    rows = fetch.fetch_range(selected(series, **selection), start, end)
+    chosen = selected(series, **selection)
+    if end is None or str(end).lower() in fetch.OPEN_ENDS:
+        # The end is read off the rows, so these are stored.
+        chosen = materialize(chosen, "selected")
+    rows = fetch.fetch_range(chosen, start, end, cf, steps)
     return fetch.plot_series(rows, package_counters, leaf_counters, width)
 
 

@@ -12,7 +12,8 @@ STAT_COLUMNS = [f"{m}_{s}" for s in ("mean", "median", "deviation") for m in MET
 
 NODE_TYPES = ["package", "file", "item"]
 
-# Snapshot counter of a store that holds nothing yet, and the start of a store.
+# Snapshot counter of a store that holds nothing yet, and the start
+# of a store.
 EMPTY_STORE_TS = 1701154261
 STORE_START_TS = 1701154260
 

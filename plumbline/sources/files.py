@@ -14,13 +14,19 @@ SOURCE_REGEX = r".*\.(hpp|cpp|c|h)"
 EXCLUDED_GLOBS = ("*buil*", "*thirdpart*")
 
 
-def read_sources(spark: SparkSession, root: str, path_glob: str | None = None) -> DataFrame:
-    """``path, content`` of all files below ``root``; paths are relative to it.
+def read_sources(
+    spark: SparkSession, root: str, path_glob: str | None = None, package: str | None = None
+) -> DataFrame:
+    """``path, content`` of all files below ``root``.
 
+    Paths start with ``package``, so that a project has one root package: the
+    name of the folder unless another is given, nothing if it is empty.
     ``path_glob`` (``*.cpp``, say) prunes files by name before they are opened.
     """
+    package = root.rstrip("/").rsplit("/", 1)[-1] if package is None else package
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=path_glob)
-    return files.select(relative_path(root).alias("path"), F.col("value").alias("content")).to(SOURCES)
+    path = F.concat(F.lit(f"{package}/" if package else ""), relative_path(root))
+    return files.select(path.alias("path"), F.col("value").alias("content")).to(SOURCES)
 
 
 def relative_path(root: str) -> Column:

@@ -256,9 +256,9 @@ base AS (
          'unit_tester_' || (user_id % 10) AS producer FROM events),
 owned AS (SELECT * FROM base WHERE kind NOT IN (2, 4)),
 parsed AS (
-  SELECT *, CASE kind WHEN 0 THEN 'priority prefix must start with ''<'''
-                      WHEN 1 THEN 'priority prefix must be closed by ''>'''
-                      WHEN 3 THEN 'no valid timestamp' END AS reason,
+  SELECT *, CASE kind WHEN 0 THEN 'no_priority'
+                      WHEN 1 THEN 'open_priority'
+                      WHEN 3 THEN 'bad_time' END AS reason,
          CASE event_type WHEN 'signup' THEN 'collected ' || n || ' items'
               WHEN 'view' THEN '===== ' || n || ' passed in 0.51s ====='
               WHEN 'click' THEN '= ' || n || ' failed, ' || m || ' passed in 2s ='

@@ -7,17 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.operators import fetch, series, tree
 from plumbline.plans import chains
 from plumbline.plans.session import materialize, new_folder
-from plumbline.schema import COUNTERS, SERIES
+from plumbline.schema import COUNTERS, METRICS, SERIES
 from plumbline.sources import sinks
 from plumbline.workload.inputs import (
     HOUR,
     LEAVES_SQL,
+    PARTS_SQL,
     SAMPLES_SQL,
     SERIES_START,
     STORED_SQL,
     customer_leaves,
+    part_sources,
     plain,
     samples,
+    stats_sql,
     stored_series,
     table,
 )
@@ -88,12 +91,24 @@ def q_append_series(spark, d):
     nodes = q_to_counter_row(spark, d).withColumnRenamed("node_path", "series_id")
     first = nodes.withColumn("ts", F.lit(FIRST_TS).cast("long")).select(*SERIES.names)
     second = first.where("node_type <> 'item'").withColumn("ts", F.col("ts") + 1)
-    for rows in (first, second, second):
+    for rows in (first, second):
         series.append_series(rows, folder)
+    series.append_series(second, folder, rerun=True)
     stored = chains.read_series(spark, folder)
-    return plain(fetch.fetch_range(stored, FIRST_TS - 1, FIRST_TS + 1).groupBy("node_type", "ts").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("mmcc").alias("mmcc")
-    ))
+    return plain(fetch.fetch_range(stored, FIRST_TS - 1, FIRST_TS + 1).select(*SERIES.names))
+
+
+def q_collect_series(spark, d):
+    """Three snapshots of a growing project, collected into a store that does not
+    exist at first."""
+    folder = new_folder(spark, "store")
+    for number in range(3):
+        parts = part_sources(spark, d).where(F.length("path") % 3 <= number)
+        project = parts.withColumn("path", F.concat(F.lit("project/"), "path"))
+        leaves, stats, _ = chains.statistic(project)
+        rows, _ = chains.collect(chains.read_series(spark, folder), chains.tree_nodes(leaves, stats))
+        series.append_series(rows, folder)
+    return plain(chains.read_series(spark, folder).select(*SERIES.names))
 
 
 def q_reject_stale(spark, d):
@@ -115,6 +130,16 @@ def _grid(rows: DataFrame) -> DataFrame:
     )
 
 
+def q_normalize_gauge_offgrid(spark, d):
+    """Raw events: several samples fall in one step, some at one time."""
+    raw = table(spark, d, "events").select(
+        F.concat("event_type", F.lit("/u"), F.col("user_id").cast("string")).alias("series_id"),
+        F.floor(F.unix_micros("ts") / 1_000_000).cast("long").alias("ts"),
+        "value",
+    )
+    return plain(_grid(raw))
+
+
 def q_consolidate(spark, d):
     rows = samples(spark, d)
     parts = [
@@ -152,23 +177,22 @@ def q_series_in_dirs(spark, d):
     s = stored_series(spark, d)
     dirs = fetch.select_series(s, "store/events/*", "*", type="d", prune=False)
     root = fetch.select_series(s, "store/*", "*", prune=True)
-    return plain(fetch.series_in_dirs(s, dirs.unionByName(root)).select("series_id", "ts", "mmcc", "tmcc"))
+    return plain(fetch.series_in_dirs(s, dirs.unionByName(root)).select("series_id", "ts", *COUNTERS))
 
 
 def q_fetch_range(spark, d):
-    s = stored_series(spark, d).where("node_type <> 'package'")
-    return plain(fetch.fetch_range(s, SERIES_START + 5 * DAY, "last").select("series_id", "ts", "sif", "lif"))
+    rows = fetch.fetch_range(stored_series(spark, d), SERIES_START + 5 * DAY, "last")
+    return plain(rows.select("series_id", "ts", *COUNTERS))
 
 
 def q_fetch_range_daily(spark, d):
     rows = fetch.fetch_range(
-        stored_series(spark, d), SERIES_START, 1706000400, "MAX", steps=24, step=HOUR, xff=1.0, values=["mmcc", "tmcc"]
+        stored_series(spark, d), SERIES_START, 1706000400, "MAX", steps=24, step=HOUR, xff=1.0
     )
     return plain(rows)
 
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
-HEADERS = [f'events/{t}["{c}"]' for t in TYPES for c in ("mmcc", "tmcc_median")]
 
 
 def _files(spark, d) -> DataFrame:
@@ -176,14 +200,13 @@ def _files(spark, d) -> DataFrame:
 
 
 def q_wide_view(spark, d):
-    points = fetch.long_form(_files(spark, d), ["mmcc", "tmcc_median"])
-    return plain(fetch.wide_view(points, HEADERS))
+    return plain(fetch.wide_view(fetch.long_form(_files(spark, d))))
 
 
 def q_view_table(spark, d):
     return plain(
         chains.view_table(
-            stored_series(spark, d), ["mmcc", "tmcc_median"], SERIES_START + DAY, path="store/events", type="d", prune=True
+            stored_series(spark, d), COUNTERS, SERIES_START + DAY, path="store/events", type="d", prune=True
         )
     )
 
@@ -191,10 +214,10 @@ def q_view_table(spark, d):
 def q_write_view_csv(spark, d):
     """The wide view through the CSV sink and back, one row per cell."""
     folder = new_folder(spark, "view")
-    sinks.write_view_csv(q_wide_view(spark, d), folder)
-    schema = ", ".join(["TIME bigint"] + [f"`{h}` double" for h in HEADERS])
-    back = spark.read.schema(schema).option("header", True).option("nullValue", "nan").option("escape", '"').csv(folder)
-    return plain(back.unpivot(["TIME"], [f"`{h}`" for h in HEADERS], "title", "value"))
+    table = q_wide_view(spark, d)
+    sinks.write_view_csv(table, folder)
+    back = spark.read.schema(table.schema).option("header", True).option("nullValue", "nan").option("escape", '"').csv(folder)
+    return plain(back.unpivot(["TIME"], [f"`{h}`" for h in table.columns[1:]], "title", "value"))
 
 
 def q_trim_trailing_unknown(spark, d):
@@ -230,22 +253,18 @@ def q_plot_table(spark, d):
 
 def q_series_kind(spark, d):
     s = stored_series(spark, d)
-    raw = F.concat(F.col("series_id"), F.when(F.col("depth") == 3, F.lit(":::12")).otherwise(F.lit("::f:12")))
-    return plain(
-        s.groupBy(fetch.series_kind(F.col("node_type")).alias("kind"), fetch.raw_name_kind(raw).alias("raw_kind")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-    )
+    kind = fetch.series_kind(F.col("node_type")).alias("kind")
+    return plain(s.groupBy("depth", kind).agg(F.count(F.lit(1)).alias("n")))
 
 
 def q_trend(spark, d):
-    points = fetch.long_form(stored_series(spark, d), ["mmcc", "lif"])
+    points = fetch.long_form(stored_series(spark, d))
     return plain(series.trend(points, width=100 * HOUR).select("series_id", "counter", "ts", "value", "delta", "direction"))
 
 
 def q_trend_summary(spark, d):
-    points = fetch.long_form(stored_series(spark, d), ["mmcc", "lif"])
-    return plain(series.trend_summary(series.trend(points, width=100 * HOUR)).drop("change"))
+    points = fetch.long_form(stored_series(spark, d))
+    return plain(series.trend_summary(series.trend(points, width=100 * HOUR)))
 
 
 QUERIES = {
@@ -257,8 +276,10 @@ QUERIES = {
     "collect_init": q_collect_init,
     "collect_status": q_collect_status,
     "append_series": q_append_series,
+    "collect_series": q_collect_series,
     "reject_stale": q_reject_stale,
     "normalize_gauge": q_normalize_gauge,
+    "normalize_gauge_offgrid": q_normalize_gauge_offgrid,
     "consolidate": q_consolidate,
     "retain_last": q_retain_last,
     "maintained": q_maintained,
@@ -296,7 +317,7 @@ grid AS (
 def _wide_columns() -> str:
     cells = []
     for t in TYPES:
-        for c in ("mmcc", "tmcc_median"):
+        for c in COUNTERS:
             name = f'events/{t}[""{c}""]'
             cells.append(f"round(max({c}) FILTER (WHERE series_id = 'events/{t}'), 6) AS \"{name}\"")
     return ", ".join(cells)
@@ -312,12 +333,13 @@ _PLOT = (
     "UNION ALL SELECT *, 'leaf', 2, 'lif', '0000FF', lif FROM s WHERE node_type = 'item')"
 )
 
-_TREND = """
+_LONG = " UNION ALL ".join(f"SELECT series_id, '{c}' AS counter, ts, {c} AS value FROM store" for c in COUNTERS)
+_TREND = f"""
 moves AS (
   SELECT series_id, counter, ts, value, value - lag(value) OVER (PARTITION BY series_id, counter ORDER BY ts) AS delta
-  FROM (SELECT series_id, 'mmcc' AS counter, ts, mmcc AS value FROM store
-        UNION ALL SELECT series_id, 'lif', ts, lif FROM store))
+  FROM ({_LONG}))
 """
+ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in COUNTERS)
 
 SQL = {
     "parse_series_spec": """
@@ -332,9 +354,14 @@ SELECT p_partkey, CASE WHEN ra THEN 'RRA:LAST:0.1:' || p_size || ':' || p_partke
 FROM (SELECT *, p_type = 'SMALL' AS ra, list_extract(['', 's', 'm', 'h', 'd', 'w', 'M', 'y'], p_size % 8 + 1) AS u,
              list_extract([1, 1, 60, 3600, 86400, 604800, 2678400, 31622400], p_size % 8 + 1) AS f FROM part)
 """,
-    "next_timestamp": f"WITH {CREDIT} SELECT CAST({FIRST_TS + 2} AS BIGINT) AS next_ts FROM leaves LIMIT 1",
+    "next_timestamp": f"""
+WITH {CREDIT}, stored AS (SELECT node_path, {FIRST_TS} + unnest([0, 1]) AS ts FROM up WHERE depth = 1)
+SELECT CAST(max(ts) + 1 AS BIGINT) AS next_ts FROM stored WHERE node_path = 'world'
+""",
     "next_timestamp_events": "SELECT CAST(floor(epoch_us(max(ts)) / 3600000000) * 3600 + 1 AS BIGINT) AS next_ts FROM events",
-    "next_timestamp_empty": "SELECT CAST(1701154262 AS BIGINT) AS next_ts",
+    "next_timestamp_empty": f"""
+WITH {STORED_SQL} SELECT CAST(coalesce(max(ts), 1701154261) + 1 AS BIGINT) AS next_ts FROM store WHERE series_id = 'unknown root'
+""",
     "collect_update": f"""
 SELECT node_path AS series_id, parent_path, depth, node_type, CAST({FIRST_TS + 2} AS BIGINT) AS ts, {COUNTER_LIST}
 FROM ({COUNTER_SQL})
@@ -348,8 +375,25 @@ FROM ({COUNTER_SQL}) WHERE node_path NOT IN (SELECT id FROM known)
     "collect_status": TREE_SQL["component_counts"],
     "append_series": f"""
 WITH n AS ({COUNTER_SQL})
-SELECT node_type, CAST({FIRST_TS} AS BIGINT) AS ts, count(*) AS n, round(sum(mmcc), 6) AS mmcc FROM n GROUP BY node_type
-UNION ALL SELECT node_type, {FIRST_TS + 1}, count(*), round(sum(mmcc), 6) FROM n WHERE node_type <> 'item' GROUP BY node_type
+SELECT node_path AS series_id, parent_path, depth, node_type, CAST({FIRST_TS} AS BIGINT) AS ts, {COUNTER_LIST} FROM n
+UNION ALL SELECT node_path, parent_path, depth, node_type, {FIRST_TS + 1}, {COUNTER_LIST} FROM n WHERE node_type <> 'item'
+""",
+    "collect_series": f"""
+WITH {PARTS_SQL}, k AS (
+  SELECT CAST(number AS BIGINT) AS number, 'project/' || path AS path, item, mmcc, tmcc, sif, lif
+  FROM watched, (SELECT unnest([0, 1, 2]) AS number) WHERE length(path) % 3 <= number),
+p AS (SELECT *, string_split(path, '/') AS parts FROM k),
+u AS (
+  SELECT number, array_to_string(parts[1:depth], '/') AS node_path, depth,
+         CASE WHEN depth = len(parts) THEN 'file' ELSE 'package' END AS node_type, mmcc, tmcc, sif, lif
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS depth FROM p)),
+s AS ({stats_sql('u', 'number, node_path, depth, node_type', METRICS)}),
+n AS (
+  SELECT number, node_path, depth, node_type, {', '.join(f'{m}_mean AS {m}' for m in METRICS)}, {', '.join(COUNTERS[4:])} FROM s
+  UNION ALL SELECT number, path || '/' || replace(item, ':', '+'), len(parts) + 1, 'item',
+         {', '.join(f'CAST({m} AS DOUBLE)' for m in METRICS)}, {', '.join(['NULL'] * 8)} FROM p)
+SELECT node_path AS series_id, regexp_replace(node_path, '/?[^/]*$', '') AS parent_path, CAST(depth AS BIGINT) AS depth,
+       node_type, {FIRST_TS} + number AS ts, {COUNTER_LIST} FROM n
 """,
     "reject_stale": """
 WITH u AS (SELECT 'u' || user_id AS series_id,
@@ -360,6 +404,14 @@ w AS (SELECT *, max(ts) OVER (PARTITION BY series_id ORDER BY arrival ROWS BETWE
 SELECT *, last_ts IS NULL OR ts > last_ts AS accepted FROM w
 """,
     "normalize_gauge": f"WITH {SAMPLES_SQL}, {GRID_SQL.format(maximum=100.0, rows=SLOTS)} SELECT * FROM grid",
+    "normalize_gauge_offgrid": f"""
+WITH raw AS (
+  SELECT event_type || '/u' || user_id AS series_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, value FROM events),
+samples AS (
+  SELECT series_id, sec // {HOUR} * {HOUR} AS ts, value FROM raw WHERE sec // {HOUR} * {HOUR} > {SERIES_START}
+  QUALIFY row_number() OVER (PARTITION BY series_id, sec // {HOUR} ORDER BY sec DESC, value DESC NULLS LAST) = 1),
+{GRID_SQL.format(maximum=100.0, rows=SLOTS)} SELECT * FROM grid
+""",
     "consolidate": f"""
 WITH {SAMPLES_SQL}, s AS (SELECT *, CAST(ceil(ts / {DAY}.0) * {DAY} AS BIGINT) AS slot FROM samples),
 g AS (SELECT series_id, slot AS ts, avg(value) AS a, min(value) AS lo, max(value) AS hi, arg_max(value, s.ts) AS l,
@@ -384,19 +436,20 @@ WHERE slot > top - {30 * 12 * HOUR}
 WITH {STORED_SQL} SELECT DISTINCT series_id AS path, 'f' AS type FROM store
 WHERE series_id LIKE 'events/%c%' AND regexp_matches(series_id, '[0-4]$')
 """,
-    "select_root": "SELECT 'events' AS path, 'f' AS type",
+    "select_root": f"WITH {STORED_SQL} SELECT DISTINCT series_id AS path, 'f' AS type FROM store WHERE parent_path = ''",
     "select_directories": f"""
 WITH {STORED_SQL} SELECT DISTINCT parent_path AS path, 'd' AS type FROM store
 WHERE regexp_extract(CASE parent_path WHEN '' THEN 'store' ELSE parent_path END, '([^/]*)$', 1) LIKE '%s%'
 """,
-    "series_in_dirs": f"WITH {STORED_SQL} SELECT series_id, ts, mmcc, tmcc FROM store WHERE depth IN (1, 3)",
+    "series_in_dirs": f"WITH {STORED_SQL} SELECT series_id, ts, {ROUNDED} FROM store WHERE depth IN (1, 3)",
     "fetch_range": f"""
-WITH {STORED_SQL} SELECT series_id, ts, sif, round(lif, 6) AS lif FROM store
-WHERE depth > 1 AND ts > {SERIES_START + 5 * DAY} AND ts <= (SELECT max(ts) FROM store WHERE series_id = 'events/click')
+WITH {STORED_SQL} SELECT series_id, ts, {ROUNDED} FROM store
+WHERE ts > {SERIES_START + 5 * DAY} AND ts <= (SELECT max(ts) FROM store WHERE series_id = 'events')
 """,
     "fetch_range_daily": f"""
-WITH {STORED_SQL} SELECT series_id, CAST(ceil(ts / {DAY}.0) * {DAY} AS BIGINT) AS ts, max(mmcc) AS mmcc, max(tmcc) AS tmcc
-FROM store WHERE ts > {SERIES_START} AND ts <= 1706000400 GROUP BY 1, 2
+WITH {STORED_SQL} SELECT series_id, parent_path, CAST(depth AS BIGINT) AS depth, node_type,
+       CAST(ceil(ts / {DAY}.0) * {DAY} AS BIGINT) AS ts, {', '.join(f'round(max({c}), 6) AS {c}' for c in COUNTERS)}
+FROM store WHERE ts > {SERIES_START // DAY * DAY} AND ts <= {-(-1706000400 // DAY) * DAY} GROUP BY 1, 2, 3, 4, 5
 """,
     "wide_view": f"WITH {STORED_SQL} SELECT ts AS \"TIME\", {_wide_columns()} FROM store WHERE depth = 2 GROUP BY ts",
     "view_table": f"""
@@ -406,12 +459,10 @@ GROUP BY ts
 """,
     "write_view_csv": f"""
 WITH {STORED_SQL}, times AS (SELECT DISTINCT ts FROM store WHERE depth = 2),
-cells AS (SELECT ts, series_id, mmcc, tmcc_median FROM store WHERE depth = 2),
-names AS (SELECT unnest({TYPES!r}) AS t)
-SELECT times.ts AS "TIME", 'events/' || t || '["mmcc"]' AS title, mmcc AS value
-FROM times CROSS JOIN names LEFT JOIN cells ON cells.ts = times.ts AND series_id = 'events/' || t
-UNION ALL SELECT times.ts, 'events/' || t || '["tmcc_median"]', round(tmcc_median, 6)
-FROM times CROSS JOIN names LEFT JOIN cells ON cells.ts = times.ts AND series_id = 'events/' || t
+cells AS ({_LONG}),
+names AS (SELECT DISTINCT series_id, counter FROM cells WHERE series_id IN (SELECT series_id FROM store WHERE depth = 2))
+SELECT times.ts AS "TIME", series_id || '["' || counter || '"]' AS title, round(value, 6) AS value
+FROM times CROSS JOIN names LEFT JOIN cells USING (ts, series_id, counter)
 """,
     "trim_trailing_unknown": f"""
 WITH {STORED_SQL}, p AS (
@@ -428,8 +479,8 @@ WITH {STORED_SQL}, s AS (
   FROM store WHERE depth > 1 AND ts > {SERIES_START} AND ts <= {SERIES_START + 10 * DAY} GROUP BY 1, 2, 3) {_PLOT}
 """,
     "series_kind": f"""
-WITH {STORED_SQL} SELECT CASE depth WHEN 3 THEN 'leaf' ELSE 'package' END AS kind,
-       CASE depth WHEN 3 THEN 'leaf' ELSE 'package' END AS raw_kind, count(*) AS n FROM store GROUP BY ALL
+WITH {STORED_SQL} SELECT CAST(depth AS BIGINT) AS depth, CASE depth WHEN 3 THEN 'leaf' ELSE 'package' END AS kind,
+       count(*) AS n FROM store GROUP BY ALL
 """,
     "trend": f"""
 WITH {STORED_SQL}, {_TREND}
@@ -439,6 +490,6 @@ FROM moves
     "trend_summary": f"""
 WITH {STORED_SQL}, {_TREND}
 SELECT series_id, counter, count(*) FILTER (WHERE delta > 0) AS ups, count(*) FILTER (WHERE delta < 0) AS downs,
-       CAST(coalesce(sum(sign(delta)), 0) AS BIGINT) AS balance FROM moves GROUP BY ALL
+       CAST(coalesce(sum(sign(delta)), 0) AS BIGINT) AS balance, round(sum(delta), 6) AS change FROM moves GROUP BY ALL
 """,
 }

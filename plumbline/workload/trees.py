@@ -196,7 +196,7 @@ def q_read_sources(spark, d):
     folder = new_folder(spark, "sources")
     texts = part_sources(spark, d).withColumn("dir", F.substring_index("path", "/", 1))
     texts.select("dir", "content").write.partitionBy("dir").text(folder)
-    leaves = metrics.code_metrics(read_sources(spark, folder))
+    leaves = metrics.code_metrics(read_sources(spark, folder, package=""))
     kind = F.regexp_extract("path", "^dir=([^/]*)/", 1)
     name = F.substring_index("item", ":", 1)
     return plain(leaves.select(kind.alias("kind"), name.alias("name"), *METRICS))

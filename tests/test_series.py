@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from plumbline.operators import fetch, series, tree
 from plumbline.plans import chains
-from plumbline.schema import COUNTERS, METRICS, SERIES
+from plumbline.schema import COUNTERS, METRICS, NODES, SERIES
 
 
 def leaves_of(spark, data):
@@ -54,7 +54,9 @@ def test_collect_over_three_snapshots(spark, tmp_path):
     added, _ = chains.collect(stored, nodes_of(spark, SECOND), "r")
     assert rows(added.select("ts").distinct()) == [(1701154263,)] and added.count() == 6
     series.append_series(added, path)
-    series.append_series(added, path)  # a repeated run changes nothing
+    with pytest.raises(ValueError, match="stored already"):
+        series.append_series(added, path)
+    series.append_series(added, path, rerun=True)  # a repeated run changes nothing
 
     stored = chains.read_series(spark, path)
     assert stored.count() == 10
@@ -175,8 +177,16 @@ def test_view_table(spark):
     only = chains.view_table(store, ["lif"], 0, 14, path="store/*", type="f", prune=False)
     assert sorted(r.TIME for r in only.collect()) == [11, 12]  # unknown tail dropped
     assert 'r/x.c/f+1["lif"]' in only.columns
-    with pytest.raises(ValueError):
-        fetch.wide_view(fetch.long_form(store, ["lif"]), max_columns=2)
+    with pytest.raises(ValueError, match="not in headers"):
+        fetch.wide_view(fetch.long_form(store, ["lif"]), ['r["lif"]'])
+
+
+def test_series_of_one_title_stay_apart(spark):
+    points = spark.createDataFrame(
+        [("a/b", "lif", 1, 1.0), ("a%slash%b", "lif", 1, 2.0)], "series_id string, counter string, ts long, value double")
+    wide = fetch.wide_view(points)
+    assert sorted(v for c, v in wide.first().asDict().items() if c != "TIME") == [1.0, 2.0]
+    assert fetch.titled(points).count() == 2
 
 
 def test_trim_keeps_unknown_rows_inside(spark):
@@ -199,10 +209,28 @@ def test_plot_series(spark):
         fetch.parse_counters("nonsense:FFFFFF")
 
 
-def test_kinds(spark):
-    df = spark.createDataFrame([("ns:::12",), (":7",), ("f:12",), ("dir",)], "n string")
-    assert rows(df, "n", fetch.raw_name_kind(F.col("n"))) == [
-        (":7", "leaf"), ("dir", "package"), ("f:12", "package"), ("ns:::12", "leaf")]
+def test_a_step_keeps_its_last_sample(spark):
+    samples = spark.createDataFrame(
+        [("s", 7200, 2.0), ("s", 7300, 50.0), ("s", 9000, 99.0), ("s", 9000, 98.0)], "series_id string, ts long, value double")
+    grid = series.normalize_gauge(samples, ["value"], start=3600, step=3600)
+    assert rows(grid, "ts", "value") == [(7200, 99.0)]
+
+
+def test_nodes_need_one_root(spark, tmp_path):
+    nodes = nodes_of(spark, FIRST).unionByName(nodes_of(spark, [("other/x.c", "f:1", 1, 1, 1, 1)]))
+    with pytest.raises(ValueError, match="exactly one root"):
+        chains.collect(empty(spark), nodes)
+    with pytest.raises(ValueError, match="not 'project'"):
+        chains.collect(empty(spark), nodes_of(spark, FIRST), root="project")
+    assert chains.read_series(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_malformed_report_is_no_series(spark):
+    good = nodes_of(spark, FIRST).withColumn("error", F.lit(None).cast("string"))
+    bad = spark.createDataFrame([(None,) * 16], NODES).withColumn("error", F.lit("broken"))
+    added, status = chains.collect(empty(spark), good.unionByName(bad))
+    assert added.where("series_id IS NULL").count() == 0 and added.count() == 4
+    assert status.first().status.startswith('{"error":-1,')
 
 
 def test_trend(spark):

@@ -31,7 +31,8 @@ def tree_folder(tmp_path):
 
 
 def test_read_and_select_sources(spark, tree_folder):
-    sources = files.read_sources(spark, tree_folder)
+    assert files.read_sources(spark, tree_folder).where("path LIKE 'project/%'").count() == 6
+    sources = files.read_sources(spark, tree_folder, package="")
     assert sources.count() == 6
     kept = files.select_sources(sources)
     assert rows(kept, "path") == [("main.cpp",), ("src/deep/bar.c",), ("src/foo.cpp",)]
