@@ -1,8 +1,8 @@
 """Per-function counts of one C/C++ source text.
 
-A lexical helper for the corpus job in ``operators.metrics``: it does not
-preprocess, so both branches of a conditional directive are read, and old-style
-parameter declarations between signature and body are not recognised.
+A lexical helper for the corpus job in ``operators.metrics``. It does not
+preprocess: of a conditional directive the first branch is read, whatever its
+condition, so that braces match.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ OPAQUE = re.compile(
     """,
     re.X | re.S | re.M,
 )
+DIRECTIVE = re.compile(r"[ \t]*#\s*(if|el|endif)")
+CATCH = re.compile(r"\s*catch\s*\([^()]*\)\s*\{")
 HEAD_TOKEN = re.compile(r"[A-Za-z_]\w*|::|->|[=!<>]=|&&|\|\||\d[\w.]*|[^\w\s]")
 BODY_TOKEN = re.compile(r"\b(?:if|for|while|switch|case)\b|&&|\|\||[?;()]")
 BRACE = re.compile(r"[{}]")
@@ -29,56 +31,98 @@ BREAK = re.compile(r"[{};]")
 DECISIONS = {"if", "for", "while", "&&", "||", "?"}
 HEADERS = {"if", "for", "while", "switch"}
 SCOPES = {"namespace", "class", "struct", "union", "enum"}
+NO_FUNCTIONS = SCOPES | {"catch"}
 NOT_A_NAME = {"__attribute__", "__declspec", "__asm__", "alignas", "decltype", "noexcept", "throw", "requires"}
 ACCESS = re.compile(r"\s*(?:public|private|protected)\s*:(?!:)")
 WORD = re.compile(r"[A-Za-z_]\w*\Z")
 
 
-def function_metrics(text: str) -> Iterator[tuple[str, int, int, int, int, int]]:
-    """Yields (name, first line, mmcc, tmcc, sif, lif) of every function body."""
-    code = OPAQUE.sub(_blank, text)
+def function_metrics(text: str) -> Iterator[tuple[str, int, int, int, int, int, bool]]:
+    """Yields (name, first line, mmcc, tmcc, sif, lif, incomplete) of every function.
+
+    ``incomplete`` says that the body is never closed and took the rest of the
+    text.
+    """
+    code = _code(text)
     line, counted = 1, 0
     start = pos = 0
     while (found := BREAK.search(code, pos)) is not None:
         pos = found.end()
+        head_text = code[start : found.start()]
         if found.group() != "{":
-            start = pos
+            if found.group() != ";" or not _declares_parameters(HEAD_TOKEN.findall(head_text)):
+                start = pos
             continue
-        head_text = code[start : found.start()]
         while (access := ACCESS.match(head_text)) is not None:
             start += access.end()
             head_text = head_text[access.end() :]
         head = HEAD_TOKEN.findall(head_text)
         name = _function_name(head)
-        if name is not None and _is_member_init(head):
-            pos = _closing(code, pos)
+        if head.count("(") > head.count(")") or name is not None and _is_member_init(head):
+            # A default argument, or the value of a member.
+            pos, _ = _closing(code, pos)
         elif name is not None:
-            end = _closing(code, pos)
+            end, closed = _closing(code, pos)
+            while "try" in head and (handler := CATCH.match(code, end)) is not None:
+                end, closed = _closing(code, handler.end())
             first = start + len(head_text) - len(head_text.lstrip())
             line, counted = line + code.count("\n", counted, first), first
-            yield (name, line, *_count(code[pos : end - 1]), code.count("\n", first, end) + 1)
+            body = code[pos : end - 1 if closed else end]
+            yield (name, line, *_count(body), code.count("\n", first, end) + 1, not closed)
             start = pos = end
         elif "=" in head:
-            pos = _closing(code, pos)
+            pos, _ = _closing(code, pos)
         else:
             start = pos
 
 
-def _blank(match: re.Match) -> str:
-    """Nothing but the line breaks, and an empty literal for a literal."""
-    breaks = "\n" * match.group().count("\n")
-    return (" " if match.group("blank") is not None else '""') + breaks
+def _code(text: str) -> str:
+    """The text without comments, directives and contents of literals, and with
+    the first branch of every condition only. Line breaks stay."""
+    parts, pos, depth, skipped = [], 0, 0, 0
+    for match in OPAQUE.finditer(text):
+        plain, opaque = text[pos : match.start()], match.group()
+        breaks = "\n" * opaque.count("\n")
+        if skipped:
+            parts += ["\n" * plain.count("\n"), breaks]
+        else:
+            parts += [plain, " " if match.group("blank") is not None else '""', breaks]
+        pos = match.end()
+        directive = DIRECTIVE.match(opaque)
+        if directive is None or match.group("blank") is None:
+            continue
+        if directive.group(1) == "if":
+            depth += 1
+        elif depth and directive.group(1) == "el":
+            skipped = skipped or depth
+        elif depth:
+            skipped = 0 if skipped == depth else skipped
+            depth -= 1
+    rest = text[pos:]
+    return "".join([*parts, "\n" * rest.count("\n") if skipped else rest])
+
+
+def _declares_parameters(head: list[str]) -> bool:
+    """Whether ``head`` ends in an old-style declaration of a parameter: names in
+    the parentheses, and types for them between these and the body."""
+    opens = _parameter_list(head)
+    if opens < 1 or ")" not in head[opens:]:
+        return False
+    closes = head.index(")", opens)
+    names = {t for t in head[opens + 1 : closes] if t != ","}
+    declared = [t for t in head[closes + 1 :] if t not in ("[", "]")]
+    return len(declared) > 1 and all(map(WORD.match, names)) and WORD.match(declared[0]) is not None and declared[-1] in names
 
 
-def _closing(code: str, pos: int) -> int:
-    """Position after the brace that closes the one before ``pos``; the end of
-    the text if it is never closed."""
+def _closing(code: str, pos: int) -> tuple[int, bool]:
+    """Position after the brace that closes the one before ``pos``, and whether
+    there is one; else the end of the text."""
     depth = 1
     for brace in BRACE.finditer(code, pos):
         depth += 1 if brace.group() == "{" else -1
         if depth == 0:
-            return brace.end()
-    return len(code)
+            return brace.end(), True
+    return len(code), False
 
 
 def _parameter_list(head: list[str]) -> int:
@@ -99,15 +143,23 @@ def _parameter_list(head: list[str]) -> int:
 
 
 def _operator_at(head: list[str], j: int) -> int | None:
-    """Index of the ``operator`` keyword whose symbol ends right before ``j``."""
-    for k in range(j - 1, max(j - 5, -1), -1):
+    """Index of the ``operator`` keyword whose symbol or type ends right before ``j``."""
+    for k in range(j - 1, max(j - 10, -1), -1):
         if head[k] == "operator":
             return k if k < j - 1 else None
-        if WORD.match(head[k]) and head[k] not in ("new", "delete"):
+        if head[k] in (";", "=", "{", "}") and k < j - 2:
             return None
     return None
 
 
+def _spelled(tokens: list[str]) -> str:
+    """Tokens with a blank where two words meet."""
+    parts: list[str] = []
+    for before, token in zip(["", *tokens], tokens):
+        parts += [" ", token] if WORD.match(before) and WORD.match(token) else [token]
+    return "".join(parts)
+
+
 def _function_name(head: list[str]) -> str | None:
     j = _parameter_list(head)
     if j < 1:
@@ -118,8 +170,8 @@ def _function_name(head: list[str]) -> str | None:
         k -= 1
     while k > 1 and head[k - 1] == "::" and WORD.match(head[k - 2]):
         k -= 2
-    name = "".join(head[k:j])
-    return None if name in SCOPES else name
+    name = _spelled(head[k:j])
+    return None if name in NO_FUNCTIONS else name
 
 
 def _is_member_init(head: list[str]) -> bool:

@@ -12,24 +12,28 @@ from plumbline.functions.source_text import function_metrics
 from plumbline.schema import LEAVES, METRICS
 
 
-def code_metrics(sources: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def code_metrics(sources: DataFrame, keep: Sequence[str] = (), incomplete: bool = False) -> DataFrame:
     """One row per function of every source text.
 
     Input ``path, content`` plus the ``keep`` columns (a snapshot id, say), which
     are repeated on the output rows. A file is read whole and independently of
     all others, so the job needs no shuffle: it runs where the scan put the
     file. The item name carries the first line, which keeps overloads apart.
+    ``incomplete`` adds a column of that name: the body is never closed, so the
+    function took the rest of its text.
     """
     keep = list(keep)
     schema = T.StructType([sources.schema[k] for k in keep] + LEAVES.fields)
+    if incomplete:
+        schema = T.StructType([*schema.fields, T.StructField("incomplete", T.BooleanType())])
     names = schema.names
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (*kept, path, f"{name}:{line}", line, mmcc, tmcc, sif, lif)
+                (*kept, path, f"{name}:{line}", line, *counts, *([opened] if incomplete else []))
                 for *kept, path, content in batch.itertuples(index=False)
-                for name, line, mmcc, tmcc, sif, lif in function_metrics(content)
+                for name, line, *counts, opened in function_metrics(content)
             ]
             yield pd.DataFrame(rows, columns=names)
 

@@ -153,16 +153,20 @@ def global_prefix_sum(
     return joined.withColumn(name, total).select(*df.columns, name)
 
 
-def value_histogram(df: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
-    """Distinct values per key with their counts: the only pass over the rows.
-    Partial aggregation happens before the shuffle and a hot key is spread
-    over its values."""
-    kept = df.where(F.col(value).isNotNull())
-    return kept.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(count))
+def value_histogram(
+    df: DataFrame, keys: Sequence[str], value: str, count: str, weight: str | None = None
+) -> DataFrame:
+    """Distinct known values per key with their counts: the only pass over the
+    rows. Partial aggregation happens before the shuffle and a hot key is spread
+    over its values. NULL and NaN are unknown. ``weight`` counts a row so often."""
+    known = F.col(value).isNotNull()
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        known = known & ~F.isnan(value)
+    return df.where(known).groupBy(*keys, value).agg(F.sum(weight if weight else F.lit(1)).alias(count))
 
 
 def integer_distribution(
-    df: DataFrame, keys: Sequence[str], value: str, placed_by: Sequence[str] | None = None
+    df: DataFrame, keys: Sequence[str], value: str, placed_by: Sequence[str] | None = None, weight: str | None = None
 ) -> DataFrame:
     """Exact count, mean, median and population deviation of integers per key.
 
@@ -172,7 +176,7 @@ def integer_distribution(
     chooses the partitioning, so that a later grouping by it needs no shuffle.
     """
     keys = list(keys)
-    hist = value_histogram(df, keys, value, "__n").repartition(*(placed_by or keys))
+    hist = value_histogram(df, keys, value, "__n", weight).repartition(*(placed_by or keys))
     whole = Window.partitionBy(*keys)
     n, v = F.col("__n"), F.col(value)
     total, mean = F.col("__total"), F.col("__mean")
@@ -190,76 +194,42 @@ def integer_distribution(
     )
 
 
-def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def distribution(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Exact count, mean, median and population deviation of doubles per key.
 
-    The median is found by narrowing instead of ordering a key's values: values
-    fall into buckets by a monotone logarithmic scale, the buckets that hold the
-    middle ranks are located from the bucket counts, split once more the same
-    way, and only the distinct values of one fine bucket are ordered. The
-    deviation is summed around bucket centres and re-centred on the mean, which
-    avoids cancellation. The distinct values are stored once, as the narrowing
-    reads them again.
+    The distinct values are sorted over range partitions, so a key with many of
+    them spans many partitions whatever their spacing. A partition and key give
+    one row of subtotals, and these rows tell where the middle ranks are and are
+    merged into mean and deviation without cancellation. Sampled range bounds
+    change when they are recomputed, so the sorted values are written once.
     """
     keys = list(keys)
-    v = F.col(value).cast("double")
-    scale = F.signum(v) * F.log1p(F.abs(v)) * F.lit(1024.0)
-    hist = value_histogram(df, keys, value, "__n").select(
-        *keys,
-        "__n",
-        v.alias("__v"),
-        F.floor(scale).cast("long").alias("__b"),
-        F.floor((scale - F.floor(scale)) * 4096).cast("int").alias("__b2"),
+    hist = value_histogram(df, keys, value, "__n", weight).withColumn("__v", F.col(value).cast("double"))
+    placed = hist.select(*keys, "__n", "__v").repartitionByRange(*keys, "__v")
+    placed = materialize(placed.withColumn("__part", F.spark_partition_id()), "values")
+    inside = Window.partitionBy("__part", *keys)
+    n, v, centre = F.col("__n"), F.col("__v"), F.sum(F.col("__n") * F.col("__v")).over(inside) / F.sum("__n").over(inside)
+    ahead = F.coalesce(F.sum("__n").over(inside.orderBy("__v").rowsBetween(*EARLIER)), F.lit(0))
+    ranked = placed.withColumn("__centre", centre).withColumn("__ahead", ahead)
+    parts = ranked.groupBy("__part", *keys).agg(
+        F.sum("__n").alias("__pn"),
+        F.max("__centre").alias("__pc"),
+        F.sum(n * (v - F.col("__centre")) * (v - F.col("__centre"))).alias("__ps"),
     )
-    hist = materialize(hist, "values")
-
+    # One row for each partition that a key reaches into.
     whole = Window.partitionBy(*keys)
-    along = whole.orderBy("__b").rowsBetween(*EARLIER)
-    step = F.abs(F.col("__b") + F.lit(0.5)) / F.lit(1024.0)
-    centre = F.signum(F.col("__b") + F.lit(0.5)) * F.rint(F.expm1(step))
-    off = F.col("__v") - centre
-    mean = F.sum(F.col("__n") * F.col("__c") + F.col("__s1")).over(whole) / F.col("__total")
-    buckets = (
-        hist.groupBy(*keys, "__b")
-        .agg(
-            F.sum("__n").alias("__n"),
-            F.sum(F.col("__n") * off).alias("__s1"),
-            F.sum(F.col("__n") * off * off).alias("__s2"),
-        )
-        .withColumn("__c", centre)
-        .withColumn("__total", F.sum("__n").over(whole))
-        .withColumn("__mean", mean)
-        .withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))
-    )
-    shift = F.col("__c") - F.col("__mean")
-    squares = F.col("__s2") + 2 * shift * F.col("__s1") + F.col("__n") * shift * shift
-    middle = F.when(_holds_middle(F.col("__before"), F.col("__n"), F.col("__total")), F.col("__b"))
-    known = buckets.groupBy(*keys).agg(
-        F.max("__total").alias("__total"),
-        F.max("__mean").alias("__mean"),
-        F.sqrt(F.greatest(F.sum(squares) / F.max("__total"), F.lit(0.0))).alias("__deviation"),
-        F.min(middle).alias("__low"),
-        F.max(middle).alias("__high"),
-        F.min(F.when(middle.isNotNull(), F.col("__before"))).alias("__before_low"),
-        F.max(F.when(middle.isNotNull(), F.col("__before"))).alias("__before_high"),
-    )
-    # Two middle ranks lie in one bucket or in two neighbouring ones.
-    ends = F.array(
-        F.struct(F.col("__low").alias("__b"), F.col("__before_low").alias("__before")),
-        F.struct(F.col("__high").alias("__b"), F.col("__before_high").alias("__before")),
-    )
-    ends = F.when(F.col("__low") == F.col("__high"), F.slice(ends, 1, 1)).otherwise(ends)
-    found = known.select(*keys, "__total", "__mean", "__deviation", F.inline(ends))
-    inner = join_whole(hist, found, [*keys, "__b"])
-    fine = _narrow(inner, [*keys, "__b"], "__b2")
-    along = Window.partitionBy(*keys, "__b", "__b2").orderBy("__v").rowsBetween(*EARLIER)
-    ahead = F.col("__before") + F.coalesce(F.sum("__n").over(along), F.lit(0))
-    last = fine.withColumn("__ahead", ahead)
-    last = last.where(_holds_middle(F.col("__ahead"), F.col("__n"), F.col("__total")))
-    return last.groupBy(*keys).agg(
+    size, mean = F.sum("__pn").over(whole), F.sum(F.col("__pn") * F.col("__pc")).over(whole) / F.sum("__pn").over(whole)
+    before = F.coalesce(F.sum("__pn").over(whole.orderBy("__part").rowsBetween(*EARLIER)), F.lit(0))
+    parts = parts.withColumns({"__total": size, "__mean": mean, "__before": before})
+    off = F.col("__pc") - F.col("__mean")
+    parts = parts.withColumn("__square", F.sum(F.col("__ps") + F.col("__pn") * off * off).over(whole))
+    held = parts.where(_holds_middle(F.col("__before"), F.col("__pn"), F.col("__total")))
+    middle = join_whole(ranked, held, ["__part", *keys])
+    middle = middle.where(_holds_middle(F.col("__before") + F.col("__ahead"), n, F.col("__total")))
+    return middle.groupBy(*keys).agg(
         F.max("__total").alias("n"),
         F.max("__mean").alias("mean"),
-        F.max("__deviation").alias("deviation"),
+        F.sqrt(F.max(F.col("__square") / F.col("__total"))).alias("deviation"),
         ((F.min("__v") + F.max("__v")) / 2).alias("median"),
     )
 
@@ -270,19 +240,6 @@ def _holds_middle(before: Column, n: Column, total: Column) -> Column:
     return (before < high) & (before + n >= low)
 
 
-def _narrow(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
-    """Keep the rows of the ``part`` values that hold a middle rank."""
-    along = Window.partitionBy(*keys).orderBy(part).rowsBetween(*EARLIER)
-    parts = rows.groupBy(*keys, part).agg(
-        F.sum("__n").alias("__pn"), F.max("__before").alias("__pb"), F.max("__total").alias("__pt")
-    )
-    ahead = F.coalesce(F.sum("__pn").over(along), F.lit(0))
-    parts = parts.withColumn("__pb", F.col("__pb") + ahead)
-    found = parts.where(_holds_middle(F.col("__pb"), F.col("__pn"), F.col("__pt")))
-    joined = join_whole(rows, found.select(*keys, part, "__pb"), [*keys, part])
-    return joined.withColumn("__before", F.col("__pb")).drop("__pb")
-
-
 def salted_left_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, salts: int = 32
 ) -> DataFrame:

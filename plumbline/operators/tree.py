@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.naming import canonize_name, canonize_path, prefix, separators, tidy_path
-from plumbline.operators.skew import distribution, integer_distribution, salted_left_join
+from plumbline.operators.skew import distribution, integer_distribution, salted_left_join, value_histogram
 from plumbline.schema import COUNTERS, METRICS, NODE_TYPES, NODES
 
 
@@ -44,18 +44,21 @@ def rollup_stats(
     """Mean, median and deviation of the metrics of all leaves below each node.
 
     The root holds every leaf, so nothing is collected per node: the leaves are
-    reduced to counts per (node, metric, value) before the shuffle and the
-    exact statistics come from those counts. Code metrics are integers; for
-    measures that are not, say ``exact_integers=False``.
+    reduced to counts per (file, metric, value), those are repeated for the nodes
+    above and summed, and the exact statistics come from the sums. Code metrics
+    are integers; for measures that are not, say ``exact_integers=False``.
     """
     keys, metrics = list(keys), list(metrics)
     node = [*keys, "node_path", "depth", "node_type"]
-    rows = explode_ancestors(leaves.select(*keys, path_col, *metrics), path_col)
-    long = rows.unpivot(node, metrics, "metric", "value")
+    # Any name stands for the leaves of a file.
+    file = F.regexp_replace(tidy_path(path_col), "/[^/]*$", "/-").alias("__file")
+    long = leaves.select(*keys, file, *metrics).unpivot([*keys, "__file"], metrics, "metric", "value")
+    counts = value_histogram(long, [*keys, "__file", "metric"], "value", "__count")
+    rows = explode_ancestors(counts, "__file").select(*node, "metric", "value", "__count")
     if exact_integers:
-        stats = integer_distribution(long, [*node, "metric"], "value", placed_by=node)
+        stats = integer_distribution(rows, [*node, "metric"], "value", placed_by=node, weight="__count")
     else:
-        stats = distribution(long, [*node, "metric"], "value")
+        stats = distribution(rows, [*node, "metric"], "value", weight="__count")
 
     def pick(metric: str, stat: str):
         return F.max(F.when(F.col("metric") == metric, F.col(stat)))

@@ -33,8 +33,9 @@ def test_ranges_and_columns_reach_the_scan(leaves):
 def test_statistics_scan_once_and_shuffle_reduced_rows(leaves):
     plan = plan_of(tree.rollup_stats(leaves))
     assert plan.count("FileScan") == 1
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert "c_acctbal" not in plan and "partial_count" in plan
+    # Counts by file, by node, and the statistics of a node.
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert "c_acctbal" not in plan and "partial_sum" in plan
 
 
 def test_stale_check_shuffles_rows_once(spark):

@@ -80,6 +80,32 @@ def test_distributions(spark, doubles):
         assert found[key].deviation == pytest.approx(statistics.pstdev(values), rel=1e-7, abs=1e-7)
 
 
+@pytest.mark.parametrize("base, step", [(0.0, 1e-12), (1.7e9, 1e-4)])
+def test_close_values_of_one_key_spread_over_partitions(spark, base, step, monkeypatch):
+    """However close the values of a hot key are, no task orders all of them."""
+    sizes = []
+    written = skew.materialize
+
+    def watched(df, name):
+        stored = written(df, name)
+        sizes.extend(r[0] for r in stored.groupBy("__part").count().select("count").collect())
+        return stored
+
+    monkeypatch.setattr(skew, "materialize", watched)
+    values = [base + i * step for i in range(4001)]
+    df = spark.createDataFrame([("hot", v) for v in values], "k string, v double").repartition(4)
+    found = skew.distribution(df, ["k"], "v").first()
+    assert found.n == 4001 and found.median == values[2000]
+    assert found.deviation == pytest.approx(statistics.pstdev(values), rel=1e-5)
+    assert max(sizes) < 0.6 * sum(sizes)
+
+
+def test_unknown_values_are_left_out(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", float("nan")), ("a", 3.0)], "k string, v double")
+    found = skew.distribution(df, ["k"], "v").first()
+    assert (found.n, found.mean, found.median) == (2, 2.0, 2.0)
+
+
 def test_salted_left_join_keeps_all_rows(hot):
     small = hot.where("k <> 'k1'").groupBy("k").agg(F.max("v").alias("m"))
     expected = hot.join(small, "k", "left").select("k", "o", "m")

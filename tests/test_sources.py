@@ -73,12 +73,42 @@ def test_code_metrics_keeps_extra_columns(spark):
     ],
 )
 def test_counting_rules(text, expected):
-    assert [(name, m, t, s) for name, _, m, t, s, _ in function_metrics(text)] == expected
+    assert [(name, m, t, s) for name, _, m, t, s, *_ in function_metrics(text)] == expected
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("#if A\nint f(int a)\n{\n#else\nint f(long a)\n{\n#endif\n return a;\n}\nint g() { return 1; }", ["f", "g"]),
+        ("#ifdef A\n#if B\nint f() {\n#else\nint h() {\n#endif\n}\n#elif C\n}}}\n#else\n{{\n#endif\nint g() {}", ["f", "g"]),
+        ("int f(a, b) int a; char *b; { return a; } int g() { return 1; }", ["f", "g"]),
+        ("MACRO(a) int x; int g() { return 1; }", ["g"]),
+        ("void f(std::vector<int> v = {1, 2}, int w = 3) { if (w) go(); } int g() {}", ["f", "g"]),
+        ("int f() try { return 1; } catch (const E& e) { return 2; } catch (...) { if (x) y(); } int g() {}", ["f", "g"]),
+        ("struct S { operator bool() const { return 1; } operator const char*() { return 0; } };", ["operator bool", "operator const char*"]),
+        ("void* operator new(size_t n) { return m(n); } void operator delete[](void* p) { q(p); }", ["operator new", "operator delete[]"]),
+        ("S::operator std::string() { return s; } S& S::operator=(const S& o) { return *this; }", ["S::operator std::string", "S::operator="]),
+    ],
+)
+def test_names_of_all_functions(text, expected):
+    assert [name for name, *_ in function_metrics(text)] == expected
+
+
+def test_default_argument_and_handlers_count():
+    (f, *_), _ = function_metrics("void f(V v = {1, 2}, int w = 3) { if (w) go(); } int g() {}")
+    assert list(function_metrics("void f(V v = {1}) { if (w) go(); }"))[0][2:5] == (2, 2, 2)
+    assert list(function_metrics("int f() try { a(); } catch (...) { if (x) y(); }"))[0][2:5] == (2, 2, 3)
+
+
+def test_a_body_without_end_is_marked(spark):
+    texts = spark.createDataFrame([("a.c", "int f() { return 1; } int g() { if (x) {")], "path string, content string")
+    found = metrics.code_metrics(texts, incomplete=True)
+    assert rows(found, "item", "mmcc", "incomplete") == [("f:1", 1, False), ("g:1", 2, True)]
 
 
 def test_lines_of_later_functions():
     text = BAR + "\n\n" + FOO
-    assert [(name, line, lif) for name, line, _, _, _, lif in function_metrics(text)] == [("bar", 1, 4), ("foo", 7, 11)]
+    assert [(name, line, lif) for name, line, _, _, _, lif, _ in function_metrics(text)] == [("bar", 1, 4), ("foo", 7, 11)]
 
 
 def test_filter_metric_ranges(spark):
@@ -165,7 +195,7 @@ def test_deep_report(spark):
 
 
 def test_report_sinks(spark, tree_folder, tmp_path):
-    leaves, stats, params = chains.statistic(files.read_sources(spark, tree_folder))
+    leaves, stats, params = chains.statistic(files.read_sources(spark, tree_folder, package=""))
     entries = reports.report_entries(tree.to_counter_row(leaves, stats), params)
     reports.write_report(entries, str(tmp_path / "xml"))
     reports.write_report(entries, str(tmp_path / "json"), "json")
@@ -176,7 +206,7 @@ def test_report_sinks(spark, tree_folder, tmp_path):
 
 
 def test_view_sinks(spark, tree_folder, tmp_path):
-    folded = chains.view(files.read_sources(spark, tree_folder), attrs="mmcc,lif")
+    folded = chains.view(files.read_sources(spark, tree_folder, package=""), attrs="mmcc,lif")
     sinks.write_folded(folded, str(tmp_path / "folded"))
     assert rows(spark.read.text(str(tmp_path / "folded")))[:2] == [("main.cpp;main:3;lif 5",), ("main.cpp;main:3;mmcc 1",)]
     wide = spark.createDataFrame([(2, None), (1, 0.5)], 'TIME long, `a["x"]` double')
