@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from plumbline.llm import packed
 #: Characters of a chunk; longer texts are giants.
 CHUNK = 1 << 16
 #: Words whose pieces a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 NEVER = -(1 << 60)
 #: An unknown character scores this much less than the last piece.
 UNKNOWN_PENALTY = 10
@@ -196,7 +197,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.scores = np.zeros(0, np.int64)
 
     def codes(self, words: list[str]) -> np.ndarray:
@@ -212,7 +213,7 @@ class Encoder:
             self.index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)
-            self.flat = np.append(self.flat, np.array([i for x in lists for i in x], np.int64))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum())))
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def ids(self, codes: np.ndarray) -> np.ndarray:
