@@ -22,7 +22,9 @@ SWITCH = 12.0
 #: A script counts for a language from this share of its letters.
 SCRIPT_SHARE = 0.002
 #: Words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: New words that are scored at a time.
+STEP = 10_000
 UNKNOWN = "und"
 #: Rows of held-out documents have this remainder.
 FOLDS, HELD_OUT = 4, 2
@@ -117,7 +119,9 @@ class Scorer:
             new = list(set(words))
         if new:
             self.index.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.concatenate([self.table, self.model.scores(new)])
+            # A word has dozens of grams, so few words are scored at a time.
+            parts = [self.model.scores(new[i : i + STEP]) for i in range(0, len(new), STEP)]
+            self.table = np.concatenate([self.table, *parts])
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
