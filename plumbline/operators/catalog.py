@@ -29,15 +29,20 @@ def resolve_queries(df: DataFrame, query: str = "query", service: str = "service
 
 def effective_params(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """Adds ``params``: the declared parameters of the request's query, with the
-    overrides of its line.
+    overrides of its line, and ``reason``: a request whose query is not declared
+    stays, with NULL ``params`` and ``undeclared``.
 
     ``documents`` is the catalog, one row per ``query`` with its declared
     ``params`` map. The join is left to the optimizer: it broadcasts the catalog
     only below its size threshold, and else splits hot queries at run time.
     """
     declared = documents.select("query", F.col("params").alias("__declared"))
-    joined = requests.join(declared, "query")
-    return joined.withColumn("params", effective_args("line", F.col("__declared"))).drop("__declared")
+    declared = declared.withColumn("__known", F.lit(True))
+    joined = requests.join(declared, "query", "left")
+    known = F.col("__known").isNotNull()
+    params = F.when(known, effective_args("line", F.col("__declared")))
+    reason = F.when(~known, "undeclared")
+    return joined.withColumn("params", params).withColumn("reason", reason).drop("__declared", "__known")
 
 
 def latest_request(
@@ -75,11 +80,28 @@ def probe_timeouts(
     so the latest and the earliest response per (tag, slot) decide, and no
     probe is ever paired with more than two summary rows.
     """
+    return unanswered_probes(probes, response_slots(responses, timeout_ms, tag, ts), timeout_ms, tag, ts)
+
+
+def response_slots(responses: DataFrame, timeout_ms: int = 5000, tag: str = "tag", ts: str = "ts") -> DataFrame:
+    """Earliest and latest response per tag and slot; batches may be put together
+    in any order."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    slot = F.floor(at / F.lit(timeout_ms * 1000)).cast("long")
+    return responses.groupBy(F.col(tag).alias("tag"), slot.alias("slot")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last")
+    )
+
+
+def unanswered_probes(
+    probes: DataFrame, slots: DataFrame, timeout_ms: int = 5000, tag: str = "tag", ts: str = "ts"
+) -> DataFrame:
+    """The probes that ``response_slots`` leave without a response in time."""
     width = timeout_ms * 1000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     slot = F.floor(at / F.lit(width)).cast("long")
-    answered = responses.groupBy(F.col(tag).alias("__tag"), slot.alias("__slot")).agg(
-        F.min(at).alias("__first"), F.max(at).alias("__last")
+    answered = slots.groupBy(F.col("tag").alias("__tag"), F.col("slot").alias("__slot")).agg(
+        F.min("first").alias("__first"), F.max("last").alias("__last")
     )
     own = answered.select("__tag", "__slot", "__last")
     following = answered.select("__tag", (F.col("__slot") - 1).alias("__slot"), "__first")

@@ -163,7 +163,8 @@ def failure_log(
         "producer", F.when(F.col("failed") > 0, "error").otherwise("warning").alias("severity")
     )
     segment = F.floor(F.col(line_no) / F.lit(lines_per_segment)).cast("long")
-    valid = parsed.where(F.col("reason").isNull())
+    # Only the messages of these producers are shuffled and gathered.
+    valid = parsed.where(F.col("reason").isNull()).join(bad.select("producer"), "producer", "left_semi")
     pieces = (
         valid.groupBy("producer", file, block, segment.alias("segment"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col("message")))).alias("m"))
@@ -198,41 +199,45 @@ def run_verdict(stats: DataFrame) -> DataFrame:
     return summed.select("passed", "total", (~F.col("any_bad") & nothing).alias("nothing_ran"), code.alias("code"))
 
 
-def activity_sessions(
+def activity_slots(
     parsed: DataFrame, gap_ms: int = 60_000, keys: Sequence[str] = ("producer",), ts: str = "ts"
 ) -> DataFrame:
-    """Runs of activity that end after more than ``gap_ms`` of silence.
+    """Lines folded into slots one gap wide: ``slot, low, high, n_lines`` per key.
 
-    A stream uses event-time session windows (set a watermark first). A batch
-    first folds each key into slots one gap wide: lines of one slot are always
-    closer than the gap, so only slot boundaries can split a session, and a
-    busy producer shrinks to one row per slot before anything is ordered.
+    Lines of one slot are always closer than the gap, so only slot boundaries can
+    split a session. Slots of several batches may be put together in any order.
     """
-    keys = list(keys)
-    if parsed.isStreaming:
-        window = F.session_window(ts, f"{gap_ms} milliseconds")
-        grouped = parsed.groupBy(window.alias("w"), *keys)
-        counted = grouped.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n_lines"))
-        return counted.select(*keys, "first_ts", "last_ts", "n_lines")
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = gap_ms * 1000
-    slots = (
+    slot = F.floor(micros / F.lit(gap_ms * 1000)).cast("long").alias("slot")
+    return (
         parsed.where(F.col(ts).isNotNull())
-        .groupBy(*keys, F.floor(micros / F.lit(gap)).cast("long").alias("__slot"))
-        .agg(
-            F.min(micros).alias("__lo"),
-            F.max(micros).alias("__hi"),
-            F.count(F.lit(1)).alias("__n"),
-        )
+        .groupBy(*keys, slot)
+        .agg(F.min(micros).alias("low"), F.max(micros).alias("high"), F.count(F.lit(1)).alias("n_lines"))
+    )
+
+
+def sessions_of_slots(slots: DataFrame, gap_ms: int = 60_000, keys: Sequence[str] = ("producer",)) -> DataFrame:
+    """Runs of activity that end after more than ``gap_ms`` of silence."""
+    keys = list(keys)
+    whole = slots.groupBy(*keys, "slot").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_lines").alias("n_lines")
     )
-    slots = materialize(slots, "slots")
-    marked = run_starts(slots, keys, "__slot", "__lo", "__hi", gap, SLOTS_PER_SEGMENT, "__session")
+    whole = materialize(whole, "slots")
+    marked = run_starts(whole, keys, "slot", "low", "high", gap_ms * 1000, SLOTS_PER_SEGMENT, "__session")
     folded = marked.groupBy(*keys, "__session").agg(
-        F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__n").alias("n_lines")
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_lines").alias("n_lines")
     )
     return folded.select(
         *keys,
-        F.timestamp_micros("__lo").alias("first_ts"),
-        F.timestamp_micros("__hi").alias("last_ts"),
+        F.timestamp_micros("low").alias("first_ts"),
+        F.timestamp_micros("high").alias("last_ts"),
         "n_lines",
     )
+
+
+def activity_sessions(
+    parsed: DataFrame, gap_ms: int = 60_000, keys: Sequence[str] = ("producer",), ts: str = "ts"
+) -> DataFrame:
+    """Runs of activity per key. A busy producer shrinks to one row per slot
+    before anything is ordered."""
+    return sessions_of_slots(activity_slots(parsed, gap_ms, keys, ts), gap_ms, keys)

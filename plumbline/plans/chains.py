@@ -209,22 +209,41 @@ def plot_table(
     return fetch.plot_series(rows, package_counters, leaf_counters, width)
 
 
+class LogReport(Mapping):
+    """Results of a log aggregation, by name; each is planned when it is asked for.
+
+    The results read the parsed lines, so these are stored once, by the first.
+    """
+
+    def __init__(self, parsed: DataFrame, gap_ms: int):
+        self._lines, self._stored = parsed, None
+        self._build = {
+            "stats": lambda lines: logs.outcome_stats(lines),
+            "totals": lambda lines: logs.outcome_totals(logs.outcome_stats(lines)),
+            "failures": lambda lines: logs.failure_log(lines),
+            "malformed": lambda lines: logs.quarantine(lines)[1],
+            "verdict": lambda lines: logs.run_verdict(logs.outcome_stats(lines)),
+            "sessions": lambda lines: logs.activity_sessions(lines, gap_ms),
+        }
+
+    def __getitem__(self, name: str) -> DataFrame:
+        build = self._build[name]
+        if self._stored is None:
+            self._stored = materialize(self._lines, "parsed")
+        return build(self._stored)
+
+    def __iter__(self):
+        return iter(self._build)
+
+    def __len__(self) -> int:
+        return len(self._build)
+
+
 def log_report(
-    lines: DataFrame, year: int, fmt: str = "raw", regex: str = logs.PRODUCER_REGEX
-) -> dict[str, DataFrame]:
-    """All results of a log aggregation, by name.
-
-    Each result reads the parsed lines, so these are stored once."""
-    parsed = materialize(logs.parse_log(lines, year, fmt, regex), "parsed")
-    stats = logs.outcome_stats(parsed)
-    return {
-        "stats": stats,
-        "totals": logs.outcome_totals(stats),
-        "failures": logs.failure_log(parsed),
-        "malformed": logs.quarantine(parsed)[1],
-        "verdict": logs.run_verdict(stats),
-        "sessions": logs.activity_sessions(parsed),
-    }
+    lines: DataFrame, year: int, fmt: str = "raw", regex: str = logs.PRODUCER_REGEX, gap_ms: int = 60_000
+) -> LogReport:
+    """All results of a log aggregation; a session ends after ``gap_ms`` of silence."""
+    return LogReport(logs.parse_log(lines, year, fmt, regex), gap_ms)
 
 
 def statistic_of_tree(spark: SparkSession, root: str, ranges: Ranges = Ranges()):
@@ -232,6 +251,6 @@ def statistic_of_tree(spark: SparkSession, root: str, ranges: Ranges = Ranges())
     return statistic(read_sources(spark, root), ranges)
 
 
-def log_report_of_folder(spark: SparkSession, folder: str, year: int, fmt: str = "raw") -> dict[str, DataFrame]:
+def log_report_of_folder(spark: SparkSession, folder: str, year: int, fmt: str = "raw", **options) -> LogReport:
     """``log_report`` over the files of a folder."""
-    return log_report(read_logs(spark, folder), year, fmt)
+    return log_report(read_logs(spark, folder), year, fmt, **options)

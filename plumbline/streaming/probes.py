@@ -1,23 +1,32 @@
-"""Keep-alive probes and their responses as two streams."""
+"""Keep-alive probes and their responses as two streams.
+
+Either may be late or out of order: the streams only keep what arrived, probes as
+they are and responses as one row per tag and slot of time, and the check reads
+both. A hot tag is spread over its slots, and no probe is paired with every
+response.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-
-def stream_probe_timeouts(
-    probes: DataFrame, responses: DataFrame, timeout_ms: int = 5000, lateness: str = "1 minute"
-) -> DataFrame:
-    """Probes without a response of the same tag within the timeout.
-
-    An outer interval join with watermarks on both sides: an unanswered probe
-    is emitted once the watermark has passed its deadline.
-    """
-    sent = probes.withWatermark("ts", lateness).alias("p")
-    got = responses.select(F.col("tag").alias("r_tag"), F.col("ts").alias("r_ts"))
-    got = got.withWatermark("r_ts", lateness).alias("r")
-    within = F.expr(
-        f"p.tag = r.r_tag AND r.r_ts >= p.ts AND r.r_ts <= p.ts + INTERVAL {timeout_ms} MILLISECONDS"
-    )
-    joined = sent.join(got, within, "left_outer")
-    return joined.where(F.col("r_ts").isNull()).select("p.*")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from plumbline.operators.catalog import response_slots, unanswered_probes
+from plumbline.streaming.logs import each_part
+
+
+def start_probes(probes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keeps the probes in ``path``."""
+    return each_part(probes, lambda batch: batch, path, checkpoint, trigger)
+
+
+def start_responses(responses: DataFrame, path: str, checkpoint: str, timeout_ms: int = 5000, **trigger) -> StreamingQuery:
+    """Keeps the slots of the responses in ``path``."""
+    return each_part(responses, lambda batch: response_slots(batch, timeout_ms), path, checkpoint, trigger)
+
+
+def read_timeouts(spark: SparkSession, probes_path: str, responses_path: str, timeout_ms: int = 5000) -> DataFrame:
+    """Probes without a response of the same tag within the timeout, among all
+    that the streams have read."""
+    probes = spark.read.parquet(probes_path).drop("batch")
+    return unanswered_probes(probes, spark.read.parquet(responses_path), timeout_ms)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.series import reject_stale
-from plumbline.streaming.logs import _each_batch
+from plumbline.streaming.logs import each_batch
+
+#: Batches whose changes are read together; then one version holds all series.
+WHOLE_EVERY = 16
 
 
 def start_reject_stale(
@@ -21,8 +24,9 @@ def start_reject_stale(
 ) -> StreamingQuery:
     """Writes every update with ``accepted`` and keeps each series' last timestamp.
 
-    The last timestamps are a table in ``state_path``, one version per batch,
-    and a batch uses the same code as ``reject_stale``: within it a busy series
+    The last timestamps are a table in ``state_path``, one version per batch: the
+    series that it changed, and every ``WHOLE_EVERY`` batches all of them, so that
+    a batch reads a bounded number of versions. A batch uses the same code as ``reject_stale``: within it a busy series
     is cut into segments instead of being sorted by one task. Results and state
     of a batch are overwritten when it is repeated, which makes it idempotent.
     ``checkpoint`` and ``state_path`` belong together: renew both or neither.
@@ -31,13 +35,17 @@ def start_reject_stale(
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # Batches are numbered without gaps, and one starts after the last is done.
-        last = spark.read.parquet(f"{state_path}/version={batch_id - 1}") if batch_id else None
+        last = None
+        if batch_id:
+            first = (batch_id - 1) // WHOLE_EVERY * WHOLE_EVERY
+            versions = [f"{state_path}/version={n}" for n in range(first, batch_id)]
+            last = spark.read.parquet(*versions).groupBy(key).agg(F.max("last_ts").alias("last_ts"))
         marked = reject_stale(batch, key, ts, arrival, last)
         marked.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         seen = batch.select(key, F.col(ts).alias("last_ts"))
-        if last is not None:
+        if last is not None and batch_id % WHOLE_EVERY == 0:
             seen = seen.unionByName(last)
         newest = seen.groupBy(key).agg(F.max("last_ts").alias("last_ts"))
         newest.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
 
-    return _each_batch(updates, apply, checkpoint, trigger)
+    return each_batch(updates, apply, checkpoint, trigger)

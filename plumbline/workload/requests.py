@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import catalog
 from plumbline.plans.session import new_folder
-from plumbline.streaming.probes import stream_probe_timeouts
+from plumbline.streaming.probes import read_timeouts, start_probes, start_responses
 from plumbline.streaming.updates import start_reject_stale
 from plumbline.workload.inputs import plain, table
 from plumbline.workload.store import SQL as STORE_SQL
@@ -117,36 +117,21 @@ def q_probe_timeouts(spark, d):
     return unmet.select("event_id", "tag")
 
 
-def _event_stream(spark, d) -> DataFrame:
-    """The events table as a stream, with a closing row per event type."""
+def q_probe_timeouts_stream(spark, d):
+    """Files of mixed times, one read in every batch, by two streams."""
     folder = new_folder(spark, "events")
     events = table(spark, d, "events")
-    events.write.parquet(folder)
-    closing = events.groupBy("event_type").agg(F.max("ts").alias("ts")).select(
-        F.lit(-1).cast("long").alias("event_id"),
-        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
-        F.lit(-1).cast("long").alias("user_id"),
-        "event_type",
-        F.lit(0.0).alias("value"),
-        F.lit("{}").alias("props"),
-    )
-    closing.write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).parquet(folder)
-
-
-def q_probe_timeouts_stream(spark, d):
-    """The same check as an outer join of two streams."""
-    unmet = stream_probe_timeouts(*_probes(_event_stream(spark, d)), timeout_ms=TIMEOUT_MS)
-    out = new_folder(spark, "unmet")
-    query = (
-        unmet.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", new_folder(spark, "state"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema("event_id long, tag string, ts timestamp").parquet(out).where("event_id >= 0").select("event_id", "tag")
+    events.repartition(3, F.xxhash64("event_id")).write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    probes, responses = _probes(stream)
+    sent, answered = new_folder(spark, "probes"), new_folder(spark, "responses")
+    running = [
+        start_probes(probes, sent, new_folder(spark, "state")),
+        start_responses(responses, answered, new_folder(spark, "state"), TIMEOUT_MS),
+    ]
+    for query in running:
+        query.awaitTermination()
+    return read_timeouts(spark, sent, answered, TIMEOUT_MS).select("event_id", "tag")
 
 
 def q_reject_stale_stream(spark, d):
@@ -157,12 +142,13 @@ def q_reject_stale_stream(spark, d):
         (F.floor(F.unix_micros("ts") / 1_000_000) + (F.col("event_id") * 37) % 11 * 7200).cast("long").alias("ts"),
         F.col("event_id").alias("arrival"),
     )
+    # One range of arrivals after another arrives as the files of one folder.
     half = updates.agg(F.floor(F.max("arrival") / 2)).scalar()
-    updates.where(F.col("arrival") <= half).coalesce(1).write.parquet(folder)
-    updates.where(F.col("arrival") > half).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = new_folder(spark, "marked")
-    start_reject_stale(stream, out, new_folder(spark, "last"), new_folder(spark, "state")).awaitTermination()
+    out, last, state = (new_folder(spark, n) for n in ("marked", "last", "state"))
+    for arrived in (F.col("arrival") <= half, F.col("arrival") > half):
+        updates.where(arrived).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(updates.schema).parquet(folder)
+        start_reject_stale(stream, out, last, state).awaitTermination()
     return plain(spark.read.parquet(out).select("series_id", "ts", "arrival", "last_ts", "accepted"))
 
 

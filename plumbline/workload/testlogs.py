@@ -8,7 +8,13 @@ from plumbline.operators import logs
 from plumbline.plans import chains
 from plumbline.plans.session import materialize, new_folder
 from plumbline.sources.files import read_logs
-from plumbline.streaming.logs import read_log_stream, start_outcome_stats, stream_sessions
+from plumbline.streaming.logs import (
+    read_log_stream,
+    read_outcome_stats,
+    read_sessions,
+    start_outcome_stats,
+    start_sessions,
+)
 from plumbline.workload.inputs import LOG_SQL, log_input, plain
 
 YEAR = 2024
@@ -26,7 +32,7 @@ def _shown(ts: str = "ts"):
 def q_strip_priority(spark, d):
     owned = logs.extract_producer(logs.drop_blank(log_input(spark, d)))
     stripped = logs.strip_priority(owned, "pcap")
-    return stripped.select("line_no", F.col("record").isNull().alias("broken"), "reason", F.length("record").cast("long").alias("n"))
+    return stripped.select("line_no", F.col("record").isNull().alias("broken"), "reason", "record")
 
 
 def q_extract_producer(spark, d):
@@ -98,36 +104,56 @@ def q_read_logs(spark, d):
     return logs.outcome_stats(logs.parse_log(read_logs(spark, _log_folder(spark, d)), YEAR, "pcap"))
 
 
+def q_log_report_failures(spark, d):
+    """Failure logs of the composed report, put together per producer."""
+    pieces = chains.log_report(log_input(spark, d), YEAR, "pcap")["failures"]
+    return plain(pieces.groupBy("producer", "severity").agg(
+        F.sum("n_lines").alias("n_lines"), F.sum(F.length("log") - F.col("n_lines") + 1).alias("n_chars")
+    ))
+
+
+def q_log_report_malformed(spark, d):
+    bad = chains.log_report(log_input(spark, d), YEAR, "pcap")["malformed"]
+    return plain(bad.groupBy("producer", "reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+def q_log_report_sessions(spark, d):
+    """Sessions of the composed report, with a silence of its own."""
+    return _as_shown(chains.log_report(log_input(spark, d), YEAR, "pcap", gap_ms=GAP_MS)["sessions"])
+
+
+def _as_shown(sessions: DataFrame) -> DataFrame:
+    return sessions.select("producer", _shown("first_ts").alias("first_ts"), _shown("last_ts").alias("last_ts"), "n_lines")
+
+
+def _shuffled_folder(spark, d) -> str:
+    """The lines as several files, with lines of all times in each."""
+    folder = new_folder(spark, "logs")
+    log_input(spark, d).repartition(4, F.xxhash64("line_no")).select("value").write.text(folder)
+    return folder
+
+
 def q_outcome_stats_stream(spark, d):
-    """The lines as files, read as a stream until all are consumed."""
-    folder = _log_folder(spark, d)
-    name = "outcomes_" + folder.rsplit("-", 1)[1]
-    query = start_outcome_stats(read_log_stream(spark, folder), YEAR, name, new_folder(spark, "state"), "pcap")
-    query.awaitTermination()
-    return spark.table(name)
+    """The lines as files, one read in every batch."""
+    lines = read_log_stream(spark, _shuffled_folder(spark, d), max_files=1)
+    out = new_folder(spark, "outcomes")
+    start_outcome_stats(lines, YEAR, out, new_folder(spark, "state"), "pcap").awaitTermination()
+    return read_outcome_stats(spark, out)
 
 
 def q_activity_sessions_stream(spark, d):
-    """Sessions from the stream; a late sentinel producer closes all others."""
-    folder = _log_folder(spark, d)
-    sentinel = spark.range(1).select(F.lit("<13>Dec 30 00:00:00 host1 sentinel_tester[1]: end").alias("value"))
-    sentinel.write.mode("append").text(folder)
-    parsed = logs.parse_log(read_log_stream(spark, folder), YEAR, "pcap").where("reason IS NULL")
-    out = new_folder(spark, "sessions")
-    query = (
-        stream_sessions(parsed, GAP_MS)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", new_folder(spark, "state"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    closed = spark.read.parquet(out).where("producer <> 'sentinel_tester'")
-    return closed.select("producer", _shown("first_ts").alias("first_ts"), _shown("last_ts").alias("last_ts"), "n_lines")
+    """Files of mixed times, one read in every batch: no line is too late."""
+    lines = read_log_stream(spark, _shuffled_folder(spark, d), max_files=1)
+    parsed = logs.parse_log(lines, YEAR, "pcap").where("reason IS NULL")
+    out = new_folder(spark, "slots")
+    start_sessions(parsed, out, new_folder(spark, "state"), GAP_MS).awaitTermination()
+    return _as_shown(read_sessions(spark, out, GAP_MS))
 
 
 QUERIES = {
+    "log_report_failures": q_log_report_failures,
+    "log_report_malformed": q_log_report_malformed,
+    "log_report_sessions": q_log_report_sessions,
     "strip_priority": q_strip_priority,
     "extract_producer": q_extract_producer,
     "parse_log_time": q_parse_log_time,
@@ -170,14 +196,12 @@ SELECT producer, strftime(min(sec), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(m
 """
 
 SQL = {
-    # A line is '<13>' + stamp of 14 or 15 + ' host1 unit_tester_N[42]: ' + message.
     "strip_priority": f"""
 WITH {LOG_SQL}, raw AS (
-  SELECT *, CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN length('step ' || n || ' : a : b  ')
-                 ELSE length(message) END AS msg_len FROM parsed)
+  SELECT *, CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN 'step ' || n || ' : a : b  ' ELSE message END AS written,
+         CASE kind WHEN 3 THEN 'Foo 99 10:00:00' ELSE strftime(sec, '%b %-d %H:%M:%S') END AS stamp FROM parsed)
 SELECT event_id AS line_no, kind IN (0, 1) AS broken, CASE WHEN kind IN (0, 1) THEN reason END AS reason,
-       CASE WHEN kind NOT IN (0, 1) THEN
-         CAST(CASE kind WHEN 3 THEN 15 ELSE length(strftime(sec, '%b %-d %H:%M:%S')) END + 26 + msg_len AS BIGINT) END AS n
+       CASE WHEN kind NOT IN (0, 1) THEN stamp || ' host1 ' || producer || '[42]: ' || written END AS record
 FROM raw
 """,
     "extract_producer": f"WITH {LOG_SQL} SELECT event_id AS line_no, producer FROM owned",
@@ -216,6 +240,17 @@ WITH {LOG_SQL} SELECT producer, count(*) AS n, coalesce(reason, 'valid') AS reas
     "activity_sessions": SESSIONS_SQL,
     "log_report": TOTALS_SQL,
     "log_report_verdict": VERDICT_SQL,
+    "log_report_failures": f"""
+WITH {LOG_SQL}
+SELECT p.producer, CASE WHEN s.failed > 0 THEN 'error' ELSE 'warning' END AS severity, count(*) AS n_lines,
+       CAST(sum(length(message)) AS BIGINT) AS n_chars
+FROM parsed p JOIN stats s ON s.producer = p.producer AND (s.failed > 0 OR s.skipped > 0)
+WHERE reason IS NULL GROUP BY ALL
+""",
+    "log_report_malformed": f"""
+WITH {LOG_SQL} SELECT producer, reason, count(*) AS n FROM parsed WHERE reason IS NOT NULL GROUP BY ALL
+""",
+    "log_report_sessions": SESSIONS_SQL,
     "read_logs": STATS_SQL,
     "outcome_stats_stream": STATS_SQL,
     "activity_sessions_stream": SESSIONS_SQL,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from plumbline.operators import catalog
-from plumbline.streaming.probes import stream_probe_timeouts
+from plumbline.streaming.probes import read_timeouts, start_probes, start_responses
 from plumbline.streaming.updates import start_reject_stale
 
 ATTRIBUTES = [
@@ -40,7 +40,9 @@ def test_effective_params(spark):
         "-a=5=6": ("5", "2", "x y", "pos"),
     }
     requests = spark.createDataFrame([("q", line) for line in lines] + [("other", "-a=1")], "query string, line string")
-    found = {r.line: r.params for r in catalog.effective_params(requests, documents).collect()}
+    done = catalog.effective_params(requests, documents)
+    assert rows(done.where("reason IS NOT NULL"), "query", "params", "reason") == [("other", None, "undeclared")]
+    found = {r.line: r.params for r in done.where("reason IS NULL").collect()}
     assert {k: tuple(v[n] for n in ("-a", "--b", "c", "NO_NAME_PARAM.0")) for k, v in found.items()} == lines
 
 
@@ -104,17 +106,17 @@ def test_probe_timeouts_against_brute_force(spark):
 
 
 def test_probe_stream(spark, tmp_path):
-    sent = spark.createDataFrame([(1, "a", at(0)), (2, "b", at(0)), (-1, "end", at(9_000_000))], "id long, tag string, ts timestamp")
-    got = spark.createDataFrame([("a", at(4000)), ("b", at(6000)), ("end", at(9_000_000))], "tag string, ts timestamp")
-    sent.write.parquet(str(tmp_path / "sent"))
-    got.write.parquet(str(tmp_path / "got"))
-    unmet = stream_probe_timeouts(
-        spark.readStream.schema(sent.schema).parquet(str(tmp_path / "sent")),
-        spark.readStream.schema(got.schema).parquet(str(tmp_path / "got")),
-    )
-    query = unmet.writeStream.format("memory").queryName("unmet").option("checkpointLocation", str(tmp_path / "c"))
-    query.trigger(availableNow=True).start().awaitTermination()
-    assert rows(spark.table("unmet"), "id") == [(2,)]
+    sent = spark.createDataFrame([(1, "a", at(9_000_000)), (2, "b", at(0)), (3, "a", at(0))], "id long, tag string, ts timestamp")
+    got = spark.createDataFrame([("a", at(9_004_000)), ("b", at(6000)), ("a", at(4000))], "tag string, ts timestamp")
+    names = {n: str(tmp_path / n) for n in ("sent", "got", "probes", "slots", "c1", "c2")}
+    for n in range(3):  # the latest come first
+        sent.where(F.col("id") == n + 1).write.mode("append").parquet(names["sent"])
+        got.limit(n + 1).write.mode("append").parquet(names["got"])
+        stream = spark.readStream.schema(sent.schema).parquet(names["sent"])
+        start_probes(stream, names["probes"], names["c1"]).awaitTermination()
+        stream = spark.readStream.schema(got.schema).parquet(names["got"])
+        start_responses(stream, names["slots"], names["c2"]).awaitTermination()
+    assert rows(read_timeouts(spark, names["probes"], names["slots"]), "id") == [(2,)]
 
 
 def test_stale_stream_keeps_state_over_restarts(spark, tmp_path):
