@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +30,27 @@ def get_session(app_name: str = "plumbline", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the session.
+
+    Needed where executors have not got it installed, and where the driver does
+    not run in the repository's folder.
+    """
+    package = Path(__file__).resolve().parent.parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            # One fixed time, so that equal packages are equal files.
+            entry = zipfile.ZipInfo(str(path.relative_to(package.parent)))
+            archive.writestr(entry, path.read_bytes())
+    name = f"{package.name}-{uuid.uuid5(uuid.NAMESPACE_OID, content.getvalue().hex()).hex}.zip"
+    target = Path(tempfile.mkdtemp(prefix=f"{package.name}-")) / name
+    target.write_bytes(content.getvalue())
+    spark.sparkContext.addPyFile(str(target))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
