@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -91,19 +91,79 @@ def flatten_report(reports: DataFrame, doc_id: str = "doc_id", xml: str = "xml")
     ).select("doc_id", *NODES.names, "error")
 
 
-def report_entries(nodes: DataFrame, params: DataFrame | None = None) -> DataFrame:
-    """Node rows shaped as ``entry`` elements: type attribute, statistic block or
-    leaf metrics, and the chunks of ``leaf_params`` as nested ``params``."""
+def _number(name: str) -> Column:
+    """A counter as the report has it: unknown is ``nan``."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("nan"))
+
+
+def _attribute(text: Column) -> Column:
+    for sign, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(safe))
+    return text
+
+
+def _opened(nodes: DataFrame) -> Column:
+    """The start of the element of an inner node, with its statistic block."""
+    name = _attribute(base_of("node_path"))
+    groups = zip(STATISTICS, (COUNTERS[0:4], COUNTERS[4:8], COUNTERS[8:12]))
+    lists = [
+        F.concat(F.lit(f"<{s}>["), F.array_join(F.array(*[_number(c) for c in columns]), ", "), F.lit(f"]</{s}>"))
+        for s, columns in groups
+    ]
+    return F.concat(
+        F.lit("<entry "), "node_type", F.lit('="'), name, F.lit('"><statistic>'), *lists, F.lit("</statistic>")
+    )
+
+
+def report_documents(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``node_path, xml``: one tree report for each file, inside its packages.
+
+    A project is as many documents as it has files, so none grows with it; each
+    is a whole report that ``flatten_report`` reads, and packages recur in the
+    documents of their files. ``keys`` (a snapshot, say) keep trees apart.
+    """
+    keys = list(keys)
+    leaves = nodes.where("node_type = 'item'")
+    values = [F.concat(F.lit(f"<{m}>"), _number(m), F.lit(f"</{m}>")) for m in METRICS]
+    item = F.concat(F.lit('<entry item="'), _attribute(base_of("node_path")), F.lit('">'), *values, F.lit("</entry>"))
+    items = leaves.select(*keys, F.col("parent_path").alias("node_path"), F.struct("node_path", item.alias("xml")).alias("i"))
+    items = items.groupBy(*keys, "node_path").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    inner = nodes.where("node_type <> 'item'").select(*keys, F.col("node_path").alias("__above"), _opened(nodes).alias("__open"))
+    files = nodes.where("node_type = 'file'").select(*keys, "node_path")
+    parts = F.split("node_path", "/")
+    levels = F.sequence(F.lit(1), F.size(parts))
+    placed = files.withColumn("__level", F.explode(levels))
+    placed = placed.withColumn("__above", F.array_join(F.slice(parts, F.lit(1), F.col("__level")), "/"))
+    chains = placed.join(inner, [*keys, "__above"]).groupBy(*keys, "node_path")
+    chains = chains.agg(F.array_sort(F.collect_list(F.struct("__level", "__open"))).alias("chain"))
+    joined = chains.join(items, [*keys, "node_path"], "left")
+    xml = F.concat(
+        F.lit("<root>"),
+        F.array_join(F.transform("chain", lambda c: c["__open"]), ""),
+        F.coalesce(F.array_join(F.transform("items", lambda i: i["xml"]), ""), F.lit("")),
+        F.repeat(F.lit("</entry>"), F.size("chain")),
+        F.lit("</root>"),
+    )
+    return joined.select(*keys, "node_path", xml.alias("xml"))
+
+
+def report_entries(nodes: DataFrame, params: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Node rows shaped as flat ``entry`` elements: type attribute, statistic block
+    or leaf metrics, and the chunks of ``leaf_params`` as nested ``params``. A node
+    of several chunks has its statistics in the first only. For documents that are
+    trees, take ``report_documents``."""
+    keys = list(keys)
     name = base_of("node_path")
     kinds = [F.when(F.col("node_type") == t, name).alias(f"_{t}") for t in NODE_TYPES]
 
     def bracketed(columns: list[str]) -> Column:
-        return F.concat(F.lit("["), F.concat_ws(", ", *columns), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(F.array(*[_number(c) for c in columns]), ", "), F.lit("]"))
 
     groups = zip(STATISTICS, (COUNTERS[0:4], COUNTERS[4:8], COUNTERS[8:12]))
     block = F.struct(*[bracketed(columns).alias(s) for s, columns in groups])
     is_leaf = F.col("node_type") == "item"
     shaped = nodes.select(
+        *keys,
         F.col("node_path").alias("_path"),
         *kinds,
         F.when(~is_leaf, block).alias("statistic"),
@@ -111,8 +171,10 @@ def report_entries(nodes: DataFrame, params: DataFrame | None = None) -> DataFra
     )
     if params is None:
         return shaped
-    lists = params.select(F.col("node_path").alias("_path"), F.col("chunk").alias("_chunk"), "params")
-    return shaped.join(lists, "_path", "left")
+    lists = params.select(*keys, F.col("node_path").alias("_path"), F.col("chunk").alias("_chunk"), "params")
+    joined = shaped.join(lists, [*keys, "_path"], "left")
+    first = F.coalesce("_chunk", F.lit(0)) == 0
+    return joined.withColumns({c: F.when(first, F.col(c)) for c in ("statistic", *METRICS)})
 
 
 def write_report(entries: DataFrame, path: str, fmt: str = "xml") -> None:

@@ -202,7 +202,22 @@ def q_read_sources(spark, d):
     return plain(leaves.select(kind.alias("kind"), name.alias("name"), *METRICS))
 
 
+def q_report_roundtrip(spark, d):
+    """All nodes through tree documents and back; every seventh leaf has unknown
+    counters."""
+    nodes = _with_unknown(q_to_counter_row(spark, d))
+    documents = reports.report_documents(nodes).withColumnRenamed("node_path", "doc_id")
+    back = reports.flatten_report(documents)
+    return plain(back.select(*nodes.columns).distinct())
+
+
+def _with_unknown(nodes: DataFrame) -> DataFrame:
+    odd = (F.col("node_type") == "item") & (F.length("node_path") % 7 == 0)
+    return nodes.withColumns({c: F.when(~odd, F.col(c)) for c in ("tmcc", "lif")})
+
+
 QUERIES = {
+    "report_roundtrip": q_report_roundtrip,
     "read_sources": q_read_sources,
     "select_sources": q_select_sources,
     "watch_list": q_watch_list,
@@ -356,6 +371,11 @@ WITH {PARTS_SQL}, kept AS (SELECT * FROM watched WHERE mmcc >= 2 AND lif <= 14),
     "flatten_report": REPORT_SQL,
     "write_report": f"""
 SELECT node_path, regexp_extract(node_path, '([^/]*)$', 1) AS name, mmcc, lif FROM ({COUNTER_SQL})
+""",
+    "report_roundtrip": f"""
+SELECT * REPLACE (CASE WHEN node_type = 'item' AND length(node_path) % 7 = 0 THEN NULL ELSE tmcc END AS tmcc,
+                  CASE WHEN node_type = 'item' AND length(node_path) % 7 = 0 THEN NULL ELSE lif END AS lif)
+FROM ({COUNTER_SQL})
 """,
     "write_folded": f"""
 WITH {LEAVES_SQL} SELECT stack || ' ' || value AS line FROM ({_fold_sql('leaves', ['mmcc', 'lif'])})
