@@ -102,8 +102,12 @@ SQL: dict[str, str] = {
     """,
     "op6_suffix_dedup": """
         WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-        placed AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM b),
-        win AS (SELECT doc_id, i, md5(x[2 * i + 1 : 2 * i + 100]) AS h FROM placed),
+        chunks AS (
+            SELECT doc_id, k * 512 AS first, len(x) // 2 - k * 512 AS rest, x[k * 1024 + 1 : k * 1024 + 1122] AS c
+            FROM (SELECT *, unnest(range(0, len(x) // 1024 + 1)) AS k FROM b)
+        ),
+        placed AS (SELECT *, unnest(range(0, least(512, rest - 49))) AS i FROM chunks),
+        win AS (SELECT doc_id, first + i AS i, md5(c[2 * i + 1 : 2 * i + 100]) AS h FROM placed),
         firsts AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
         gone AS (
             SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN firsts USING (h) WHERE m < doc_id
@@ -115,10 +119,10 @@ SQL: dict[str, str] = {
             )
             GROUP BY doc_id
         ),
-        bytes AS (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM b JOIN lost USING (doc_id)),
+        every AS (SELECT *, unnest(range(0, least(512, rest))) AS i FROM chunks JOIN lost USING (doc_id)),
+        bytes AS (SELECT doc_id, first + i AS p, c[2 * i + 1 : 2 * i + 2] AS one FROM every),
         left_over AS (
-            SELECT doc_id, string_agg(x[2 * p + 1 : 2 * p + 2], '' ORDER BY p) AS t
-            FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+            SELECT doc_id, string_agg(one, '' ORDER BY p) AS t FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
         )
         SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(runs, 0) AS n_spans,
             sha256(unhex(CASE WHEN n IS NULL THEN x ELSE coalesce(t, '') END)) AS kept_sha256
