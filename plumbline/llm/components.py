@@ -16,26 +16,30 @@ def connected(links: DataFrame) -> DataFrame:
     node that it reaches.
 
     Each round links larger neighbours, then smaller ones, to the smallest node
-    nearby; trees flatten at a logarithmic pace. Rounds are cut by a written
-    table. Only the number of links and a checksum reach the driver.
+    nearby; trees flatten at a logarithmic pace, and the work ends when only stars
+    are left. Rounds are cut by a written table. Only whether there is more to do
+    reaches the driver.
     """
     edges = links.where(F.col("a") != F.col("b"))
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "links")
-    before = None
-    while True:
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(_nearest(both), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
+        large = large.where(F.col("a") != F.col("b"))
         nearest = _nearest(large)
         small = large.join(nearest, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             nearest.select("a", F.col("m").alias("b"))
         )
         edges = materialize(small.where(F.col("a") != F.col("b")).distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if before == tuple(now):
-            break
-        before = tuple(now)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node either has one smaller neighbour or is the smallest of all."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
+    )
+    odd = ends.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    return odd.isEmpty()
