@@ -144,6 +144,7 @@ def _filed(buckets: int):
                     yield from flush()
         if members.size:
             yield from flush()
+        packed.release()
 
     return run
 
@@ -374,7 +375,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     packed.small_batches(spark)
-    buckets, blocks = packed.bucket_count(spark, 2), packed.bucket_count(spark, 1)
+    buckets, blocks = packed.bucket_count(spark, 3), packed.bucket_count(spark, 1)
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     filed = source.mapInArrow(_filed(buckets), FILED)
     shared = materialize(filed.groupBy("bucket").applyInArrow(_shared(blocks), SHARED), "shared")

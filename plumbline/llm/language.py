@@ -22,7 +22,7 @@ SWITCH = 12.0
 #: A script counts for a language from this share of its letters.
 SCRIPT_SHARE = 0.002
 #: Words whose scores a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: New words that are scored at a time.
 STEP = 10_000
 UNKNOWN = "und"
@@ -261,6 +261,8 @@ def _labelled(model, spans: bool):
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(pieces, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__lang", "__share", "__spans"])
+        scorer.clear()
+        packed.release()
 
     return run
 

@@ -8,6 +8,7 @@ them back as numpy arrays. Hashing is vectorised over whole record batches.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -192,6 +193,16 @@ def bucket_count(spark: SparkSession, times: int = 4) -> int:
     return times * int(spark.conf.get("spark.sql.shuffle.partitions")) | 1
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: Python workers are used again
+    by the next stages, next to the JVM of their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts differ by orders of magnitude, so Python gets them in batches bounded
     by bytes; workers then need little memory next to the JVM."""

@@ -33,7 +33,7 @@ SUPPORT = 2
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISED, REMOVED = 0.90, 0.98
 #: Words that a task counts before it hands the counts on.
-HELD = 400_000
+HELD = 200_000
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A number is taken whole, as a match never begins or ends inside one.
@@ -166,6 +166,7 @@ def _scanned(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         if words:
             yield flush()
+        packed.release()
 
     return run
 

@@ -159,6 +159,7 @@ def _filed(tokens, window: int, k: int, buckets: int):
                         yield flush()
         if held.size:
             yield flush()
+        packed.release()
 
     return run
 
