@@ -1,10 +1,11 @@
 """Personal data and the terms that give it away (operator 3).
 
 Patterns find the protected entities. Over the whole corpus, the documents that
-hold a term and those that hold it near an entity tell how much the term reveals:
-with P the share of a term's documents in which the entity stands nearby and IC
+hold a term and those that hold it together with an entity tell how much the term
+reveals: with P the share of a term's documents that hold the entity too and IC
 the information of the entity, log2(documents / its documents), a term discloses
 1 - log2(1 / P) / IC of it, which is their pointwise mutual information over IC.
+Such a term is marked wherever it stands, also where the entity does not.
 """
 
 from __future__ import annotations
@@ -26,21 +27,24 @@ from plumbline.plans.session import materialize
 #: Kinds in the order of their spans.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Characters to each side of an entity in which terms count as near.
-NEAR = 100
 #: Documents in which term and entity must stand together, at least.
 SUPPORT = 2
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISED, REMOVED = 0.90, 0.98
 #: Words that a task counts before it hands the counts on.
 HELD = 200_000
+#: Disclosing terms of most documents that every task knows; all others are joined.
+KNOWN = 50_000
+#: Bytes, at most, of the filter that keeps plain words out of that join.
+FILTER = 1 << 24
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A number is taken whole, as a match never begins or ends inside one.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-WORD = re.compile(r"[^\W\d_]{3,}")
+#: Terms are whole runs of letters and digits.
+WORD = re.compile(r"[^\W_]+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -98,27 +102,35 @@ def word_key(word: str) -> int:
     return _signed(xxhash.xxh64_intdigest(word))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """Term, entity, start and end of the words near the entities, outside them."""
-    for a, kind, b in spans:
-        entity = _signed(xxhash.xxh64_intdigest(f"{KINDS[kind]}:{text[a:b].lower()}"))
-        for low, high in ((max(0, a - NEAR), a), (b, min(len(text), b + NEAR))):
-            for m in WORD.finditer(text, low, high):
-                s, e = m.span()
-                whole = (s == 0 or not text[s - 1].isalpha()) and (e == len(text) or not text[e].isalpha())
-                if whole and all(e <= x or s >= y for x, _, y in spans if y > low and x < high):
-                    yield word_key(m.group().lower()), entity, s, e
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[re.Match[str]]:
+    """All words that touch none of the entities."""
+    at, reach = 0, 0
+    for m in WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
+            yield m
+
+
+def row_key(doc: int | None, crc: int) -> int:
+    return xxhash.xxh64_intdigest(f"{doc}:{crc}")
+
+
+def most_documents(entity_docs: np.ndarray, total: int) -> np.ndarray:
+    """Documents that a term may have, at most, to disclose an entity: with more, P
+    is too low even if the term stands in every document of the entity."""
+    return entity_docs * (total / entity_docs) ** (1 - GENERALISED) * (1 + 1e-9)
 
 
 ROW = (
     "kind int, doc_id long, crc long, counts array<long>, base array<struct<first:long,kind:int,last:long>>, sha string, "
-    "near array<struct<term:long,entity:long,first:long,last:long>>, bucket int, terms binary, documents binary"
+    "key long, held array<long>, bucket int, terms binary, documents binary, holders binary"
 )
 
 
 def _scanned(buckets: int):
     base_type = pa.list_(pa.struct([("first", pa.int64()), ("kind", pa.int32()), ("last", pa.int64())]))
-    near_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("term", "entity", "first", "last")]))
     schema = pa.schema(
         [
             ("kind", pa.int32()),
@@ -127,61 +139,298 @@ def _scanned(buckets: int):
             ("counts", pa.list_(pa.int64())),
             ("base", base_type),
             ("sha", pa.string()),
-            ("near", near_type),
+            ("key", pa.int64()),
+            ("held", pa.list_(pa.int64())),
             ("bucket", pa.int32()),
             ("terms", pa.binary()),
             ("documents", pa.binary()),
+            ("holders", pa.binary()),
         ]
     )
 
+    def handed(kind: int, name: str, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        batch = packed.rows_by_bucket(packed.place(keys, buckets), buckets, {"terms": keys, name: values})
+        have = dict(zip(batch.schema.names, batch.columns)) | {"kind": pa.array([kind] * batch.num_rows, pa.int32())}
+        columns = [have[f.name] if f.name in have else pa.nulls(batch.num_rows, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
+        beside = packed.Held(("terms", "holders"))
 
-        def flush() -> pa.RecordBatch:
+        def counted() -> pa.RecordBatch:
             raw = [w.encode() for w in words]
             keys = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
             number = np.fromiter(words.values(), np.uint32, len(raw))
             words.clear()
-            batch = packed.rows_by_bucket(packed.place(keys, buckets), buckets, {"terms": keys, "documents": number})
-            n = batch.num_rows
-            blank = [pa.nulls(n, f.type) for f in list(schema)[1:7]]
-            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), *blank, *batch.columns], schema=schema)
+            return handed(1, "documents", keys, number)
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows = []
             for doc, text in zip(ids, batch.column(1).to_pylist()):
                 text = text or ""
-                words.update(set(WORD.findall(text.lower())))
                 spans = entities(text)
+                crc = zlib.crc32(text.encode())
+                key, held = None, []
+                if spans:
+                    own = {m.group().lower() for m in words_outside(text, spans)}
+                    key = row_key(doc, crc)
+                    terms = np.fromiter((xxhash.xxh64_intdigest(w) for w in own), np.uint64, len(own))
+                    beside.add(terms=terms, holders=np.full(len(own), key, np.uint64))
+                    key = _signed(key)
+                    held = sorted({word_key(f"{KINDS[k]}:{text[a:b].lower()}") for a, k, b in spans})
+                else:
+                    own = set(map(str.lower, set(WORD.findall(text))))
+                words.update(own)
                 joined = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
                 counts = [sum(1 for _, k, _ in spans if k == i) for i in range(len(KINDS))]
-                near = [dict(zip(("term", "entity", "first", "last"), r)) for r in near_terms(text, spans)]
                 base = [{"first": a, "kind": k, "last": b} for a, k, b in spans]
                 sha = hashlib.sha256(joined.encode()).hexdigest()
-                rows.append((0, doc, zlib.crc32(text.encode()), counts, base, sha, near, None, None, None))
+                rows.append((0, doc, crc, counts, base, sha, key, held, None, None, None, None))
                 if len(words) >= HELD:
-                    yield flush()
+                    yield counted()
+                if beside.size >= packed.FLUSH:
+                    yield handed(2, "holders", *beside.take().values())
             columns = list(zip(*rows)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
         if words:
-            yield flush()
+            yield counted()
+        if beside.size:
+            yield handed(2, "holders", *beside.take().values())
+        packed.release()
+
+    return run
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return packed.joined(table[name]).view(kind) if table.num_rows else np.empty(0, kind)
+
+
+def _whole(batch: pa.RecordBatch) -> pa.Table:
+    return pa.Table.from_batches([batch])
+
+
+def _rare(limit: float, buckets: int):
+    """Documents of the words of one bucket that stand beside entities, by the rows
+    that hold them. Words of more than ``limit`` documents disclose no entity."""
+
+    def run(table: pa.Table) -> pa.Table:
+        terms, documents = _column(table, "terms", np.uint64), _column(table, "documents", np.uint32)
+        # Records of either kind, in the order of the rows.
+        beside = np.repeat(table["kind"].to_numpy() == 2, packed.counts(table["terms"], 8))
+        holders = _column(table, "holders", np.uint64)
+        unique, at = np.unique(terms[~beside], return_inverse=True)
+        total = np.bincount(at, documents, len(unique)).astype(np.int64)
+        asked = terms[beside]
+        number = total[np.searchsorted(unique, asked)]
+        keep = number <= limit
+        asked, number, holders = asked[keep], number[keep], holders[keep]
+        columns = {"holders": holders, "terms": asked, "documents": number}
+        return _whole(packed.rows_by_bucket(packed.place(holders, buckets), buckets, columns))
+
+    return run
+
+
+PAIRS = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("class", "terms", "documents", "entity_docs", "both")])
+
+
+def _paired(total: int, buckets: int):
+    """How often every class of entities meets every term that may disclose it."""
+    names = PAIRS.names[1:]
+
+    def run(rows: pa.Table, table: pa.Table) -> pa.Table:
+        holders, terms = _column(table, "holders", np.uint64), _column(table, "terms", np.uint64)
+        number = _column(table, "documents", np.int64)
+        order = np.argsort(holders, kind="stable")
+        holders, terms, number = holders[order], terms[order], number[order]
+        keys = rows["key"].to_numpy().view(np.uint64)
+        kinds, docs = rows["class"].to_numpy().view(np.uint64), rows["entity_docs"].to_numpy()
+        first, last = (np.searchsorted(holders, keys, side) for side in ("left", "right"))
+        held, parts = packed.Held(names[:4]), []
+
+        def pack() -> None:
+            taken = held.take()
+            order = np.lexsort((taken["terms"], taken["class"]))
+            taken = {n: v[order] for n, v in taken.items()}
+            new = np.append(True, (taken["class"][1:] != taken["class"][:-1]) | (taken["terms"][1:] != taken["terms"][:-1]))
+            heads = np.flatnonzero(new)
+            both = np.diff(np.append(heads, len(order)))
+            columns = {n: v[heads] for n, v in taken.items()} | {"both": both}
+            place = packed.place(packed.mix(columns["class"] ^ packed.mix(columns["terms"])), buckets)
+            parts.append(packed.rows_by_bucket(place, buckets, columns))
+
+        for low, high, kind, n, most in zip(first, last, kinds, docs, most_documents(docs, total)):
+            own = low + np.flatnonzero(number[low:high] <= most)
+            size = len(own)
+            kind = np.full(size, kind, np.uint64)
+            held.add(**{"class": kind, "terms": terms[own], "documents": number[own], "entity_docs": np.full(size, n)})
+            if held.size >= packed.FLUSH:
+                pack()
+        if held.size:
+            pack()
+        if not parts:
+            return PAIRS.empty_table()
+        return pa.Table.from_batches(parts)
+
+    return run
+
+
+def _disclosing(total: int):
+    def run(table: pa.Table) -> pa.Table:
+        kind, terms = _column(table, "class", np.uint64), _column(table, "terms", np.uint64)
+        documents, held, both = (_column(table, n, np.int64) for n in ("documents", "entity_docs", "both"))
+        order = np.lexsort((terms, kind))
+        heads = np.flatnonzero(np.append(True, np.diff(kind[order]).astype(bool) | np.diff(terms[order]).astype(bool)))
+        both = np.add.reduceat(both[order], heads)
+        terms, documents, held = (x[order][heads] for x in (terms, documents, held))
+        keep = (both >= SUPPORT) & (held < total)
+        terms, documents, held, both = (x[keep] for x in (terms, documents, held, both))
+        disclosed = 1 + np.log2(both / documents) / np.log2(total / held)
+        keep = disclosed >= GENERALISED
+        return pa.table(
+            {"term": terms[keep].view(np.int64), "term_docs": documents[keep], "disclosed": disclosed[keep]}
+        )
+
+    return run
+
+
+def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """Three places of every key among ``size`` bits, a power of two."""
+    other = packed.mix(keys)
+    return np.stack([keys, other, other >> np.uint64(32)]) & np.uint64(size - 1)
+
+
+def _filter(most: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys = table["term"].to_numpy().view(np.uint64)
+        size = 512
+        while size < 16 * len(keys) and size * 2 <= most:
+            size *= 2
+        bits = np.zeros(size, bool)
+        bits[_bits(keys, size).ravel()] = True
+        return pa.table({"bucket": table["bucket"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    return run
+
+
+class Telling:
+    """The disclosing terms as tasks know them: the ones of most documents with
+    their mark, and a filter that all of the others pass, with few plain words."""
+
+    def __init__(self, known: dict[int, bool], filters: dict[int, bytes], buckets: int):
+        self.known, self.buckets = known, buckets
+        self.start, self.size = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for bucket, bits in filters.items():
+            self.size[bucket] = 8 * len(bits)
+        self.start[1:] = np.cumsum(self.size)[:-1]
+        self.bits = np.frombuffer(b"".join(filters[b] for b in sorted(filters)), np.uint8)
+
+    def open(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys may be of a term that is not known here."""
+        bucket = packed.place(keys, self.buckets).astype(np.int64)
+        out = self.size[bucket] > 0
+        at = np.flatnonzero(out)
+        if len(at):
+            keys, bucket = keys[at], bucket[at]
+            place = self.start[bucket] + (_bits(keys, 1 << 32) & (self.size[bucket] - 1).astype(np.uint64)).astype(np.int64)
+            out[at] = ((self.bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(axis=0)
+        return out
+
+
+SPOT = (
+    "doc_id long, crc long, terms array<struct<first:long,last:long,removed:boolean>>, "
+    "bucket int, keys binary, docs binary, named binary, crcs binary, firsts binary, lasts binary"
+)
+OPEN = {"keys": np.uint64, "docs": np.int64, "named": np.uint8, "crcs": np.int64, "firsts": np.int64, "lasts": np.int64}
+
+
+def _spotted(sent):
+    """Where terms stand: those known, and records of those still to be joined."""
+    mark_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("removed", pa.bool_())]))
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("crc", pa.int64()), ("terms", mark_type), ("bucket", pa.int32())]
+        + [(n, pa.binary()) for n in OPEN]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        telling = sent.value
+        plain: set[str] = set()
+        found: dict[str, tuple[int, bool | None]] = {}
+        waiting, size = [], 0
+
+        def learn(words: set[str]) -> None:
+            if len(plain) + len(found) + len(words) > HELD:
+                plain.clear()
+                found.clear()
+            new = [w for w in words if w not in plain and w not in found]
+            keys = np.fromiter((xxhash.xxh64_intdigest(w.lower()) for w in new), np.uint64, len(new))
+            for word, key, maybe in zip(new, keys.tolist(), telling.open(keys).tolist()):
+                mark = telling.known.get(_signed(key))
+                if mark is not None or maybe:
+                    found[word] = key, mark
+                else:
+                    plain.add(word)
+
+        def handed() -> pa.RecordBatch:
+            columns = {n: np.array(c, t) for (n, t), c in zip(OPEN.items(), zip(*waiting))}
+            waiting.clear()
+            batch = packed.rows_by_bucket(packed.place(columns["keys"], telling.buckets), telling.buckets, columns)
+            blank = [pa.nulls(batch.num_rows, f.type) for f in list(schema)[:3]]
+            return pa.RecordBatch.from_arrays([*blank, *batch.columns], schema=schema)
+
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = set(WORD.findall(text or ""))
+                if not words <= plain:
+                    learn(words - plain)
+                if words.isdisjoint(found):
+                    continue
+                crc, marks = zlib.crc32(text.encode()), []
+                for m in words_outside(text, entities(text)):
+                    if m.group() in found:
+                        key, mark = found[m.group()]
+                        if mark is None:
+                            waiting.append((key, doc or 0, doc is not None, crc, m.start(), m.end()))
+                        else:
+                            marks.append({"first": m.start(), "last": m.end(), "removed": mark})
+                if marks:
+                    rows.append((doc, crc, marks))
+                if len(waiting) >= HELD:
+                    yield handed()
+            columns = list(zip(*rows)) or [[]] * 3
+            blank = [pa.nulls(len(rows), f.type) for f in list(schema)[3:]]
+            kept = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+            yield pa.RecordBatch.from_arrays([*kept, *blank], schema=schema)
+        if waiting:
+            yield handed()
         packed.release()
 
     return run
 
 
-def _frequency(asked: pa.Table, counted: pa.Table) -> pa.Table:
-    """Documents of the terms that were asked for, from the packed counts."""
-    terms = np.unique(asked["term"].to_numpy()) if asked.num_rows else np.empty(0, np.int64)
-    keys = packed.joined(counted["terms"]).view(np.int64) if counted.num_rows else np.empty(0, np.int64)
-    number = packed.joined(counted["documents"]).view(np.uint32) if counted.num_rows else np.empty(0, np.uint32)
-    total = np.zeros(len(terms), np.int64)
-    if len(terms) and len(keys):
-        at = np.minimum(np.searchsorted(terms, keys), len(terms) - 1)
-        hit = terms[at] == keys
-        np.add.at(total, at[hit], number[hit])
-    return pa.table({"term": terms, "term_docs": total})
+def _settled(asked: pa.Table, telling: pa.Table) -> pa.Table:
+    """The records of one bucket whose term does disclose an entity."""
+    records = {n: _column(asked, n, t) for n, t in OPEN.items()}
+    terms = telling["term"].to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    terms, removed = terms[order], telling["removed"].to_numpy(zero_copy_only=False)[order]
+    if len(terms):
+        at = np.minimum(np.searchsorted(terms, records["keys"]), len(terms) - 1)
+        keep = terms[at] == records["keys"]
+    else:
+        at, keep = np.zeros(0, np.int64), np.zeros(len(records["keys"]), bool)
+    records = {n: v[keep] for n, v in records.items()}
+    return pa.table(
+        {
+            "doc_id": pa.array(records["docs"], mask=records["named"] == 0),
+            "crc": records["crcs"],
+            "first": records["firsts"],
+            "last": records["lasts"],
+            "removed": pa.array(removed[at[keep]] if len(terms) else np.zeros(0, bool)),
+        }
+    )
 
 
 def _bucket(column, buckets: int):
@@ -190,42 +439,74 @@ def _bucket(column, buckets: int):
     return F.shiftright(upper * F.lit(buckets), 32).cast("int")
 
 
+def _telling(scanned: DataFrame, buckets: int) -> DataFrame | None:
+    """``bucket, term, term_docs, removed`` of the terms that disclose an entity.
+
+    Entities of the same rows are one class, so that a long list of them meets the
+    words beside it once. Its number of documents bounds those of the terms that
+    can disclose it, which leaves out most words before any pair is formed.
+    """
+    whole = scanned.where("kind = 0")
+    held = whole.select("key", F.explode("held").alias("entity"))
+    rows = [F.bit_xor("key"), F.sum(F.col("key").bitwiseAND((1 << 28) - 1)), F.count(F.lit(1))]
+    classes = held.groupBy("entity").agg(F.xxhash64(*rows).alias("class"), rows[2].alias("entity_docs"))
+    classes = materialize(classes.where(F.col("entity_docs") >= SUPPORT), "entity_classes")
+    total, largest = whole.count(), classes.agg(F.max("entity_docs")).first()[0]
+    if not largest:
+        return None
+    limit = float(most_documents(np.float64(largest), total))
+    holders = held.join(classes, "entity").select("key", "class", "entity_docs").distinct()
+    holders = holders.withColumn("home", _bucket(F.col("key"), buckets))
+    words = scanned.where("kind > 0").select("kind", "bucket", "terms", "documents", "holders")
+    fields = "bucket int, holders binary, terms binary, documents binary"
+    rare = words.groupBy("bucket").applyInArrow(_rare(limit, buckets), fields).withColumnRenamed("bucket", "home")
+    fields = "bucket int, class binary, terms binary, documents binary, entity_docs binary, both binary"
+    pairs = holders.groupBy("home").cogroup(rare.groupBy("home")).applyInArrow(_paired(total, buckets), fields)
+    found = pairs.groupBy("bucket").applyInArrow(_disclosing(total), "term long, term_docs long, disclosed double")
+    found = found.groupBy("term", "term_docs").agg((F.max("disclosed") >= REMOVED).alias("removed"))
+    return materialize(found.withColumn("bucket", _bucket(F.col("term"), buckets)), "telling")
+
+
+def _marked(source: DataFrame, telling: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id, crc, first, last, removed`` of the terms, wherever they stand."""
+    spark = source.sparkSession
+    known = telling.orderBy(F.desc("term_docs"), "term").limit(KNOWN).select("term", "removed").collect()
+    filters = []
+    if len(known) == KNOWN:
+        most = max(512, FILTER * 8 // buckets)
+        filters = telling.groupBy("bucket").applyInArrow(_filter(most), "bucket int, bits binary").collect()
+    sent = Telling({r["term"]: r["removed"] for r in known}, {r["bucket"]: bytes(r["bits"]) for r in filters}, buckets)
+    spots = source.mapInArrow(_spotted(spark.sparkContext.broadcast(sent)), SPOT)
+    spots = materialize(spots, "spots")
+    marked = spots.where("terms is not null").select("doc_id", "crc", F.inline("terms"))
+    if filters:
+        asked = spots.where("bucket is not null").select("bucket", *OPEN).groupBy("bucket")
+        fields = "doc_id long, crc long, first long, last long, removed boolean"
+        marked = marked.unionByName(asked.cogroup(telling.groupBy("bucket")).applyInArrow(_settled, fields))
+    return marked
+
+
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, crc, counts, base, sha, terms`` of every row.
 
-    ``base`` lists the entities, ``terms`` the words near them that disclose them,
-    as ``first, last, removed``; offsets count code points. NULL text reads as
-    empty. Rows of one ``doc_id`` are told apart by ``crc``; equal rows share their
-    terms. Rows without an id are scanned too and count as one document in the
-    statistics. An empty table gives an empty result; other columns are not read.
+    ``base`` lists the entities, ``terms`` all words outside them that disclose an
+    entity of any document, as ``first, last, removed``; offsets count code points.
+    NULL text reads as empty. Rows of one ``doc_id`` are told apart by ``crc``; equal
+    rows share their terms. Every row is a document in the statistics. An empty
+    table gives an empty result; other columns are not read.
     """
     packed.small_batches(docs.sparkSession)
     buckets = packed.bucket_count(docs.sparkSession, 1)
     source = docs.select(F.col("doc_id").cast("long"), "text")
     scanned = materialize(source.mapInArrow(_scanned(buckets), ROW), "entities")
-    rows = scanned.where("kind = 0").drop("kind", "bucket", "documents", "terms")
-    near = rows.where(F.size("near") > 0).select("doc_id", "crc", F.inline("near"))
-    named = F.coalesce("doc_id", F.lit(-1))
-    holders = near.select("entity", named.alias("d")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    holders = holders.where(F.col("entity_docs") >= SUPPORT)
-    pairs = near.select("entity", "term", named.alias("d")).distinct().groupBy("entity", "term")
-    pairs = pairs.agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    pairs = materialize(pairs.join(holders, "entity"), "pairs")
-    asked = pairs.select("term", _bucket(F.col("term"), buckets).alias("bucket")).distinct()
-    counted = scanned.where("kind = 1").select("bucket", "terms", "documents")
-    frequency = asked.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_frequency, "term long, term_docs long")
-    total = rows.count()
-    share = F.col("both") / F.greatest("term_docs", "both")
-    information = F.log2(F.lit(float(total)) / F.col("entity_docs"))
-    disclosed = F.when(information > 0, 1 + F.log2(share) / information).otherwise(F.lit(0.0))
-    telling = pairs.join(frequency, "term").withColumn("disclosed", disclosed)
-    telling = telling.where(F.col("disclosed") >= GENERALISED).select("entity", "term", "disclosed")
-    telling = materialize(telling, "telling")
-    marked = near.join(telling, ["entity", "term"]).groupBy("doc_id", "crc", "first", "last")
-    marked = marked.agg((F.max("disclosed") >= REMOVED).alias("removed"))
-    lists = marked.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_list(F.struct("first", "last", "removed"))).alias("terms"))
+    rows = scanned.where("kind = 0").select("doc_id", "crc", "counts", "base", "sha")
+    telling = _telling(scanned, buckets)
+    if telling is None:
+        return rows.withColumn("terms", F.lit(None).cast("array<struct<first:long,last:long,removed:boolean>>"))
+    marked = _marked(source, telling, buckets)
+    lists = marked.groupBy("doc_id", "crc").agg(F.sort_array(F.collect_set(F.struct("first", "last", "removed"))).alias("terms"))
     lists = lists.withColumnsRenamed({"doc_id": "d", "crc": "z"})
-    joined = rows.drop("near").join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("z")), "left")
+    joined = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("z")), "left")
     return joined.drop("d", "z")
 
 
@@ -246,10 +527,10 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         bases, terms = (batch.column(names.index(n)).to_pylist() for n in ("__base", "__terms"))
         for text, base, term in zip(batch.column(names.index("text")).to_pylist(), bases, terms):
-            if not text or not base:
+            if not text or not (base or term):
                 out.append(text)
                 continue
-            spans = [(s["first"], s["last"], f"[{KINDS[s['kind']].upper()}]") for s in base]
+            spans = [(s["first"], s["last"], f"[{KINDS[s['kind']].upper()}]") for s in base or []]
             spans += [(t["first"], t["last"], "" if t["removed"] else "[TERM]") for t in term or []]
             parts, at = [], 0
             for first, last, mask in sorted(spans):
@@ -266,7 +547,7 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with entities replaced by their kind, disclosing terms generalised
     or removed, and ``n_chars`` to match. All rows and columns stay."""
-    found = find(docs).where(F.size("base") > 0).dropDuplicates(["doc_id", "crc"])
+    found = find(docs).where((F.size("base") > 0) | F.col("terms").isNotNull()).dropDuplicates(["doc_id", "crc"])
     found = found.select(
         F.col("doc_id").alias("__doc"), F.col("crc").alias("__crc"), F.col("base").alias("__base"), F.col("terms").alias("__terms")
     )

@@ -87,6 +87,55 @@ def test_a_term_that_gives_an_entity_away(spark):
     assert pii.masked(docs).schema.names == docs.schema.names
 
 
+def plain_terms(rows):
+    """Spans of the disclosing words of every row, by counting all pairs."""
+    texts = [t or "" for _, t, *_ in rows]
+    spans = [plain_entities(t) for t in texts]
+    words = []
+    for t, own in zip(texts, spans):
+        runs = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t)]
+        words.append([(s, e, t[s:e].lower()) for s, e in runs if all(e <= a or s >= b for a, _, b in own)])
+    holds = [{(k, t[a:b].lower()) for a, k, b in own} for t, own in zip(texts, spans)]
+    has = [{w for _, _, w in own} for own in words]
+    entity_docs = {e: sum(e in h for h in holds) for e in set().union(*holds)}
+    term_docs = {w: sum(w in h for h in has) for w in set().union(*has)}
+    best = {}
+    for e, n in entity_docs.items():
+        for w, m in term_docs.items():
+            both = sum(e in h and w in x for h, x in zip(holds, has))
+            if both >= 2 and n < len(rows):
+                best[w] = max(best.get(w, 0), 1 + math.log2(both / m) / math.log2(len(rows) / n))
+    return [[(s, e) for s, e, w in own if best.get(w, 0) >= pii.GENERALISED] for own in words]
+
+
+def private_rows():
+    far = prose(60)
+    texts = [prose(40) for _ in range(60)]
+    for i in range(0, 18, 3):
+        texts[i] += f" Zanzibarov {far} 77A {prose(40)} bob@mail.example.com 10.0.0.1"
+    texts[40] += " here ZANZIBAROV stands alone"
+    texts[41] = "77a"
+    texts += ["alice@x.example.org only " + prose(30), "list " + " ".join(f"u{i}@x.example.net Q{i}" for i in range(50)) + " tail"] * 2
+    return [(i, t, "en", "s", len(t), 0, "k", 0) for i, t in enumerate(texts)] + odd_rows()
+
+
+@pytest.mark.parametrize("known", [50_000, 0, 3])
+def test_terms_of_all_documents(spark, known, monkeypatch):
+    """Far from the entity, with digits, and where the entity does not stand."""
+    monkeypatch.setattr(pii, "KNOWN", known)
+    rows = private_rows()
+    expected = []
+    for (i, *_), text, terms in zip(rows, [t or "" for _, t, *_ in rows], plain_terms(rows)):
+        every = sorted([(a, k, b) for a, k, b in plain_entities(text)] + [(a, 4, b) for a, b in terms])
+        names = [*(n for n, _ in PATTERNS), "term"]
+        expected.append((i, ",".join(f"{names[k]}:{a}:{b}" for a, k, b in every)))
+    docs = frame(spark, rows)
+    got = [(r["doc_id"], r["spans"]) for r in pii.digest(docs).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(docs.where("doc_id between 30 and 63 or doc_id < 20")).collect()}
+    assert "ZANZIBAROV" not in masked[40] and masked[40].startswith(rows[40][1][:20]) and "77" not in masked[41]
+
+
 # Language
 
 
