@@ -27,8 +27,9 @@ from plumbline.plans.session import materialize
 #: Kinds in the order of their spans.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Documents in which term and entity must stand together, at least.
-SUPPORT = 2
+#: What a term and entity count that stand together in a single document: one meeting
+#: may be chance, so such a term is generalised in a large corpus, but not removed.
+ONCE = 0.5
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISED, REMOVED = 0.90, 0.98
 #: Words that a task counts before it hands the counts on.
@@ -284,9 +285,9 @@ def _disclosing(total: int):
         heads = np.flatnonzero(np.append(True, np.diff(kind[order]).astype(bool) | np.diff(terms[order]).astype(bool)))
         both = np.add.reduceat(both[order], heads)
         terms, documents, held = (x[order][heads] for x in (terms, documents, held))
-        keep = (both >= SUPPORT) & (held < total)
+        keep = held < total
         terms, documents, held, both = (x[keep] for x in (terms, documents, held, both))
-        disclosed = 1 + np.log2(both / documents) / np.log2(total / held)
+        disclosed = 1 + np.log2(np.where(both == 1, ONCE, both) / documents) / np.log2(total / held)
         keep = disclosed >= GENERALISED
         return pa.table(
             {"term": terms[keep].view(np.int64), "term_docs": documents[keep], "disclosed": disclosed[keep]}
@@ -450,7 +451,7 @@ def _telling(scanned: DataFrame, buckets: int) -> DataFrame | None:
     held = whole.select("key", F.explode("held").alias("entity"))
     rows = [F.bit_xor("key"), F.sum(F.col("key").bitwiseAND((1 << 28) - 1)), F.count(F.lit(1))]
     classes = held.groupBy("entity").agg(F.xxhash64(*rows).alias("class"), rows[2].alias("entity_docs"))
-    classes = materialize(classes.where(F.col("entity_docs") >= SUPPORT), "entity_classes")
+    classes = materialize(classes, "entity_classes")
     total, largest = whole.count(), classes.agg(F.max("entity_docs")).first()[0]
     if not largest:
         return None

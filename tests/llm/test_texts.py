@@ -103,8 +103,8 @@ def plain_terms(rows):
     for e, n in entity_docs.items():
         for w, m in term_docs.items():
             both = sum(e in h and w in x for h, x in zip(holds, has))
-            if both >= 2 and n < len(rows):
-                best[w] = max(best.get(w, 0), 1 + math.log2(both / m) / math.log2(len(rows) / n))
+            if both and n < len(rows):
+                best[w] = max(best.get(w, 0), 1 + math.log2((both if both > 1 else 0.5) / m) / math.log2(len(rows) / n))
     return [[(s, e) for s, e, w in own if best.get(w, 0) >= pii.GENERALISED] for own in words]
 
 
@@ -136,6 +136,17 @@ def test_terms_of_all_documents(spark, known, monkeypatch):
     assert "ZANZIBAROV" not in masked[40] and masked[40].startswith(rows[40][1][:20]) and "77" not in masked[41]
 
 
+def test_an_entity_of_one_document(spark):
+    """One meeting counts half: enough to generalise among many documents, not few."""
+    rows = [(i, "the quick fox", "en", "s", 0, 0, "k", 0) for i in range(1100)]
+    rows[7] = (7, "the fox Quillfeather " + "of the quick fox " * 30 + "writes bob@mail.example.com", "en", "s", 0, 0, "k", 0)
+    docs = frame(spark, rows)
+    text = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
+    assert text[7].startswith("the fox [TERM] [TERM] the quick fox") and text[7].endswith("[TERM] [EMAIL]")
+    assert {t for i, t in text.items() if i != 7} == {"the quick fox"}
+    assert pii.digest(docs.where("doc_id < 100")).where("spans like '%term%'").count() == 0
+
+
 # Language
 
 
