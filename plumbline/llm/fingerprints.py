@@ -202,3 +202,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     groups = groups.where(linked).withColumn("root", F.coalesce("root", "set"))
     least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(groups.join(least, "root"), "set").select("doc_id", "component_id")
+
+
+def with_classes(docs: DataFrame) -> DataFrame:
+    """``fingerprints`` with ``component_id``: the smallest id of the near copies and
+    equal sets of every document in the whole table, its own id if it has none. Of
+    several texts under one id the smallest counts; without an id it is NULL."""
+    classes = near_classes(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    done = fingerprints(docs).join(classes, "doc_id", "left")
+    return done.withColumn("component_id", F.least("doc_id", F.coalesce("component_id", "doc_id")))

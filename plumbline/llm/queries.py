@@ -49,7 +49,7 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.fingerprints(_documents(spark, folder))
+    return fingerprints.with_classes(_documents(spark, folder))
 
 
 def op8_sentencepiece_scan(spark: SparkSession, folder: str) -> DataFrame:

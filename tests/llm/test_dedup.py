@@ -8,7 +8,7 @@ import pytest
 from odd_tables import SCHEMA, components, frame, odd_rows, random_rows, removed_windows, shingles
 
 from plumbline.llm import components as stars
-from plumbline.llm import fingerprints, jaccard_join, repeats, substring_dedup, suffix_dedup, suffixes
+from plumbline.llm import fingerprints, jaccard_join, queries, repeats, substring_dedup, suffix_dedup, suffixes
 
 TABLES = [odd_rows(), random_rows(60, 1), random_rows(60, 2)]
 
@@ -139,6 +139,15 @@ def test_banded_pairs_are_verified(spark):
     assert len([i for i in linked if i in got]) >= 0.9 * len(linked)
 
 
+def test_the_query_has_the_classes(spark, monkeypatch):
+    """Also of copies that are not neighbours, as exact components have them."""
+    rows = random_rows(60, 4) + [(200, None, "en", "s", 0, 0, "k", 0)]
+    monkeypatch.setattr(queries, "_documents", lambda spark, folder: frame(spark, rows))
+    got = queries.op7_minhash(spark, "").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, c) for i, _, c in components(rows)]
+    assert fingerprints.with_classes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.digest, substring_dedup.digest, jaccard_join.classes, fingerprints.fingerprints])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
