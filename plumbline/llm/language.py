@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm import packed
 
-#: Labelled documents that the scores are learned from, at most.
+#: Labelled documents that the scores are learned from, at most; one of each language stays.
 SAMPLE = 6000
 #: Hash cells of the character grams, and the gram lengths.
 CELLS = 1 << 15
@@ -204,13 +204,30 @@ def _summed(table: pa.Table) -> pa.Table:
     )
 
 
+def sampled(known: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """The rows of the smallest hashes of every language, an equal number of each.
+
+    A bound on the hash, from the language's rows, leaves about twice as many and 40
+    more of each, so that the rows of a common language are not ranked in one task.
+    """
+    each = max(1, sample // len(counts))
+    rows = known.sparkSession.createDataFrame(list(counts.items()), "lang string, rows long")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = known.join(F.broadcast(rows), "lang").select("text", "lang", F.xxhash64("doc_id").alias("h"), part.alias("part"), "rows")
+    few = few.where(F.col("part") * F.col("rows") <= 2 * each + 40)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("part", "h", "text"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= each)
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold, chosen by
-    a hash of the id. Cell counts per language are what reaches the driver."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out())
-    chosen = known.select("text", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "lang").limit(sample)
+    """Fit on at most ``sample`` labelled rows outside the held-out fold, an equal
+    number of every language (one at least) chosen by a hash of the id, so that no
+    label is lost. Counts per language are what reaches the driver."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~is_held_out())
+    counts = dict(map(tuple, known.groupBy("lang").count().collect()))
+    chosen = sampled(known, counts, sample) if counts else known
     chosen = chosen.select("text", "lang").repartition(8)
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    languages = sorted(counts)
     fields = "language int, cells binary, scripts binary"
     rows = chosen.mapInArrow(_counted(languages), fields).groupBy("language").applyInArrow(_summed, fields).collect()
     rows = sorted((r["language"], r["cells"], r["scripts"]) for r in rows)

@@ -193,6 +193,17 @@ def test_language_without_anything_to_learn(spark):
     assert len(odd) == len(odd_rows())
 
 
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "plain common words " * 3, "en", "s", 0, 0, "k", 0) for i in range(400)]
+    rows += [(1000 + i, "žluťoučký kůň úpěl" if i else None, "cs", "s", 0, 0, "k", 0) for i in range(6)]
+    model = language.learn(frame(spark, rows), 20)
+    assert model.languages == ["cs", "en"]
+    got = language.label(frame(spark, rows), model).where("lang = 'cs' and text is not null")
+    assert {r["__lang"] for r in got.collect()} == {"cs"}
+    known = frame(spark, rows).where("text is not null")
+    assert sorted(r["lang"] for r in language.sampled(known, {"en": 400, "cs": 5}, 20).collect()) == ["cs"] * 5 + ["en"] * 10
+
+
 def test_documents_with_letters_stay(spark):
     docs = frame(spark, odd_rows())
     kept = language.with_language(docs)
