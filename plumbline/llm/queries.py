@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import (
     fingerprints,
     jaccard_join,
+    katz,
     language,
     lexical,
     packing,
@@ -70,6 +71,10 @@ def op11_k2_treap_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op12_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.held_out_scores(_documents(spark, folder))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digest(_documents(spark, folder))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_nra_topk,
         op10_jaccard_join,
         op11_k2_treap_search,
+        op12_katz_scores,
         op13_periodic_runs,
     )
 }
