@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,6 +55,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def by_value(*modules: str) -> None:
+    """Have the classes of these modules sent as they are, for processes of the driver
+    that get no packages (streaming sources and stateful processors)."""
+    for name in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 

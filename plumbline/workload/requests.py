@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import catalog
 from plumbline.plans.session import new_folder
+from plumbline.streaming import ended
 from plumbline.streaming.probes import read_timeouts, start_probes, start_responses
 from plumbline.streaming.updates import start_reject_stale
 from plumbline.workload.inputs import plain, table
@@ -134,6 +135,30 @@ def q_probe_timeouts_stream(spark, d):
     return read_timeouts(spark, sent, answered, TIMEOUT_MS).select("event_id", "tag")
 
 
+def q_unanswered_probes_stream(spark, d):
+    """Files of mixed times, one read in every batch; a probe is told when its deadline
+    has passed, and corrected by a late response. The last file only moves the clock on."""
+    events = table(spark, d, "events").where("event_type IN ('click', 'view')").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tag"),
+        F.when(F.col("event_type") == "click", F.col("event_id").cast("string")).alias("probe"),
+        "ts",
+    )
+    folder, out, state = (new_folder(spark, n) for n in ("events", "unanswered", "state"))
+    late = F.pmod(F.xxhash64("tag", "ts"), F.lit(4)) * (2 * TIMEOUT_MS * 1000)
+    events.repartitionByRange(4, F.unix_micros("ts") + late).write.parquet(folder)
+    clock = events.agg((F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts")).select(
+        F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("probe"), "ts"
+    )
+    for rows in (None, clock):
+        if rows is not None:
+            rows.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        told = ended.unanswered_stream(stream, TIMEOUT_MS, keep_ms=30 * ended.KEEP_MS)
+        ended.start_told(told, out, state).awaitTermination()
+    found = ended.current_unanswered(spark.read.schema(ended.PROBES).parquet(out))
+    return found.select(F.col("probe").cast("long").alias("event_id"), "tag")
+
+
 def q_reject_stale_stream(spark, d):
     """Updates in several micro-batches, in order of arrival."""
     folder = new_folder(spark, "updates")
@@ -164,6 +189,7 @@ QUERIES = {
     "same_set": q_same_set,
     "probe_timeouts": q_probe_timeouts,
     "probe_timeouts_stream": q_probe_timeouts_stream,
+    "unanswered_probes_stream": q_unanswered_probes_stream,
     "reject_stale_stream": q_reject_stale_stream,
 }
 
@@ -213,5 +239,6 @@ SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'api/' || p_brand || '/' || p_na
     "same_set": f"WITH {DIFF} SELECT count(*) FILTER (WHERE status <> 'same') = 0 AS same_set FROM d",
     "probe_timeouts": UNMET_SQL,
     "probe_timeouts_stream": UNMET_SQL,
+    "unanswered_probes_stream": UNMET_SQL,
     "reject_stale_stream": STORE_SQL["reject_stale"],
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators import logs
 from plumbline.plans import chains
 from plumbline.plans.session import materialize, new_folder
 from plumbline.sources.files import read_logs
+from plumbline.sources.growing import filesystem, follow_logs
+from plumbline.streaming import ended
 from plumbline.streaming.logs import (
     read_log_stream,
     read_outcome_stats,
@@ -150,7 +154,69 @@ def q_activity_sessions_stream(spark, d):
     return _as_shown(read_sessions(spark, out, GAP_MS))
 
 
+#: Lines of a growing file when it is whole, and of the one that is truncated.
+FILE_LINES, LEFT_LINES = 5000, 100
+
+
+def _written(lines: DataFrame, folder: str) -> None:
+    """One file for each ``number``, replaced as a whole: its lines in order, and the
+    half of its ``cut`` line without an end."""
+
+    def write(table: pa.Table) -> pa.Table:
+        table = table.sort_by("line_no")
+        text = "".join(v + "\n" for v in table.filter(pc.invert(table["cut"]))["value"].to_pylist())
+        for v in table.filter(table["cut"])["value"].to_pylist():
+            text += v[: len(v) // 2]
+        files, root = filesystem(folder)
+        files.create_dir(root)
+        name = f"{root}/run-{table['number'][0].as_py()}.log"
+        with files.open_output_stream(f"{root}/.{table['number'][0].as_py()}.part") as out:
+            out.write(text.encode())
+        files.move(f"{root}/.{table['number'][0].as_py()}.part", name)
+        return pa.table({"lines": [table.num_rows]})
+
+    lines.groupBy("number").applyInArrow(write, "lines long").write.format("noop").mode("overwrite").save()
+
+
+def q_growing_logs_stream(spark, d):
+    """Files that grow from batch to batch, cut within a line; the first is truncated
+    in the end, and what is left of it is read again."""
+    place = F.col("line_no") % FILE_LINES
+    lines = log_input(spark, d).select(
+        "value", "line_no", F.floor(F.col("line_no") / FILE_LINES).alias("number"), place.alias("place"), F.lit(False).alias("cut")
+    )
+    half = FILE_LINES // 2
+    versions = [
+        lines.where(F.col("place") <= half).withColumn("cut", F.col("place") == half),
+        lines,
+        lines.where((F.col("number") == 0) & (F.col("place") < LEFT_LINES)),
+    ]
+    folder, out, state = (new_folder(spark, n) for n in ("growing", "outcomes", "state"))
+    for version in versions:
+        _written(version, folder)
+        start_outcome_stats(follow_logs(spark, folder), YEAR, out, state, "pcap").awaitTermination()
+    return read_outcome_stats(spark, out)
+
+
+def q_ended_sessions_stream(spark, d):
+    """Files of mixed times, one read in every batch; sessions are told as they end
+    and corrected by late lines. The last file only moves the clock on."""
+    parsed = _parsed(spark, d).where("reason IS NULL").select("producer", "ts")
+    folder, out, state = (new_folder(spark, n) for n in ("lines", "sessions", "state"))
+    disordered = parsed.repartitionByRange(6, F.unix_micros("ts") + F.pmod(F.xxhash64("producer", "ts"), F.lit(5)) * (3 * GAP_MS * 1000))
+    disordered.write.parquet(folder)
+    clock = parsed.agg((F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+    for rows in (None, clock.select(F.lit(None).cast("string").alias("producer"), "ts")):
+        if rows is not None:
+            rows.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(parsed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        ended.start_told(ended.ended_sessions(stream, GAP_MS, keep_ms=30 * ended.KEEP_MS), out, state).awaitTermination()
+    return _as_shown(ended.current_sessions(spark.read.schema(ended.SESSIONS).parquet(out)))
+
+
 QUERIES = {
+    "growing_logs_stream": q_growing_logs_stream,
+    "ended_sessions_stream": q_ended_sessions_stream,
     "log_report_failures": q_log_report_failures,
     "log_report_malformed": q_log_report_malformed,
     "log_report_sessions": q_log_report_sessions,
@@ -196,6 +262,10 @@ SELECT producer, strftime(min(sec), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(m
 """
 
 SQL = {
+    "growing_logs_stream": STATS_SQL.replace(
+        "FROM events)", f"FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id < {LEFT_LINES}))"
+    ),
+    "ended_sessions_stream": SESSIONS_SQL,
     "strip_priority": f"""
 WITH {LOG_SQL}, raw AS (
   SELECT *, CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN 'step ' || n || ' : a : b  ' ELSE message END AS written,
