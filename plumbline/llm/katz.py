@@ -588,15 +588,20 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), learned.alias("learn"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = -(-size // BUCKET_BYTES) or 1
-    token_buckets = -(-buckets // 8)
-    counted = rows.mapInArrow(_counted(token_buckets), TOKENS).groupBy("bucket").applyInArrow(_added, TOKENS)
-    tokens = materialize(counted, "katz-tokens")
+    token_buckets = -(-buckets // 2)
+
+    def dealt(df: DataFrame, parts: int, by: str = "bucket"):
+        # As many partitions as buckets: a task then holds few of them, however many Spark would choose.
+        return df.repartition(parts, by).groupBy(by)
+
+    counted = rows.mapInArrow(_counted(token_buckets), TOKENS)
+    tokens = materialize(dealt(counted, token_buckets).applyInArrow(_added, TOKENS), "katz-tokens")
     levels = _first_level(tokens, buckets)
     splits = levels.splits
     placed = rows.mapInArrow(_placed(token_buckets, buckets, splits), PLACES)
-    answers = tokens.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(_answered, ANSWERS)
+    answers = dealt(tokens, token_buckets).cogroup(dealt(placed, token_buckets)).applyInArrow(_answered, ANSWERS)
     sent = rows.mapInArrow(_sent(buckets, splits), PAIRS)
-    looked_up = sent.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_looked_up(levels), STORED)
+    looked_up = dealt(sent, buckets).cogroup(dealt(answers, buckets)).applyInArrow(_looked_up(levels), STORED)
     path = new_folder(spark, "katz-pairs")
     looked_up.write.partitionBy("kind").parquet(path)
     stored = spark.read.schema(STORED).parquet(path)
@@ -605,7 +610,8 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         "bucket", "block", "pair_counts", "totals", "rest", "mass", "token_counts"
     )
     home = rows.mapInArrow(_at_home(buckets, splits), HOME)
-    scores = home.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(levels), SCORES)
+    blocks = 2 * buckets
+    scores = dealt(home, blocks, "block").cogroup(dealt(replies, blocks, "block")).applyInArrow(_scored(levels), SCORES)
     # A text longer than a block has several rows.
     sums = [F.sum(n).alias(n) for n in ("n_tokens", "n_known", "base_score", "score")]
     whole = scores.groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums)
