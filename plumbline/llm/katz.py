@@ -11,12 +11,12 @@ probabilities add up to one.
 Counts live in two tables of packed rows, by bucket: tokens, and histories with the
 tokens that follow them. Nothing is pruned, and no table is broadcast:
 
-1. Tokens are counted.
-2. Blocks of about ``BLOCK`` tokens tell which tokens stand in which bucket of pairs,
-   and the token table answers with their counts.
-3. Blocks send each distinct pair once with its count; a bucket adds these up, writes
+1. Blocks of about ``BLOCK`` tokens tell how often they have each token and in which
+   buckets of pairs it stands. The token table is made of these counts and answers
+   each bucket of pairs with those of its tokens.
+2. Blocks send each distinct pair once with its count; a bucket adds these up, writes
    its part of the pair table and answers each block for the pairs it asked about.
-4. Each block evaluates its own tokens and adds them up by text.
+3. Each block evaluates its own tokens and adds them up by text.
 
 Buckets grow in number with the text. A history with more than its share of the
 tokens is split by the following token into as many buckets as it fills; at most
@@ -44,17 +44,16 @@ from plumbline.plans.session import materialize, new_folder
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, and bytes of text for every bucket of pairs.
-BLOCK, BUCKET_BYTES = 1 << 19, 16 << 20
+BLOCK, BUCKET_BYTES = 1 << 20, 12 << 20
 
 CHANGED = "the documents changed between two reads: write them as a table first"
 _HASH = np.uint64((1 << 48) - 1)
 #: The end of a text, and the history of its first token.
 END, BEGIN = (int(packed.mix(np.array([n], np.uint64))[0] & _HASH) for n in (0xE17D, 0xBE61))
 
-TOTALS = ["learned", "distinct", "every", *(f"n{r}" for r in range(1, DISCOUNTED + 2))]
-TOKENS = "bucket int, tokens binary, learned binary, all binary"
-PLACES = "bucket int, tokens binary, times binary, places binary"
-ANSWERS = "bucket int, part int, counts binary"
+TOTALS = ["tokens", "distinct", *(f"n{r}" for r in range(1, DISCOUNTED + 2))]
+PLACES = "bucket int, tokens binary, learned binary, times binary, places binary"
+TOKENS = "kind string, bucket int, part int, tokens binary, counts binary, totals array<long>"
 PAIRS = "bucket int, block long, histories binary, followers binary, dictionary binary, tokens binary, learned binary"
 STORED = (
     "kind string, bucket int, block long, histories binary, followers binary, dictionary binary, tokens binary, "
@@ -230,6 +229,8 @@ class Pairs:
         rank[order] = np.arange(len(order))
         self.names, self.name, self.history, self.bucket = names, self.name[order], history[order], bucket[order]
         self.tokens = names[self.name]
+        #: How often the training texts of the block have each token.
+        self.learned = block.counted(of, len(names), True)
         #: The pair of every token of the block.
         self.of_token = rank[of_pair]
 
@@ -265,74 +266,36 @@ def _schema(fields: str) -> pa.Schema:
     return pa.schema([(n, kinds.get(k, pa.binary())) for n, k in (f.split() for f in fields.split(", "))])
 
 
-def _counted(buckets: int):
-    """Distinct tokens of every block by bucket."""
+def _frequent(buckets: int):
+    """Tokens that would fill half a bucket of a block's pairs."""
 
     def run(batches):
         for block in blocks_of(batches):
-            names, of = np.unique(block.tokens, return_inverse=True)
-            learned, every = (block.counted(of, len(names), x) for x in (True, False))
-            bucket = _bucket_of_token(names, buckets)
-            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(names))
-            rows = [
-                {"bucket": bucket[a], "tokens": _six(names[a:b]), "learned": planes(learned[a:b], 6), "all": planes(every[a:b], 6)}
-                for a, b in zip(cuts, cuts[1:])
-            ]
-            yield _batch(rows, _schema(TOKENS))
+            names, counts = np.unique(block.tokens, return_counts=True)
+            some = counts * 2 * buckets >= len(block.tokens)
+            tokens = np.append(names[some].astype(np.int64), -1)
+            yield pa.RecordBatch.from_pydict({"token": tokens, "n": np.append(counts[some], len(block.tokens))})
         packed.release()
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """A bucket of the token table."""
-    tokens, learned, every = (
-        _joined(table, n, read) for n, read in (("tokens", _hashes), ("learned", _planes), ("all", _planes))
-    )
-    order = np.argsort(tokens, kind="stable")
-    heads = np.flatnonzero(np.append(True, np.diff(tokens[order]) > 0))
-    learned, every = np.add.reduceat(learned[order], heads), np.add.reduceat(every[order], heads)
-    row = {
-        "bucket": table["bucket"][0].as_py(),
-        "tokens": _six(tokens[order][heads]), "learned": planes(learned, 6), "all": planes(every, 6),
-    }
-    return pa.Table.from_batches([_batch([row], _schema(TOKENS))])
-
-
-def _token_totals(batches):
-    for batch in batches:
-        for learned, every in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            c = _planes(learned)
-            totals = [c.sum(), (c > 0).sum(), _planes(every).sum(), *(np.sum(c == r) for r in range(1, DISCOUNTED + 2))]
-            yield pa.RecordBatch.from_arrays([pa.array([int(n)]) for n in totals], names=TOTALS)
-
-
-def _frequent(least: float):
-    def run(batches):
-        for batch in batches:
-            tokens, every = _joined(batch, "tokens", _hashes), _joined(batch, "all", _planes)
-            some = every >= least
-            yield pa.RecordBatch.from_pydict({"token": tokens[some].astype(np.int64), "n": every[some]})
-
-    return run
-
-
 def _placed(token_buckets: int, buckets: int, splits: dict[int, int]):
-    """Which tokens of a block stand in which buckets of pairs."""
+    """The tokens of a block: how often training texts have each, and in which buckets
+    of pairs it stands."""
 
     def run(batches):
         for block in blocks_of(batches):
             pairs = Pairs(block, buckets, splits)
             both = np.unique(pairs.name * buckets + pairs.bucket)
-            name, place = both // buckets, both % buckets
-            held, times = np.unique(name, return_counts=True)
+            place, times = both % buckets, np.bincount(both // buckets, minlength=len(pairs.names))
             limits = np.append(0, np.cumsum(times))
-            bucket = _bucket_of_token(pairs.names[held], token_buckets)
-            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(held))
+            bucket = _bucket_of_token(pairs.names, token_buckets)
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
             rows = [
                 {
-                    "bucket": bucket[a], "tokens": _six(pairs.names[held[a:b]]), "times": planes(times[a:b], 6),
-                    "places": planes(place[limits[a] : limits[b]], 6),
+                    "bucket": bucket[a], "tokens": _six(pairs.names[a:b]), "learned": planes(pairs.learned[a:b], 6),
+                    "times": planes(times[a:b], 6), "places": planes(place[limits[a] : limits[b]], 6),
                 }
                 for a, b in zip(cuts, cuts[1:])
             ]
@@ -342,20 +305,25 @@ def _placed(token_buckets: int, buckets: int, splits: dict[int, int]):
     return run
 
 
-def _answered(stored: pa.Table, asked: pa.Table) -> pa.Table:
-    """Counts of the tokens of each bucket of pairs, in the tokens' order."""
-    if not asked.num_rows:
-        return _schema(ANSWERS).empty_table()
-    tokens, counts = _joined(stored, "tokens", _hashes), _joined(stored, "learned", _planes)
-    wanted = np.repeat(_joined(asked, "tokens", _hashes), _joined(asked, "times", _planes))
-    place = _joined(asked, "places", _planes)
-    at = np.searchsorted(tokens, wanted)
-    both = np.unique(place * len(tokens) + at)
-    place, at = both // len(tokens), both % len(tokens)
+def _answered(asked: pa.Table) -> pa.Table:
+    """A bucket of the token table, and the counts of the tokens of each bucket of
+    pairs, in the tokens' order."""
+    names, of = np.unique(_joined(asked, "tokens", _hashes), return_inverse=True)
+    counts = np.bincount(of, _joined(asked, "learned", _planes), len(names)).astype(np.int64)
+    at = np.repeat(of, _joined(asked, "times", _planes))
+    both = np.unique(_joined(asked, "places", _planes) * len(names) + at)
+    place, at = both // len(names), both % len(names)
     cuts = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
     part = asked["bucket"][0].as_py()
-    rows = [{"bucket": place[a], "part": part, "counts": planes(counts[at[a:b]], 6)} for a, b in zip(cuts, cuts[1:])]
-    return pa.Table.from_batches([_batch(rows, _schema(ANSWERS))])
+    rows = [
+        {"kind": "answers", "bucket": place[a], "part": part, "counts": planes(counts[at[a:b]], 6)}
+        for a, b in zip(cuts, cuts[1:])
+    ]
+    known = counts > 0
+    of_counts = [np.sum(counts == r) for r in range(1, DISCOUNTED + 2)]
+    totals = [int(n) for n in (counts.sum(), known.sum(), *of_counts)]
+    rows.append({"kind": "tokens", "part": part, "tokens": _six(names[known]), "counts": planes(counts[known], 6), "totals": totals})
+    return pa.Table.from_batches([_batch(rows, _schema(TOKENS))])
 
 
 def _sent(buckets: int, splits: dict[int, int]):
@@ -424,7 +392,7 @@ def _looked_up(levels: Levels):
                     "kind": "answers", "bucket": r["bucket"], "block": r["block"], "pair_counts": planes(c, 6),
                     "totals": planes(total(totals, rest)[which], 6), "rest": planes((rest[which] * open_[:, None]).ravel(), 6),
                     "mass": (mass[which] * open_).astype("<f8").tobytes(),
-                    "token_counts": planes(counts[np.searchsorted(dictionary, own)], 6),
+                    "token_counts": planes(counts[token[of[begin - size : begin]]], 6),
                 }
             )
         bucket = rows[0]["bucket"]
@@ -441,6 +409,7 @@ def _looked_up(levels: Levels):
                 "counts_of_counts": [int(np.sum(learned == r)) for r in range(1, DISCOUNTED + 2)],
             }
         )
+        packed.release()
         return pa.Table.from_batches([_batch(out, schema)])
 
     return run
@@ -448,7 +417,7 @@ def _looked_up(levels: Levels):
 
 HOME = (
     "block long, ids binary, has_id binary, rows binary, learn binary, lengths binary, texts binary, places binary, "
-    "times binary, followers binary, frequent binary, histories binary, names binary, tokens binary"
+    "times binary, followers binary, frequent binary, histories binary"
 )
 
 
@@ -463,16 +432,13 @@ def _at_home(buckets: int, splits: dict[int, int]):
             texts = len(block.lengths)
             text = np.repeat(np.arange(texts), block.lengths)
             both, times = np.unique(pairs.of_token * texts + text, return_counts=True)
-            followers, names, tokens, hot, histories = [], [], [], [], []
+            followers, hot, histories = [], [], []
             for _, s in pairs.slices():
                 own = pairs.history[s]
                 heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 followers.append(np.diff(np.append(heads, len(own))))
                 hot.append(np.where(np.isin(own[heads], frequent), own[heads], 0))
                 histories.append(len(heads))
-                dictionary, place = np.unique(pairs.tokens[s], return_inverse=True)
-                names.append(len(dictionary))
-                tokens.append(place)
             row = {
                 "block": block.number,
                 "ids": block.ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
@@ -482,8 +448,7 @@ def _at_home(buckets: int, splits: dict[int, int]):
                 "texts": planes(np.bincount(both // texts, minlength=len(pairs.tokens)), 6),
                 "places": planes(both % texts, 6), "times": planes(times, 6),
                 "followers": planes(np.concatenate(followers), 6), "frequent": _six(np.concatenate(hot)),
-                "histories": planes(np.array(histories), 6), "names": planes(np.array(names), 6),
-                "tokens": planes(np.concatenate(tokens), 6),
+                "histories": planes(np.array(histories), 6),
             }
             yield _batch([row], schema)
         packed.release()
@@ -498,14 +463,14 @@ def _scored(levels: Levels):
         if not home.num_rows:
             return _RESULT.empty_table()
         mine, parts = home.to_pylist()[0], answers.sort_by("bucket").to_pylist()
-        names, histories, tokens = (_planes(mine[n]) for n in ("names", "histories", "tokens"))
-        followers, frequent = _planes(mine["followers"]), _hashes(mine["frequent"])
-        counts, scores = np.empty(len(tokens), np.int64), np.empty(len(tokens))
+        histories, followers, texts = (_planes(mine[n]) for n in ("histories", "followers", "texts"))
+        frequent = _hashes(mine["frequent"])
+        counts, scores = np.empty(len(texts), np.int64), np.empty(len(texts))
         begin = first = 0
-        for part, n_names, n_histories in zip(parts, names, histories, strict=True):
+        for part, n_histories in zip(parts, histories, strict=True):
             pairs, of_token, totals = (_planes(part[n]) for n in ("pair_counts", "token_counts", "totals"))
             end, last = begin + len(pairs), first + n_histories
-            if len(of_token) != n_names or len(totals) != n_histories:
+            if len(totals) != n_histories or end > len(texts):
                 raise ValueError(CHANGED)
             mass = np.frombuffer(part["mass"], "<f8").copy()
             rest = _planes(part["rest"]).reshape(-1, DISCOUNTED)
@@ -513,11 +478,11 @@ def _scored(levels: Levels):
                 count, mass[at], rest[at] = levels.hot.get(int(frequent[first + at]), (0, 0.0, 0))
                 totals[at] = total(np.int64(count), rest[at])
             which = np.repeat(np.arange(n_histories), followers[first:last])
-            counts[begin:end] = of_token[tokens[begin:end]]
-            scores[begin:end] = levels.backed_off(pairs, totals[which], rest[which], mass[which], counts[begin:end])
+            counts[begin:end] = of_token
+            scores[begin:end] = levels.backed_off(pairs, totals[which], rest[which], mass[which], of_token)
             begin, first = end, last
         lengths, place, times = (_planes(mine[n]) for n in ("lengths", "places", "times"))
-        pair = np.repeat(np.arange(len(tokens)), _planes(mine["texts"]))
+        pair = np.repeat(np.arange(len(texts)), texts)
 
         def added(values: np.ndarray) -> np.ndarray:
             return np.bincount(place, values[pair] * times, len(lengths))
@@ -533,24 +498,33 @@ def _scored(levels: Levels):
             pa.array(added(levels.base(counts))),
             pa.array(added(np.log10(scores))),
         ]
+        packed.release()
         return pa.Table.from_arrays(columns, schema=_RESULT)
 
     return run
 
 
-def _first_level(tokens: DataFrame, buckets: int) -> Levels:
-    """Totals and discounts of single tokens, and the frequent histories."""
-    kinds = ", ".join(f"{n} long" for n in TOTALS)
-    total = tokens.select("learned", "all").mapInArrow(_token_totals, kinds).agg(*[F.sum(n).alias(n) for n in TOTALS]).first()
-    levels = Levels.of(total["learned"] or 0, total["distinct"] or 0, [total[n] or 0 for n in TOTALS[3:]])
-    share = (total["every"] or 0) / (2 * buckets)
-    # At most 2 * buckets tokens can have that share.
-    frequent = tokens.select("tokens", "all").mapInArrow(_frequent(share), "token long, n long").collect()
-    counts = {r["token"]: r["n"] for r in frequent}
+def _splits(rows: DataFrame, buckets: int) -> dict[int, int]:
+    """Into how many buckets the frequent histories are split.
+
+    Counted where a block has them often, which is near enough: splits only level the
+    buckets. At most ``2 * buckets`` tokens can have the share asked for.
+    """
+    seen = rows.mapInArrow(_frequent(buckets), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = materialize(seen, "katz-frequent")
+    total = seen.where("token = -1").select("n").first()
+    share = (total["n"] if total else 0) / (2 * buckets)
+    counts = {r["token"]: r["n"] for r in seen.where((F.col("token") >= 0) & (F.col("n") >= share)).collect()}
     # A text begins as often as it ends; no history is an end.
     counts[BEGIN] = counts.pop(END, 0)
-    levels.splits = {t: int(-(-n // share)) for t, n in counts.items() if n >= share > 0}
-    return levels
+    return {t: int(-(-n // share)) for t, n in counts.items() if n >= share > 0}
+
+
+def _first_level(tokens: DataFrame) -> Levels:
+    """Totals and discounts of single tokens."""
+    names = [F.sum(F.element_at("totals", i + 1)).alias(n) for i, n in enumerate(TOTALS)]
+    total = [n or 0 for n in tokens.agg(*names).first()]
+    return Levels.of(total[0], total[1], total[2:])
 
 
 def _second_level(levels: Levels, pairs: DataFrame) -> None:
@@ -590,21 +564,24 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     buckets = -(-size // BUCKET_BYTES) or 1
     token_buckets = -(-buckets // 2)
 
+    def stored_by_kind(df: DataFrame, name: str) -> DataFrame:
+        path = new_folder(spark, name)
+        df.write.partitionBy("kind").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     def dealt(df: DataFrame, parts: int, by: str = "bucket"):
         # As many partitions as buckets: a task then holds few of them, however many Spark would choose.
         return df.repartition(parts, by).groupBy(by)
 
-    counted = rows.mapInArrow(_counted(token_buckets), TOKENS)
-    tokens = materialize(dealt(counted, token_buckets).applyInArrow(_added, TOKENS), "katz-tokens")
-    levels = _first_level(tokens, buckets)
-    splits = levels.splits
+    splits = _splits(rows, buckets)
     placed = rows.mapInArrow(_placed(token_buckets, buckets, splits), PLACES)
-    answers = dealt(tokens, token_buckets).cogroup(dealt(placed, token_buckets)).applyInArrow(_answered, ANSWERS)
+    tokens = stored_by_kind(dealt(placed, token_buckets).applyInArrow(_answered, TOKENS), "katz-tokens")
+    levels = _first_level(tokens.where("kind = 'tokens'"))
+    levels.splits = splits
+    answers = tokens.where("kind = 'answers'").select("bucket", "part", "counts")
     sent = rows.mapInArrow(_sent(buckets, splits), PAIRS)
     looked_up = dealt(sent, buckets).cogroup(dealt(answers, buckets)).applyInArrow(_looked_up(levels), STORED)
-    path = new_folder(spark, "katz-pairs")
-    looked_up.write.partitionBy("kind").parquet(path)
-    stored = spark.read.schema(STORED).parquet(path)
+    stored = stored_by_kind(looked_up, "katz-pairs")
     _second_level(levels, stored.where("kind = 'pairs'"))
     replies = stored.where("kind = 'answers'").select(
         "bucket", "block", "pair_counts", "totals", "rest", "mass", "token_counts"
