@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.operators import fetch, series, tree
+from plumbline.operators import archives, fetch, series, tree
 from plumbline.plans import chains
 from plumbline.plans.session import materialize, new_folder
 from plumbline.schema import COUNTERS, METRICS, SERIES
@@ -152,6 +152,46 @@ def q_consolidate(spark, d):
     return plain(merged)
 
 
+#: Quarters of a day, days and weeks over the grid of hours.
+ARCHIVES = ["RRA:LAST:1:6:1600", "RRA:AVERAGE:0.95:24:400", "RRA:MAX:1:168:100"]
+
+
+def _definitions(spark, names) -> archives.Definitions:
+    texts = spark.createDataFrame([(t,) for t in [f"DS:{n}:GAUGE:3d:U:U" for n in names] + ARCHIVES], "def string")
+    return archives.Definitions.of(series.parse_series_spec(texts, start=SERIES_START, step=HOUR))
+
+
+def _archived(spark, points, definitions, borders) -> str:
+    """Archives that were updated by one stretch of time after another; the last
+    update is repeated."""
+    folder, borders = new_folder(spark, "archives"), [0, *borders, 1 << 40]
+    for low, high in zip(borders, borders[1:]):
+        part = points.where((F.col("ts") > low) & (F.col("ts") <= high))
+        archives.update_archives(part, folder, definitions)
+    archives.update_archives(part, folder, definitions, rerun=True)
+    return folder
+
+
+def q_archive_update(spark, d):
+    """Daily slots by every consolidation, from archives updated in three steps that
+    cut days and weeks."""
+    definitions = _definitions(spark, ["value"])
+    borders = [SERIES_START + 100 * HOUR, SERIES_START + 333 * HOUR]
+    folder = _archived(spark, materialize(samples(spark, d), "samples"), definitions, borders)
+    parts = [
+        archives.archived_range(spark, folder, definitions, SERIES_START, cf=cf, steps=24).withColumn("cf", F.lit(cf))
+        for cf in ("AVERAGE", "MIN", "MAX", "LAST")
+    ]
+    return plain(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+
+
+def q_archive_fetch(spark, d):
+    """A range of days of all counters, read from the daily archive alone."""
+    definitions = _definitions(spark, COUNTERS)
+    folder = _archived(spark, stored_series(spark, d), definitions, [SERIES_START + 7 * DAY])
+    return plain(archives.archived_range(spark, folder, definitions, SERIES_START, 1706000400, "MAX", 24, xff=1.0))
+
+
 def q_retain_last(spark, d):
     return plain(series.retain_last(samples(spark, d), rows=10, steps=24, step=HOUR, width=50 * HOUR))
 
@@ -281,6 +321,8 @@ QUERIES = {
     "normalize_gauge": q_normalize_gauge,
     "normalize_gauge_offgrid": q_normalize_gauge_offgrid,
     "consolidate": q_consolidate,
+    "archive_update": q_archive_update,
+    "archive_fetch": q_archive_fetch,
     "retain_last": q_retain_last,
     "maintained": q_maintained,
     "select_series": q_select_series,
@@ -493,3 +535,4 @@ SELECT series_id, counter, count(*) FILTER (WHERE delta > 0) AS ups, count(*) FI
        CAST(coalesce(sum(sign(delta)), 0) AS BIGINT) AS balance, round(sum(delta), 6) AS change FROM moves GROUP BY ALL
 """,
 }
+SQL["archive_update"], SQL["archive_fetch"] = SQL["consolidate"], SQL["fetch_range_daily"]
