@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+#: Version of the counting rules; results of other versions do not count.
+RULES = 2
+
 # Comments, directives and literals; all but literals are blanked out.
 OPAQUE = re.compile(
     r"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators import fetch, logs, series as store, tree, view as views
 from plumbline.operators.metrics import code_metrics, filter_metric_ranges
+from plumbline.operators.unchanged import metrics_of_changed
 from plumbline.plans.session import materialize
 from plumbline.schema import METRICS, NODES, STORE_START_TS
 from plumbline.sources.files import EXCLUDED_GLOBS, SOURCE_REGEX, read_logs, read_sources, select_sources
@@ -62,21 +63,25 @@ def watch_list(
     return select_sources(sources, regex, exclude_globs)
 
 
-def measured(sources: DataFrame, ranges: Ranges = Ranges(), keep: Sequence[str] = ()) -> DataFrame:
-    """Leaves of the selected sources, with their tree path."""
-    leaves = code_metrics(watch_list(sources), keep)
+def measured(
+    sources: DataFrame, ranges: Ranges = Ranges(), keep: Sequence[str] = (), results: tuple[str, str] | None = None
+) -> DataFrame:
+    """Leaves of the selected sources, with their tree path. ``results``, a table of
+    earlier results and the name of this run, has only changed texts measured."""
+    listed = watch_list(sources)
+    leaves = code_metrics(listed, keep) if results is None else metrics_of_changed(listed, *results, keep)
     return tree.with_leaf_path(ranges.apply(leaves))
 
 
 def statistic(
-    sources: DataFrame, ranges: Ranges = Ranges(), keep: Sequence[str] = ()
+    sources: DataFrame, ranges: Ranges = Ranges(), keep: Sequence[str] = (), results: tuple[str, str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(leaves, node statistics, leaf lists per node).
 
     Measuring is the one expensive pass over the texts, and three results use
     it, so the leaves are written once and read back.
     """
-    leaves = materialize(measured(sources, ranges, keep), "leaves")
+    leaves = materialize(measured(sources, ranges, keep, results), "leaves")
     return leaves, tree.rollup_stats(leaves, keys=keep), tree.leaf_params(leaves, keys=keep)
 
 

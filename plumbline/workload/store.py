@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.operators import archives, fetch, series, tree
+from plumbline.operators import archives, fetch, series, tree, unchanged
 from plumbline.plans import chains
 from plumbline.plans.session import materialize, new_folder
 from plumbline.schema import COUNTERS, METRICS, SERIES
@@ -111,6 +111,24 @@ def q_collect_series(spark, d):
     return plain(chains.read_series(spark, folder).select(*SERIES.names))
 
 
+def q_collect_changed(spark, d):
+    """Three collections of one project: all files new, every fifth changed, all moved.
+    With how many texts each of them measured."""
+    results, out = new_folder(spark, "results"), None
+    sources = part_sources(spark, d)
+    fifth = F.regexp_extract("path", r"_(\d+)\.", 1).cast("long") % 5 == 0
+    changed = sources.withColumn("content", F.when(fifth, F.concat(F.lit("\n"), "content")).otherwise(F.col("content")))
+    moved = changed.withColumn("path", F.concat(F.lit("moved/"), "path"))
+    for number, project in enumerate((sources, changed, moved)):
+        leaves, _, _ = chains.statistic(project, results=(results, f"c{number}"))
+        fresh = spark.read.schema(unchanged.RESULTS).parquet(f"{results}/rules={unchanged.RULES}/run=c{number}").count()
+        rows = leaves.select(
+            F.lit(number).alias("number"), "path", "item", "line", *METRICS, F.lit(fresh).alias("n_measured")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return plain(out)
+
+
 def q_reject_stale(spark, d):
     e = table(spark, d, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("series_id"),
@@ -317,6 +335,7 @@ QUERIES = {
     "collect_status": q_collect_status,
     "append_series": q_append_series,
     "collect_series": q_collect_series,
+    "collect_changed": q_collect_changed,
     "reject_stale": q_reject_stale,
     "normalize_gauge": q_normalize_gauge,
     "normalize_gauge_offgrid": q_normalize_gauge_offgrid,
@@ -436,6 +455,16 @@ n AS (
          {', '.join(f'CAST({m} AS DOUBLE)' for m in METRICS)}, {', '.join(['NULL'] * 8)} FROM p)
 SELECT node_path AS series_id, regexp_replace(node_path, '/?[^/]*$', '') AS parent_path, CAST(depth AS BIGINT) AS depth,
        node_type, {FIRST_TS} + number AS ts, {COUNTER_LIST} FROM n
+""",
+    "collect_changed": f"""
+WITH {PARTS_SQL}, k AS (
+  SELECT *, CAST(regexp_extract(path, '_(\\d+)[.]', 1) AS BIGINT) AS key FROM watched),
+n AS (SELECT count(*) AS whole, count(*) FILTER (WHERE key % 5 = 0) AS changed FROM k)
+SELECT CAST(number AS BIGINT) AS number, CASE WHEN number = 2 THEN 'moved/' ELSE '' END || path AS path,
+       'f_' || key || ':' || (3 + CAST(number > 0 AND key % 5 = 0 AS INT)) AS item,
+       CAST(3 + CAST(number > 0 AND key % 5 = 0 AS INT) AS BIGINT) AS line, mmcc, tmcc, sif, lif,
+       CASE number WHEN 0 THEN whole WHEN 1 THEN changed ELSE 0 END AS n_measured
+FROM k, n, (SELECT unnest([0, 1, 2]) AS number)
 """,
     "reject_stale": """
 WITH u AS (SELECT 'u' || user_id AS series_id,
