@@ -1,13 +1,14 @@
-"""Per-function counts of one C/C++ source text.
+"""Functions of C/C++ source texts: what is code, and where functions are.
 
-A lexical helper for the corpus job in ``operators.metrics``. It does not
-preprocess: of a conditional directive the first branch is read, whatever its
+Lexical helpers for the batches of ``functions.source_batch``. Nothing is
+preprocessed: of a conditional directive the first branch is read, whatever its
 condition, so that braces match.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 #: Version of the counting rules; results of other versions do not count.
@@ -26,13 +27,8 @@ OPAQUE = re.compile(
 DIRECTIVE = re.compile(r"[ \t]*#\s*(if|el|endif)")
 CATCH = re.compile(r"\s*catch\s*\([^()]*\)\s*\{")
 HEAD_TOKEN = re.compile(r"[A-Za-z_]\w*|::|->|[=!<>]=|&&|\|\||\d[\w.]*|[^\w\s]")
-BODY_TOKEN = re.compile(r"\b(?:if|for|while|switch|case)\b|&&|\|\||[?;()]")
-BRACE = re.compile(r"[{}]")
-BREAK = re.compile(r"[{};]")
 
 # Fixed values of the counting rules.
-DECISIONS = {"if", "for", "while", "&&", "||", "?"}
-HEADERS = {"if", "for", "while", "switch"}
 SCOPES = {"namespace", "class", "struct", "union", "enum"}
 NO_FUNCTIONS = SCOPES | {"catch"}
 NOT_A_NAME = {"__attribute__", "__declspec", "__asm__", "alignas", "decltype", "noexcept", "throw", "requires"}
@@ -40,46 +36,60 @@ ACCESS = re.compile(r"\s*(?:public|private|protected)\s*:(?!:)")
 WORD = re.compile(r"[A-Za-z_]\w*\Z")
 
 
-def function_metrics(text: str) -> Iterator[tuple[str, int, int, int, int, int, bool]]:
-    """Yields (name, first line, mmcc, tmcc, sif, lif, incomplete) of every function.
+def functions_of(code: str, begin: int, end: int, breaks: list[int], closing: dict[int, tuple[int, bool]]) -> Iterator[tuple]:
+    """Yields (name, first character, start of the body, end of the body, end,
+    incomplete) of every function of ``code[begin:end]``.
 
-    ``incomplete`` says that the body is never closed and took the rest of the
-    text.
+    ``code`` is free of comments and literals; ``breaks`` are the places of all braces
+    and semicolons, and ``closing`` tells for every opening brace the place behind the
+    one that closes it and whether there is one. Bodies are jumped over, and what
+    stands before one is looked at once.
     """
-    code = _code(text)
-    line, counted = 1, 0
-    start = pos = 0
-    while (found := BREAK.search(code, pos)) is not None:
-        pos = found.end()
-        head_text = code[start : found.start()]
-        if found.group() != "{":
-            if found.group() != ";" or not _declares_parameters(HEAD_TOKEN.findall(head_text)):
-                start = pos
-            continue
-        while (access := ACCESS.match(head_text)) is not None:
-            start += access.end()
-            head_text = head_text[access.end() :]
-        head = HEAD_TOKEN.findall(head_text)
-        name = _function_name(head)
-        if head.count("(") > head.count(")") or name is not None and _is_member_init(head):
-            # A default argument, or the value of a member.
-            pos, _ = _closing(code, pos)
-        elif name is not None:
-            end, closed = _closing(code, pos)
-            while "try" in head and (handler := CATCH.match(code, end)) is not None:
-                end, closed = _closing(code, handler.end())
-            first = start + len(head_text) - len(head_text.lstrip())
-            line, counted = line + code.count("\n", counted, first), first
-            body = code[pos : end - 1 if closed else end]
-            yield (name, line, *_count(body), code.count("\n", first, end) + 1, not closed)
-            start = pos = end
-        elif "=" in head:
-            pos, _ = _closing(code, pos)
-        else:
-            start = pos
-
-
-def _code(text: str) -> str:
+    start = seen = begin
+    head: list[str] = []
+    open_ = 0
+    parameters: set[str] | None = None
+    i = bisect_left(breaks, begin)
+    while i < len(breaks) and breaks[i] < end:
+        at = breaks[i]
+        sign, pos, i = code[at], at + 1, i + 1
+        if sign != "}":
+            while sign == "{" and seen == start and (access := ACCESS.match(code, start, at)) is not None:
+                start = seen = access.end()
+            piece = HEAD_TOKEN.findall(code[seen:at])
+            head += piece
+            open_ += piece.count("(") - piece.count(")")
+        if sign == ";":
+            if parameters is not None:
+                more = bool(piece) and _last_name(piece) in parameters
+            else:
+                parameters = _declared_parameters(head)
+                more = parameters is not None
+            if more:
+                head.append(";")
+                seen = pos
+                continue
+        elif sign == "{":
+            seen = at
+            name = _function_name(head)
+            if open_ > 0 or name is not None and _is_member_init(head) or name is None and "=" in head:
+                # A default argument, the value of a member or of a variable.
+                i = bisect_left(breaks, closing[at][0], i)
+                continue
+            if name is not None:
+                pos, closed = closing[at]
+                while "try" in head and (handler := CATCH.match(code, pos, end)) is not None:
+                    pos, closed = closing[handler.end() - 1]
+                first = start
+                while code[first].isspace():
+                    first += 1
+                yield name, first, at + 1, pos - 1 if closed else pos, pos, not closed
+                i = bisect_left(breaks, pos, i)
+        start = seen = pos
+        head, open_, parameters = [], 0, None
+
+
+def plain_code(text: str) -> str:
     """The text without comments, directives and contents of literals, and with
     the first branch of every condition only. Line breaks stay."""
     parts, pos, depth, skipped = [], 0, 0, 0
@@ -105,41 +115,41 @@ def _code(text: str) -> str:
     return "".join([*parts, "\n" * rest.count("\n") if skipped else rest])
 
 
-def _declares_parameters(head: list[str]) -> bool:
-    """Whether ``head`` ends in an old-style declaration of a parameter: names in
-    the parentheses, and types for them between these and the body."""
+def _last_name(tokens: list[str]) -> str:
+    return next((t for t in reversed(tokens) if t not in ("[", "]")), "")
+
+
+def _declared_parameters(head: list[str]) -> set[str] | None:
+    """The parameters of an old-style function, if ``head`` ends in the declaration of
+    one: names in the parentheses, and types for them between these and the body."""
     opens = _parameter_list(head)
     if opens < 1 or ")" not in head[opens:]:
-        return False
+        return None
     closes = head.index(")", opens)
     names = {t for t in head[opens + 1 : closes] if t != ","}
     declared = [t for t in head[closes + 1 :] if t not in ("[", "]")]
-    return len(declared) > 1 and all(map(WORD.match, names)) and WORD.match(declared[0]) is not None and declared[-1] in names
-
-
-def _closing(code: str, pos: int) -> tuple[int, bool]:
-    """Position after the brace that closes the one before ``pos``, and whether
-    there is one; else the end of the text."""
-    depth = 1
-    for brace in BRACE.finditer(code, pos):
-        depth += 1 if brace.group() == "{" else -1
-        if depth == 0:
-            return brace.end(), True
-    return len(code), False
+    old = len(declared) > 1 and all(map(WORD.match, names)) and WORD.match(declared[0]) and declared[-1] in names
+    return names if old else None
 
 
 def _parameter_list(head: list[str]) -> int:
     """Index of the parenthesis that opens the parameters, or -1."""
-    depth = 0
+    depth = base = 0
     for j, token in enumerate(head):
         before = head[j - 1] if j else ""
         if token == "(":
-            named = WORD.match(before) and before not in NOT_A_NAME and before != "operator"
-            if depth == 0 and (named or _operator_at(head, j) is not None):
-                return j
+            inside = head[j + 1 : j + 3]
+            if depth == base and before != "operator" and inside[:1] in (["*"], ["&"], ["&&"]) and WORD.match(inside[-1]):
+                # What returns a function or an array is named inside.
+                base += 1
+            else:
+                named = WORD.match(before) and before not in NOT_A_NAME and before != "operator"
+                if depth == base and (named or _operator_at(head, j) is not None):
+                    return j
             depth += 1
         elif token == ")":
             depth -= 1
+            base = min(base, max(depth, 0))
         elif token == "=" and depth == 0 and before != "operator":
             return -1
     return -1
@@ -187,27 +197,3 @@ def _is_member_init(head: list[str]) -> bool:
             depth -= 1
         listed = listed or (token == ":" and depth == 0)
     return listed and (head[-1] == ">" or WORD.match(head[-1]) is not None)
-
-
-def _count(body: str) -> tuple[int, int, int]:
-    both = cases = switches = statements = depth = 0
-    loop_depth, loop_closed = None, False
-    for token in BODY_TOKEN.findall(body):
-        closed, loop_closed = loop_closed, False
-        if token == "(":
-            depth += 1
-        elif token == ")":
-            depth -= 1
-            if loop_depth == depth:
-                loop_depth, loop_closed = None, True
-        elif token == ";":
-            # The header of an empty or trailing loop is its own statement.
-            statements += depth == 0 and not closed
-        else:
-            both += token in DECISIONS
-            cases += token == "case"
-            switches += token == "switch"
-            statements += token in HEADERS
-            if token == "while":
-                loop_depth = depth
-    return 1 + both + switches, 1 + both + cases, statements

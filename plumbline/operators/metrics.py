@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.functions.patterns import in_range
-from plumbline.functions.source_text import function_metrics
+from plumbline.functions.source_batch import groups, measure
 from plumbline.schema import LEAVES, METRICS
 
 
@@ -28,17 +28,18 @@ def code_metrics(sources: DataFrame, keep: Sequence[str] = (), incomplete: bool
         schema = T.StructType([*schema.fields, T.StructField("incomplete", T.BooleanType())])
     names = schema.names
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (*kept, path, f"{name}:{line}", line, *counts, *([opened] if incomplete else []))
-                for *kept, path, content in batch.itertuples(index=False)
-                for name, line, *counts, opened in function_metrics(content)
-            ]
-            yield pd.DataFrame(rows, columns=names)
+            for part in groups(batch["content"].tolist()):
+                rows = batch.iloc[part].reset_index(drop=True)
+                found = measure(rows["content"].tolist())
+                out = rows.loc[found["text"], [*keep, "path"]].reset_index(drop=True)
+                line = pd.Series(found["line"])
+                out["item"] = [f"{name}:{line}" for name, line in zip(found["name"], found["line"].tolist())]
+                yield out.assign(line=line, **{n: found[n] for n in (*METRICS, "incomplete")})[names]
 
     texts = sources.select(*keep, "path", "content").where(F.col("content").isNotNull())
-    return texts.mapInPandas(measure, schema)
+    return texts.mapInPandas(run, schema)
 
 
 def filter_metric_ranges(

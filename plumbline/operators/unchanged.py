@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.functions.source_text import RULES, function_metrics
+from plumbline.functions.source_batch import groups, measure
+from plumbline.functions.source_text import RULES
 from plumbline.plans.session import materialize
 from plumbline.schema import METRICS
 
@@ -38,8 +39,13 @@ def read_results(spark: SparkSession, path: str, rules: int = RULES, but: str |
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        functions = [[dict(zip(NAMES, f)) for f in function_metrics(text)] for text in batch["content"]]
-        yield pd.DataFrame({"hash": batch["hash"], "functions": functions})
+        for part in groups(batch["content"].tolist()):
+            rows = batch.iloc[part]
+            found = measure(rows["content"].tolist())
+            functions = [[] for _ in range(len(rows))]
+            for text, *function in zip(found["text"].tolist(), *(list(found[n]) for n in NAMES)):
+                functions[text].append(dict(zip(NAMES, function)))
+            yield pd.DataFrame({"hash": rows["hash"].to_numpy(), "functions": functions})
 
 
 def measure_new(sources: DataFrame, path: str, run: str, rules: int = RULES) -> DataFrame:

@@ -1,10 +1,13 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from plumbline.functions.naming import canonize_name, decanonize_name, parent_of
 from plumbline.functions.patterns import find_regex, glob_to_regex, in_range
-from plumbline.functions.source_text import function_metrics
+from plumbline.functions.source_batch import function_metrics, groups, measure
 from plumbline.operators import metrics, tree, view
 from plumbline.plans import chains
 from plumbline.sources import files, reports, sinks
@@ -94,6 +97,42 @@ def test_names_of_all_functions(text, expected):
     assert [name for name, *_ in function_metrics(text)] == expected
 
 
+def test_words_for_operators_and_functions_that_return_functions():
+    (f,) = function_metrics("int (*fp(int a))(int) { return a and b or c; }")
+    assert f[:3] == ("fp", 1, 3)
+    assert function_metrics("int (*fp)(int) = {g}; int (&h())[3] { return x; }")[0][0] == "h"
+    assert function_metrics("int f() { band = 1; nor(x); return a or_b; }")[0][2] == 1
+    assert function_metrics("class A (&&) { int f(int(*g)(int)) { return 1; } };")[0][0] in ("A", "f")
+
+
+def test_batches_equal_single_texts():
+    """Counts of a text do not depend on the texts around it."""
+    rng = random.Random(5)
+    bits = ["int f", "(", ")", "{", "}", ";", "=", "\n", "if (a) ", "while (b) ", "while (c);", "for (;;) ", "case 1:", "&&", "|||",
+            "? :", "class A ", "try ", "catch (E e) {", "#if A\n", "#else\n", "#endif\n", "int a;", "a, b", "é", "i", "f", "while"]
+    texts = [FOO, BAR, "", MAIN] + ["".join(rng.choices(bits, k=rng.randint(0, 50))) for _ in range(600)]
+    found = measure(texts)
+    columns = ("line", "mmcc", "tmcc", "sif", "lif", "incomplete")
+    together = list(zip(found["text"].tolist(), found["name"], *(found[c].tolist() for c in columns)))
+    assert together == [(i, *f) for i, text in enumerate(texts) for f in function_metrics(text)]
+    assert sum(len(texts[g]) for g in groups(texts)) == len(texts)
+
+
+def test_time_is_linear():
+    """Many parameters of an old-style function, many initialisers, deep braces."""
+
+    def seconds(n: int) -> float:
+        old = f"int f({','.join(f'p{i}' for i in range(n))}) {' '.join(f'int p{i};' for i in range(n))} {{ return 1; }}\n"
+        lists = "int " + ", ".join(f"a{i}[] = {{1}}" for i in range(n)) + ";\n"
+        deep = "int g() " + "{ if (x) " * n + "}" * n
+        began = time.perf_counter()
+        assert [f[0] for f in function_metrics(old + lists + deep)] == ["f", "g"]
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert min(seconds(8000) for _ in range(3)) < 8 * min(seconds(2000) for _ in range(3))
+
+
 def test_default_argument_and_handlers_count():
     (f, *_), _ = function_metrics("void f(V v = {1, 2}, int w = 3) { if (w) go(); } int g() {}")
     assert list(function_metrics("void f(V v = {1}) { if (w) go(); }"))[0][2:5] == (2, 2, 2)
