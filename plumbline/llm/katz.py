@@ -44,7 +44,7 @@ from plumbline.plans.session import materialize, new_folder
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, and bytes of text for every bucket of pairs.
-BLOCK, BUCKET_BYTES = 1 << 20, 12 << 20
+BLOCK, BUCKET_BYTES = 1 << 19, 8 << 20
 
 CHANGED = "the documents changed between two reads: write them as a table first"
 _HASH = np.uint64((1 << 48) - 1)
@@ -54,7 +54,7 @@ END, BEGIN = (int(packed.mix(np.array([n], np.uint64))[0] & _HASH) for n in (0xE
 TOTALS = ["tokens", "distinct", *(f"n{r}" for r in range(1, DISCOUNTED + 2))]
 PLACES = "bucket int, tokens binary, learned binary, times binary, places binary"
 TOKENS = "kind string, bucket int, part int, tokens binary, counts binary, totals array<long>"
-PAIRS = "bucket int, block long, histories binary, followers binary, dictionary binary, tokens binary, learned binary"
+PAIRS = "bucket int, block long, histories binary, followers binary, tokens binary, learned binary"
 STORED = (
     "kind string, bucket int, block long, histories binary, followers binary, dictionary binary, tokens binary, "
     "pair_counts binary, totals binary, rest binary, mass binary, token_counts binary, hot binary, "
@@ -220,8 +220,14 @@ class Pairs:
 
     def __init__(self, block: Block, buckets: int, splits: dict[int, int]):
         names, of = np.unique(block.tokens, return_inverse=True)
+        #: How often the training texts of the block have each token.
+        self.learned = block.counted(of, len(names), True)
         firsts, first_of = np.unique(block.before, return_inverse=True)
-        pair, of_pair = np.unique(first_of * len(names) + of, return_inverse=True)
+        first_of *= len(names)
+        first_of += of
+        del of
+        pair, of_pair = np.unique(first_of, return_inverse=True)
+        del first_of
         history, self.name = firsts[pair // len(names)], pair % len(names)
         bucket = _bucket_of_pair(history, names[self.name], buckets, splits)
         order = np.argsort(bucket, kind="stable")
@@ -229,8 +235,6 @@ class Pairs:
         rank[order] = np.arange(len(order))
         self.names, self.name, self.history, self.bucket = names, self.name[order], history[order], bucket[order]
         self.tokens = names[self.name]
-        #: How often the training texts of the block have each token.
-        self.learned = block.counted(of, len(names), True)
         #: The pair of every token of the block.
         self.of_token = rank[of_pair]
 
@@ -322,6 +326,7 @@ def _answered(asked: pa.Table) -> pa.Table:
     known = counts > 0
     of_counts = [np.sum(counts == r) for r in range(1, DISCOUNTED + 2)]
     totals = [int(n) for n in (counts.sum(), known.sum(), *of_counts)]
+    packed.release()
     rows.append({"kind": "tokens", "part": part, "tokens": _six(names[known]), "counts": planes(counts[known], 6), "totals": totals})
     return pa.Table.from_batches([_batch(rows, _schema(TOKENS))])
 
@@ -336,12 +341,11 @@ def _sent(buckets: int, splits: dict[int, int]):
             rows = []
             for bucket, s in pairs.slices():
                 heads = np.flatnonzero(np.append(True, pairs.history[s][1:] != pairs.history[s][:-1]))
-                dictionary, place = np.unique(pairs.tokens[s], return_inverse=True)
                 rows.append(
                     {
                         "bucket": bucket, "block": block.number, "histories": _six(pairs.history[s][heads]),
                         "followers": planes(np.diff(np.append(heads, s.stop - s.start)), 6),
-                        "dictionary": _six(dictionary), "tokens": planes(place, 6), "learned": planes(learned[s], 6),
+                        "tokens": _six(pairs.tokens[s]), "learned": planes(learned[s], 6),
                     }
                 )
             yield _batch(rows, _schema(PAIRS))
@@ -359,18 +363,18 @@ def _looked_up(levels: Levels):
             return schema.empty_table()
         counts = _joined(answers.sort_by("part"), "counts", _planes)
         rows = asked.to_pylist()
-        words = [_hashes(r["dictionary"]) for r in rows]
         firsts = [_hashes(r["histories"]) for r in rows]
-        dictionary, histories = np.unique(np.concatenate(words)), np.unique(np.concatenate(firsts))
+        followers = [_planes(r["followers"]) for r in rows]
+        sizes = [int(f.sum()) for f in followers]
+        dictionary, token = np.unique(np.concatenate([_hashes(r["tokens"]) for r in rows]), return_inverse=True)
         if len(counts) != len(dictionary):
             raise ValueError(CHANGED)
-        keys, sizes = [], []
-        for r, own, first in zip(rows, words, firsts):
-            history = np.repeat(np.searchsorted(histories, first), _planes(r["followers"]))
-            keys.append(history * len(dictionary) + np.searchsorted(dictionary, own)[_planes(r["tokens"])])
-            sizes.append(len(history))
-        pair, of = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
+        histories = np.unique(np.concatenate(firsts))
+        of_row = [np.repeat(np.searchsorted(histories, h), n) for h, n in zip(firsts, followers)]
+        token += np.concatenate(of_row) * len(dictionary)
+        del of_row
+        pair, of = np.unique(token, return_inverse=True)
+        del token
         learned = np.bincount(of, np.concatenate([_planes(r["learned"]) for r in rows]), len(pair)).astype(np.int64)
         history, token = pair // len(dictionary), pair % len(dictionary)
         seen, n = learned > 0, len(histories)
@@ -380,12 +384,12 @@ def _looked_up(levels: Levels):
             [np.bincount(history[learned == r], minlength=n) for r in range(1, DISCOUNTED + 1)], 1
         ).astype(np.int64)
         out, begin = [], 0
-        for r, own, first, size in zip(rows, words, firsts, sizes):
+        for r, first, n_followers, size in zip(rows, firsts, followers, sizes):
             c = learned[of[begin : begin + size]]
             begin += size
             which = np.searchsorted(histories, first)
             # The rest matters only where the block has a pair that is not learned.
-            heads = np.cumsum(_planes(r["followers"])) - _planes(r["followers"])
+            heads = np.cumsum(n_followers) - n_followers
             open_ = np.add.reduceat((c == 0).astype(np.int64), heads) > 0
             out.append(
                 {
