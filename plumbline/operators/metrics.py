@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.functions.patterns import in_range
@@ -28,18 +28,20 @@ def code_metrics(sources: DataFrame, keep: Sequence[str] = (), incomplete: bool
         schema = T.StructType([*schema.fields, T.StructField("incomplete", T.BooleanType())])
     names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in groups(batch["content"].tolist()):
-                rows = batch.iloc[part].reset_index(drop=True)
-                found = measure(rows["content"].tolist())
-                out = rows.loc[found["text"], [*keep, "path"]].reset_index(drop=True)
-                line = pd.Series(found["line"])
-                out["item"] = [f"{name}:{line}" for name, line in zip(found["name"], found["line"].tolist())]
-                yield out.assign(line=line, **{n: found[n] for n in (*METRICS, "incomplete")})[names]
+            contents = batch["content"].to_pylist()
+            for part in groups(contents):
+                found = measure(contents[part])
+                of = pa.array(found["text"] + part.start)
+                line = found["line"].tolist()
+                item = pa.array([f"{name}:{at}" for name, at in zip(found["name"], line)], pa.string())
+                columns = {c: batch[c].take(of) for c in [*keep, "path"]}
+                columns |= {"item": item, **{n: pa.array(found[n]) for n in ("line", *METRICS, "incomplete")}}
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     texts = sources.select(*keep, "path", "content").where(F.col("content").isNotNull())
-    return texts.mapInPandas(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def filter_metric_ranges(

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,9 +20,10 @@ from plumbline.functions.source_text import RULES
 from plumbline.plans.session import materialize
 from plumbline.schema import METRICS
 
-_FUNCTION = "name: string, line: long, " + ", ".join(f"{m}: long" for m in METRICS) + ", incomplete: boolean"
-NAMES = ["name", "line", *METRICS, "incomplete"]
-RESULTS = f"hash string, functions array<struct<{_FUNCTION}>>"
+#: A function of a text, as ``source_batch.measure`` tells it.
+FIELDS = {"name": pa.string(), "line": pa.int64(), **{m: pa.int64() for m in METRICS}, "incomplete": pa.bool_()}
+_SPELLED = {pa.string(): "string", pa.int64(): "long", pa.bool_(): "boolean"}
+RESULTS = f"hash string, functions array<struct<{', '.join(f'{n}: {_SPELLED[k]}' for n, k in FIELDS.items())}>>"
 
 
 def read_results(spark: SparkSession, path: str, rules: int = RULES, but: str | None = None) -> DataFrame:
@@ -37,15 +39,17 @@ def read_results(spark: SparkSession, path: str, rules: int = RULES, but: str |
     return (mine if but is None else mine.where(F.col("run") != but)).select("hash", "functions")
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in groups(batch["content"].tolist()):
-            rows = batch.iloc[part]
-            found = measure(rows["content"].tolist())
-            functions = [[] for _ in range(len(rows))]
-            for text, *function in zip(found["text"].tolist(), *(list(found[n]) for n in NAMES)):
-                functions[text].append(dict(zip(NAMES, function)))
-            yield pd.DataFrame({"hash": rows["hash"].to_numpy(), "functions": functions})
+        texts = batch["content"].to_pylist()
+        for part in groups(texts):
+            found = measure(texts[part])
+            count = part.stop - part.start
+            # Functions come by text, in order.
+            offsets = np.searchsorted(found["text"], np.arange(count + 1)).astype(np.int32)
+            functions = pa.StructArray.from_arrays([pa.array(found[n], k) for n, k in FIELDS.items()], names=list(FIELDS))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), functions)
+            yield pa.RecordBatch.from_arrays([batch["hash"].slice(part.start, count), lists], names=["hash", "functions"])
 
 
 def measure_new(sources: DataFrame, path: str, run: str, rules: int = RULES) -> DataFrame:
@@ -62,7 +66,7 @@ def measure_new(sources: DataFrame, path: str, run: str, rules: int = RULES) ->
     # A run that is repeated measures what it measured before.
     known = read_results(spark, path, rules, but=run)
     fresh = materialize(hashed.select("hash").distinct().join(known.select("hash"), "hash", "left_anti"), "new-texts")
-    parsed = hashed.join(fresh, "hash", "left_semi").mapInPandas(_measured, RESULTS)
+    parsed = hashed.join(fresh, "hash", "left_semi").mapInArrow(_measured, RESULTS)
     # Equal texts in several files give one result.
     parsed.dropDuplicates(["hash"]).write.mode("overwrite").parquet(part)
     return spark.read.schema(RESULTS).parquet(part)
