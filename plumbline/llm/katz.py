@@ -44,7 +44,7 @@ from plumbline.plans.session import materialize, new_folder
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, and bytes of text for every bucket of pairs.
-BLOCK, BUCKET_BYTES = 1 << 19, 8 << 20
+BLOCK, BUCKET_BYTES = 1 << 18, 6 << 20
 
 CHANGED = "the documents changed between two reads: write them as a table first"
 _HASH = np.uint64((1 << 48) - 1)
