@@ -71,7 +71,11 @@ def flatten_report(reports: DataFrame, doc_id: str = "doc_id", xml: str = "xml")
                 rows.extend(found)
             yield pd.DataFrame(rows, columns=schema.names)
 
-    nodes = reports.select(doc_id, xml).where(F.col(xml).isNotNull()).mapInPandas(walk, schema)
+    return shaped_nodes(reports.select(doc_id, xml).where(F.col(xml).isNotNull()).mapInPandas(walk, schema))
+
+
+def shaped_nodes(nodes: DataFrame) -> DataFrame:
+    """Node rows of ``doc_id, names, node_type, counters`` (texts) and ``error``."""
     node_path = F.array_join(F.transform("names", canonize_name), "/")
     path = F.when(F.col("names").isNotNull(), node_path)
 

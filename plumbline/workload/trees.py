@@ -9,7 +9,7 @@ from plumbline.operators import metrics, tree, view
 from plumbline.plans import chains
 from plumbline.plans.session import new_folder
 from plumbline.schema import COUNTERS, METRICS
-from plumbline.sources import reports, sinks
+from plumbline.sources import report_tree, reports, sinks
 from plumbline.sources.files import read_sources, select_sources
 from plumbline.workload.inputs import (
     LEAVES_SQL,
@@ -211,6 +211,14 @@ def q_report_roundtrip(spark, d):
     return plain(back.select(*nodes.columns).distinct())
 
 
+def q_report_tree(spark, d):
+    """All nodes as one nested document, written in parts and read in chunks."""
+    folder = new_folder(spark, "report")
+    nodes = _with_unknown(q_to_counter_row(spark, d))
+    report_tree.write_report_tree(nodes, folder)
+    return plain(report_tree.read_report_tree(spark, folder, chunk=1 << 14).select(*nodes.columns))
+
+
 def _with_unknown(nodes: DataFrame) -> DataFrame:
     odd = (F.col("node_type") == "item") & (F.length("node_path") % 7 == 0)
     return nodes.withColumns({c: F.when(~odd, F.col(c)) for c in ("tmcc", "lif")})
@@ -218,6 +226,7 @@ def _with_unknown(nodes: DataFrame) -> DataFrame:
 
 QUERIES = {
     "report_roundtrip": q_report_roundtrip,
+    "report_tree": q_report_tree,
     "read_sources": q_read_sources,
     "select_sources": q_select_sources,
     "watch_list": q_watch_list,
@@ -381,3 +390,4 @@ FROM ({COUNTER_SQL})
 WITH {LEAVES_SQL} SELECT stack || ' ' || value AS line FROM ({_fold_sql('leaves', ['mmcc', 'lif'])})
 """,
 }
+SQL["report_tree"] = SQL["report_roundtrip"]
