@@ -168,8 +168,8 @@ class Block:
         return np.bincount(places, weights, n).astype(np.int64)
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """The same blocks whenever a task reads the same rows."""
+def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Block]:
+    """Blocks of about ``limit`` tokens; the same ones whenever a task reads the same rows."""
     number, row, size = TaskContext.get().partitionId() << 24, 0, 0
     held: list[tuple] = []
 
@@ -182,17 +182,19 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         learn = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         for low, high in packed.groups_of(offsets, packed.CHUNK):
             tokens, before, bounds = tokens_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-            # A group of more tokens than a block is one long text, which is cut.
-            for begin in range(0, len(tokens), BLOCK):
-                whole = len(tokens) <= BLOCK
-                lengths = np.diff(bounds) if whole else np.array([min(BLOCK, len(tokens) - begin)])
-                part = slice(begin, begin + BLOCK)
+            # A text of more tokens than a block is cut.
+            for begin in range(0, len(tokens), limit):
+                alone = high - low == 1 and len(tokens) > limit
+                lengths = np.array([min(limit, len(tokens) - begin)]) if alone else np.diff(bounds)
+                part = slice(begin, begin + limit) if alone else slice(None)
                 rows = row + np.arange(low, high)
                 held.append((tokens[part], before[part], lengths, learn[low:high], rows, batch.column(0).slice(low, high - low)))
                 size += len(tokens[part])
-                if size >= BLOCK:
+                if size >= limit:
                     yield block()
                     number, size, held = number + 1, 0, []
+                if not alone:
+                    break
         row += batch.num_rows
     if held:
         yield block()
@@ -270,11 +272,11 @@ def _schema(fields: str) -> pa.Schema:
     return pa.schema([(n, kinds.get(k, pa.binary())) for n, k in (f.split() for f in fields.split(", "))])
 
 
-def _frequent(buckets: int):
+def _frequent(buckets: int, limit: int):
     """Tokens that would fill half a bucket of a block's pairs."""
 
     def run(batches):
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, limit):
             names, counts = np.unique(block.tokens, return_counts=True)
             some = counts * 2 * buckets >= len(block.tokens)
             tokens = np.append(names[some].astype(np.int64), -1)
@@ -284,12 +286,12 @@ def _frequent(buckets: int):
     return run
 
 
-def _placed(token_buckets: int, buckets: int, splits: dict[int, int]):
+def _placed(token_buckets: int, buckets: int, splits: dict[int, int], limit: int):
     """The tokens of a block: how often training texts have each, and in which buckets
     of pairs it stands."""
 
     def run(batches):
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, limit):
             pairs = Pairs(block, buckets, splits)
             both = np.unique(pairs.name * buckets + pairs.bucket)
             place, times = both % buckets, np.bincount(both // buckets, minlength=len(pairs.names))
@@ -331,11 +333,11 @@ def _answered(asked: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(rows, _schema(TOKENS))])
 
 
-def _sent(buckets: int, splits: dict[int, int]):
+def _sent(buckets: int, splits: dict[int, int], limit: int):
     """The distinct pairs of every block, with their counts, by bucket."""
 
     def run(batches):
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, limit):
             pairs = Pairs(block, buckets, splits)
             learned = block.counted(pairs.of_token, len(pairs.tokens), True)
             rows = []
@@ -425,13 +427,13 @@ HOME = (
 )
 
 
-def _at_home(buckets: int, splits: dict[int, int]):
+def _at_home(buckets: int, splits: dict[int, int], limit: int):
     """What a block needs to add up its answers: for each distinct pair its texts."""
     schema = _schema(HOME)
     frequent = np.array(sorted(splits), np.uint64)
 
     def run(batches):
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, limit):
             pairs = Pairs(block, buckets, splits)
             texts = len(block.lengths)
             text = np.repeat(np.arange(texts), block.lengths)
@@ -514,7 +516,7 @@ def _splits(rows: DataFrame, buckets: int) -> dict[int, int]:
     Counted where a block has them often, which is near enough: splits only level the
     buckets. At most ``2 * buckets`` tokens can have the share asked for.
     """
-    seen = rows.mapInArrow(_frequent(buckets), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = rows.mapInArrow(_frequent(buckets, BLOCK), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     seen = materialize(seen, "katz-frequent")
     total = seen.where("token = -1").select("n").first()
     share = (total["n"] if total else 0) / (2 * buckets)
@@ -578,19 +580,19 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         return df.repartition(parts, by).groupBy(by)
 
     splits = _splits(rows, buckets)
-    placed = rows.mapInArrow(_placed(token_buckets, buckets, splits), PLACES)
+    placed = rows.mapInArrow(_placed(token_buckets, buckets, splits, BLOCK), PLACES)
     tokens = stored_by_kind(dealt(placed, token_buckets).applyInArrow(_answered, TOKENS), "katz-tokens")
     levels = _first_level(tokens.where("kind = 'tokens'"))
     levels.splits = splits
     answers = tokens.where("kind = 'answers'").select("bucket", "part", "counts")
-    sent = rows.mapInArrow(_sent(buckets, splits), PAIRS)
+    sent = rows.mapInArrow(_sent(buckets, splits, BLOCK), PAIRS)
     looked_up = dealt(sent, buckets).cogroup(dealt(answers, buckets)).applyInArrow(_looked_up(levels), STORED)
     stored = stored_by_kind(looked_up, "katz-pairs")
     _second_level(levels, stored.where("kind = 'pairs'"))
     replies = stored.where("kind = 'answers'").select(
         "bucket", "block", "pair_counts", "totals", "rest", "mass", "token_counts"
     )
-    home = rows.mapInArrow(_at_home(buckets, splits), HOME)
+    home = rows.mapInArrow(_at_home(buckets, splits, BLOCK), HOME)
     blocks = 2 * buckets
     scores = dealt(home, blocks, "block").cogroup(dealt(replies, blocks, "block")).applyInArrow(_scored(levels), SCORES)
     # A text longer than a block has several rows.

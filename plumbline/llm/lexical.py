@@ -251,7 +251,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packed.release()
 
 
-def _indexed(total_docs: int, total_terms: int):
+def _indexed(total_docs: int, total_terms: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, terms, lengths, size = [], [], [], 0
 
@@ -274,7 +274,7 @@ def _indexed(total_docs: int, total_terms: int):
                 terms.append(got)
                 lengths.append(counts[some])
                 size += len(got)
-                if size >= BLOCK_TERMS or sum(map(len, ids)) > BLOCK_DOCS // 2:
+                if size >= limit or sum(map(len, ids)) > BLOCK_DOCS // 2:
                     yield flush()
                     ids, terms, lengths, size = [], [], [], 0
         if ids:
@@ -298,7 +298,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     counted = rows.mapInArrow(_counted, "documents long, terms long")
     total = counted.agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")).first()
     path = new_folder(spark, "lexical-index")
-    index = rows.mapInArrow(_indexed(total["documents"] or 0, total["terms"] or 1), INDEX)
+    index = rows.mapInArrow(_indexed(total["documents"] or 0, total["terms"] or 1, BLOCK_TERMS), INDEX)
     index.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(INDEX).parquet(path), total["documents"] or 0
 

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_tables import SCHEMA, frame, odd_rows, prose, random_rows
 
-from plumbline.llm import katz, lexical, periodic
+from plumbline.llm import katz, lexical, packed, periodic
 
 
 def lower(text):
@@ -281,3 +282,24 @@ def test_runs_of_a_long_text(spark):
     assert [tuple(r) for r in row.runs] == [(1, 120_000, 30_000), (120_002, 70_000, 1)]
     assert row.n_words == 190_002
     assert row.collapsed.split() == ["start", *unit, "end", "again"]
+
+
+def test_blocks_cut_long_texts(monkeypatch):
+    """Blocks hold all tokens in order, each with the one before it, whatever the cuts."""
+    context = type("Context", (), {"partitionId": staticmethod(lambda: 5)})
+    monkeypatch.setattr(katz.TaskContext, "get", staticmethod(lambda: context))
+    monkeypatch.setattr(packed, "CHUNK", 200)
+    texts = ["a b", None, " ".join(f"w{i}" for i in range(1000)), "", "c " * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array([True, False, True, True, False])], ["i", "t", "l"])
+    whole = list(katz.blocks_of(iter([batch, batch]), 1 << 20))
+    assert len(whole) == 1 and whole[0].number == 5 << 24
+    for limit in (1, 7, 100, 1001, 1500):
+        parts = list(katz.blocks_of(iter([batch, batch]), limit))
+        assert [b.number for b in parts] == [(5 << 24) + n for n in range(len(parts))]
+        for name in ("tokens", "before"):
+            assert np.array_equal(np.concatenate([getattr(b, name) for b in parts]), getattr(whole[0], name))
+        by_row = Counter()
+        for b in parts:
+            assert sum(b.lengths) == len(b.tokens)
+            by_row.update(dict(zip(b.rows.tolist(), b.lengths.tolist())) if len(set(b.rows.tolist())) == len(b.rows) else {})
+        assert by_row[0] == 3 and by_row[2] in (1001, 0)
