@@ -30,6 +30,11 @@ def glob_to_regex(glob: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
+def literal_prefix(glob: str) -> str:
+    """What every match of a shell glob begins with; the whole glob if it has no signs."""
+    return re.split(r"[*?\[]", glob, maxsplit=1)[0]
+
+
 def find_regex(pattern: str) -> str:
     """Java regex for a find-style pattern, where groups and alternation are
     written with a backslash and stand for themselves without one."""

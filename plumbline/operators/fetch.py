@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.naming import base_of, decanonize_name
-from plumbline.functions.patterns import glob_to_regex
+from plumbline.functions.patterns import glob_to_regex, literal_prefix
 from plumbline.operators.series import consolidate
+from plumbline.operators.skew import global_prefix_sum
+from plumbline.plans.session import materialize
 from plumbline.schema import COUNTERS, EMPTY_STORE_TS, STORE_START_TS
 
 # Default counters and line colours of a package and a leaf plot.
@@ -45,7 +47,7 @@ def select_series(
 
     entry = F.col("series_id" if type == "f" else "parent_path")
     last = F.when(entry == "", F.lit(base)).otherwise(base_of(entry))
-    hit = full(entry).rlike(path_regex) & last.rlike(glob_to_regex(name))
+    hit = in_prefix(entry, path, base) & full(entry).rlike(path_regex) & last.rlike(glob_to_regex(name))
     if prune:
         parts = F.split(entry, "/")
         above = F.transform(
@@ -57,6 +59,19 @@ def select_series(
     return found.distinct().withColumn("type", F.lit(type))
 
 
+def in_prefix(entry: Column, path: str, base: str = "store") -> Column:
+    """Whether an entry begins like the glob does, before its first sign.
+
+    Says nothing that the glob does not say, but is pushed to the files, whose rows
+    are sorted by series: a scan skips what lies outside.
+    """
+    prefix = literal_prefix(path)
+    below = prefix.removeprefix(f"{base}/") if prefix.startswith(f"{base}/") else ""
+    if prefix == path and below:
+        return entry == below
+    return entry.startswith(below) if below else F.lit(True)
+
+
 def series_in_dirs(series: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of the chosen series, and of the series directly in a chosen
     directory (not below it). ``chosen`` is the result of ``select_series``."""
@@ -142,7 +157,7 @@ def wide_view(points: DataFrame, headers: Sequence[str] | None = None) -> DataFr
     Columns are told apart by series and counter, which the driver reads once;
     a title that two series share is told apart by the stored name. ``headers``
     chooses and orders the columns and must list every title. For more series
-    than a table has columns, take ``titled``.
+    than a table has columns, take ``titled`` or ``wide_lines``.
     """
     rows = titled(points)
     found = sorted(tuple(r) for r in rows.select("title", "series_id", "counter").distinct().collect())
@@ -153,10 +168,76 @@ def wide_view(points: DataFrame, headers: Sequence[str] | None = None) -> DataFr
     missing = sorted(set(named).difference(headers))
     if missing:
         raise ValueError(f"{len(missing)} titles are not in headers: {', '.join(missing[:10])}")
-    pair = F.to_json(F.array("series_id", "counter"))
-    keys = {h: json.dumps(named.get(h, (h, "")), separators=(",", ":"), ensure_ascii=False) for h in headers}
+    # Series and counter in one text that both sides spell alike, whatever they hold.
+    pair = F.concat(F.length("series_id").cast("string"), F.lit(":"), "series_id", F.lit(":"), "counter")
+    keys = {h: "{2}:{0}:{1}".format(*named[h], len(named[h][0])) if h in named else f"-:{h}" for h in headers}
     wide = rows.withColumn("__pair", pair).groupBy("TIME").pivot("__pair", list(keys.values())).agg(F.max("value"))
-    return wide.select("TIME", *[F.col("`" + k.replace("`", "``") + "`").alias(h) for h, k in keys.items()])
+    # Columns come in the order of the keys.
+    return wide.toDF("TIME", *keys)
+
+
+def column_numbers(points: DataFrame) -> DataFrame:
+    """``series_id, counter, title, column``: every pair of series and counter with its
+    number in the order of the titles; two series of one title are told apart by name.
+
+    The numbers come from a sort over range partitions, so there may be any number of
+    pairs.
+    """
+    pairs = points.select("series_id", "counter").distinct()
+    titles = pairs.select("series_id", "counter", header(F.col("series_id"), F.col("counter")).alias("title"))
+    shared = titles.groupBy("title").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    stored = F.concat("series_id", F.lit('["'), "counter", F.lit('"]'))
+    named = titles.join(shared, "title").select(
+        "series_id", "counter", F.when(F.col("shared"), stored).otherwise(F.col("title")).alias("title"), F.lit(1).alias("__one")
+    )
+    numbered = global_prefix_sum(named, ["title", "series_id", "counter"], "__one", "column")
+    return numbered.select("series_id", "counter", "title", F.col("column").cast("long"))
+
+
+def wide_lines(points: DataFrame) -> DataFrame:
+    """``TIME, line``: the wide view as CSV lines, the header first with a NULL time.
+
+    No list of the columns is kept anywhere: cells meet the number of their column in
+    a join, are sorted by time and column over range partitions, and each line is put
+    together from its cells; unknown and missing ones read ``nan``. Rows are in order
+    within partitions, and partitions follow one another.
+    """
+    numbers = materialize(column_numbers(points), "columns")
+    width = numbers.count()
+    title = F.concat(F.lit('"'), F.replace("title", F.lit('"'), F.lit('""')), F.lit('"'))
+    value = F.coalesce(F.when(~F.isnan("value"), F.col("value")).cast("string"), F.lit("nan"))
+    cells = points.join(numbers, ["series_id", "counter"]).groupBy(F.col("ts").cast("long").alias("TIME"), "column").agg(
+        F.max(value).alias("cell")
+    )
+    head = numbers.select(F.lit(None).cast("long").alias("TIME"), "column", title.alias("cell"))
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        time, held = None, []
+
+        def line() -> pa.RecordBatch:
+            row = ["nan"] * width
+            for columns, texts in held:
+                for column, text in zip(columns, texts):
+                    row[column] = text
+            first = "TIME" if time is None else str(time)
+            return pa.RecordBatch.from_pydict(
+                {"TIME": pa.array([time], pa.int64()), "line": [",".join([first, *row])]}
+            )
+
+        for batch in batches:
+            times = batch["TIME"].to_pylist()
+            cuts = [i for i in range(len(times)) if i == 0 or times[i] != times[i - 1]]
+            for low, high in zip(cuts, [*cuts[1:], len(times)]):
+                if held and times[low] != time:
+                    yield line()
+                    held = []
+                time = times[low]
+                held.append((batch["column"][low:high].to_pylist(), batch["cell"][low:high].to_pylist()))
+        if held:
+            yield line()
+
+    placed = head.unionByName(cells).repartitionByRange(F.col("TIME").asc_nulls_first())
+    return placed.sortWithinPartitions(F.col("TIME").asc_nulls_first(), "column").mapInArrow(stitch, "TIME long, line string")
 
 
 def trim_trailing_unknown(

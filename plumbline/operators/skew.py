@@ -238,17 +238,3 @@ def _holds_middle(before: Column, n: Column, total: Column) -> Column:
     """Whether ranks ``before+1 .. before+n`` include a middle rank of ``total``."""
     low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
     return (before < high) & (before + n >= low)
-
-
-def salted_left_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, salts: int = 32
-) -> DataFrame:
-    """Left join where a key of ``big`` may hold a large share of its rows.
-
-    ``spread`` scatters the rows of one key over ``salts`` sub-keys; ``small``
-    (one row per key) is repeated for each.
-    """
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    numbers = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = small.withColumn("__salt", F.explode(numbers))
-    return left.join(right, [*keys, "__salt"], "left").drop("__salt")

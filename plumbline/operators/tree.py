@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.naming import canonize_name, canonize_path, prefix, separators, tidy_path
-from plumbline.operators.skew import distribution, integer_distribution, salted_left_join, value_histogram
+from plumbline.operators.skew import EARLIER, distribution, integer_distribution, join_whole, value_histogram
+from plumbline.plans.session import materialize
 from plumbline.schema import COUNTERS, METRICS, NODE_TYPES, NODES
 
 
@@ -80,28 +81,37 @@ def leaf_params(
     metrics: Sequence[str] = METRICS,
     chunk_size: int = 10_000,
 ) -> DataFrame:
-    """Leaf ids and values of each inner node, in arrays of about ``chunk_size``.
+    """Leaf ids and values of each inner node, in arrays of ``chunk_size`` by path.
 
-    A node with more leaves spans several rows (``chunk`` of ``n_chunks``), so
-    that the root's list never sits in one row or one task.
-    All leaves are kept; ``explode`` of ``params`` gives the whole list.
+    A node with more leaves spans several rows (``chunk`` of ``n_chunks``), all full but
+    the last, so that the root's list never sits in one row or one task. All leaves are
+    kept; ``explode`` of ``params``, by chunk, gives the whole list in order.
+
+    A leaf's place in its node comes from one sort over range partitions. There each
+    partition holds whole nodes but for the first and the last one, so only nodes that
+    go on from the partition before need a subtotal: fewer rows than partitions.
     """
     keys, metrics = list(keys), list(metrics)
     node = [*keys, "node_path"]
     rows = explode_ancestors(leaves.select(*keys, path_col, *metrics), path_col)
-    counts = rows.groupBy(*node).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(chunk_size)).cast("int").alias("n_chunks")
-    )
-    wide = counts.where(F.col("n_chunks") > 1)
-    placed = salted_left_join(rows, wide, node, F.col(path_col))
-    placed = placed.withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
-    # A seed of its own keeps chunk and salt independent of each other.
-    digest = F.xxhash64(F.lit("chunk"), F.col(path_col))
-    placed = placed.withColumn("chunk", F.pmod(digest, F.col("n_chunks")).cast("int"))
-    item = F.struct(F.col(path_col).alias("item"), *metrics)
-    return placed.groupBy(*node, "depth", "node_type", "chunk", "n_chunks").agg(
-        F.array_sort(F.collect_list(item)).alias("params")
+    placed = rows.repartitionByRange(*node, path_col).sortWithinPartitions(*node, path_col)
+    # Sampled bounds change, so the sorted rows are stored. Ids count along a partition.
+    placed = materialize(placed.withColumn("__id", F.monotonically_increasing_id()), "ordered-leaves")
+    part = F.shiftright("__id", 33)
+    counts = placed.groupBy(part.alias("__part"), *node).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(*node).orderBy("__part")
+    counts = counts.select(
+        "__part", *node, "__first", F.coalesce(F.sum("__n").over(along.rowsBetween(*EARLIER)), F.lit(0)).alias("__before"),
+        F.sum("__n").over(Window.partitionBy(*node)).alias("__all"),
     )
+    located = join_whole(placed.withColumn("__part", part), counts, ["__part", *node])
+    rank = F.col("__before") + F.col("__id") - F.col("__first")
+    chunk = F.floor(rank / F.lit(chunk_size)).cast("int")
+    total = F.ceil(F.col("__all") / F.lit(chunk_size)).cast("int")
+    item = F.struct(rank.alias("__rank"), F.struct(F.col(path_col).alias("item"), *metrics).alias("__item"))
+    grouped = located.groupBy(*node, "depth", "node_type", chunk.alias("chunk"), total.alias("n_chunks"))
+    listed = grouped.agg(F.array_sort(F.collect_list(item)).alias("params"))
+    return listed.withColumn("params", F.transform("params", lambda p: p["__item"]))
 
 
 def root_package(nodes: DataFrame) -> str:

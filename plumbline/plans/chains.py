@@ -162,6 +162,8 @@ def selected(
     Globs are matched on the distinct names only, which one scan of two columns
     gives; the store itself is read once.
     """
+    # Both scans skip what cannot begin like the glob.
+    series = series.where(fetch.in_prefix(F.col("series_id" if type == "f" else "parent_path"), path, base))
     names = materialize(series.select("series_id", "parent_path").distinct(), "names")
     chosen = fetch.select_series(names, path, name, type, prune, base)
     return series.join(fetch.chosen_ids(names, chosen), "series_id", "left_semi").select(*series.columns)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.operators.fetch import wide_lines
+
 
 def write_view_csv(view: DataFrame, path: str) -> None:
     """CSV sorted by ``TIME`` with a header row; unknown values read ``nan``.
@@ -20,6 +22,12 @@ def write_view_csv(view: DataFrame, path: str) -> None:
     )
 
 
+def write_wide_csv(points: DataFrame, path: str) -> None:
+    """The wide view of any number of series as one CSV document: its part files follow
+    by name, and only the first has the header."""
+    wide_lines(points).select("line").write.text(path)
+
+
 def write_folded(folded: DataFrame, path: str) -> None:
     """One line per stack: the frames, a blank, the value."""
     line = F.concat_ws(" ", "stack", F.col("value").cast("string"))

@@ -278,6 +278,27 @@ def q_write_view_csv(spark, d):
     return plain(back.unpivot(["TIME"], [f"`{h}`" for h in table.columns[1:]], "title", "value"))
 
 
+def q_write_wide_csv(spark, d):
+    """The wide view of all series as one CSV document, read back cell by cell: what is
+    known, and how many cells its line has."""
+    folder = new_folder(spark, "wide")
+    sinks.write_wide_csv(fetch.long_form(stored_series(spark, d), ["mmcc", "sif"]), folder)
+    lines = materialize(spark.read.text(folder).select(F.split("value", ",").alias("cells")), "lines")
+    cells = lines.select(F.col("cells")[0].alias("TIME"), F.size("cells").alias("n_cells"), F.posexplode("cells").alias("at", "cell"))
+    cells = cells.where("at > 0")
+    titles = cells.where("TIME = 'TIME'").select(
+        "at", F.replace(F.btrim("cell", F.lit('"')), F.lit('""'), F.lit('"')).alias("title")
+    )
+    known = cells.where("TIME <> 'TIME' AND cell <> 'nan'").join(titles, "at")
+    return plain(known.select(F.col("TIME").cast("long"), "title", F.col("cell").cast("double").alias("value"), "n_cells"))
+
+
+def q_titled_view(spark, d):
+    """The view of the whole store in long form."""
+    points = chains.view_points(stored_series(spark, d), COUNTERS, SERIES_START + DAY, path="*", type="d", prune=False)
+    return plain(fetch.titled(points).select("TIME", "title", "value"))
+
+
 def q_trim_trailing_unknown(spark, d):
     points = fetch.long_form(stored_series(spark, d), ["mmcc_median", "sif"]).withColumn(
         "value", F.when(F.col("ts") < SERIES_START + 20 * DAY, F.col("value"))
@@ -353,6 +374,8 @@ QUERIES = {
     "wide_view": q_wide_view,
     "view_table": q_view_table,
     "write_view_csv": q_write_view_csv,
+    "write_wide_csv": q_write_wide_csv,
+    "titled_view": q_titled_view,
     "trim_trailing_unknown": q_trim_trailing_unknown,
     "plot_series": q_plot_series,
     "plot_table": q_plot_table,
@@ -529,11 +552,27 @@ WHERE depth = 2 AND ts > {SERIES_START + DAY} AND ts <= (SELECT max(ts) FROM sto
 GROUP BY ts
 """,
     "write_view_csv": f"""
-WITH {STORED_SQL}, times AS (SELECT DISTINCT ts FROM store WHERE depth = 2),
-cells AS ({_LONG}),
-names AS (SELECT DISTINCT series_id, counter FROM cells WHERE series_id IN (SELECT series_id FROM store WHERE depth = 2))
-SELECT times.ts AS "TIME", series_id || '["' || counter || '"]' AS title, round(value, 6) AS value
-FROM times CROSS JOIN names LEFT JOIN cells USING (ts, series_id, counter)
+WITH {STORED_SQL}, s AS MATERIALIZED (SELECT * FROM store WHERE depth = 2),
+known AS (
+  SELECT ts, series_id, unnest({COUNTERS}) AS counter, unnest([{COUNTER_LIST}]) AS value FROM s),
+grid AS (
+  SELECT ts, unnest((SELECT list(DISTINCT series_id) FROM s)) AS series_id FROM (SELECT DISTINCT ts FROM s)),
+cells AS (SELECT ts, series_id, unnest({COUNTERS}) AS counter FROM grid)
+SELECT ts AS "TIME", series_id || '["' || counter || '"]' AS title, round(value, 6) AS value
+FROM cells LEFT JOIN known USING (ts, series_id, counter)
+""",
+    "write_wide_csv": f"""
+WITH {STORED_SQL}, s AS MATERIALIZED (SELECT series_id, ts, mmcc, sif FROM store)
+SELECT ts AS "TIME", series_id || '["' || counter || '"]' AS title, round(value, 6) AS value,
+       (SELECT 2 * count(DISTINCT series_id) + 1 FROM s) AS n_cells
+FROM (SELECT series_id, ts, unnest(['mmcc', 'sif']) AS counter, unnest([mmcc, sif]) AS value FROM s)
+""",
+    "titled_view": f"""
+WITH {STORED_SQL}, p AS (
+  SELECT ts, series_id, unnest({COUNTERS}) AS counter, unnest([{COUNTER_LIST}]) AS value FROM store
+  WHERE ts > {SERIES_START + DAY} AND ts <= (SELECT max(ts) FROM store WHERE series_id = 'events'))
+SELECT ts AS "TIME", series_id || '["' || counter || '"]' AS title, round(value, 6) AS value FROM p
+WHERE ts <= (SELECT max(ts) FROM p WHERE value IS NOT NULL)
 """,
     "trim_trailing_unknown": f"""
 WITH {STORED_SQL}, p AS (

@@ -110,11 +110,6 @@ def test_unknown_values_are_left_out(spark):
     assert (found.n, found.mean, found.median) == (2, 2.0, 2.0)
 
 
-def test_salted_left_join_keeps_all_rows(hot):
-    small = hot.where("k <> 'k1'").groupBy("k").agg(F.max("v").alias("m"))
-    expected = hot.join(small, "k", "left").select("k", "o", "m")
-    assert rows(skew.salted_left_join(hot, small, ["k"], F.col("o")), "k", "o", "m") == rows(expected)
-
 
 def test_join_whole_matches_nulls(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, x int")

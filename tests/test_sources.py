@@ -290,6 +290,22 @@ def test_rollup_and_params(spark):
     assert [p.item for p in one.params] == ["r/a/x.c/f+1", "r/a/x.c/g+9"]
 
 
+@pytest.mark.parametrize("size", [1, 7, 100, 5000])
+def test_chunks_are_full_and_in_order(spark, size):
+    """One node holds nearly all leaves, over many range partitions."""
+    leaves = leaves_of(spark, [(f"p/{'hot' if i % 50 else 'd'}/f{i % 3}.c", f"f:{i}", i, 1, 1, 1) for i in range(900)])
+    chunks = tree.leaf_params(leaves, chunk_size=size)
+    whole = {}
+    for r in tree.explode_ancestors(leaves).select("node_path", "leaf_path").collect():
+        whole.setdefault(r.node_path, []).append(r.leaf_path)
+    found = {}
+    for r in chunks.orderBy("node_path", "chunk").collect():
+        assert r.n_chunks == -(-len(whole[r.node_path]) // size)
+        assert len(r.params) == size or r.chunk == r.n_chunks - 1
+        found.setdefault(r.node_path, []).extend(p.item for p in r.params)
+    assert found == {node: sorted(items) for node, items in whole.items()}
+
+
 def test_root_equals_flat_aggregate(spark):
     leaves = leaves_of(spark, [(f"p/d{i % 7}/f{i % 31}.c", f"f:{i}", i % 11, i % 5, i, i * i % 97) for i in range(800)])
     root = tree.rollup_stats(leaves).where("node_path = 'p'").first()
