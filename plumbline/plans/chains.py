@@ -12,6 +12,7 @@ from plumbline.operators.metrics import code_metrics, filter_metric_ranges
 from plumbline.operators.unchanged import metrics_of_changed
 from plumbline.plans.session import materialize
 from plumbline.schema import METRICS, NODES, STORE_START_TS
+from plumbline.streaming.logs import read_parsed
 from plumbline.sources.files import EXCLUDED_GLOBS, SOURCE_REGEX, read_logs, read_sources, select_sources
 
 
@@ -261,3 +262,8 @@ def statistic_of_tree(spark: SparkSession, root: str, ranges: Ranges = Ranges())
 def log_report_of_folder(spark: SparkSession, folder: str, year: int, fmt: str = "raw", **options) -> LogReport:
     """``log_report`` over the files of a folder."""
     return log_report(read_logs(spark, folder), year, fmt, **options)
+
+
+def log_report_of_stream(spark: SparkSession, path: str, gap_ms: int = 60_000) -> LogReport:
+    """``log_report`` over what a stream (``start_log_report``) has kept so far."""
+    return LogReport(read_parsed(spark, path), gap_ms)

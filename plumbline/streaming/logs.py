@@ -62,6 +62,20 @@ def read_outcome_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("producer").agg(*[F.sum(c).alias(c) for c in OUTCOMES])
 
 
+def start_log_report(
+    lines: DataFrame, year: int, path: str, checkpoint: str, fmt: str = "raw", **trigger
+) -> StreamingQuery:
+    """Keeps the parsed lines of a stream (``follow_logs`` gives their place) in
+    ``path``, a part for each batch; see ``chains.log_report_of_stream``."""
+    return each_part(parse_log(lines, year, fmt), lambda batch: batch, path, checkpoint, trigger)
+
+
+def read_parsed(spark: SparkSession, path: str) -> DataFrame:
+    """The parsed lines that a stream has read so far. Lines of a file come by batch and
+    place, which is their order even if the file was truncated in between."""
+    return spark.read.parquet(path).withColumn("block", F.col("batch").cast("long")).drop("batch")
+
+
 def start_quarantine(
     lines: DataFrame,
     year: int,

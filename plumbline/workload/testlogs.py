@@ -16,6 +16,7 @@ from plumbline.streaming.logs import (
     read_log_stream,
     read_outcome_stats,
     read_sessions,
+    start_log_report,
     start_outcome_stats,
     start_sessions,
 )
@@ -198,6 +199,26 @@ def q_growing_logs_stream(spark, d):
     return read_outcome_stats(spark, out)
 
 
+def q_log_report_failures_stream(spark, d):
+    """Failure logs of a stream over growing files: the text itself, by file."""
+    place = F.col("line_no") % FILE_LINES
+    lines = log_input(spark, d).select(
+        "value", "line_no", F.floor(F.col("line_no") / FILE_LINES).alias("number"), place.alias("place"), F.lit(False).alias("cut")
+    )
+    half = FILE_LINES // 3
+    folder, out, state = (new_folder(spark, n) for n in ("growing", "parsed", "state"))
+    for version in (lines.where(F.col("place") <= half).withColumn("cut", F.col("place") == half), lines):
+        _written(version, folder)
+        start_log_report(follow_logs(spark, folder), YEAR, out, state, "pcap").awaitTermination()
+    pieces = chains.log_report_of_stream(spark, out)["failures"]
+    number = F.regexp_extract("file", r"run-(\d+)\.log$", 1).cast("long").alias("number")
+    whole = pieces.groupBy("producer", "severity", number).agg(
+        F.sum("n_lines").alias("n_lines"), F.array_sort(F.collect_list(F.struct("block", "segment", "log"))).alias("parts")
+    )
+    text = F.array_join(F.transform("parts", lambda p: p["log"]), "\n")
+    return plain(whole.select("producer", "severity", "number", "n_lines", F.md5(text).alias("log_md5")))
+
+
 def q_ended_sessions_stream(spark, d):
     """Files of mixed times, one read in every batch; sessions are told as they end
     and corrected by late lines. The last file only moves the clock on."""
@@ -216,6 +237,7 @@ def q_ended_sessions_stream(spark, d):
 
 QUERIES = {
     "growing_logs_stream": q_growing_logs_stream,
+    "log_report_failures_stream": q_log_report_failures_stream,
     "ended_sessions_stream": q_ended_sessions_stream,
     "log_report_failures": q_log_report_failures,
     "log_report_malformed": q_log_report_malformed,
@@ -265,6 +287,13 @@ SQL = {
     "growing_logs_stream": STATS_SQL.replace(
         "FROM events)", f"FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id < {LEFT_LINES}))"
     ),
+    "log_report_failures_stream": f"""
+WITH {LOG_SQL}
+SELECT p.producer, CASE WHEN s.failed > 0 THEN 'error' ELSE 'warning' END AS severity, event_id // {FILE_LINES} AS number,
+       count(*) AS n_lines, md5(string_agg(message, chr(10) ORDER BY event_id)) AS log_md5
+FROM parsed p JOIN stats s ON s.producer = p.producer AND (s.failed > 0 OR s.skipped > 0)
+WHERE reason IS NULL GROUP BY ALL
+""",
     "ended_sessions_stream": SESSIONS_SQL,
     "strip_priority": f"""
 WITH {LOG_SQL}, raw AS (

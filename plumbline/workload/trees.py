@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.naming import canonize_name, decanonize_name
-from plumbline.operators import metrics, tree, view
+from plumbline.operators import metrics, sketches, tree, view
 from plumbline.plans import chains
-from plumbline.plans.session import new_folder
+from plumbline.plans.session import materialize, new_folder
 from plumbline.schema import COUNTERS, METRICS
 from plumbline.sources import report_tree, reports, sinks
 from plumbline.sources.files import read_sources, select_sources
@@ -211,6 +211,27 @@ def q_report_roundtrip(spark, d):
     return plain(back.select(*nodes.columns).distinct())
 
 
+def q_rollup_sketches(spark, d):
+    """Approximate medians by sketches of files merged up the tree, held against the
+    ranks that they have among all leaves of their node."""
+    leaves = _leaves(spark, d)
+    files = materialize(sketches.file_sketches(leaves), "sketches")
+    stats = sketches.sketch_stats(sketches.rollup_sketches(files))
+    told = stats.select(
+        "node_path", "n_leaves", *[F.struct(*[F.col(f"{m}_{s}").alias(s) for s in ("mean", "median")]).alias(m) for m in METRICS]
+    )
+    told = told.unpivot(["node_path", "n_leaves"], METRICS, "metric", "v").select("node_path", "n_leaves", "metric", "v.*")
+    counts = tree.explode_ancestors(leaves).unpivot(["node_path"], METRICS, "metric", "value").groupBy("node_path", "metric", "value").count()
+    ranks = counts.join(told, ["node_path", "metric"]).groupBy("node_path", "metric", "n_leaves", "mean").agg(
+        F.sum(F.when(F.col("value") < F.col("median"), F.col("count")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("value") <= F.col("median"), F.col("count")).otherwise(0)).alias("upto"),
+    )
+    allowed = sketches.RANK_ERROR * F.col("n_leaves") + 1
+    half = F.col("n_leaves") / 2
+    near = (F.col("below") <= half + allowed) & (F.col("upto") >= half - allowed)
+    return plain(ranks.select("node_path", "metric", "n_leaves", "mean", near.alias("within")))
+
+
 def q_report_tree(spark, d):
     """All nodes as one nested document, written in parts and read in chunks."""
     folder = new_folder(spark, "report")
@@ -227,6 +248,7 @@ def _with_unknown(nodes: DataFrame) -> DataFrame:
 QUERIES = {
     "report_roundtrip": q_report_roundtrip,
     "report_tree": q_report_tree,
+    "rollup_sketches": q_rollup_sketches,
     "read_sources": q_read_sources,
     "select_sources": q_select_sources,
     "watch_list": q_watch_list,
@@ -391,3 +413,8 @@ WITH {LEAVES_SQL} SELECT stack || ' ' || value AS line FROM ({_fold_sql('leaves'
 """,
 }
 SQL["report_tree"] = SQL["report_roundtrip"]
+SQL["rollup_sketches"] = f"""
+WITH {LEAVES_SQL}, long AS (
+  SELECT node_path, unnest({METRICS}) AS metric, unnest([{', '.join(METRICS)}]) AS value FROM up)
+SELECT node_path, metric, count(*) AS n_leaves, round(avg(value), 6) AS mean, true AS within FROM long GROUP BY ALL
+"""

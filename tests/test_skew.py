@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import rows
-from plumbline.operators import skew
+from plumbline.operators import sketches, skew
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,28 @@ def test_join_whole_matches_nulls(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, x int")
     right = spark.createDataFrame([(None, 10), ("a", 20)], "k string, y int")
     assert rows(skew.join_whole(left, right, ["k"]), "k", "x", "y") == [("a", 2, 20), (None, 1, 10)]
+
+
+def test_sketches_stay_within_their_rank_error(spark):
+    """Medians of merged sketches have the middle ranks, but for the stated error."""
+    n = 60_000
+    leaves = spark.range(n).select(
+        F.concat(F.lit("p/d"), (F.col("id") % 7).cast("string"), F.lit("/f"), (F.col("id") % 91).cast("string"), F.lit("/x"), F.col("id").cast("string")).alias("leaf_path"),
+        F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("a"),
+        F.when(F.col("id") % 3 > 0, F.pmod(F.xxhash64("id"), F.lit(1000)) / 7).alias("b"),
+    )
+    files = sketches.file_sketches(leaves, metrics=["a", "b"])
+    assert files.count() == 91
+    nodes = sketches.rollup_sketches(files, metrics=["a", "b"], doubles=["b"]).cache()
+    for quantile in (0.1, 0.5, 0.99):
+        found = {r.node_path: r for r in sketches.sketch_stats(nodes, metrics=["a", "b"], doubles=["b"], quantile=quantile).collect()}
+        for path, rows_ in (("p", leaves), ("p/d3", leaves.where("leaf_path LIKE 'p/d3/%'"))):
+            for m in ("a", "b"):
+                known = rows_.where(F.col(m).isNotNull())
+                rank = known.where(F.col(m) <= found[path][f"{m}_median"]).count() / known.count()
+                assert abs(rank - quantile) <= sketches.RANK_ERROR + 0.001 + (m == "b") * 0.001
+    exact = leaves.agg(F.avg("b"), F.stddev_pop("b")).first()
+    root = sketches.sketch_stats(nodes, metrics=["a", "b"], doubles=["b"]).where("node_path = 'p'").first()
+    assert root.n_leaves == n and (root.b_mean, root.b_deviation) == pytest.approx(tuple(exact))
+    none = sketches.sketch_stats(sketches.rollup_sketches(sketches.file_sketches(leaves.where("a < 0"), metrics=["a"]), metrics=["a"]), metrics=["a"])
+    assert none.count() == 0

@@ -1,5 +1,6 @@
 """Growing files, and what is told when its time is up."""
 
+import os
 import random
 
 import pytest
@@ -7,8 +8,12 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from plumbline.operators import catalog, logs
+from plumbline.operators.series import reject_stale
+from plumbline.plans import chains
 from plumbline.sources.growing import GrowingFilesReader, follow_logs
 from plumbline.streaming import ended
+from plumbline.streaming.logs import start_log_report
+from plumbline.streaming.updates import WHOLE_EVERY, start_reject_stale
 
 GAP_MS = 60_000
 
@@ -159,3 +164,39 @@ def test_settings_stay(spark):
     with ended.setting(spark, ended.PROVIDER, "x"), ended.setting(spark, "plumbline.none", "y"):
         assert spark.conf.get(ended.PROVIDER) == "x"
     assert spark.conf.get(ended.PROVIDER) == before and spark.conf.get("plumbline.none", None) is None
+
+
+def test_versions_of_a_stream_do_not_pile_up(spark, tmp_path):
+    """Many batches: a bounded number of folders, and marks as one batch gives them."""
+    folder, out, state, check = (str(tmp_path / n) for n in ("in", "out", "state", "check"))
+    data = [(f"s{i % 3}", (i * 7) % 23, i) for i in range(76)]
+    schema = "series_id string, ts long, arrival long"
+    for i in range(0, len(data), 2):
+        spark.createDataFrame(data[i : i + 2], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    start_reject_stale(stream, out, state, check).awaitTermination()
+    assert len(os.listdir(out)) >= 38
+    assert len([f for f in os.listdir(state) if f.startswith("version")]) <= 2 * WHOLE_EVERY
+    marked = spark.read.parquet(out)
+    assert rows(marked, "series_id", "arrival", "accepted") == rows(
+        reject_stale(spark.createDataFrame(data, schema)), "series_id", "arrival", "accepted"
+    )
+
+
+def test_failures_of_a_running_stream(spark, tmp_path):
+    """What a stream has kept gives the whole report, in the order of the lines."""
+    folder, out, state = tmp_path / "logs", str(tmp_path / "parsed"), str(tmp_path / "state")
+    folder.mkdir()
+    host = "<13>Jan  5 10:00:0{} host1 a_tester[7]: {}\n"
+    texts = ["collected 3 items", "step : a", "= 1 failed, 2 passed in 1s =", "bye"]
+    for number, text in enumerate(texts):
+        with (folder / "one.log").open("a") as file:
+            file.write(host.format(number, text) + "<13>Jan  5 10:00:00 host1 a_tes")
+        start_log_report(follow_logs(spark, str(folder)), 2024, out, state, "pcap").awaitTermination()
+        with (folder / "one.log").open("a") as file:
+            file.write("ter[7]: more\n")
+    report = chains.log_report_of_stream(spark, out)
+    pieces = report["failures"].orderBy("file", "block", "segment").collect()
+    assert "\n".join(p.log for p in pieces).split("\n") == [
+        "collected 3 items", "more", "step:a", "more", "= 1 failed, 2 passed in 1s =", "more", "bye"]
+    assert rows(report["stats"]) == [("a_tester", 3, 2, 1, 0)]
