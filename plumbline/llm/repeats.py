@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.llm import packed
 from plumbline.plans.session import materialize
 
+#: Bytes of text for every bucket and block.
+BUCKET_BYTES = 8 << 20
 #: Windows of a piece at most: bounds the contexts.
 LONGEST = 256
 #: Contexts of one gram that are compared together; beyond it they are split.
@@ -358,24 +360,24 @@ def marked_windows(docs: DataFrame, tokens, window: int, k: int, compare: Compar
     """
     spark = docs.sparkSession
     packed.small_batches(spark)
-    buckets = packed.bucket_count(spark)
-    blocks = buckets
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    filed = source.mapInArrow(_filed(tokens, window, k, buckets), PIECES)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Buckets hold as much whatever the size of the input, and have a partition each.
+    buckets = blocks = max(packed.bucket_count(spark), -(-size // BUCKET_BYTES))
+    filed = source.mapInArrow(_filed(tokens, window, k, buckets), PIECES).repartition(buckets, "bucket")
     found = filed.groupBy("bucket").applyInArrow(_decided(blocks), FOUND)
     found = materialize(found, "repeats")
-    placed = packed.with_block(docs, blocks)
-    placed = placed.repartition(F.col("__block"))
-    asked = found.where("kind > 0").withColumnRenamed("block", "__block")
+    placed = packed.with_block(docs, blocks).repartition(blocks, "__block")
+    asked = found.where("kind > 0").withColumnRenamed("block", "__block").repartition(blocks, "__block")
     cut = (
         placed.where(F.col("doc_id").isNotNull())
         .groupBy("__block")
         .cogroup(asked.groupBy("__block"))
         .applyInArrow(_cut(tokens, window, buckets), CONTEXTS)
     )
-    more = cut.groupBy("bucket").applyInArrow(_compared(tokens, window, blocks, compare), FOUND)
+    more = cut.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compared(tokens, window, blocks, compare), FOUND)
     whole = found.where("kind = 0").unionAll(more).select(F.col("block").alias("__block"), "doc", "crc", "at", "size")
-    return placed, whole
+    return placed, whole.repartition(blocks, "__block")
 
 
 def covered(docs: pa.Table, marks: pa.Table, offsets_of, window: int):
