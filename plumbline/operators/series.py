@@ -276,6 +276,25 @@ def trend(
     return moved.withColumn("delta", delta).withColumn("direction", F.signum("delta").cast("int"))
 
 
+def counter_trend(
+    rows: DataFrame,
+    counters: Sequence[str] = COUNTERS,
+    keys: Sequence[str] = ("series_id",),
+    ts: str = "ts",
+    width: int = SEGMENT_WIDTH,
+) -> DataFrame:
+    """``trend`` of every counter of the stored rows, in long form.
+
+    The row before is found for all counters at once and taken apart afterwards, so a
+    row is shuffled once and not once for each counter.
+    """
+    keys, counters = list(keys), list(counters)
+    moved = previous_row(rows.select(*keys, ts, *counters), keys, ts, counters, width, prefix="__prev_")
+    each = F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("value"), F.col(f"__prev_{c}").alias("prev_value")) for c in counters])
+    long = moved.select(*keys, ts, F.inline(each)).withColumn("delta", F.col("value") - F.col("prev_value"))
+    return long.withColumn("direction", F.signum("delta").cast("int"))
+
+
 def trend_summary(moves: DataFrame, keys: Sequence[str] = ("series_id", "counter")) -> DataFrame:
     """Snapshots that raised and lowered a metric, and the balance of both."""
     return moves.groupBy(*keys).agg(

@@ -300,7 +300,7 @@ def q_titled_view(spark, d):
 
 
 def q_trim_trailing_unknown(spark, d):
-    points = fetch.long_form(stored_series(spark, d), ["mmcc_median", "sif"]).withColumn(
+    points = fetch.long_form(stored_series(spark, d)).withColumn(
         "value", F.when(F.col("ts") < SERIES_START + 20 * DAY, F.col("value"))
     )
     return plain(fetch.trim_trailing_unknown(points))
@@ -337,8 +337,8 @@ def q_series_kind(spark, d):
 
 
 def q_trend(spark, d):
-    points = fetch.long_form(stored_series(spark, d))
-    return plain(series.trend(points, width=100 * HOUR).select("series_id", "counter", "ts", "value", "delta", "direction"))
+    moves = series.counter_trend(stored_series(spark, d), width=100 * HOUR)
+    return plain(moves.select("series_id", "counter", "ts", "value", "delta", "direction"))
 
 
 def q_trend_summary(spark, d):
@@ -576,8 +576,7 @@ WHERE ts <= (SELECT max(ts) FROM p WHERE value IS NOT NULL)
 """,
     "trim_trailing_unknown": f"""
 WITH {STORED_SQL}, p AS (
-  SELECT series_id, node_type, ts, 'mmcc_median' AS counter, mmcc_median AS value FROM store
-  UNION ALL SELECT series_id, node_type, ts, 'sif', sif FROM store),
+  SELECT series_id, node_type, ts, unnest({COUNTERS}) AS counter, unnest([{COUNTER_LIST}]) AS value FROM store),
 c AS (SELECT series_id, node_type, ts, counter, CASE WHEN ts < {SERIES_START + 20 * DAY} THEN round(value, 6) END AS value FROM p)
 SELECT * FROM c WHERE ts <= (SELECT max(ts) FROM c WHERE value IS NOT NULL)
 """,

@@ -241,3 +241,13 @@ def test_trend(spark):
     assert rows(moves, "ts", "delta", "direction") == [(1, None, None), (10, -1.0, -1), (11, 0.0, 0), (9, 2.0, 1)]
     total = series.trend_summary(moves).first()
     assert (total.ups, total.downs, total.balance, total.change) == (1, 1, 0, 1.0)
+
+
+def test_trend_of_all_counters_at_once(spark):
+    """Equals the trend of the long form, unknown values and a single row included."""
+    data = [(f"s{i % 3}", i * 7 % 50, float(i % 5) if i % 4 else None, float(i)) for i in range(40)] + [("alone", 3, 1.0, 2.0)]
+    rows_ = spark.createDataFrame(data, "series_id string, ts long, mmcc double, lif double").dropDuplicates(["series_id", "ts"])
+    long = rows_.unpivot(["series_id", "ts"], ["mmcc", "lif"], "counter", "value")
+    columns = ("series_id", "counter", "ts", "value", "prev_value", "delta", "direction")
+    expected = series.trend(long, width=9)
+    assert rows(series.counter_trend(rows_, ["mmcc", "lif"], width=9), *columns) == rows(expected, *columns)
