@@ -15,10 +15,13 @@ def test_twin(spark, name):
     assert differences(queries.QUERIES[name](spark, FOLDER), connect(FOLDER), queries.SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - {"op5_best_fit_packing"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_every_row_has_a_result(spark, name):
+    """No row is lost, none is made up; a document of several pieces counts once."""
     ids = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id")
-    assert queries.QUERIES[name](spark, FOLDER).select("doc_id").exceptAll(ids).count() == 0
+    found = queries.QUERIES[name](spark, FOLDER)
+    found = materialize((found.where("piece = 0") if "piece" in found.columns else found).select("doc_id"), name)
+    assert found.exceptAll(ids).count() == ids.exceptAll(found).count() == 0
 
 
 def test_pipeline(spark):
