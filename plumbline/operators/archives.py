@@ -167,7 +167,7 @@ def update_archives(points: DataFrame, path: str, definitions: Definitions, reru
     if stored is not None:
         touched = dealt.select("steps", "slot").distinct()
         stored = materialize(stored.join(touched, ["steps", "slot"], "left_semi"), "open-slots")
-        held = stored.select("steps", "slot", "series_id", "upto")
+        held = stored.groupBy("steps", "slot", "series_id").agg(F.max("upto").alias("upto"))
         late = dealt.join(held, ["steps", "slot", "series_id"], "left")
         fresh = F.col("upto").isNull() | (F.col("ts") > F.col("upto"))
         if not rerun:
