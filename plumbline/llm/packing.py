@@ -22,8 +22,9 @@ END = 1
 OPEN_BINS = 4096
 #: Pieces that are packed together; more pieces make more groups.
 GROUP = 16_000
-#: Words that a worker remembers, and atoms with their tokens.
-REMEMBERED, ATOMS = 1_000_000, 2_000_000
+#: Words that a task remembers, and atoms with their tokens; and words that a worker
+#: keeps for its next task.
+REMEMBERED, ATOMS, KEPT = 1_000_000, 2_000_000, 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -180,6 +181,10 @@ def _tokenised(path: str, capacity: int):
                 [pa.array(c, t) for c, t in zip(columns, kinds)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        # Workers serve other stages next, beside the JVM of their executor.
+        if len(encoder.atoms) > KEPT:
+            encoder.clear()
+        packed.release()
 
     return run
 
