@@ -283,13 +283,11 @@ def q_write_wide_csv(spark, d):
     known, and how many cells its line has."""
     folder = new_folder(spark, "wide")
     sinks.write_wide_csv(fetch.long_form(stored_series(spark, d), ["mmcc", "sif"]), folder)
-    lines = materialize(spark.read.text(folder).select(F.split("value", ",").alias("cells")), "lines")
-    cells = lines.select(F.col("cells")[0].alias("TIME"), F.size("cells").alias("n_cells"), F.posexplode("cells").alias("at", "cell"))
-    cells = cells.where("at > 0")
+    cells = materialize(sinks.read_wide_csv(spark, folder), "cells")
     titles = cells.where("TIME = 'TIME'").select(
         "at", F.replace(F.btrim("cell", F.lit('"')), F.lit('""'), F.lit('"')).alias("title")
     )
-    known = cells.where("TIME <> 'TIME' AND cell <> 'nan'").join(titles, "at")
+    known = cells.where("TIME <> 'TIME'").join(titles, "at")
     return plain(known.select(F.col("TIME").cast("long"), "title", F.col("cell").cast("double").alias("value"), "n_cells"))
 
 

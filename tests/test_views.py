@@ -85,3 +85,24 @@ def test_globs_reach_the_files(spark, tmp_path):
     assert rows(chosen, "series_id") == [("r/a",), ("r/ab",), ("r/ab/x",)]
     assert "StringStartsWith(series_id,r/a)" in chosen._jdf.queryExecution().executedPlan().toString()
     assert rows(chains.selected(stored, "store/r/ab", type="d", prune=False), "series_id") == [("r/ab/x",)]
+
+
+def test_wide_csv_is_read_by_known_cells(spark, tmp_path):
+    """Commas and quotes in titles; a point without a time touches no title."""
+    data = [("a", "mmcc", 1, 1.0), ('b,"x', "lif", 3, 2.5), ("c", "lif", None, 9.0)]
+    sinks.write_wide_csv(long(spark, data), str(tmp_path / "csv"))
+    assert rows(sinks.read_wide_csv(spark, str(tmp_path / "csv"))) == [
+        ("1", 1, "1.0", 4), ("3", 2, "2.5", 4),
+        ("TIME", 1, '"a[""mmcc""]"', 4), ("TIME", 2, '"b,""x[""lif""]"', 4), ("TIME", 3, '"c[""lif""]"', 4),
+    ]
+
+
+def test_a_line_is_read_in_pieces():
+    """Only known cells leave a line, a bounded number at once, and the rest counts."""
+    known = {3 * i + 1 for i in range(500)} | {90_000}
+    line = ",".join(["17", *(str(i) if i in known else "nan" for i in range(1, 100_001))])
+    batches = list(sinks.known_cells(line, size=100))
+    assert all(b.num_rows <= 100 for b in batches)
+    assert [p for b in batches for p in b["at"].to_pylist()] == sorted(known)
+    assert all(b["cell"].to_pylist() == [str(p) for p in b["at"].to_pylist()] for b in batches)
+    assert {n for b in batches for n in b["n_cells"].to_pylist()} == {100_001}
