@@ -7,7 +7,7 @@ remembered (``keep_ms``); then its state is removed, so an idle stream holds non
 
 Before the state, every task of a batch folds its rows into slots of one gap or one
 timeout. A busy producer or tag then costs one row per task and slot, and probes are
-keyed by tag and slot.
+keyed by slot and share of the tags.
 
 A row without a key only moves the clock on; send one to close what is open.
 """
@@ -181,63 +181,82 @@ def current_sessions(told: DataFrame) -> DataFrame:
 
 
 class Probes(StatefulProcessor):
-    """The probes of one tag and slot, and the responses that can answer them: the last
-    one of the slot and the first one of the next."""
+    """The probes of one slot and share of the tags, and the responses that can answer
+    them: of each tag the last one of the slot and the first one of the next.
+
+    All of a key is one value, read and written once for each batch that touches it: a
+    call of the state costs far more than a probe.
+    """
+
+    HELD = (
+        "tags array<string>, probes array<string>, ats array<long>, told array<boolean>, "
+        "answering array<string>, lasts array<long>, firsts array<long>, timer long"
+    )
 
     def __init__(self, timeout_ms: int, keep_ms: int):
         self.width, self.keep = timeout_ms * 1000, keep_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("probes", "probe string, at long", "told boolean")
-        self.responses = handle.getValueState("responses", "last long, first long")
+        self.state = handle.getValueState("held", self.HELD)
 
     def close(self) -> None:
         pass
 
-    def _settled(self, key, responses: tuple | None, watermark_ms: int) -> Iterator[Row]:
-        last, first = responses or (None, None)
-        wake = []
-        for (probe, at), (told,) in list(self.open.iterator()):
+    def _load(self) -> tuple[dict, dict, int | None]:
+        """Whether each probe was told, the responses of each tag, and the timer."""
+        held = self.state.get()
+        if held is None:
+            return {}, {}, None
+        tags, probes, ats, told, answering, lasts, firsts, timer = held
+        return dict(zip(zip(tags, probes, ats), told)), dict(zip(answering, zip(lasts, firsts))), timer
+
+    def _settled(self, key, probes: dict, responses: dict, timer: int | None, watermark_ms: int) -> Iterator[Row]:
+        kept, wake = {}, []
+        for (tag, probe, at), told in probes.items():
+            last, first = responses.get(tag, (None, None))
             deadline = (at + self.width) // 1000 + 1
             if (last is not None and last >= at) or (first is not None and first <= at + self.width):
-                self.open.removeKey((probe, at))
                 if told:
-                    yield Row(tag=key[0], probe=probe, ts=_time(at), answered=True)
-            elif not told and deadline <= watermark_ms:
-                self.open.updateValue((probe, at), (True,))
-                yield Row(tag=key[0], probe=probe, ts=_time(at), answered=False)
+                    yield Row(tag=tag, probe=probe, ts=_time(at), answered=True)
+                continue
+            if not told and deadline <= watermark_ms:
+                told = True
+                yield Row(tag=tag, probe=probe, ts=_time(at), answered=False)
             elif not told:
                 wake.append(deadline)
+            kept[tag, probe, at] = told
         forget = ((key[1] + 2) * self.width + self.keep) // 1000 + 1
-        if forget <= watermark_ms:
-            self.open.clear()
-            self.responses.clear()
-            _next_timer(self.handle, None)
-        else:
-            if responses:
-                self.responses.update(responses)
-            _next_timer(self.handle, min([*wake, forget]))
+        wake = min([*wake, forget]) if forget > watermark_ms else None
+        if timer is not None and timer != wake:
+            self.handle.deleteTimer(timer)
+        if wake is None:
+            self.state.clear()
+            return
+        if timer != wake:
+            self.handle.registerTimer(wake)
+        sides = [list(side) for side in zip(*kept)] or [[], [], []]
+        answers = [[last for last, _ in responses.values()], [first for _, first in responses.values()]]
+        self.state.update((*sides, list(kept.values()), list(responses), *answers, wake))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0] is None:
             return
-        held = self.responses.get() if self.responses.exists() else (None, None)
-        lasts, firsts = [held[0]], [held[1]]
+        probes, responses, timer = self._load()
         for r in rows:
             if r.probe is not None:
-                if not self.open.containsKey((r.probe, r.at)):
-                    self.open.updateValue((r.probe, r.at), (False,))
-            else:
-                lasts.append(r.last)
-                firsts.append(r.first)
-        responses = (max((x for x in lasts if x is not None), default=None), min((x for x in firsts if x is not None), default=None))
-        some = responses if responses != (None, None) else None
-        yield from self._settled(key, some, timerValues.getCurrentWatermarkInMs())
+                probes.setdefault((r.tag, r.probe, r.at), False)
+                continue
+            last, first = responses.get(r.tag, (None, None))
+            if r.last is not None:
+                last = r.last if last is None else max(last, r.last)
+            if r.first is not None:
+                first = r.first if first is None else min(first, r.first)
+            responses[r.tag] = (last, first)
+        yield from self._settled(key, probes, responses, timer, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        responses = tuple(self.responses.get()) if self.responses.exists() else None
-        yield from self._settled(key, responses, timerValues.getCurrentWatermarkInMs())
+        yield from self._settled(key, *self._load(), timerValues.getCurrentWatermarkInMs())
 
 
 def _folded_probes(timeout_ms: int):
@@ -277,19 +296,27 @@ def _folded_probes(timeout_ms: int):
 
 
 def unanswered_stream(
-    events: DataFrame, timeout_ms: int = 5000, delay: str = "0 seconds", keep_ms: int = KEEP_MS, ts: str = "ts"
+    events: DataFrame,
+    timeout_ms: int = 5000,
+    delay: str = "0 seconds",
+    keep_ms: int = KEEP_MS,
+    ts: str = "ts",
+    shares: int = 16,
 ) -> DataFrame:
     """Probes of a stream that got no response of their tag within the timeout, told
     when their deadline has passed.
 
     A row (``tag, probe, ts``) with a ``probe`` is a probe, one without is a response.
-    A response that comes later but was given in time is told with ``answered``.
+    A response that comes later but was given in time is told with ``answered``. The
+    state is keyed by slot and by one of ``shares`` of the tags, so that the number of
+    its calls does not grow with the tags; so many tasks can work on one slot.
     """
     by_value(__name__)
     timed = events.where(F.col(ts).isNotNull()).select("tag", F.col("probe").cast("string").alias("probe"), F.col(ts).alias("clock"))
     marked = timed.withWatermark("clock", delay).select("tag", "probe", F.unix_micros("clock").alias("at"))
     folded = marked.mapInArrow(_folded_probes(timeout_ms), _FOLDED_PROBES)
-    return folded.groupBy("tag", "slot").transformWithState(
+    share = F.when(F.col("tag").isNotNull(), F.pmod(F.xxhash64("tag"), F.lit(shares)))
+    return folded.withColumn("share", share).groupBy("share", "slot").transformWithState(
         Probes(timeout_ms, keep_ms), PROBES, outputMode="append", timeMode="eventTime"
     )
 

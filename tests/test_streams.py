@@ -200,3 +200,31 @@ def test_failures_of_a_running_stream(spark, tmp_path):
     assert "\n".join(p.log for p in pieces).split("\n") == [
         "collected 3 items", "more", "step:a", "more", "= 1 failed, 2 passed in 1s =", "more", "bye"]
     assert rows(report["stats"]) == [("a_tester", 3, 2, 1, 0)]
+
+
+def test_probes_of_many_tags_share_a_state(spark, tmp_path):
+    """More tags than shares: each is answered by its own responses, early, late or never,
+    a tag's repeated probe counts once, and the state has no key for each tag."""
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, start = "tag string, probe string, sec double", 1_700_000_000
+    n = 200
+    put(spark, folder, [(f"t{i}", str(i), start + i / n) for i in range(n)] * 2, schema)
+    put(spark, folder, [(f"t{i}", None, start + i / n + 4) for i in range(0, n, 4)], schema)
+    for tick in (100.0, 101.0):  # the rest is told, as the clock of a batch is what those before have seen
+        put(spark, folder, [(None, None, start + tick)], schema)
+    put(spark, folder, [(f"t{i}", None, start + i / n + 4) for i in range(1, n, 4)], schema)  # late, but given in time
+    put(spark, folder, [(f"t{i}", None, start + i / n + 6) for i in range(2, n, 4)], schema)  # no answers in time
+
+    def run():
+        build = lambda s: ended.unanswered_stream(s, 5000)
+        return told(spark, build, folder, out, state, "tag string, probe string, ts timestamp")
+
+    run()
+    keys = spark.read.format("statestore").option("stateVarName", "held").load(state).select("key.share", "key.slot")
+    assert 0 < keys.distinct().count() <= 3 * 16 < n
+    put(spark, folder, [(None, None, start + 1e6)], schema)
+    assert run() == 0
+    rows_told = spark.read.schema(ended.PROBES).parquet(out)
+    assert rows(rows_told.where("answered"), "probe") == sorted([(str(i),) for i in range(1, n, 4)], key=repr)
+    left = [(f"t{i}", str(i)) for i in range(n) if i % 4 in (2, 3)]
+    assert rows(ended.current_unanswered(rows_told), "tag", "probe") == sorted(left, key=repr)
