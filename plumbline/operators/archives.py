@@ -24,6 +24,10 @@ from plumbline.schema import STORE_START_TS
 DESCRIBED = ("parent_path", "depth", "node_type")
 #: Parts of a value, and how they are put together.
 PARTS = ("total", "known", "least", "greatest", "last", "last_ts")
+#: What tells slots of archives apart.
+SLOT = ["steps", "slot"]
+#: Points that one task of an update puts together, at any number of them.
+TASK_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -100,13 +104,24 @@ class Definitions:
         return min(fitting, key=lambda a: (oldest(a), -a.steps, a.cf != cf.upper()))
 
 
-def _parts(value: Column, ts: Column) -> Column:
+def _part(name: str) -> Column:
     """The parts of one point."""
+    value = F.col(f"`{name}`")
     known = value.isNotNull()
     return F.struct(
         value.alias("total"), known.cast("long").alias("known"), value.alias("least"), value.alias("greatest"),
-        value.alias("last"), F.when(known, ts).alias("last_ts"),
-    )
+        value.alias("last"), F.when(known, F.col("ts")).alias("last_ts"),
+    ).alias(name)
+
+
+def _parts(name: str) -> Column:
+    """The parts of many points, straight from their values."""
+    value = F.col(f"`{name}`")
+    known_ts = F.when(value.isNotNull(), F.col("ts"))
+    return F.struct(
+        F.sum(value).alias("total"), F.count(value).alias("known"), F.min(value).alias("least"), F.max(value).alias("greatest"),
+        F.max_by(value, known_ts).alias("last"), F.max(known_ts).alias("last_ts"),
+    ).alias(name)
 
 
 def _merged(name: str) -> Column:
@@ -146,47 +161,70 @@ def update_archives(points: DataFrame, path: str, definitions: Definitions, reru
     """Add the points of one or more snapshots to all archives in ``path``.
 
     ``points`` has ``series_id``, ``ts`` and the data sources; columns that describe a
-    series are kept. Only the slots of these points are read and written again. A
-    point that is not newer than what its slot holds of the series is refused, so
-    nothing counts twice; with ``rerun`` such points are left out, which finishes an
-    update that was interrupted. Points at or before the start are left out.
+    series are kept. Only the slots of these points are read, and only those with a new
+    point are written again. A point that is not newer than what its slot holds of the
+    series is refused, so nothing counts twice; with ``rerun`` such points are left out,
+    which finishes an update that was interrupted. Points at or before the start are
+    left out.
     """
     spark = points.sparkSession
     described = [f for f in points.schema.fields if f.name in DESCRIBED]
-    keys = ["steps", "slot", "series_id", *[f.name for f in described]]
-    values = definitions.values
+    names = [f.name for f in described]
+    keys, values = ["steps", "slot", "series_id", *names], definitions.values
     widths = sorted({a.steps for a in definitions.archives})
     span = F.col("steps") * F.lit(definitions.step)
     slot = (F.ceil(F.col("ts") / span) * span).cast("long")
     dealt = points.where(F.col("ts") > definitions.start).select(
-        "series_id", *[f.name for f in described], F.col("ts").cast("long").alias("ts"),
+        "series_id", *names, F.col("ts").cast("long").alias("ts"),
         *[definitions.limited(s).alias(s.name) for s in definitions.sources], F.explode(F.array(*map(F.lit, widths))).alias("steps"),
     )
     dealt = dealt.withColumn("slot", slot)
-    stored = read_archives(spark, path)
+    # One row for each slot, of the points' times alone.
+    sizes = materialize(dealt.groupBy("steps", "slot").agg(F.count(F.lit(1)).alias("n")), "slots")
+    stored, late = read_archives(spark, path), None
     if stored is not None:
-        touched = dealt.select("steps", "slot").distinct()
-        stored = materialize(stored.join(touched, ["steps", "slot"], "left_semi"), "open-slots")
-        held = stored.groupBy("steps", "slot", "series_id").agg(F.max("upto").alias("upto"))
-        late = dealt.join(held, ["steps", "slot", "series_id"], "left")
-        fresh = F.col("upto").isNull() | (F.col("ts") > F.col("upto"))
+        # Slots that hold rows already, by partition columns; only their points are compared.
+        opened = materialize(sizes.join(stored.select("steps", "slot").distinct(), SLOT, "left_semi"), "open-slots")
+        held = stored.join(opened, SLOT, "left_semi").groupBy(*SLOT, "series_id").agg(F.max("upto").alias("upto"))
+        late = dealt.join(opened, SLOT, "left_semi").join(held, [*SLOT, "series_id"], "left")
+        judged = late.groupBy(*SLOT).agg(
+            F.count_if(_fresh()).alias("fresh"), F.min(F.when(~_fresh(), F.struct("ts", "series_id"))).alias("stale")
+        )
+        judged = materialize(judged, "judged")
         if not rerun:
-            found = late.where(~fresh).select("series_id", "ts").first()
+            found = judged.where("stale IS NOT NULL").select("stale.*").first()
             if found:
                 raise ValueError(f"{found.series_id} has a point at {found.ts} or later already; say rerun=True to leave it out")
-        dealt = late.where(fresh).drop("upto")
-    parts = dealt.select(
-        *keys, *[_parts(F.col(f"`{v}`"), F.col("ts")).alias(v) for v in values], F.col("ts").alias("upto")
+        # A slot without a new point stays as it is.
+        judged = judged.where("fresh > 0").select(*SLOT, "fresh")
+        sizes = sizes.join(opened, SLOT, "left_anti")
+        dealt = dealt.join(opened, SLOT, "left_anti")
+    rows = _by_slot(dealt, sizes.agg(F.sum("n")).first()[0]).groupBy(*keys).agg(
+        *[_parts(v) for v in values], F.max("ts").alias("upto")
     )
-    if stored is not None:
-        parts = parts.unionByName(stored.select(*parts.columns))
-    rows = _put_together(parts, keys, values).select(*_schema(definitions, described).names)
-    # Written once more below, over partitions that it reads.
-    rows = materialize(rows, "archived")
-    rows = rows.repartitionByRange("steps", "slot", "series_id").sortWithinPartitions("steps", "slot", "series_id")
+    if late is not None:
+        # Written again below, over partitions that it reads.
+        stored = materialize(stored.join(judged, SLOT, "left_semi"), "open-rows")
+        n = (judged.agg(F.sum("fresh")).first()[0] or 0) + stored.count()
+        if n:
+            late = late.where(_fresh()).select(*keys, *[_part(v) for v in values], F.col("ts").alias("upto"))
+            both = late.unionByName(stored.select(*late.columns))
+            rows = rows.unionByName(_put_together(_by_slot(both, n), keys, values))
+    rows = rows.select(*_schema(definitions, described).names).sortWithinPartitions("steps", "slot", "series_id")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("steps", "slot").parquet(path)
 
 
+def _by_slot(rows: DataFrame, n: int | None) -> DataFrame:
+    """``n`` rows by slot and series, in ranges of about ``TASK_ROWS``: the rows of a
+    series in a slot stay together, so that they need no other shuffle, a task has a
+    bounded number of groups, and a slot comes in few files."""
+    return rows.repartitionByRange(max(1, -(-(n or 0) // TASK_ROWS)), *SLOT, "series_id")
+
+
+def _fresh() -> Column:
+    return F.col("upto").isNull() | (F.col("ts") > F.col("upto"))
+
+
 def archived_range(
     spark: SparkSession,
     path: str,

@@ -137,3 +137,27 @@ def test_extra_columns_of_changed_texts(spark, tmp_path):
     sources = texts(spark, {"a.c": "int f() { }"}).withColumn("snapshot", F.lit(3)).withColumn("hash", F.lit("x"))
     found = unchanged.metrics_of_changed(sources, str(tmp_path / "r"), "one", ["snapshot"])
     assert rows(found, "snapshot", "path", "item") == [(3, "a.c", "f:1")]
+
+
+def files_of(folder):
+    return {str(f.relative_to(folder)) for f in folder.rglob("*.parquet")}
+
+
+def test_only_slots_with_new_points_are_written_again(spark, three, points, tmp_path, monkeypatch):
+    """A repeated update leaves every file; an interrupted one is finished in its slots.
+    A slot that is more than one task's share comes in several files."""
+    folder = tmp_path / "a"
+    monkeypatch.setattr(archives, "TASK_ROWS", 50)
+    early, late = points.where(F.col("ts") <= START + 1000), points.where(F.col("ts") > START + 1000)
+    archives.update_archives(early, str(folder), three)
+    before = files_of(folder)
+    assert max(sum(f.startswith(f"steps=30/slot={s}/") for f in before) for s in (START // 300 * 300 + 600,)) > 1
+    archives.update_archives(early, str(folder), three, rerun=True)
+    assert files_of(folder) == before
+    archives.update_archives(late.where("series_id = 's1'"), str(folder), three)
+    archives.update_archives(late, str(folder), three, rerun=True)
+    whole = str(tmp_path / "b")
+    archives.update_archives(points, whole, three)
+    found = [rows(archives.archived_range(spark, f, three, START, cf="LAST", steps=6)) for f in (str(folder), whole)]
+    assert found[0] == found[1] and found[0]
+    assert {f for f in before if f.startswith("steps=1/")} <= files_of(folder)
