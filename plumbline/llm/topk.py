@@ -13,6 +13,8 @@ QUERY_STEP = 100
 #: Vectors whose lists are read together, and queries that meet them at a time, about.
 BLOCK = 1024
 PORTION = 1024
+#: Queries whose bounds are held together.
+TOGETHER = 256
 #: Share of a block that may be left when its final scores are resolved.
 FEW = 0.05
 #: The first bounds are taken when one in so many entries of the lists was read.
@@ -26,48 +28,57 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.order = np.argsort(-values, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best for ``query``, but for the id ``own``.
-
-        Lists are read entry by entry from the end that scores higher, in rounds
-        that double the depth. A vector's score is bounded from below and above
-        by what was read of it and by the ends of the lists that it was not yet
-        met in. Reading stops when few vectors can still be among the best; their
+        order = np.argsort(-values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=0).astype(np.float64)
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.arange(len(values))[:, None], axis=0)
+
+    def read(self, depth: int) -> tuple[np.ndarray, ...]:
+        """What ``depth`` entries of every list, read from its upper and from its lower
+        end, tell of every vector: its components over the list's other end and over
+        the last entry read, zero where it was not met; and these two ends."""
+        n, last = len(self.values), np.concatenate([self.sorted[-1], self.sorted[0]])
+        reached = np.concatenate([self.sorted[depth - 1], self.sorted[n - depth]])
+        met = np.concatenate([self.rank < depth, self.rank >= n - depth], axis=1)
+        both = np.concatenate([self.values, self.values], axis=1)
+        return np.where(met, both - last, 0.0), np.where(met, both - reached, 0.0), last, reached
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, id and score of the ``k`` best for each of ``queries``, but for
+        the query's id in ``own``.
+
+        Lists are read from the end that scores higher, in rounds that double the
+        depth, for all queries together. A vector's score is bounded from below and
+        above by what was read of it and by the ends of the lists that it was not yet
+        met in. A query is done when few vectors can still be among the best; their
         final scores are then resolved. Ties go to the smaller id.
         """
-        n = len(self.values)
-        query = query.astype(np.float64)
-        down = query >= 0
-        alive = np.arange(n)
-        least = query * np.where(down, self.sorted[:, -1], self.sorted[:, 0])
-        order = np.where(down[:, None], self.order, self.order[:, ::-1])
-        gain = np.where(down[:, None], self.sorted, self.sorted[:, ::-1]) * query[:, None]
-        # Starts at the least possible score and rises with what is read.
-        lower = np.full(n, least.sum())
-        depth, end = 0, max(1, n // FIRST)
-        while n > k + 1:
-            fresh = order[:, depth:end].ravel()
-            lower += np.bincount(fresh, (gain[:, depth:end] - least[:, None]).ravel(), n)
-            depth = end
-            if depth == n:
-                upper = lower
+        n, found = len(self.values), [[np.empty(0, np.int64)] * 3]
+        # Positive components read a list from its upper end, negative ones from its lower.
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(np.float64)
+        # Bounds of scores beyond 2**53 are rounded by less than this.
+        slop = np.abs(signed) @ np.tile(np.abs(self.sorted[[0, -1]]).max(axis=0), 2) * 1e-12
+        asked, depth = np.arange(len(queries)), max(1, n // FIRST) if n > k + 1 else n
+        while len(asked):
+            q, other = signed[asked], own[asked, None] != self.ids
+            if n > k + 1:
+                over_last, over_reached, last, reached = self.read(depth)
+                lower = q @ over_last.T + (q @ last)[:, None]
+                upper = q @ over_reached.T + (q @ reached)[:, None] if depth < n else lower
+                kth = np.partition(np.where(other, lower, -np.inf), n - k, axis=1)[:, n - k]
+                alive = upper >= (kth - 2 * slop[asked])[:, None]
             else:
-                # What the next entry of each list can still give, over the least.
-                slack = gain[:, depth - 1] - least
-                met = np.bincount(order[:, :depth].ravel(), np.repeat(slack, depth), n)
-                upper = lower + (slack.sum() - met)
-            kept = np.where(self.ids == own, -np.inf, lower)
-            alive = np.flatnonzero(upper >= np.partition(kept, n - k)[n - k])
-            if depth == n or len(alive) <= max(4 * k, FEW * n):
-                break
-            end = min(n, 2 * depth)
-        alive = alive[self.ids[alive] != own]
-        score = self.values[alive] @ query.astype(np.int64)
-        best = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][best], score[best]
+                alive = np.ones((len(asked), n), bool)
+            done = (alive.sum(axis=1) <= max(4 * k, FEW * n)) | (depth == n)
+            number, at = np.nonzero(alive[done] & other[done])
+            number = asked[done][number]
+            score = np.einsum("ij,ij->i", self.values[at], queries[number])
+            best = np.lexsort((self.ids[at], -score, number))
+            place = np.arange(len(best)) - np.searchsorted(number[best], number[best])
+            best = best[place < k]
+            found.append([number[best], self.ids[at][best], score[best]])
+            asked, depth = asked[~done], min(n, 2 * depth)
+        return tuple(map(np.concatenate, zip(*found)))
 
 
 def _searched(k: int):
@@ -76,9 +87,10 @@ def _searched(k: int):
         if vectors.num_rows and asked.num_rows:
             (ids, values), (own, queries) = _matrix(vectors), _matrix(asked)
             lists = SortedLists(ids, values)
-            for query_id, query in zip(own, queries):
-                got, score = lists.top(query, query_id, k)
-                found.append([np.full(len(got), query_id), got, score])
+            for low in range(0, len(own), TOGETHER):
+                part = slice(low, low + TOGETHER)
+                number, got, score = lists.top(queries[part], own[part], k)
+                found.append([own[part][number], got, score])
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
 
     return run

@@ -347,3 +347,17 @@ def test_top_k(spark, block, monkeypatch):
             expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:10])]
     assert sorted(map(tuple, topk.search(table).collect())) == sorted(expected)
     assert topk.search(table.where("false")).collect() == []
+
+
+def test_all_queries_of_a_block_read_its_lists_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    values, queries = rng.integers(-500, 500, (300, 8)), rng.integers(-500, 500, (40, 8))
+    ids, own = rng.permutation(300), rng.integers(0, 300, 40)
+    depths, read = [], topk.SortedLists.read
+    monkeypatch.setattr(topk.SortedLists, "read", lambda self, depth: depths.append(depth) or read(self, depth))
+    got = list(zip(*(x.tolist() for x in topk.SortedLists(ids, values).top(queries, own, 10))))
+    assert depths == [75, 150, 300][: len(depths)]
+    scored = queries @ values.T
+    for i in range(40):
+        best = sorted((-s, j) for s, j in zip(scored[i].tolist(), ids.tolist()) if j != own[i])[:10]
+        assert [g for g in got if g[0] == i] == [(i, j, -s) for s, j in best]
