@@ -12,8 +12,8 @@ one chunk are cut word by word, and each different word once.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,10 @@ from plumbline.llm import packed
 CHUNK = 1 << 16
 #: Words whose pieces a worker remembers.
 REMEMBERED = 500_000
+#: Bytes of texts whose words are looked up at a time.
+PORTION = 1 << 20
+#: Words that are cut together.
+TOGETHER = 16_000
 NEVER = -(1 << 60)
 #: An unknown character scores this much less than the last piece.
 UNKNOWN_PENALTY = 10
@@ -68,9 +72,101 @@ class Vocabulary:
         # Every beginning of a piece, with what it is itself, to stop early.
         self.begins: dict[str, tuple[int, int] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))}
         self.begins |= self.pieces
+        self._grow()
         self.lines_apart = not any("\n" in p for p in self.pieces)
         self.segments = re.compile(r" *[^ \n]+| +|\n" if self.lines_apart else r"(?s) *[^ ]+| +")
 
+    def _grow(self) -> None:
+        """The beginnings as a trie in arrays, and the place of each node's children:
+        ``child[base[node] + sign]`` if ``parent`` there is the node. Signs number the characters of pieces."""
+        signs = sorted(set("".join(self.pieces)))
+        self.sign_of = np.zeros(sys.maxunicode + 1, np.int32)
+        self.sign_of[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        names = ["", *sorted(self.begins)]
+        number = {name: i for i, name in enumerate(names)}
+        children: dict[int, list[tuple[int, int]]] = {}
+        for name in names[1:]:
+            children.setdefault(number[name[:-1]], []).append((int(self.sign_of[ord(name[-1])]), number[name]))
+        room = 16 * len(names) + len(signs) + 1
+        self.base, parent, child = np.zeros(len(names), np.int32), np.full(room, -1, np.int32), np.zeros(room, np.int32)
+        # Nodes with many children first, each where all of them find room.
+        tries = np.random.default_rng(0)
+        for node in sorted(children, key=lambda i: -len(children[i])):
+            own = np.array([sign for sign, _ in children[node]])
+            at = 0
+            while (parent[at + own] >= 0).any():
+                at = int(tries.integers(16 * len(names)))
+            self.base[node], parent[at + own] = at, node
+            child[at + own] = [i for _, i in children[node]]
+        self.parent, self.child = parent, child
+        found = [self.begins.get(name) for name in names]
+        self.gain = np.array([hit[0] if hit else NEVER for hit in found], np.int64)
+        self.piece = np.array([hit[1] if hit else -1 for hit in found], np.int32)
+
+    def best_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` of many short texts: all ids one after another, the number of each
+        text's ids, and the scores. Texts take a step together; none is empty."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        signs = self.sign_of[points]
+        longest = int(lengths.max(initial=0))
+        left = np.repeat(ends, lengths) - np.arange(len(points))
+        # What may be read from every place: per length, the places and their nodes.
+        at, node, edges = np.arange(len(points)), np.zeros(len(points), np.int32), []
+        for n in range(1, self.longest + 1):
+            spot = self.base[node] + signs[at + n - 1]
+            good = (self.parent[spot] == node) & (signs[at + n - 1] > 0)
+            if n == 1:
+                unknown = np.flatnonzero(~good | (self.piece[self.child[spot]] < 0))
+                edges.append((unknown, np.ones(len(unknown), np.int64), np.full(len(unknown), -1, np.int32), np.full(len(unknown), self.unknown)))
+            at, node = at[good], self.child[spot[good]]
+            real = self.piece[node] >= 0
+            edges.append((at[real], np.full(int(real.sum()), n), self.piece[node[real]], self.gain[node[real]]))
+            more = left[at] > n
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+        start, size, piece, gain = (np.concatenate(x) for x in zip(*edges))
+        # One place more for each text's end; steps go by the place in the text, then by length.
+        word = np.repeat(np.arange(len(words)), lengths)
+        offset = np.arange(len(points)) - (ends - lengths)[word]
+        kind = offset[start] * (self.longest + 1) + size
+        order = np.argsort(kind.astype(np.uint32), kind="stable")
+        cuts = np.flatnonzero(np.diff(kind[order], prepend=-1, append=-1))
+        source, size, piece, gain = (start + word[start])[order], size[order], piece[order], gain[order]
+        score = np.full(len(points) + len(words), NEVER, np.int64)
+        score[ends - lengths + np.arange(len(words))] = 0
+        came, took = np.zeros(len(score), np.int8), np.full(len(score), -1, np.int32)
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            here, n = source[low:high], int(size[low])
+            value, to = score[here] + gain[low:high], here + n
+            # Every place can be reached, by unknown characters if not otherwise.
+            better = value > score[to]
+            to = to[better]
+            score[to], came[to], took[to] = value[better], n, piece[low:high][better]
+        # Back from the ends, all texts a piece at a time.
+        last = ends + np.arange(len(words))
+        begin, who, back = last - lengths, np.arange(len(words)), []
+        now = last.copy()
+        while len(who):
+            back.append((who, now, took[now]))
+            now = now - came[now]
+            more = now > begin[who]
+            who, now = who[more], now[more]
+        who, now, took = (np.concatenate(x) for x in zip(*back)) if back else [np.empty(0, np.int64)] * 3
+        order = np.argsort(now, kind="stable")
+        who, now, ids = who[order], now[order], took[order]
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            # An unknown character becomes its bytes.
+            raw = [chr(c).encode() for c in points[now[odd] - who[odd] - 1].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[odd] = [len(b) for b in raw]
+            ids, who = np.repeat(ids, times), np.repeat(who, times)
+            ids[ids < 0] = [self.byte_ids[b] for b in b"".join(raw)]
+        return ids, np.bincount(who, minlength=len(words)), score[last]
+
     def choices(self, text: str, at: int) -> Iterator[tuple[int, int, int]]:
         """Length, score and id of every piece at a place; id -1 for an unknown."""
         get = self.pieces.get
@@ -201,19 +297,18 @@ class Encoder:
         self.scores = np.zeros(0, np.int64)
 
     def codes(self, words: list[str]) -> np.ndarray:
-        new = list({w for w in words if w not in self.index})
+        new = list(set(words).difference(self.index))
         if len(self.index) + len(new) > REMEMBERED:
             self.clear()
             new = list(set(words))
         if new:
-            done = [self.vocabulary.best(w) for w in new]
-            lists = [ids for ids, _ in done]
-            self.scores = np.append(self.scores, np.array([score for _, score in done], np.int64))
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            parts = [self.vocabulary.best_of(new[low : low + TOGETHER]) for low in range(0, len(new), TOGETHER)]
+            ids, lengths, scores = map(np.concatenate, zip(*parts))
+            self.scores = np.append(self.scores, scores)
             self.index.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum())))
+            self.flat = np.append(self.flat, ids)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def ids(self, codes: np.ndarray) -> np.ndarray:
@@ -276,10 +371,17 @@ def _small(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            ids, offsets = encoder.encode(batch.column(1).to_pylist())
-            raw = ids.astype("<u4")
-            blobs = [raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            blobs = []
+            # Few texts at a time, so that their words take little memory.
+            _, bounds = packed.utf8(batch.column(1))
+            for low, high in packed.groups_of(bounds, PORTION):
+                ids, offsets = encoder.encode(batch.column(1)[low:high].to_pylist())
+                raw = ids.astype("<u4")
+                blobs += [raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "text", "ids"])
+        # Several workers of an executor take turns at this and at decoding; only those at work remember.
+        encoder.clear()
+        packed.release()
 
     return run
 
@@ -371,6 +473,7 @@ def _decoded(path: str):
                 raw = blob.as_buffer()
                 out.append(vocabulary.decode(np.frombuffer(raw, "<u4")).decode("utf-8", "replace") if raw.size else "")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
+        packed.release()
 
     return run
 

@@ -317,6 +317,17 @@ def test_pieces_round_trip(spark):
     assert sentencepieces.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_words_are_cut_together_as_alone():
+    vocabulary = sentencepieces.Vocabulary(sentencepieces.default_model())
+    rng = np.random.default_rng(6)
+    signs = list("ab the\n\u2581\u00e9\u6f22\U0001f600xyz@")
+    words = ["".join(rng.choice(signs, n)) for n in rng.integers(1, 50, 400)] + ["a" * 300, "\U0001f600"]
+    ids, number, scores = vocabulary.best_of(words)
+    ends = np.cumsum(number)
+    got = [(ids[a:b].tolist(), s) for a, b, s in zip(ends - number, ends, scores.tolist())]
+    assert got == [vocabulary.best(w) for w in words]
+
+
 def test_scan_is_associative():
     rng = np.random.default_rng(1)
     matrices = rng.integers(-50, 0, (9, 4, 4)).astype(np.int64)
