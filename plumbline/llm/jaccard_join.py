@@ -84,6 +84,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE):
     return row, hashes, np.bincount(row, minlength=len(words))
 
 
+def _entries(head: np.ndarray) -> np.ndarray:
+    """Where the entries of a list begin: with every set, and again after 255 of its
+    shingles, as their number takes one byte."""
+    first = np.flatnonzero(head)
+    place = np.arange(len(head)) - np.repeat(first, np.diff(np.append(first, len(head))))
+    return np.flatnonzero(place % 255 == 0)
+
+
 def _filed(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = packed.Held(["shingle", "set", "size"])
@@ -95,16 +103,16 @@ def _filed(buckets: int):
             bucket = packed.place(got["shingle"], buckets).astype(np.int64)
             order = np.argsort(bucket.astype(np.uint32), kind="stable")
             bucket, sets, sizes = bucket[order], got["set"][order], got["size"][order]
-            # Each bucket lists its sets once, with the number of their shingles.
+            # Each bucket lists its sets, with the number of their shingles.
             head = np.append(True, (sets[1:] != sets[:-1]) | (bucket[1:] != bucket[:-1])) if len(sets) else np.empty(0, bool)
-            first = np.flatnonzero(head)
+            first = _entries(head)
             lists = packed.rows_by_bucket(
                 bucket[first],
                 buckets,
                 {
                     "set": sets[first],
                     "size": sizes[first].astype(np.uint32),
-                    "count": np.diff(np.append(first, len(sets))).astype(np.uint32),
+                    "count": np.diff(np.append(first, len(sets))).astype(np.uint8),
                 },
             )
             values = packed.rows_by_bucket(bucket, buckets, {"shingle": packed.to_bytes(got["shingle"][order], 5)})
@@ -168,7 +176,7 @@ def _shared(blocks: int):
             blobs = [doc, b"", packed.joined(table["doc_set"]), packed.joined(table["doc_size"]), b""]
             out.append(pa.RecordBatch.from_arrays(rows + [pa.array([bytes(b)], pa.binary()) for b in blobs], schema=SHARED_SCHEMA))
         shingle = packed.from_bytes(packed.joined(table["shingle"]), 5)
-        count = packed.joined(table["count"]).view(np.uint32)
+        count = packed.joined(table["count"])
         sets = np.repeat(packed.joined(table["set"]).view(np.uint64), count)
         sizes = np.repeat(packed.joined(table["size"]).view(np.uint32), count)
         order = np.argsort(shingle, kind="stable")
@@ -194,7 +202,7 @@ def _shared(blocks: int):
             block = packed.place(who, blocks).astype(np.int64)
             order = np.lexsort((s, who, block))
             s, who, size, share, block = (x[order] for x in (s, who, size, share, block))
-            first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+            first = _entries(np.append(True, who[1:] != who[:-1]))
             values = packed.rows_by_bucket(block, blocks, {"shingle": packed.to_bytes(s, 5), "share": share}, "block")
             lists = packed.rows_by_bucket(
                 block[first],
@@ -202,7 +210,7 @@ def _shared(blocks: int):
                 {
                     "set": who[first],
                     "size": size[first],
-                    "count": np.diff(np.append(first, len(who))).astype(np.uint32),
+                    "count": np.diff(np.append(first, len(who))).astype(np.uint8),
                 },
                 "block",
             )
@@ -228,7 +236,7 @@ def _candidates(table: pa.Table) -> pa.Table:
     high = np.repeat(table["bucket"].to_numpy().astype(np.uint64), count)
     shingle = (low | (high << np.uint64(40))).view(np.int64)
     share = packed.joined(table["share"])
-    runs = packed.joined(table["count"]).view(np.uint32)
+    runs = packed.joined(table["count"])
     sets = np.repeat(packed.joined(table["set"]).view(np.int64), runs)
     sizes = np.repeat(packed.joined(table["size"]).view(np.uint32), runs).astype(np.int64)
     have = np.unique(sets, return_inverse=True, return_counts=True)
@@ -375,7 +383,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     packed.small_batches(spark)
-    buckets, blocks = packed.bucket_count(spark, 3), packed.bucket_count(spark, 1)
+    # More buckets would repeat the names of sets more often, up to once for each shingle.
+    buckets, blocks = packed.bucket_count(spark, 1), packed.bucket_count(spark, 1)
     source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     filed = source.mapInArrow(_filed(buckets), FILED)
     shared = materialize(filed.groupBy("bucket").applyInArrow(_shared(blocks), SHARED), "shared")

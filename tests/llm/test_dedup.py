@@ -151,3 +151,12 @@ def test_the_query_has_the_classes(spark, monkeypatch):
 @pytest.mark.parametrize("run", [suffix_dedup.digest, substring_dedup.digest, jaccard_join.classes, fingerprints.fingerprints])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_entries_of_a_long_set_take_one_byte_each():
+    head = np.zeros(601, bool)
+    head[[0, 600]] = True
+    first = jaccard_join._entries(head)
+    assert first.tolist() == [0, 255, 510, 600]
+    assert np.diff(np.append(first, 601)).astype(np.uint8).sum(dtype=int) == 601
+    assert jaccard_join._entries(np.empty(0, bool)).tolist() == []
