@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm import packed
@@ -22,8 +23,8 @@ END = 1
 OPEN_BINS = 4096
 #: Pieces that are packed together; more pieces make more groups.
 GROUP = 16_000
-#: Words that a task remembers, and atoms with their tokens; and words that a worker
-#: keeps for its next task.
+#: Words that a task remembers, and atoms with their tokens; and how many of the words
+#: used most a worker keeps for its next task.
 REMEMBERED, ATOMS, KEPT = 1_000_000, 2_000_000, 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -69,7 +70,20 @@ class WordTokens:
 
     def clear_words(self) -> None:
         self.index: dict[str, int] = {}
-        self.of_word, self.word_lengths = np.zeros((0, 3), np.int32), np.zeros(0, np.int64)
+        self.word_starts, self.word_lengths, self.word_flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.uses = np.zeros(0, np.int64)
+
+    def keep(self, number: int) -> None:
+        """Forget all but the words that were used most; other words learn their atoms anew."""
+        words, uses = list(self.index), self.uses
+        starts, lengths, flat = self.word_starts, self.word_lengths, self.word_flat
+        self.clear()
+        kept = np.argsort(-uses, kind="stable")[:number]
+        self.index = {words[i]: at for at, i in enumerate(kept.tolist())}
+        self.word_lengths = lengths[kept]
+        self.word_starts = np.cumsum(self.word_lengths) - self.word_lengths
+        self.word_flat = flat[packed.ragged(starts[kept], self.word_lengths)]
+        self.uses = np.zeros(len(kept), np.int64)
 
     def _add(self, atoms: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
         self.atoms.update(zip(atoms, range(len(self.lengths), len(self.lengths) + len(atoms))))
@@ -98,13 +112,17 @@ class WordTokens:
         others.update(e for _, before, after in edges for e in (before, after))
         parts = [letters[at : at + self.TOGETHER] for at in range(0, len(letters), self.TOGETHER)]
         done = self.tokenizer.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False)
+        added = []
         for part, encoding in zip(parts, done):
             ids = np.array(encoding.ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                self._add(part, np.diff(np.append(0, ends)), ids)
+                added.append((part, np.diff(np.append(0, ends)), ids))
             else:
                 self._add_plain(part)
+        if added:
+            part, lengths, ids = zip(*added)
+            self._add(list(chain.from_iterable(part)), np.concatenate(lengths), np.concatenate(ids))
         others = list(others.difference(known))
         if others:
             self._add_plain(others)
@@ -114,34 +132,43 @@ class WordTokens:
             at, before, after = zip(*edges)
             rows[list(at), 0] = [known[x] for x in before]
             rows[list(at), 2] = [known[x] for x in after]
-        self.index.update(zip(words, range(len(self.of_word), len(self.of_word) + len(words))))
-        self.of_word = np.concatenate([self.of_word, rows])
-        self.word_lengths = np.append(self.word_lengths, self.lengths[rows].sum(axis=1))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.index.update(zip(words, range(len(self.word_lengths), len(self.word_lengths) + len(words))))
+        used = rows.ravel()
+        used = used[used > 0]
+        lengths = self.lengths[rows].sum(axis=1)
+        self.word_starts = np.append(self.word_starts, len(self.word_flat) + np.cumsum(lengths) - lengths)
+        self.word_lengths = np.append(self.word_lengths, lengths)
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
+        self.word_flat = np.append(self.word_flat, self.flat[packed.ragged(self.starts[used], self.lengths[used])])
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and the n + 1 offsets."""
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd)]
-        words = list(chain.from_iterable(split))
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, "[\x1c-\x1f]")
+        # Arrow splits and tells the different words, so that only these become Python strings.
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", column))
+        coded = split.flatten().dictionary_encode()
+        words, odd = coded.dictionary.to_pylist(), np.flatnonzero(odd)
         new = list(set(words).difference(self.index))
         if len(self.index) + len(new) > REMEMBERED:
             self.clear_words()
-            new = list(set(words))
+            new = words
         if len(self.atoms) > ATOMS:
             self.clear()
-            new = list(set(words))
+            new = words
         if new:
             self.learn(new)
         codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        atoms = self.of_word[codes].ravel()
-        atoms = atoms[atoms > 0]
-        ends = np.cumsum(np.append(0, self.word_lengths[codes]))
-        ids = self.flat[packed.ragged(self.starts[atoms], self.lengths[atoms])]
-        offsets = ends[np.cumsum([0, *map(len, split)])]
-        if any(odd):
+        codes = codes[coded.indices.to_numpy()]
+        self.uses += np.bincount(codes, minlength=len(self.uses))
+        lengths = self.word_lengths[codes]
+        ids = self.word_flat[packed.ragged(self.word_starts[codes], lengths)]
+        ends = np.cumsum(np.append(0, lengths))
+        offsets = ends[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]
+        if len(odd):
             whole = [ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
-            for i in np.flatnonzero(odd):
-                whole[i] = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
+            for i in odd:
+                whole[i] = self.tokenizer.encode(column[int(i)].as_py(), add_special_tokens=False).ids
             return _flat(whole)
         return ids, offsets
 
@@ -167,8 +194,7 @@ def _tokenised(path: str, capacity: int):
         end = np.array([END], "<u4")
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            ids, offsets = encoder.encode(texts)
+            ids, offsets = encoder.encode(pc.fill_null(batch.column(1), ""))
             rows = []
             for doc, low, high in zip(docs, offsets[:-1], offsets[1:]):
                 own = np.append(ids[low:high].astype("<u4"), end)
@@ -182,8 +208,8 @@ def _tokenised(path: str, capacity: int):
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
         # Workers serve other stages next, beside the JVM of their executor.
-        if len(encoder.atoms) > KEPT:
-            encoder.clear()
+        if len(encoder.index) > KEPT:
+            encoder.keep(KEPT)
         packed.release()
 
     return run

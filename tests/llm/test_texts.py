@@ -288,6 +288,20 @@ def test_words_make_the_tokens_of_the_text():
         assert list(ids[offsets[i] : offsets[i + 1]]) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_the_words_used_most_are_kept():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tokenizer, words = Tokenizer.from_file(path), packing.WordTokens(path)
+    texts = ["the cat, the Dog the (cat) \u00e9t\u00e9", "", "the\x1ccat the", "rare\u00a0words  cat, cat,"]
+    expected = [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
+    assert words.encode(texts)[0].tolist() == expected
+    words.keep(2)
+    assert set(words.index) == {"the", "cat,"}
+    ids, offsets = words.encode(pa.array(texts))
+    assert ids.tolist() == expected and offsets[1] == offsets[2]
+
+
 def test_the_fullest_bin_closes_first():
     where, offsets = packing.best_fit([6, 7, 5, 3, 4, 2], 10, 2)
     # 6 | 7 | 5 closes the bin of 7 | 3 fits none but 6's 4 | 4 goes to 5 | 2 opens
