@@ -24,7 +24,7 @@ Sets are known by 64-bit hashes and shingles by 40 bits and a bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -318,11 +318,17 @@ def _apart(keys: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(rest.join(spread, "key"), "keys")
 
 
-def linking_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
+def linking_pairs(
+    keys: DataFrame,
+    sets: DataFrame,
+    overlap: Callable[[DataFrame, DataFrame], DataFrame] = _overlap,
+    words: int = SKETCH,
+) -> DataFrame:
     """Links that connect what all links of the sets under each key would connect.
 
-    ``keys`` has ``key, set, size, place``; ``sets`` has ``set, size, shingles``, and
-    ``shared`` (shingles that others may have) and ``sketch``.
+    ``keys`` has ``key, set, size, place``; ``sets`` has ``set, size``, ``shared``
+    (shingles that others may have), ``sketch`` of so many ``words`` and what ``overlap`` reads to tell
+    which pairs link: ``shingles``, unless another is given.
     """
     centre = materialize(keys.groupBy("key").agg(F.min(F.struct("set", "size", "place")).alias("c")), "centres")
     met = keys.join(centre, "key").where(F.col("c.set") != F.col("set"))
@@ -331,7 +337,7 @@ def linking_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
     votes = met.groupBy("set", F.col("c.set").alias("a")).agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("set").agg(F.max(F.struct("n", F.bitwise_not("a").alias("a"))).alias("best"))
     pairs = best.select(F.bitwise_not("best.a").alias("a"), F.col("set").alias("b"))
-    links = materialize(_overlap(pairs, sets), "links")
+    links = materialize(overlap(pairs, sets), "links")
     keys = _apart(keys, links)
     if keys.isEmpty():
         return links
@@ -347,12 +353,12 @@ def linking_pairs(keys: DataFrame, sets: DataFrame) -> DataFrame:
         both = F.col("size") + F.col("size2")
         wanted = F.ceil(F.lit(LIKE) * both / F.lit(100.0 + LIKE))
         distance = both - F.col("shared") - F.col("shared2")
-        for i in range(SKETCH):
+        for i in range(words):
             distance += F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i]))
         close = distance <= both - 2 * wanted
         pairs = full.join(other, "key").where(apart & fits & close)
         pairs = pairs.select(F.col("set").alias("a"), F.col("set2").alias("b")).distinct()
-        links = materialize(links.unionByName(_overlap(pairs, sets)), "links")
+        links = materialize(links.unionByName(overlap(pairs, sets)), "links")
         if one_of > 1:
             keys = _apart(keys, links)
             if keys.isEmpty():

@@ -2,13 +2,17 @@
 
 import hashlib
 import random
+import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from odd_tables import SCHEMA, components, frame, odd_rows, random_rows, removed_windows, shingles
 
 from plumbline.llm import components as stars
 from plumbline.llm import fingerprints, jaccard_join, queries, repeats, substring_dedup, suffix_dedup, suffixes
+from plumbline.plans import session
 
 TABLES = [odd_rows(), random_rows(60, 1), random_rows(60, 2)]
 
@@ -160,3 +164,32 @@ def test_entries_of_a_long_set_take_one_byte_each():
     assert first.tolist() == [0, 255, 510, 600]
     assert np.diff(np.append(first, 601)).astype(np.uint8).sum(dtype=int) == 601
     assert jaccard_join._entries(np.empty(0, bool)).tolist() == []
+
+
+def test_the_classes_keep_little_of_texts_without_copies(spark, tmp_path, monkeypatch):
+    """Tables for the classes grow with documents and near copies, not with shingles."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(1 << 20)}" for _ in range(800)) for _ in range(200)]
+    texts += [" ".join([*texts[0].split()[:-3], "other"]), texts[1]]
+    rows = [(i, t, "en", "s", 0, 0, "k", 0) for i, t in enumerate(texts)]
+    monkeypatch.setattr(session, "new_folder", lambda spark, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    got = {r["doc_id"]: r["component_id"] for r in fingerprints.with_classes(frame(spark, rows)).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {200: 0, 201: 1}
+    written = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert written < sum(map(len, texts)) / 4
+
+
+def test_dealt_texts_are_read_back(spark, monkeypatch):
+    """Compressed by range, whatever a task holds at once; a range's first also as guest."""
+    texts = ["", "é漢字ñ " * 50, "plain words " * 90, "x", "words again " * 70]
+    batches = [pa.record_batch({"doc_id": [i, i + 5], "text": [t, None]}) for i, t in enumerate(texts)]
+    for held in (1, 1 << 25):
+        monkeypatch.setattr(fingerprints, "DEAL", held)
+        out = pa.Table.from_batches(fingerprints._dealt([3, 6], [(0, 2), (3, 0), (6, 1)])(iter(batches)))
+        got = {}
+        for r in set(out["home"].to_pylist()):
+            got[r] = sorted(fingerprints._read(out.filter(pc.equal(out["home"], r))))
+        named = dict(enumerate(texts)) | {i + 5: "" for i in range(5)}
+        parts = {0: range(3), 1: range(3, 6), 2: range(6, 10)}
+        opens = {0: 3, 1: 6, 2: 0}
+        assert got == {r: [(False, i, named[i]) for i in ids] + [(True, opens[r], named[opens[r]])] for r, ids in parts.items()}
