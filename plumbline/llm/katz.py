@@ -32,24 +32,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm import packed
 from plumbline.llm.jaccard_join import LOWER
-from plumbline.llm.lexical import from_planes, planes
 from plumbline.plans.session import materialize, new_folder
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a block, and bytes of text for every bucket of pairs.
-BLOCK, BUCKET_BYTES = 1 << 18, 6 << 20
+BLOCK, BUCKET_BYTES = 1 << 20, 8 << 20
 
 CHANGED = "the documents changed between two reads: write them as a table first"
 _HASH = np.uint64((1 << 48) - 1)
 #: The end of a text, and the history of its first token.
 END, BEGIN = (int(packed.mix(np.array([n], np.uint64))[0] & _HASH) for n in (0xE17D, 0xBE61))
+_VALUES = packed.BYTE_VALUES[LOWER]
 
 TOTALS = ["tokens", "distinct", *(f"n{r}" for r in range(1, DISCOUNTED + 2))]
 PLACES = "bucket int, tokens binary, learned binary, times binary, places binary"
@@ -121,24 +122,23 @@ class Levels:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-    def backed_off(self, pairs, totals, rest, mass, counts) -> np.ndarray:
-        """Probability of tokens after a history; all arguments by token: count of
-        the pair, ``total`` of the history, its followers by count (1 to
-        ``DISCOUNTED``), the sum of their single probabilities, count of the token."""
+    def backed_off(self, pairs, counts, which, totals, rest, mass) -> np.ndarray:
+        """Probability of tokens after histories. By token: count of the pair, count of
+        the token, which history; by history: ``total``, its followers by count (1 to
+        ``DISCOUNTED``), the sum of their single probabilities."""
         left = rest @ ((1 - self.pair[1:]) * np.arange(1, DISCOUNTED + 1))
-        factor = self.pair[np.minimum(pairs, DISCOUNTED)] * (pairs <= DISCOUNTED) + (pairs > DISCOUNTED)
         unseen = np.maximum(1 - mass, self.alone(np.zeros(1, np.int64)))
         known, total = totals > 0, np.maximum(totals, 1)
         weight = np.where(known, np.where(left > 0, left, 1.0) / total / unseen, 1.0)
-        return np.where(pairs > 0, factor * pairs / total, weight * self.alone(counts))
+        factor = self.pair[np.minimum(pairs, DISCOUNTED)] * (pairs <= DISCOUNTED) + (pairs > DISCOUNTED)
+        return np.where(pairs > 0, factor * pairs / total[which], weight[which] * self.alone(counts))
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all rows, the token before each, and the rows' bounds."""
-    plain = LOWER[data]
-    low, high, bounds = packed.words_of(plain, offsets)
+    low, high, bounds = packed.words_of(data, offsets)
     rows = len(bounds) - 1
-    words = packed.word_hashes(plain, low, high) & _HASH
+    words = packed.Rolling(_VALUES[data]).spans(low, high) & _HASH
     ends = bounds[1:] + np.arange(rows)
     out = np.empty(len(words) + rows, np.uint64)
     word = np.ones(len(out), bool)
@@ -205,45 +205,95 @@ def _bucket_of_token(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (((tokens >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _bucket_of_pair(history: np.ndarray, token: np.ndarray, buckets: int, splits: dict[int, int]) -> np.ndarray:
-    """By history; frequent ones also by the token."""
-    part = np.zeros(len(history), np.uint64)
-    if splits:
-        names = np.array(sorted(splits), np.uint64)
-        times = np.array([splits[int(n)] for n in names], np.uint64)
-        at = np.minimum(np.searchsorted(names, history), len(names) - 1)
-        split = names[at] == history
-        part[split] = packed.mix(token[split] + np.uint64(1)) % times[at[split]]
-    return packed.place(packed.mix(history + (part << np.uint64(48)) + np.uint64(1)), buckets).astype(np.int64)
+def _bucket_of_history(history: np.ndarray, part: np.ndarray | int, buckets: int) -> np.ndarray:
+    """``part``: which one of the buckets of a frequent history, else 0."""
+    part = np.asarray(part, np.uint64) << np.uint64(48)
+    return packed.place(packed.mix(history + part + np.uint64(1)), buckets).astype(np.int64)
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal neighbours begin."""
+    return np.flatnonzero(np.append(np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct numbers in order; sorting plain numbers is faster than hashing them."""
+    values = np.sort(values)
+    return values[_heads(values)]
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``keys`` in their order, equal ones by place, and where each
+    distinct key begins there. Key and place are sorted as one number if they fit."""
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()).bit_length() + bits < 64:
+        both = np.sort((keys << bits) | np.arange(len(keys)))
+        return both & ((1 << bits) - 1), _heads(both >> bits)
+    at = np.argsort(keys, kind="stable")
+    return at, _heads(keys[at])
+
+
+def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names in order, and the number of each name among these."""
+    of, distinct = pd.factorize(names)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[of]
+
+
+class Histories:
+    """The tokens of a block and their histories as small numbers, and the bucket of
+    each history; a frequent one has a number for each of its buckets."""
+
+    def __init__(self, block: Block, buckets: int, splits: dict[int, int]):
+        heads = np.cumsum(block.lengths) - block.lengths
+        # Only the first token of a text, or of a stretch, has a history that is not the token before.
+        codes, self.names = pd.factorize(np.append(block.tokens, block.before[heads]))
+        #: Of every token of the block: its number, and that of its history.
+        self.of = codes[: len(block.tokens)]
+        self.first_of = np.append(0, self.of[:-1])
+        self.first_of[heads] = codes[len(block.tokens) :]
+        self.bucket = _bucket_of_history(self.names, 0, buckets)
+        if splits:
+            frequent = np.array(sorted(splits), np.uint64)
+            times = np.array([splits[int(n)] for n in frequent])
+            begin = np.cumsum(times) - times
+            at = np.minimum(np.searchsorted(frequent, self.names), len(frequent) - 1)
+            split = np.flatnonzero((frequent[at] == self.names)[self.first_of])
+            at = at[self.first_of[split]]
+            part = packed.mix(block.tokens[split] + np.uint64(1)) % times[at].astype(np.uint64)
+            self.first_of[split] = len(self.names) + begin[at] + part.astype(np.int64)
+            parts = packed.ragged(np.zeros(len(times), np.int64), times)
+            self.bucket = np.append(self.bucket, _bucket_of_history(np.repeat(frequent, times), parts, buckets))
+            self.history = np.append(self.names, np.repeat(frequent, times))
+        else:
+            self.history = self.names
 
 
 class Pairs:
-    """The distinct pairs of a block by bucket, history and token."""
+    """The distinct pairs of a block by bucket and history."""
 
     def __init__(self, block: Block, buckets: int, splits: dict[int, int]):
-        names, of = np.unique(block.tokens, return_inverse=True)
-        #: How often the training texts of the block have each token.
-        self.learned = block.counted(of, len(names), True)
-        firsts, first_of = np.unique(block.before, return_inverse=True)
-        first_of *= len(names)
-        first_of += of
-        del of
-        pair, of_pair = np.unique(first_of, return_inverse=True)
-        del first_of
-        history, self.name = firsts[pair // len(names)], pair % len(names)
-        bucket = _bucket_of_pair(history, names[self.name], buckets, splits)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.names, self.name, self.history, self.bucket = names, self.name[order], history[order], bucket[order]
-        self.tokens = names[self.name]
-        #: The pair of every token of the block.
-        self.of_token = rank[of_pair]
-
-    def slices(self) -> Iterator[tuple[int, slice]]:
-        heads = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1]))
-        for low, high in zip(heads, np.append(heads[1:], len(self.bucket))):
-            yield int(self.bucket[low]), slice(low, high)
+        own = Histories(block, buckets, splits)
+        rank = np.empty(len(own.bucket), np.int64)
+        rank[np.argsort(own.bucket, kind="stable")] = np.arange(len(rank))
+        #: The block's tokens pair by pair, in the text's order, and where each pair begins.
+        self.at, self.heads = _grouped(rank[own.first_of] * len(own.names) + own.of)
+        first = self.at[self.heads]
+        self.tokens, history = own.names[own.of[first]], own.first_of[first]
+        self.history, self.bucket = own.history[history], own.bucket[history]
+        #: Where the histories begin, and the number of each one's pairs.
+        self.firsts = _heads(history)
+        self.followers = np.diff(np.append(self.firsts, len(history)))
+        #: Where the buckets begin among the histories, and the buckets.
+        self.cuts = _heads(self.bucket[self.firsts])
+        self.buckets = self.bucket[self.firsts[self.cuts]]
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the buckets, among the histories and among the pairs."""
+        cuts = np.append(self.cuts, len(self.firsts))
+        return cuts, np.append(self.firsts, len(self.history))[cuts]
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -254,19 +304,61 @@ def _hashes(blob: bytes) -> np.ndarray:
     return packed.from_bytes(blob, 6)
 
 
-def _joined(table: pa.Table, name: str, read) -> np.ndarray:
-    parts = [read(b) for b in table[name].to_pylist()]
+def _joined(table: pa.Table, name: str) -> np.ndarray:
+    """The numbers of all rows, one row after the other."""
+    parts = [_planes(b) for b in table[name].to_pylist()]
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
+def _joined_hashes(table: pa.Table, name: str) -> np.ndarray:
+    return packed.from_bytes(packed.joined(table[name]), 6)
+
+
+def cut(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Numbers of 0 or more between neighbouring bounds, in as many bytes each as the
+    largest of all needs: that number of bytes, all lowest bytes, and so on."""
+    width = max(int(values.max()).bit_length() + 7 >> 3, 1) if len(values) else 1
+    parts = [(values >> (8 * i)).astype(np.uint8).tobytes() for i in range(width)]
+    first, at = bytes([width]), bounds.tolist()
+    return [b"".join([first, *(p[a:b] for p in parts)]) for a, b in zip(at, at[1:])]
+
+
+def planes(values: np.ndarray) -> bytes:
+    return cut(values, np.array([0, len(values)]))[0]
+
+
 def _planes(blob: bytes) -> np.ndarray:
-    return from_planes(blob, 6)
+    raw = np.frombuffer(memoryview(blob)[1:], np.uint8).reshape(blob[0], -1)
+    out = raw[0].astype(np.int64)
+    for i in range(1, len(raw)):
+        out |= raw[i].astype(np.int64) << (8 * i)
+    return out
+
+
+def _cut_six(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return _cut_bytes(_six(values), 6 * bounds)
+
+
+def _cut_bytes(blob: bytes, bounds: np.ndarray) -> list[bytes]:
+    at = bounds.tolist()
+    return [blob[a:b] for a, b in zip(at, at[1:])]
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
+def _columns(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A value for all rows, or one for each; columns that are not given are null."""
+    rows = max(len(c) for c in columns.values() if isinstance(c, list | np.ndarray))
+    arrays = []
+    for field_ in schema:
+        values = columns.get(field_.name)
+        each = isinstance(values, list | np.ndarray)
+        arrays.append(pa.array(values, field_.type) if each else pa.repeat(pa.scalar(values, field_.type), rows))
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def _schema(fields: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds.get(k, pa.binary())) for n, k in (f.split() for f in fields.split(", "))])
@@ -292,20 +384,22 @@ def _placed(token_buckets: int, buckets: int, splits: dict[int, int], limit: int
 
     def run(batches):
         for block in blocks_of(batches, limit):
-            pairs = Pairs(block, buckets, splits)
-            both = np.unique(pairs.name * buckets + pairs.bucket)
-            place, times = both % buckets, np.bincount(both // buckets, minlength=len(pairs.names))
-            limits = np.append(0, np.cumsum(times))
-            bucket = _bucket_of_token(pairs.names, token_buckets)
-            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            rows = [
-                {
-                    "bucket": bucket[a], "tokens": _six(pairs.names[a:b]), "learned": planes(pairs.learned[a:b], 6),
-                    "times": planes(times[a:b], 6), "places": planes(place[limits[a] : limits[b]], 6),
-                }
-                for a, b in zip(cuts, cuts[1:])
-            ]
-            yield _batch(rows, _schema(PLACES))
+            own = Histories(block, buckets, splits)
+            order = np.argsort(own.names)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            both = _distinct(rank[own.of] * buckets + own.bucket[own.first_of])
+            name, place = np.divmod(both, buckets)
+            limits = _heads(name)
+            order = order[name[limits]]
+            names, learned = own.names[order], block.counted(own.of, len(order), True)[order]
+            limits = np.append(limits, len(name))
+            times, bucket = np.diff(limits), _bucket_of_token(names, token_buckets)
+            cuts = np.append(_heads(bucket), len(bucket))
+            yield _columns(
+                _schema(PLACES), bucket=bucket[cuts[:-1]], tokens=_cut_six(names, cuts), learned=cut(learned, cuts),
+                times=cut(times, cuts), places=cut(place, limits[cuts]),
+            )
         packed.release()
 
     return run
@@ -314,23 +408,20 @@ def _placed(token_buckets: int, buckets: int, splits: dict[int, int], limit: int
 def _answered(asked: pa.Table) -> pa.Table:
     """A bucket of the token table, and the counts of the tokens of each bucket of
     pairs, in the tokens' order."""
-    names, of = np.unique(_joined(asked, "tokens", _hashes), return_inverse=True)
-    counts = np.bincount(of, _joined(asked, "learned", _planes), len(names)).astype(np.int64)
-    at = np.repeat(of, _joined(asked, "times", _planes))
-    both = np.unique(_joined(asked, "places", _planes) * len(names) + at)
-    place, at = both // len(names), both % len(names)
-    cuts = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
+    names, of = _numbered(_joined_hashes(asked, "tokens"))
+    counts = np.bincount(of, _joined(asked, "learned"), len(names)).astype(np.int64)
+    at = np.repeat(of, _joined(asked, "times"))
+    place, at = np.divmod(_distinct(_joined(asked, "places") * len(names) + at), len(names))
+    cuts = np.append(_heads(place), len(place))
     part = asked["bucket"][0].as_py()
-    rows = [
-        {"kind": "answers", "bucket": place[a], "part": part, "counts": planes(counts[at[a:b]], 6)}
-        for a, b in zip(cuts, cuts[1:])
-    ]
+    schema = _schema(TOKENS)
+    found = _columns(schema, kind="answers", bucket=place[cuts[:-1]], part=part, counts=cut(counts[at], cuts))
     known = counts > 0
     of_counts = [np.sum(counts == r) for r in range(1, DISCOUNTED + 2)]
     totals = [int(n) for n in (counts.sum(), known.sum(), *of_counts)]
     packed.release()
-    rows.append({"kind": "tokens", "part": part, "tokens": _six(names[known]), "counts": planes(counts[known], 6), "totals": totals})
-    return pa.Table.from_batches([_batch(rows, _schema(TOKENS))])
+    row = {"kind": "tokens", "part": part, "tokens": _six(names[known]), "counts": planes(counts[known]), "totals": totals}
+    return pa.Table.from_batches([found, _batch([row], schema)])
 
 
 def _sent(buckets: int, splits: dict[int, int], limit: int):
@@ -339,18 +430,13 @@ def _sent(buckets: int, splits: dict[int, int], limit: int):
     def run(batches):
         for block in blocks_of(batches, limit):
             pairs = Pairs(block, buckets, splits)
-            learned = block.counted(pairs.of_token, len(pairs.tokens), True)
-            rows = []
-            for bucket, s in pairs.slices():
-                heads = np.flatnonzero(np.append(True, pairs.history[s][1:] != pairs.history[s][:-1]))
-                rows.append(
-                    {
-                        "bucket": bucket, "block": block.number, "histories": _six(pairs.history[s][heads]),
-                        "followers": planes(np.diff(np.append(heads, s.stop - s.start)), 6),
-                        "tokens": _six(pairs.tokens[s]), "learned": planes(learned[s], 6),
-                    }
-                )
-            yield _batch(rows, _schema(PAIRS))
+            learned = np.add.reduceat(np.repeat(block.learn, block.lengths)[pairs.at].astype(np.int64), pairs.heads)
+            histories, bounds = pairs.bounds()
+            yield _columns(
+                _schema(PAIRS), bucket=pairs.buckets, block=block.number, followers=cut(pairs.followers, histories),
+                histories=_cut_six(pairs.history[pairs.firsts], histories),
+                tokens=_cut_six(pairs.tokens, bounds), learned=cut(learned, bounds),
+            )
         packed.release()
 
     return run
@@ -363,60 +449,49 @@ def _looked_up(levels: Levels):
     def run(asked: pa.Table, answers: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return schema.empty_table()
-        counts = _joined(answers.sort_by("part"), "counts", _planes)
-        rows = asked.to_pylist()
-        firsts = [_hashes(r["histories"]) for r in rows]
-        followers = [_planes(r["followers"]) for r in rows]
-        sizes = [int(f.sum()) for f in followers]
-        dictionary, token = np.unique(np.concatenate([_hashes(r["tokens"]) for r in rows]), return_inverse=True)
+        counts = _joined(answers.sort_by("part"), "counts")
+        followers = _joined(asked, "followers")
+        dictionary, token = _numbered(_joined_hashes(asked, "tokens"))
         if len(counts) != len(dictionary):
             raise ValueError(CHANGED)
-        histories = np.unique(np.concatenate(firsts))
-        of_row = [np.repeat(np.searchsorted(histories, h), n) for h, n in zip(firsts, followers)]
-        token += np.concatenate(of_row) * len(dictionary)
-        del of_row
-        pair, of = np.unique(token, return_inverse=True)
-        del token
-        learned = np.bincount(of, np.concatenate([_planes(r["learned"]) for r in rows]), len(pair)).astype(np.int64)
-        history, token = pair // len(dictionary), pair % len(dictionary)
+        histories, which = _numbered(_joined_hashes(asked, "histories"))
+        of_pair = np.repeat(which, followers)
+        at, heads = _grouped(of_pair * len(dictionary) + token)
+        of = np.empty(len(at), np.int64)
+        of[at] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(at))))
+        learned = np.add.reduceat(_joined(asked, "learned")[at], heads)
+        first = at[heads]
+        history, token = of_pair[first], token[first]
+        del at, heads, first, of_pair
         seen, n = learned > 0, len(histories)
         totals = np.bincount(history, learned, n).astype(np.int64)
         mass = np.bincount(history[seen], levels.alone(counts)[token[seen]], n)
-        rest = np.stack(
-            [np.bincount(history[learned == r], minlength=n) for r in range(1, DISCOUNTED + 1)], 1
-        ).astype(np.int64)
-        out, begin = [], 0
-        for r, first, n_followers, size in zip(rows, firsts, followers, sizes):
-            c = learned[of[begin : begin + size]]
-            begin += size
-            which = np.searchsorted(histories, first)
-            # The rest matters only where the block has a pair that is not learned.
-            heads = np.cumsum(n_followers) - n_followers
-            open_ = np.add.reduceat((c == 0).astype(np.int64), heads) > 0
-            out.append(
-                {
-                    "kind": "answers", "bucket": r["bucket"], "block": r["block"], "pair_counts": planes(c, 6),
-                    "totals": planes(total(totals, rest)[which], 6), "rest": planes((rest[which] * open_[:, None]).ravel(), 6),
-                    "mass": (mass[which] * open_).astype("<f8").tobytes(),
-                    "token_counts": planes(counts[token[of[begin - size : begin]]], 6),
-                }
-            )
-        bucket = rows[0]["bucket"]
+        rare = seen & (learned <= DISCOUNTED)
+        rest = np.bincount(history[rare] * DISCOUNTED + learned[rare] - 1, minlength=n * DISCOUNTED).reshape(n, DISCOUNTED)
+        # The rest matters only where the block has a pair that is not learned.
+        begins = np.cumsum(followers) - followers
+        open_ = np.add.reduceat((~seen)[of].astype(np.int64), begins) > 0
+        bucket, block = asked["bucket"][0].as_py(), asked["block"].to_numpy()
+        rows = np.append(0, np.cumsum(packed.counts(asked["histories"], 6)))
+        bounds = np.append(begins, len(of))[rows]
+        found = _columns(
+            schema, kind="answers", bucket=bucket, block=block, pair_counts=cut(learned[of], bounds),
+            totals=cut(total(totals, rest)[which], rows), rest=cut((rest[which] * open_[:, None]).ravel(), DISCOUNTED * rows),
+            mass=_cut_bytes((mass[which] * open_).astype("<f8").tobytes(), 8 * rows), token_counts=cut(counts[token][of], bounds),
+        )
         known = np.flatnonzero(totals)
         hot = np.isin(histories, np.array(sorted(levels.splits), np.uint64)) & (totals > 0)
-        out.append(
-            {
-                "kind": "pairs", "bucket": bucket, "histories": _six(histories[known]),
-                "followers": planes(np.bincount(history[seen], minlength=n)[known], 6),
-                "dictionary": _six(dictionary), "tokens": planes(token[seen], 6), "pair_counts": planes(learned[seen], 6),
-                "hot": np.concatenate(
-                    [histories[hot].astype("<i8").view("<f8")[:, None], totals[hot][:, None], mass[hot][:, None], rest[hot]], 1
-                ).astype("<f8").tobytes(),
-                "counts_of_counts": [int(np.sum(learned == r)) for r in range(1, DISCOUNTED + 2)],
-            }
-        )
+        row = {
+            "kind": "pairs", "bucket": bucket, "histories": _six(histories[known]),
+            "followers": planes(np.bincount(history[seen], minlength=n)[known]),
+            "dictionary": _six(dictionary), "tokens": planes(token[seen]), "pair_counts": planes(learned[seen]),
+            "hot": np.concatenate(
+                [histories[hot].astype("<i8").view("<f8")[:, None], totals[hot][:, None], mass[hot][:, None], rest[hot]], 1
+            ).astype("<f8").tobytes(),
+            "counts_of_counts": [int(np.sum(learned == r)) for r in range(1, DISCOUNTED + 2)],
+        }
         packed.release()
-        return pa.Table.from_batches([_batch(out, schema)])
+        return pa.Table.from_batches([found, _batch([row], schema)])
 
     return run
 
@@ -435,26 +510,21 @@ def _at_home(buckets: int, splits: dict[int, int], limit: int):
     def run(batches):
         for block in blocks_of(batches, limit):
             pairs = Pairs(block, buckets, splits)
-            texts = len(block.lengths)
-            text = np.repeat(np.arange(texts), block.lengths)
-            both, times = np.unique(pairs.of_token * texts + text, return_counts=True)
-            followers, hot, histories = [], [], []
-            for _, s in pairs.slices():
-                own = pairs.history[s]
-                heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                followers.append(np.diff(np.append(heads, len(own))))
-                hot.append(np.where(np.isin(own[heads], frequent), own[heads], 0))
-                histories.append(len(heads))
+            text = np.repeat(np.arange(len(block.lengths)), block.lengths)[pairs.at]
+            fresh = np.append(True, text[1:] != text[:-1])
+            fresh[pairs.heads] = True
+            begins = np.flatnonzero(fresh)
+            first = pairs.history[pairs.firsts]
             row = {
                 "block": block.number,
                 "ids": block.ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
                 "has_id": block.ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
-                "rows": planes(block.rows, 6), "learn": block.learn.astype(np.uint8).tobytes(),
-                "lengths": planes(block.lengths, 6),
-                "texts": planes(np.bincount(both // texts, minlength=len(pairs.tokens)), 6),
-                "places": planes(both % texts, 6), "times": planes(times, 6),
-                "followers": planes(np.concatenate(followers), 6), "frequent": _six(np.concatenate(hot)),
-                "histories": planes(np.array(histories), 6),
+                "rows": planes(block.rows), "learn": block.learn.astype(np.uint8).tobytes(),
+                "lengths": planes(block.lengths),
+                "texts": planes(np.add.reduceat(fresh.astype(np.int64), pairs.heads)),
+                "places": planes(text[begins]), "times": planes(np.diff(np.append(begins, len(text)))),
+                "followers": planes(pairs.followers), "frequent": _six(np.where(np.isin(first, frequent), first, 0)),
+                "histories": planes(np.diff(np.append(pairs.cuts, len(pairs.firsts)))),
             }
             yield _batch([row], schema)
         packed.release()
@@ -468,25 +538,21 @@ def _scored(levels: Levels):
     def run(home: pa.Table, answers: pa.Table) -> pa.Table:
         if not home.num_rows:
             return _RESULT.empty_table()
-        mine, parts = home.to_pylist()[0], answers.sort_by("bucket").to_pylist()
+        mine, answers = home.to_pylist()[0], answers.sort_by("bucket")
         histories, followers, texts = (_planes(mine[n]) for n in ("histories", "followers", "texts"))
+        pairs, totals = ([_planes(b) for b in answers[n].to_pylist()] for n in ("pair_counts", "totals"))
+        asked = np.add.reduceat(followers, np.cumsum(histories) - histories)
+        if [len(t) for t in totals] != histories.tolist() or [len(p) for p in pairs] != asked.tolist():
+            raise ValueError(CHANGED)
+        pairs, totals, counts = np.concatenate(pairs), np.concatenate(totals), _joined(answers, "token_counts")
+        rest = _joined(answers, "rest").reshape(-1, DISCOUNTED)
+        mass = np.frombuffer(b"".join(answers["mass"].to_pylist()), "<f8").copy()
         frequent = _hashes(mine["frequent"])
-        counts, scores = np.empty(len(texts), np.int64), np.empty(len(texts))
-        begin = first = 0
-        for part, n_histories in zip(parts, histories, strict=True):
-            pairs, of_token, totals = (_planes(part[n]) for n in ("pair_counts", "token_counts", "totals"))
-            end, last = begin + len(pairs), first + n_histories
-            if len(totals) != n_histories or end > len(texts):
-                raise ValueError(CHANGED)
-            mass = np.frombuffer(part["mass"], "<f8").copy()
-            rest = _planes(part["rest"]).reshape(-1, DISCOUNTED)
-            for at in np.flatnonzero(frequent[first:last]):
-                count, mass[at], rest[at] = levels.hot.get(int(frequent[first + at]), (0, 0.0, 0))
-                totals[at] = total(np.int64(count), rest[at])
-            which = np.repeat(np.arange(n_histories), followers[first:last])
-            counts[begin:end] = of_token
-            scores[begin:end] = levels.backed_off(pairs, totals[which], rest[which], mass[which], of_token)
-            begin, first = end, last
+        for at in np.flatnonzero(frequent):
+            count, mass[at], rest[at] = levels.hot.get(int(frequent[at]), (0, 0.0, 0))
+            totals[at] = total(np.int64(count), rest[at])
+        which = np.repeat(np.arange(len(followers)), followers)
+        scores = levels.backed_off(pairs, counts, which, totals, rest, mass)
         lengths, place, times = (_planes(mine[n]) for n in ("lengths", "places", "times"))
         pair = np.repeat(np.arange(len(texts)), texts)
 

@@ -191,6 +191,63 @@ def test_scores_without_rows(spark, odd_docs):
     assert alone.score == alone.base_score == 0
 
 
+def block_of(texts, learn):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(learn)], ["i", "t", "l"])
+    return batch, next(katz.blocks_of(iter([batch]), 1 << 20))
+
+
+@pytest.mark.parametrize("splits", [{}, {katz.BEGIN: 3}, {katz.BEGIN: 2, "": 4}])
+def test_pairs_of_a_block(monkeypatch, splits):
+    """Each distinct pair once, with its tokens, by bucket and history; frequent histories in several buckets."""
+    monkeypatch.setattr(katz.TaskContext, "get", staticmethod(lambda: type("Context", (), {"partitionId": lambda self: 0})()))
+    texts = [prose(300, random.Random(n)) for n in range(9)] + ["", "a a a b"]
+    _, block = block_of(texts, [n % 2 == 0 for n in range(11)])
+    most = Counter(block.tokens.tolist()).most_common(1)[0][0]
+    splits = {k or most: n for k, n in splits.items()}
+    pairs = katz.Pairs(block, 5, splits)
+    assert sorted(pairs.at.tolist()) == list(range(len(block.tokens)))
+    found = Counter()
+    for n, part in enumerate(np.split(pairs.at, pairs.heads[1:])):
+        assert np.all(np.diff(part) > 0)
+        assert set(zip(block.before[part], block.tokens[part])) == {(pairs.history[n], pairs.tokens[n])}
+        found[int(pairs.history[n]), int(pairs.tokens[n])] += len(part)
+    assert len(found) == len(pairs.heads)
+    assert found == Counter(zip(block.before.tolist(), block.tokens.tolist()))
+    assert pairs.buckets.tolist() == sorted(set(pairs.bucket.tolist()))
+    histories, bounds = pairs.bounds()
+    for n, bucket in enumerate(pairs.buckets):
+        own = pairs.history[bounds[n] : bounds[n + 1]]
+        assert set(pairs.bucket[bounds[n] : bounds[n + 1]]) == {bucket}
+        assert list(dict.fromkeys(own)) == pairs.history[pairs.firsts[histories[n] : histories[n + 1]]].tolist()
+        assert pairs.followers[histories[n] : histories[n + 1]].tolist() == [np.sum(own == h) for h in dict.fromkeys(own)]
+    for history in {int(h) for h in pairs.history}:
+        assert len(set(pairs.bucket[pairs.history == history])) <= splits.get(history, 1)
+
+
+def test_counts_take_few_bytes(monkeypatch):
+    """Small counts are sent in a byte each: the work of a block is with its hashes."""
+    monkeypatch.setattr(katz.TaskContext, "get", staticmethod(lambda: type("Context", (), {"partitionId": lambda self: 0})()))
+    batch, block = block_of([prose(2000, random.Random(n)) for n in range(20)], [True] * 20)
+    distinct = len(set(zip(block.before.tolist(), block.tokens.tolist())))
+    sent = next(katz._sent(3, {}, 1 << 20)(iter([batch])))
+    assert distinct <= sum(map(len, sent["learned"].to_pylist())) <= 2 * distinct + 9
+    home = next(katz._at_home(3, {}, 1 << 20)(iter([batch])))
+    assert sum(len(home[n][0].as_py()) for n in ("texts", "places", "times")) <= 5 * len(block.tokens)
+    for values in ([], [0], [1, 255], [256, 0], [(1 << 40) + 7, 3]):
+        values = np.array(values, np.int64)
+        assert np.array_equal(katz._planes(katz.planes(values)), values)
+        assert [katz._planes(b).tolist() for b in katz.cut(values, np.array([0, 0, len(values)]))] == [[], values.tolist()]
+    assert len(katz.planes(np.arange(256))) == 257
+
+
+def test_keys_too_large_to_sort_with_their_places():
+    for top in (9, 1 << 62):
+        keys = np.random.default_rng(3).integers(0, 9, 500) * (top // 9)
+        at, heads = katz._grouped(keys)
+        assert np.array_equal(at, np.argsort(keys, kind="stable"))
+        assert np.array_equal(heads, np.unique(keys[at], return_index=True)[1])
+
+
 def test_discounts():
     """Estimates where they can be used, a fixed loss elsewhere; always a loss."""
     assert np.allclose(katz.discounts([120, 40, 24, 13, 15, 5])[1:3], [(2 * 40 / 120 - 0.25) / 0.75, (3 * 24 / 80 - 0.25) / 0.75])
