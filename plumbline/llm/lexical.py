@@ -35,7 +35,7 @@ BLOCK_TERMS, BLOCK_DOCS = 1 << 20, 1 << 16
 PORTION = 256
 #: Ranges that go down first.
 BEAM = 64
-#: Bytes of a row group of the index: bounds what a reader holds.
+#: Bytes of a row group of the index: bounds what its writers and readers hold, a block at least.
 ROW_GROUP = 16 << 20
 
 #: Lower case for A-Z, blanks for what separates terms.
@@ -299,7 +299,9 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     total = counted.agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")).first()
     path = new_folder(spark, "lexical-index")
     index = rows.mapInArrow(_indexed(total["documents"] or 0, total["terms"] or 1, BLOCK_TERMS), INDEX)
-    index.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    # Looked at after each block: by default that is after 100 rows, nearly a gigabyte.
+    sizes = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    index.write.options(**sizes).parquet(path)
     return spark.read.schema(INDEX).parquet(path), total["documents"] or 0
 
 
@@ -382,6 +384,7 @@ def search(
     of them is broadcast by Spark's own threshold.
     """
     spark = items.sparkSession
+    packed.small_batches(spark)
     rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.col(text))
     count = -(-rows.count() // PORTION) or 1
     terms = rows.mapInArrow(_item_terms, "item_id long, term long").distinct()

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from odd_tables import SCHEMA, frame, odd_rows, prose, random_rows
 
@@ -89,6 +90,23 @@ def test_search_of_nothing(spark, odd_docs):
     assert lexical.ranked(docs.where("text is null"), items).count() == 0
 
 
+def test_blocks_of_a_file_are_read_one_by_one(spark, monkeypatch):
+    """However many blocks a task writes, no row group has more bytes than asked for, or it has one block."""
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 400)
+    monkeypatch.setattr(lexical, "ROW_GROUP", 1 << 18)
+    rng = random.Random(5)
+    texts = [(i, " ".join(f"w{int(rng.paretovariate(0.3)) % 50_000}" for _ in range(20_000))) for i in range(15)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    index, count = lexical.build_index(docs)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert len(files) < sum(g.num_rows for g in groups)
+    assert all(g.num_rows == 1 or g.total_byte_size <= 1 << 18 for g in groups)
+    items = [(1, "w1 w2 w3"), (2, texts[7][1][:500])]
+    found = lexical.search(index, count, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == plain_search(texts, items)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_treap(seed):
     """Random grids: the best of every item, whatever its weights."""
